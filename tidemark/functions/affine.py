@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions.bind import let, whole_div
-from tidemark.functions.instants import FIRST_MICRO, LAST_MICRO, in_calendar
+from tidemark.functions.instants import FIRST_MICRO, LAST_MICRO
 
 _SPAN = LAST_MICRO - FIRST_MICRO
 _LONG_MAX = 2**63 - 1
@@ -87,14 +87,24 @@ class Affine:
             return scaled_by(delta, self.factor)
         return scaled(delta, self.factor)
 
+    def _move(self, us: Column, finish) -> Column:
+        """``finish`` of the moved instant; NULL when it falls outside the calendar."""
+        if not isinstance(self.factor, Column) and self.factor == 1.0:
+            step = self.new_base - self.base
+            inside = us.between(F.lit(FIRST_MICRO) - step, F.lit(LAST_MICRO) - step)
+            return F.when(inside, finish(us + step))
+        inside = lambda m: m.between(F.lit(FIRST_MICRO), F.lit(LAST_MICRO))
+        return let(
+            self.new_base + self.scaled_delta(us), lambda m: F.when(inside(m), finish(m))
+        )
+
     def uncapped(self, us: Column) -> Column:
-        return in_calendar(self.new_base + self.scaled_delta(us))
+        return self._move(us, lambda m: m)
 
     def __call__(self, us: Column) -> Column:
-        moved = self.uncapped(us)
         if self.ceiling is None:
-            return moved
-        return F.when(moved.isNotNull(), F.least(moved, self.ceiling))
+            return self.uncapped(us)
+        return self._move(us, lambda m: F.least(m, self.ceiling))
 
     def timestamp(self, ts: Column) -> Column:
         return F.timestamp_micros(self(F.unix_micros(ts)))

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.bind import blank_to_null, let, whole_div
+from tidemark.functions.bind import let, whole_div
 
 SECOND = 1_000_000
 HOUR = 3600 * SECOND
@@ -21,12 +21,15 @@ DAY = 24 * HOUR
 FIRST_MICRO = -62_135_596_800 * SECOND
 LAST_MICRO = 253_402_300_800 * SECOND - 1
 
-_PLAIN_ISO = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-](?:0\d|1[0-7]):?[0-5]\d)?\z"
+_PLAIN_ISO = (
+    r"^(?!0000)\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-](?:0\d|1[0-7]):?[0-5]\d)?\z"
+)
 # 1 year 2 dash 3 month 4 day 5 hour 6 colon 7 minute 8 second 9 fraction 10 zone
 _FULL_ISO = (
-    r"^(\d{4})(-?)(\d{2})\2(\d{2})"
+    r"^((?!0000)\d{4})(-?)(\d{2})\2(\d{2})"
     r"(?:(?s:.)(\d{2})(?:(:?)(\d{2})(?:\6(\d{2})(?:[.,](\d+))?)?)?(Z|z|[+-]\d{2}(?::?\d{2})?)?)?\z"
 )
+_PARTIAL_ISO = r"^(?!0000)\d{4}(?:-\d{2})?\z"
 _NUMBER = r"^\s*[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?\s*\z"
 
 
@@ -41,7 +44,7 @@ def to_timestamp(us: Column) -> Column:
 
 def wall_micros(text: Column) -> Column:
     """``yyyy-MM-dd HH:mm:ss[.f]`` read as UTC."""
-    return in_calendar(F.unix_micros(F.concat(text, F.lit("Z")).try_cast("timestamp")))
+    return let(F.unix_micros(F.concat(text, F.lit("Z")).try_cast("timestamp")), in_calendar)
 
 
 def offset_micros(zone: Column) -> Column:
@@ -59,28 +62,24 @@ def offset_micros(zone: Column) -> Column:
 
 
 def _full_iso_micros(text: Column) -> Column:
-    def part(i: int) -> Column:
-        return F.regexp_extract(text, _FULL_ISO, i)
-
-    hour, minute, second, fraction = part(5), part(7), part(8), part(9)
-    zero = F.lit("00")
-    midnight = (
-        (hour == "24")
-        & F.coalesce(blank_to_null(minute), zero).isin("00")
-        & F.coalesce(blank_to_null(second), zero).isin("00")
-        & F.regexp_replace(fraction, "0", "").isin("")
-    )
-    wall = wall_micros(
-        F.concat(
-            part(1), F.lit("-"), part(3), F.lit("-"), part(4), F.lit(" "),
-            F.when(midnight, zero).otherwise(F.coalesce(blank_to_null(hour), zero)), F.lit(":"),
-            F.coalesce(blank_to_null(minute), zero), F.lit(":"),
-            F.coalesce(blank_to_null(second), zero), F.lit("."),
-            F.rpad(F.substring(fraction, 1, 6), 6, "0"),
+    # date | hour | minute | second | fraction | zone, parts that are absent are empty
+    parts = F.split(F.regexp_replace(text, _FULL_ISO, "$1-$3-$4|$5|$7|$8|$9|$10"), r"\|", -1)
+
+    def read(p: Column) -> Column:
+        hour, minute, second = (F.rpad(F.get(p, i), 2, "0") for i in (1, 2, 3))
+        fraction = F.rpad(F.substring(F.get(p, 4), 1, 6), 6, "0")
+        rest = F.concat(minute, second, F.get(p, 4))
+        midnight = (hour == "24") & ~rest.rlike("[1-9]")
+        wall = wall_micros(
+            F.concat(
+                F.get(p, 0), F.lit(" "), F.when(midnight, F.lit("00")).otherwise(hour), F.lit(":"),
+                minute, F.lit(":"), second, F.lit("."), fraction,
+            )
         )
-    )
-    extra_day = F.when(midnight, F.lit(DAY)).otherwise(F.lit(0))
-    return F.when(text.rlike(_FULL_ISO), wall + extra_day - offset_micros(part(10)))
+        extra_day = F.when(midnight, F.lit(DAY)).otherwise(F.lit(0))
+        return wall + extra_day - offset_micros(F.get(p, 5))
+
+    return F.when(text.rlike(_FULL_ISO), let(parts, read))
 
 
 def iso_micros(text: Column) -> Column:
@@ -90,18 +89,20 @@ def iso_micros(text: Column) -> Column:
     character between date and time, ``24:00`` and any fraction length (cut to microseconds).
     Week and ordinal dates are not read.
     """
-    year_only = F.when(text.rlike(r"^\d{4}\z"), F.concat(text, F.lit("-01-01 00:00:00")))
-    month_only = F.when(text.rlike(r"^\d{4}-\d{2}\z"), F.concat(text, F.lit("-01 00:00:00")))
-    plain = F.when(text.rlike(_PLAIN_ISO), F.unix_micros(text.try_cast("timestamp")))
-    return F.coalesce(
-        in_calendar(plain),
-        in_calendar(_full_iso_micros(text)),
-        wall_micros(F.coalesce(year_only, month_only)),
-    )
+
+    def read(t: Column) -> Column:
+        plain = F.when(t.rlike(_PLAIN_ISO), F.unix_micros(t.try_cast("timestamp")))
+        partial = F.when(
+            t.rlike(_PARTIAL_ISO),
+            wall_micros(F.concat(F.rpad(t, 7, "-01"), F.lit("-01 00:00:00"))),
+        )
+        return F.coalesce(plain, _full_iso_micros(t), partial)
+
+    return let(text, read)
 
 
 def number_in_text(text: Column) -> Column:
-    return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
+    return let(text, lambda t: F.when(t.rlike(_NUMBER), F.trim(t).try_cast("double")))
 
 
 def epoch_micros(seconds: Column) -> Column:
@@ -113,7 +114,7 @@ def epoch_micros(seconds: Column) -> Column:
         whole = F.when(s < 0, F.ceil(s)).otherwise(F.floor(s))
         return whole * F.lit(SECOND) + F.rint((s - whole) * F.lit(1e6)).cast("bigint")
 
-    return let(F.when(seconds.between(low, limit), seconds), split)
+    return let(seconds, lambda s: F.when(s.between(low, limit), split(s)))
 
 
 def epoch_millis_micros(millis: Column) -> Column:
@@ -178,7 +179,7 @@ def date_pattern(strftime: str, for_parsing: bool = False) -> str:
 def strptime_micros(text: Column, strftime: str) -> Column:
     pattern = date_pattern(strftime, for_parsing=True)
     squeezed = F.regexp_replace(text, r"\s+", " ")
-    return in_calendar(F.unix_micros(F.try_to_timestamp(squeezed, F.lit(pattern))))
+    return let(F.unix_micros(F.try_to_timestamp(squeezed, F.lit(pattern))), in_calendar)
 
 
 # Layouts tried, in order, for free-form date text that is not ISO.
@@ -202,7 +203,8 @@ def auto_micros(text: Column) -> Column:
     bare = F.regexp_replace(
         bare, r"^([A-Z][a-z]{2})\s+(\d{1,2})\s+(\d{2}:\d{2}:\d{2})\s+(\d{4})\z", "$1 $2 $4 $3"
     )
-    return F.coalesce(iso_micros(F.trim(text)), *[strptime_micros(bare, f) for f in AUTO_LAYOUTS])
+    free = let(bare, lambda t: F.coalesce(*[strptime_micros(t, f) for f in AUTO_LAYOUTS]))
+    return F.coalesce(iso_micros(F.trim(text)), F.when(text.isNotNull(), free))
 
 
 # ---------------------------------------------------------------------------------------------

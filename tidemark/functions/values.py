@@ -13,11 +13,12 @@ from tidemark.functions import instants as I
 
 @dataclass(frozen=True)
 class Value:
-    """Three readings of one field; each is NULL where the reading does not apply."""
+    """Readings of one field; each is NULL where the reading does not apply."""
 
     text: Column
     number: Column
     instant: Column
+    variant: Column | None = None  # where text and number come from, if from a variant
 
 
 _NO_TEXT = F.lit(None).cast("string")
@@ -30,7 +31,7 @@ def variant_value(v: Column) -> Value:
     text = F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
     numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN") | kind.startswith("DECIMAL")
     number = F.when(numeric, F.try_variant_get(v, "$", "double"))
-    return Value(text, number, _NO_INSTANT)
+    return Value(text, number, _NO_INSTANT, v)
 
 
 def typed_value(col: Column, dtype: T.DataType) -> Value:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import instants as I
-from tidemark.functions.bind import blank_to_null
+from tidemark.functions.bind import blank_to_null, let
 from tidemark.functions.values import Value, read_instant, typed_value, variant_value
 from tidemark.plans.pattern_sets import GENERIC, METADATA, REGISTRY, REQUIRED_ANY, Pattern
 
@@ -102,33 +102,106 @@ class Found:
 
 
 def _regex_text(value: Value, regex: str) -> Column:
-    return F.when(value.text.rlike(regex), F.regexp_extract(value.text, regex, 1))
+    return let(
+        value.text, lambda t: F.when(t.rlike(regex), F.regexp_extract(t, regex, 1))
+    )
+
+
+INSTANTS, MATCHED = "_instants", "_matched"
+_NO_VARIANT = F.lit(None).cast("variant")
 
 
-def _reading(read: FieldReader, p: Pattern) -> tuple[Column, Column | None]:
+def _candidate(read: FieldReader, p: Pattern, hit: Column | None) -> Column:
+    """What one pattern sees in a record: format, and the value in the form it is held."""
     value = read(p.field)
-    if p.regex is None:
-        return read_instant(value, p.format), None
-    hit = _regex_text(value, p.regex)
-    # a value that is not text is read as it is
-    return read_instant(Value(hit, value.number, value.instant), p.format), hit
-
-
-def instants(read: FieldReader, patterns: Iterable[Pattern]) -> list[Found]:
-    """Readings per field; of several readings of a field the last one that succeeds counts."""
-    found: dict[str, Found] = {}
-    for p in patterns:
-        us, hit = _reading(read, p)
+    if p.regex is not None:
+        # a value that is not text is read as it is
+        value = Value(hit, value.number, value.instant)
+    loose = value.variant is not None
+    return F.struct(
+        F.lit(p.format).alias("format"),
+        (value.variant if loose else _NO_VARIANT).alias("variant"),
+        (F.lit(None).cast("string") if loose else value.text).alias("text"),
+        (F.lit(None).cast("double") if loose else value.number).alias("number"),
+        value.instant.alias("instant"),
+    )
+
+
+def _read_candidate(formats: Sequence[str]) -> Callable[[Column], Column]:
+    def by_format(e: Column, text: Column, number: Column) -> Column:
+        value = Value(text, number, e["instant"])
+        chosen = F.when(F.lit(False), _NO_INSTANT)
+        for fmt in formats:
+            chosen = chosen.when(e["format"] == fmt, read_instant(value, fmt))
+        return chosen
+
+    def read(e: Column) -> Column:
+        def of_variant(v: Column) -> Column:
+            inner = variant_value(v)
+            return let(
+                F.coalesce(e["text"], inner.text),
+                lambda t: let(F.coalesce(e["number"], inner.number), lambda n: by_format(e, t, n)),
+            )
+
+        return F.when(e.isNotNull(), let(e["variant"], of_variant))
+
+    return read
+
+
+def find_instants(
+    df: DataFrame, read: FieldReader, candidates: Sequence[tuple[Pattern, Column | None]]
+) -> tuple[DataFrame, list[Found]]:
+    """Try patterns in order, each under its condition; the last success of a field counts.
+
+    All candidates of a record go through one parse expression, so the plan does not grow with the
+    number of patterns. The readings are held in helper columns of the returned frame (see
+    :func:`drop_helpers`); the fields found refer to them.
+    """
+    df = drop_helpers(df)
+    hits = [None if p.regex is None else _regex_text(read(p.field), p.regex) for p, _ in candidates]
+    hits = [
+        h if h is None or condition is None else F.when(condition, h)
+        for h, (_, condition) in zip(hits, candidates)
+    ]
+    matched = [h for h in hits if h is not None]
+    if matched:
+        df = df.withColumn(MATCHED, F.array(*matched))
+    items, found, place = [], {}, 0
+    for i, ((p, condition), hit) in enumerate(zip(candidates, hits)):
+        held = None
+        if hit is not None:
+            held = F.get(F.col(MATCHED), F.lit(place))
+            place += 1
+        item = _candidate(read, p, held)
+        items.append(item if condition is None else F.when(condition, item))
+        us, fmt = F.get(F.col(INSTANTS), F.lit(i)), p.format
         if p.field in found:
             earlier = found[p.field]
             us = F.coalesce(us, earlier.us)
-            hit = earlier.matched if hit is None else hit
-        fmt = p.format if hit is not None or p.field not in found else found[p.field].format
-        found[p.field] = Found(p.field, us, hit, fmt)
-    return list(found.values())
+            if held is None:
+                held, fmt = earlier.matched, earlier.format
+            elif earlier.matched is not None:
+                held = F.coalesce(held, earlier.matched)
+        found[p.field] = Found(p.field, us, held, fmt)
+    formats = list(dict.fromkeys(p.format for p, _ in candidates))
+    df = df.withColumn(INSTANTS, F.transform(F.array(*items), _read_candidate(formats)))
+    return df, list(found.values())
+
+
+def drop_helpers(df: DataFrame) -> DataFrame:
+    return df.drop(INSTANTS, MATCHED)
+
+
+def instants(
+    df: DataFrame, read: FieldReader, patterns: Iterable[Pattern]
+) -> tuple[DataFrame, list[Found]]:
+    """Readings by an ordered pattern list."""
+    return find_instants(df, read, [(p, None) for p in patterns])
 
 
-def instants_by_sourcetype(read: FieldReader, sourcetype: Column) -> list[Found]:
+def instants_by_sourcetype(
+    df: DataFrame, read: FieldReader, sourcetype: Column
+) -> tuple[DataFrame, list[Found]]:
     """The generic set, preceded on each row by the registered patterns of its sourcetype.
 
     The whole registry is a constant of the library; a pattern is evaluated only on rows of its
@@ -139,25 +212,8 @@ def instants_by_sourcetype(read: FieldReader, sourcetype: Column) -> list[Found]
     for registered, patterns in REGISTRY.items():
         for p in patterns:
             by_pattern.setdefault(p._replace(is_base=False), []).append(registered.lower())
-    found: dict[str, Found] = {}
-
-    def put(p: Pattern, condition: Column | None) -> None:
-        us, hit = _reading(read, p)
-        if condition is not None:
-            us = F.when(condition, us)
-            hit = None if hit is None else F.when(condition, hit)
-        if p.field in found:
-            earlier = found[p.field]
-            us = F.coalesce(us, earlier.us)
-            if earlier.matched is not None:
-                hit = earlier.matched if hit is None else F.coalesce(hit, earlier.matched)
-        found[p.field] = Found(p.field, us, hit, p.format)
-
-    for p, names in by_pattern.items():
-        put(p, name.isin(names))
-    for p in GENERIC:
-        put(p, None)
-    return list(found.values())
+    candidates = [(p, name.isin(names)) for p, names in by_pattern.items()]
+    return find_instants(df, read, candidates + [(p, None) for p in GENERIC])
 
 
 def timestamp_map(found: Sequence[Found]) -> Column:
@@ -170,7 +226,8 @@ def timestamp_map(found: Sequence[Found]) -> Column:
 
 def extract(df: DataFrame, read: FieldReader, patterns: Iterable[Pattern]) -> DataFrame:
     """Add ``timestamps``: the instants of each record by field."""
-    return df.withColumn("timestamps", timestamp_map(instants(read, patterns)))
+    staged, found = instants(df, read, patterns)
+    return drop_helpers(staged.withColumn("timestamps", timestamp_map(found)))
 
 
 def base_instant(

@@ -27,6 +27,11 @@ from tidemark.plans.text_families import (
 )
 
 
+def _moved(plan: Affine, us: Column) -> Column:
+    """The moved instant, with ``us`` computed once."""
+    return let(us, plan)
+
+
 def _show(us: Column, pattern: str) -> Column:
     return F.date_format(F.timestamp_micros(us), pattern)
 
@@ -87,14 +92,14 @@ def _iso8601(hit: Column, plan: Affine) -> Column:
             unsigned_zero,
         )
 
-    moved = plan(wall - I.offset_micros(zone)) + I.offset_micros(zone)
+    moved = _moved(plan, wall - I.offset_micros(zone)) + I.offset_micros(zone)
     return let(I.in_calendar(moved), put)
 
 
 def _fortigate(hit: Column, plan: Affine) -> Column:
     clock = F.concat(_group(hit, "fortigate", 1), F.lit(" "), _group(hit, "fortigate", 2))
     return let(
-        plan(I.wall_micros(clock)), lambda new: _show(new, "'date='yyyy-MM-dd' time='HH:mm:ss")
+        _moved(plan, I.wall_micros(clock)), lambda new: _show(new, "'date='yyyy-MM-dd' time='HH:mm:ss")
     )
 
 
@@ -103,7 +108,7 @@ def _audit(hit: Column, plan: Affine) -> Column:
     us = seconds * F.lit(I.SECOND) + _group(hit, "audit", 2).cast("bigint") * 1000
     serial = F.regexp_extract(hit, r":(\d+\))", 0)
     return let(
-        plan(us),
+        _moved(plan, us),
         lambda new: F.concat(
             F.lit("audit("), I.epoch_seconds_text(new), F.lit("."),
             F.substring(I.fraction_digits(new), 1, 3), serial,
@@ -118,7 +123,7 @@ def _syslog(hit: Column, plan: Affine) -> Column:
         _two(_group(hit, "syslog", 2)), F.lit(" "), _group(hit, "syslog", 3),
     )
     return let(
-        plan(I.wall_micros(clock)),
+        _moved(plan, I.wall_micros(clock)),
         lambda new: F.concat(
             _show(new, "MMM"), F.lit(" "), _day_padded(new), F.lit(" "), _show(new, "HH:mm:ss")
         ),
@@ -148,7 +153,7 @@ def _us_date(hit: Column, plan: Affine) -> Column:
             twelve, F.concat(_show(new, "MM/dd/yyyy hh:mm:ss"), tail, _show(new, " a"))
         ).otherwise(F.concat(_show(new, "MM/dd/yyyy HH:mm:ss"), tail))
 
-    return let(plan(I.wall_micros(clock)), put)
+    return let(_moved(plan, I.wall_micros(clock)), put)
 
 
 def _clf(hit: Column, plan: Affine) -> Column:
@@ -159,7 +164,7 @@ def _clf(hit: Column, plan: Affine) -> Column:
     )
     offset = I.offset_micros(zone)
     return let(
-        I.in_calendar(plan(I.wall_micros(clock) - offset) + offset),
+        I.in_calendar(_moved(plan, I.wall_micros(clock) - offset) + offset),
         lambda new: F.concat(_show(new, "'['dd/MMM/yyyy:HH:mm:ss' '"), zone, F.lit("]")),
     )
 
@@ -172,7 +177,7 @@ def _apache_error(hit: Column, plan: Affine) -> Column:
         _group(hit, "apache_error", 3), F.lit("."), _six(fraction),
     )
     return let(
-        plan(I.wall_micros(clock)),
+        _moved(plan, I.wall_micros(clock)),
         lambda new: F.concat(
             _show(new, "'['EEE MMM dd HH:mm:ss"), _cut_fraction(new, fraction), _show(new, " yyyy']'")
         ),
@@ -192,11 +197,11 @@ def _ctime(hit: Column, plan: Affine) -> Column:
 
     comma = F.when(F.substring(hit, 1, 5).contains(", "), F.lit(", ")).otherwise(F.lit(" "))
     mail = let(
-        plan(clock(F.get(day_first, 2), F.get(day_first, 1), F.get(day_first, 0), F.get(day_first, 3))),
+        _moved(plan, clock(F.get(day_first, 2), F.get(day_first, 1), F.get(day_first, 0), F.get(day_first, 3))),
         lambda new: F.concat(_show(new, "EEE"), comma, _show(new, "d MMM yyyy HH:mm:ss"), zone_text),
     )
     plain = let(
-        plan(
+        _moved(plan, 
             clock(
                 F.get(month_first, 3), F.get(month_first, 0), F.get(month_first, 1),
                 F.get(month_first, 2),
@@ -213,7 +218,7 @@ def _dated(family: str, to_clock: Callable[[Column], Column], pattern: str):
     def move(hit: Column, plan: Affine) -> Column:
         clock = F.concat(to_clock(F.regexp_extract(hit, FAMILY_REGEX[family], 1)), F.lit(" "),
                          F.right(hit, F.lit(8)))
-        return let(plan(I.wall_micros(clock)), lambda new: _show(new, pattern))
+        return let(_moved(plan, I.wall_micros(clock)), lambda new: _show(new, pattern))
 
     return move
 
@@ -227,19 +232,19 @@ def _compact_date(d: Column) -> Column:
 def _epoch(hit: Column, plan: Affine) -> Column:
     digits = F.right(hit, F.lit(10))
     lead = F.substring(hit, F.lit(1), F.length(hit) - 10)
-    new = plan(digits.cast("bigint") * F.lit(I.SECOND))
+    new = _moved(plan, digits.cast("bigint") * F.lit(I.SECOND))
     return F.concat(lead, I.epoch_seconds_text(new))
 
 
 def _epoch_ms(hit: Column, plan: Affine) -> Column:
     digits = F.right(hit, F.lit(13))
     lead = F.substring(hit, F.lit(1), F.length(hit) - 13)
-    new = plan(digits.cast("bigint") * 1000)
+    new = _moved(plan, digits.cast("bigint") * 1000)
     return F.concat(lead, I.epoch_millis(new).cast("string"))
 
 
 def _dotnet(hit: Column, plan: Affine) -> Column:
-    new = plan(F.substring(hit, 7, 13).cast("bigint") * 1000)
+    new = _moved(plan, F.substring(hit, 7, 13).cast("bigint") * 1000)
     return F.concat(F.lit("/Date("), I.epoch_millis(new).cast("string"), F.lit(")/"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import instants as I
 from tidemark.functions.affine import Affine
 from tidemark.functions.bind import let, whole_div
-from tidemark.operators.extract import FieldReader, Found, instants
+from tidemark.operators.extract import INSTANTS, MATCHED, FieldReader, Found, instants
 from tidemark.operators.rawtext import families_by_sourcetype, shift_text
 from tidemark.plans.pattern_sets import Pattern
 from tidemark.plans.text_families import ALL_FAMILIES, DEFAULT_FAMILIES
@@ -139,13 +139,16 @@ def put_instants(
                 )
             return chosen.otherwise(v)
 
+        def with_key(m: Column, name: str, child) -> Column:
+            flag = any_moved(child) if isinstance(child, dict) else child.us.isNotNull()
+            added = F.create_map(F.lit(name), nothing)
+            return let(m, lambda x: F.when(
+                flag & ~F.map_contains_key(x, F.lit(name)), F.map_concat(x, added)
+            ).otherwise(x))
+
         def widen(m: Column) -> Column:
             for name, child in node.items():
-                flag = any_moved(child) if isinstance(child, dict) else child.us.isNotNull()
-                added = F.create_map(F.lit(name), nothing)
-                m = let(m, lambda x, flag=flag, name=name, added=added: F.when(
-                    flag & ~F.map_contains_key(x, F.lit(name)), F.map_concat(x, added)
-                ).otherwise(x))
+                m = with_key(m, name, child)
             return m
 
         return F.transform_values(widen(fields) if paths else fields, each)
@@ -175,8 +178,8 @@ def shift_records(
     Adds ``timestamps`` and ``new_timestamps``. The text in ``raw_field`` is moved too, for records
     with at least one instant, by the families of the ``sourcetype`` column.
     """
-    found = instants(read, patterns)
-    return shift_found(df, found, plan, data, raw_field, sourcetype, keep_encoding)
+    staged, found = instants(df, read, patterns)
+    return shift_found(staged, found, plan, data, raw_field, sourcetype, keep_encoding)
 
 
 def shift_found(
@@ -238,7 +241,10 @@ def shift_found(
                 ),
             ).otherwise(F.col("_put")),
         )
-        .drop("_put", "_raw_text", "_raw_new", *olds, *hits, *[f"_new_{i}" for i in range(len(found))])
+        .drop(
+            "_put", "_raw_text", "_raw_new", INSTANTS, MATCHED, *olds, *hits,
+            *[f"_new_{i}" for i in range(len(found))],
+        )
     )
 
 

@@ -17,7 +17,7 @@ from tidemark.operators.extract import (
 )
 from tidemark.operators.lookups import file_sourcetypes
 from tidemark.operators.writeback import shift_found
-from tidemark.plans.pattern_sets import GENERIC, SCHEMAS, Pattern, patterns_for
+from tidemark.plans.pattern_sets import SCHEMAS, Pattern, patterns_for
 from tidemark.plans.shift_plan import ShiftPlan, TimeSettings, plan_shift
 from tidemark.session import require_utc
 from tidemark.sinks.files import print_lines, run_dry, serialised, write_lines
@@ -127,11 +127,11 @@ class Replay:
             rows = rows.withColumn("sourcetype", F.lit(None).cast("string"))
         return rows
 
-    def _found(self, rows: DataFrame) -> list[Found]:
+    def _find(self, rows: DataFrame) -> tuple[DataFrame, list[Found]]:
         read = map_reader(F.col("data"))
         if self._schema == "raw" and not self._patterns and self._files is not None:
-            return instants_by_sourcetype(read, F.col("sourcetype"))
-        return instants(read, patterns_for(self._schema, None, self._patterns))
+            return instants_by_sourcetype(rows, read, F.col("sourcetype"))
+        return instants(rows, read, patterns_for(self._schema, None, self._patterns))
 
     def plan(self) -> ShiftPlan:
         """Fix the move; reads the input once unless the range is declared."""
@@ -143,12 +143,11 @@ class Replay:
         plain = self._files is None or self._schema != "raw" or self._patterns
         if self._format == "jsonl" and "raw" in rows.columns and plain:
             # only the fields that hold instants are parsed
-            patterns = patterns_for(self._schema, None, self._patterns) or GENERIC
+            patterns = patterns_for(self._schema, None, self._patterns)
             lines = json_fields(rows.select("raw"), "raw", patterns, "_fields")
-            found = instants(struct_reader(lines, "_fields"), patterns)
-            rows = lines
+            rows, found = instants(lines, struct_reader(lines, "_fields"), patterns)
         else:
-            found = self._found(rows)
+            rows, found = self._find(rows)
         return require_range(rows, [F.timestamp_micros(f.us) for f in found])
 
     def shifted(self, plan: ShiftPlan | None = None) -> DataFrame:
@@ -157,8 +156,9 @@ class Replay:
         if not self._shift:
             return rows
         move = (plan or self.plan()).affine()
+        staged, found = self._find(rows)
         return shift_found(
-            rows, self._found(rows), move, sourcetype="sourcetype", keep_encoding=self._keep_encoding
+            staged, found, move, sourcetype="sourcetype", keep_encoding=self._keep_encoding
         )
 
     def run(self, dry_run: bool = False) -> DataFrame:

@@ -34,8 +34,8 @@ def shift_json_lines(
 ) -> DataFrame:
     """Replay JSON lines: ``data``, ``timestamps``, ``new_timestamps`` and the new ``line``."""
     parsed = lines.withColumn("data", F.explode(F.array_compact(F.array(json_object(F.col("line"))))))
-    found = instants(map_reader(F.col("data")), patterns)
-    moved = shift_found(parsed, found, plan, sourcetype=sourcetype)
+    staged, found = instants(parsed, map_reader(F.col("data")), patterns)
+    moved = shift_found(staged, found, plan, sourcetype=sourcetype)
     return moved.withColumn("line", F.to_json("data"))
 
 
