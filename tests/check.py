@@ -62,7 +62,7 @@ def main(sf_dir: str, names: list[str]) -> int:
 
     spark = (
         SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").getOrCreate()
+        .config("spark.sql.shuffle.partitions", "8").config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.driver.memory", "8g").getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
     queries, oracles, con = entry.queries(), entry.oracle_sql(), connect(sf_dir)

@@ -269,41 +269,52 @@ _HIT = "struct<start:int,stop:int,new:string>"
 _NO_HITS = f"array<{_HIT}>"
 
 
-def _family_hits(text: Column, family: str, plan: Affine, wanted: Column | None) -> Column:
-    """Readable hits of one family in text order: start, stop (characters) and new text."""
-    regex = FAMILY_REGEX[family]
-    possible = None
+def _matches(text: Column, family: str, wanted: Column | None) -> Column:
+    """The matches of one family over the whole text, with what is needed to place them."""
+    possible = wanted
     for marker in FAMILY_MARKERS[family]:
         seen = text.contains(marker)
         possible = seen if possible is None else possible & seen
-    if wanted is not None:
-        possible = wanted & possible
-
-    def located(matches: Column) -> Column:
-        gaps = F.split(text, regex, -1)
-        # (position after the previous hit, hits so far)
-        start = F.struct(
-            F.lit(1).alias("at"), F.array().cast(_NO_HITS).alias("hits")
-        )
+    regex = F.lit(FAMILY_REGEX[family])
+    return F.struct(
+        F.lit(family).alias("family"), regex.alias("regex"),
+        F.when(possible, F.regexp_extract_all(text, regex, F.lit(0))).alias("texts"),
+    )
+
+
+def _located(text: Column, plan: Affine, families: Sequence[str]) -> Callable[[Column], Column]:
+    """Readable hits of one family in text order: start, stop (characters) and new text."""
+
+    def moved(family: Column, hit: Column) -> Column:
+        new = F.when(F.lit(False), F.lit(None).cast("string"))
+        for name in families:
+            new = new.when(family == name, _MOVE[name](hit, plan))
+        return new
+
+    def place(found: Column) -> Column:
+        gaps = F.split(text, found["regex"], -1)
+        start = F.struct(F.lit(1).alias("at"), F.array().cast(_NO_HITS).alias("hits"))
 
         def step(acc: Column, pair: Column) -> Column:
             begin = acc["at"] + F.length(pair["gap"])
             end = begin + F.length(pair["hit"])
             hit = F.struct(
-                begin.alias("start"), end.alias("stop"), _MOVE[family](pair["hit"], plan).alias("new")
+                begin.alias("start"), end.alias("stop"), moved(found["family"], pair["hit"]).alias("new")
             )
             return F.struct(
                 end.alias("at"), F.concat(acc["hits"], F.array(hit)).cast(_NO_HITS).alias("hits")
             )
 
         pairs = F.arrays_zip(
-            F.slice(gaps, F.lit(1), F.size(matches)).alias("gap"), matches.alias("hit")
+            F.slice(gaps, F.lit(1), F.size(found["texts"])).alias("gap"), found["texts"].alias("hit")
         )
         hits = F.aggregate(pairs, start, step, lambda acc: acc["hits"])
-        return F.when(F.size(matches) > 0, F.filter(hits, lambda h: h["new"].isNotNull()))
+        some = F.size(found["texts"]) > 0
+        return F.when(some, F.filter(hits, lambda h: h["new"].isNotNull())).otherwise(
+            F.array().cast(_NO_HITS)
+        )
 
-    found = let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), located)
-    return F.coalesce(F.when(possible, found), F.array().cast(_NO_HITS))
+    return place
 
 
 def _claim(hits: Column) -> Column:
@@ -352,26 +363,31 @@ def shift_text(
     if not families:
         return text
 
-    def whole(t: Column) -> Column:
-        if families_column is None:
-            hits = F.concat(*[_family_hits(t, f, plan, None) for f in families])
-            return let(let(hits, _claim), lambda c: _rebuild(t, c))
+    def finish(t: Column, found: Column) -> Column:
+        hits = F.flatten(F.transform(found, _located(t, plan, families)))
+        return let(let(hits, _claim), lambda c: _rebuild(t, c))
 
-        def per_row(wanted: Column) -> Column:
-            by_name = F.create_map(*[
+    def fixed(t: Column) -> Column:
+        return finish(t, F.array(*[_matches(t, f, None) for f in families]))
+
+    def by_row(wanted: Column) -> Callable[[Column], Column]:
+        def whole(t: Column) -> Column:
+            found = F.create_map(*[
                 x
                 for f in families
-                for x in (F.lit(f), _family_hits(t, f, plan, F.array_contains(wanted, f)))
+                for x in (F.lit(f), _matches(t, f, F.array_contains(wanted, f)))
             ])
-            hits = let(
-                by_name,
-                lambda found: F.flatten(F.transform(wanted, lambda f: F.try_element_at(found, f))),
+            return finish(
+                t, let(found, lambda m: F.transform(wanted, lambda f: F.try_element_at(m, f)))
             )
-            return let(let(hits, _claim), lambda c: _rebuild(t, c))
 
-        return F.when(F.size(families_column) > 0, let(families_column, per_row)).otherwise(t)
+        return whole
 
-    return let(text, whole)
+    if families_column is None:
+        return let(text, fixed)
+    return F.when(
+        F.size(families_column) > 0, let(families_column, lambda w: let(text, by_row(w)))
+    ).otherwise(text)
 
 
 def families_by_sourcetype(sourcetype: Column) -> Column:
