@@ -33,20 +33,25 @@ MANIFEST = (
 )
 
 
-def _yaml_to_json(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    try:
-        import yaml
-    except ImportError:
-        raise RuntimeError("YAML manifests need the yaml package; JSON manifests do not") from None
+def _yaml_converter():
+    """The YAML step of :func:`read_manifests`, built so that it travels to the executors by value."""
 
-    def convert(text: str) -> str | None:
+    def convert(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         try:
-            return json.dumps(yaml.safe_load(text), default=str)
-        except yaml.YAMLError:
-            return None
+            import yaml
+        except ImportError:
+            raise RuntimeError("YAML manifests need the yaml package; JSON manifests do not") from None
 
-    for frame in frames:
-        yield frame.assign(json=frame["value"].map(convert))
+        def to_json(text: str) -> str | None:
+            try:
+                return json.dumps(yaml.safe_load(text), default=str)
+            except yaml.YAMLError:
+                return None
+
+        for frame in frames:
+            yield frame.assign(json=frame["value"].map(to_json))
+
+    return convert
 
 
 def read_manifests(
@@ -71,7 +76,7 @@ def read_manifests(
     converted = native
     if not other.isEmpty():
         converted = native.unionByName(
-            other.mapInPandas(_yaml_to_json, "path string, size long, value string, json string")
+            other.mapInPandas(_yaml_converter(), "path string, size long, value string, json string")
         )
     parsed = converted.select("path", "size", F.from_json("json", MANIFEST).alias("manifest"))
     return parsed.filter(F.col("manifest.metadata.name").isNotNull())

@@ -77,40 +77,44 @@ def windows_event(line: Column) -> Column:
     return let(event, lambda e: F.when(e["System"].isNotNull(), flatten(e)))
 
 
-def _local(name: str) -> str:
-    return name.rsplit("}", 1)[-1]
-
-
-def _flat(element: ElementTree.Element) -> dict:
-    fields: dict = {_local(k): v for k, v in element.attrib.items()}
-    for child in element:
-        name, text = _local(child.tag), (child.text or "").strip()
-        if name in ("System", "EventData"):
-            for key, value in _flat(child).items():
-                fields.setdefault(key, value)
-        elif name == "Data" and "Name" in child.attrib:
-            fields[child.attrib["Name"]] = text
-        elif len(child):
-            fields[name] = _flat(child)
-        elif text:
-            fields[name] = text
-        elif child.attrib:
-            fields[name] = dict(child.attrib)
-            if name == "TimeCreated" and "SystemTime" in child.attrib:
-                fields["timestamp"] = child.attrib["SystemTime"]
-    return fields
-
-
-def _line_json(line: str | None) -> str | None:
-    if line is None:
-        return None
-    try:
-        return json.dumps(_flat(ElementTree.fromstring(line)), ensure_ascii=False)
-    except ElementTree.ParseError:
-        return None
-
-
-@F.pandas_udf("string")
-def xml_line_json(lines: pd.Series) -> pd.Series:
-    """Free-form XML line to the JSON text of its flattened fields; NULL stays NULL."""
-    return lines.map(_line_json, na_action="ignore").astype(object)
+def xml_line_json(line: Column) -> Column:
+    """Free-form XML line to the JSON text of its flattened fields; NULL where it is not XML.
+
+    Attributes and the children of ``System`` and ``EventData`` come to the top without
+    overwriting, named ``Data`` elements become fields, ``TimeCreated`` also gives ``timestamp``.
+    """
+
+    def local(name: str) -> str:
+        return name.rsplit("}", 1)[-1]
+
+    def flat(element) -> dict:
+        fields: dict = {local(k): v for k, v in element.attrib.items()}
+        for child in element:
+            name, text = local(child.tag), (child.text or "").strip()
+            if name in ("System", "EventData"):
+                for key, value in flat(child).items():
+                    fields.setdefault(key, value)
+            elif name == "Data" and "Name" in child.attrib:
+                fields[child.attrib["Name"]] = text
+            elif len(child):
+                fields[name] = flat(child)
+            elif text:
+                fields[name] = text
+            elif child.attrib:
+                fields[name] = dict(child.attrib)
+                if name == "TimeCreated" and "SystemTime" in child.attrib:
+                    fields["timestamp"] = child.attrib["SystemTime"]
+        return fields
+
+    def convert(text: str) -> str | None:
+        try:
+            return json.dumps(flat(ElementTree.fromstring(text)), ensure_ascii=False)
+        except ElementTree.ParseError:
+            return None
+
+    # defined here so that the function travels to the executors by value
+    @F.pandas_udf("string")
+    def to_json(lines: pd.Series) -> pd.Series:
+        return lines.map(convert, na_action="ignore").astype(object)
+
+    return to_json(line)

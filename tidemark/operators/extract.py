@@ -60,20 +60,37 @@ JSON_OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 _BAD = "_unreadable"
 
 
-def json_fields(df: DataFrame, raw: str, patterns: Iterable[Pattern], name: str) -> DataFrame:
+def json_fields(
+    df: DataFrame, raw: str, patterns: Iterable[Pattern]
+) -> tuple[DataFrame, FieldReader]:
     """Parse only the top-level fields that the patterns name out of JSON text, in one go.
 
-    A struct of variants in column ``name``; NULL where the text is not one JSON object. Used where
-    nothing but instants is needed, so that no other value is built.
+    The frame gets a helper column per field, and ``is_object`` (false where the text is not one
+    JSON object). Used where nothing but instants is needed: no other value is built.
     """
     tops = list(dict.fromkeys(p.field.split(".")[0] for p in patterns))
     schema = T.StructType(
         [T.StructField(t, T.VariantType()) for t in tops] + [T.StructField(_BAD, T.StringType())]
     )
     options = {**JSON_OPTIONS, "columnNameOfCorruptRecord": _BAD}
-    parsed = F.from_json(F.col(raw), schema, options)
-    staged = df.withColumn(name, F.when(looks_like_object(F.col(raw)), parsed))
-    return staged.withColumn(name, F.when(F.col(name)[_BAD].isNull(), F.col(name)))
+    parsed = F.when(looks_like_object(F.col(raw)), F.from_json(F.col(raw), schema, options))
+    # names are replaced by position: fields may differ in letter case only
+    helpers = [f"_field_{i}" for i in range(len(tops))]
+    staged = df.withColumn("_parsed", parsed)
+    flat = staged.select(*df.columns, F.col("_parsed").isNotNull().alias("_known"), "_parsed.*")
+    flat = flat.toDF(*df.columns, "_known", *helpers, _BAD)
+    good = F.col("_known") & F.col(_BAD).isNull()
+    flat = flat.withColumn("is_object", good).withColumns(
+        {h: F.when(F.col("is_object"), F.col(h)) for h in helpers}
+    )
+    places = dict(zip(tops, helpers))
+
+    def read(field: str) -> Value:
+        top, *rest = field.split(".")
+        v = F.col(places[top])
+        return variant_value(F.try_variant_get(v, json_path(rest), "variant") if rest else v)
+
+    return flat.drop("_known", _BAD), read
 
 
 def looks_like_object(raw: Column) -> Column:

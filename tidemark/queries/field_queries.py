@@ -200,8 +200,8 @@ SELECT event_id, make_timestamp({_TIME_SQL}) AS time, make_timestamp({MILLI_SQL}
        2::INT AS fields FROM events WHERE event_id % 97 <> 96""")
 def extract_fields(spark, sf_dir):
     """Instants by an ordered pattern list, parsed from the named fields only."""
-    rows = X.json_fields(json_events(spark, sf_dir), "raw", _PATTERNS, "_fields")
-    found = X.extract(rows.filter("_fields IS NOT NULL"), X.struct_reader(rows, "_fields"), _PATTERNS)
+    rows, read = X.json_fields(json_events(spark, sf_dir), "raw", _PATTERNS)
+    found = X.extract(rows.filter("is_object"), read, _PATTERNS)
     stamps = F.col("timestamps")
     return found.select(
         "event_id", stamps["_time"].alias("time"), stamps["meta.created"].alias("created"),
@@ -447,15 +447,16 @@ def records_as_lines(spark, sf_dir):
     return rows.select("event_id", as_line(F.col("data"), F.col("raw")).alias("line"))
 
 
-@query("json_array_per_user", """
-SELECT user_id, '[' || string_agg('{"id":' || event_id || '}', ',' ORDER BY event_id) || ']' AS content
-FROM events GROUP BY user_id""")
-def json_array_per_user(spark, sf_dir):
-    """Batch JSON: one array per file (here: user)."""
+@query("json_array_per_file", """
+SELECT event_id // 100 AS file, '[' || string_agg('{"id":' || event_id || '}', ',' ORDER BY event_id) || ']' AS content
+FROM events GROUP BY event_id // 100""")
+def json_arrays(spark, sf_dir):
+    """Batch JSON: one array per file (here: a hundred events)."""
     rows = events(spark, sf_dir).select(
-        "user_id", "event_id", F.to_json(F.struct(F.col("event_id").alias("id"))).alias("r")
+        F.floor(F.col("event_id") / 100).alias("file"), "event_id",
+        F.to_json(F.struct(F.col("event_id").alias("id"))).alias("r"),
     )
-    return json_array_per_file(rows, "user_id", "event_id", "r")
+    return json_array_per_file(rows, "file", "event_id", "r")
 
 
 @query("output_paths", r"""

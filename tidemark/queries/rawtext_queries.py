@@ -200,13 +200,14 @@ def raw_text_documents(spark, sf_dir):
 
 
 @query("raw_text_multi_line", f"""
-WITH {BOUNDS_SQL}, l AS (SELECT user_id, event_id, {_moved_line('syslog')} || ' id ' || event_id AS line FROM events, b)
-SELECT user_id, string_agg(line, chr(10) ORDER BY event_id) AS text FROM l GROUP BY user_id""")
+WITH {BOUNDS_SQL}, l AS (SELECT event_id, {_moved_line('syslog')} || ' id ' || event_id AS line FROM events, b)
+SELECT event_id // 50 AS part, string_agg(line, chr(10) ORDER BY event_id) AS text FROM l GROUP BY event_id // 50""")
 def raw_text_multi_line(spark, sf_dir):
-    """A line-start notation is found at the start of every line of a text."""
+    """A line-start notation is found at the start of every line of a text (here: of fifty lines)."""
     line = F.concat(_line("syslog"), F.lit(" id "), F.col("event_id"))
-    rows = events(spark, sf_dir).select("user_id", F.struct("event_id", line.alias("line")).alias("l"))
-    texts = rows.groupBy("user_id").agg(
+    part = F.floor(F.col("event_id") / 50).alias("part")
+    rows = events(spark, sf_dir).select(part, F.struct("event_id", line.alias("line")).alias("l"))
+    texts = rows.groupBy("part").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("text")
     )
-    return texts.select("user_id", shift_text(F.col("text"), move(spark, sf_dir), ("syslog",)).alias("text"))
+    return texts.select("part", shift_text(F.col("text"), move(spark, sf_dir), ("syslog",)).alias("text"))

@@ -13,7 +13,7 @@ from tidemark.functions.timeexpr import micros
 from tidemark.operators import stats
 from tidemark.operators.bounds import require_range
 from tidemark.operators.extract import (
-    Found, instants, instants_by_sourcetype, json_fields, map_reader, struct_reader,
+    Found, instants, instants_by_sourcetype, json_fields, map_reader,
 )
 from tidemark.operators.lookups import file_sourcetypes
 from tidemark.operators.writeback import shift_found
@@ -144,8 +144,7 @@ class Replay:
         if self._format == "jsonl" and "raw" in rows.columns and plain:
             # only the fields that hold instants are parsed
             patterns = patterns_for(self._schema, None, self._patterns)
-            lines = json_fields(rows.select("raw"), "raw", patterns, "_fields")
-            rows, found = instants(lines, struct_reader(lines, "_fields"), patterns)
+            rows, found = instants(*json_fields(rows.select("raw"), "raw", patterns), patterns)
         else:
             rows, found = self._find(rows)
         return require_range(rows, [F.timestamp_micros(f.us) for f in found])

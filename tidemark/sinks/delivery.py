@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import gzip
+import sys
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from urllib import error, parse, request
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+# the functions below run on executors, which need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Answers worth another attempt.
 RETRY_STATUS = (429, 500, 502, 503, 504)
 

@@ -201,15 +201,16 @@ def read_csv(
     """
     reader = _reader(spark, pattern, lenient).options(
         header=True, inferSchema=False, enforceSchema=False, multiLine=multi_line,
-        mode="PERMISSIVE", escape='"', maxCharsPerColumn=-1, nullValue="\u0000", emptyValue="",
-        encoding="UTF-8",
+        mode="PERMISSIVE", escape='"', maxCharsPerColumn=-1, encoding="UTF-8",
     )
     rows = reader.csv(_paths(paths))
     names = rows.columns
+    # Spark reads an empty value as NULL
+    values = [F.coalesce(_column(n), F.lit("")) for n in names]
     data = F.map_from_arrays(
-        F.array(*[F.lit(n) for n in names]), F.array(*[_column(n).cast("variant") for n in names])
+        F.array(*[F.lit(n) for n in names]), F.array(*[v.cast("variant") for v in values])
     )
-    rows = rows.select(*_FILE, data.alias("data"), F.to_json(F.struct(*map(_column, names))).alias("_raw"))
+    rows = rows.select(*_FILE, data.alias("data")).withColumn("_raw", F.to_json("data"))
     return _records(rows, F.lit("csv"), F.col("_raw"))
 
 
