@@ -49,15 +49,17 @@ def wall_micros(text: Column) -> Column:
 
 def offset_micros(zone: Column) -> Column:
     """``Z``, ``+HH``, ``+HHMM`` or ``+HH:MM`` as microseconds; empty or NULL is UTC."""
-    digits = F.rpad(F.regexp_replace(zone, "[^0-9]", ""), 4, "0")
-    hours = F.substring(digits, 1, 2).try_cast("bigint")
-    minutes = F.substring(digits, 3, 2).try_cast("bigint")
-    size = (hours * 60 + minutes) * F.lit(60 * SECOND)
-    return (
-        F.when(zone.isNull() | zone.isin("", "Z", "z"), F.lit(0).cast("bigint"))
-        .when((hours > 23) | (minutes > 59), F.lit(None).cast("bigint"))
-        .when(zone.startswith("-"), -size)
-        .otherwise(size)
+
+    def size(digits: Column) -> Column:
+        hours = F.left(digits, F.lit(2)).try_cast("bigint")
+        minutes = F.right(digits, F.lit(2)).try_cast("bigint")
+        return F.when(
+            (hours <= 23) & (minutes <= 59), (hours * 60 + minutes) * F.lit(60 * SECOND)
+        )
+
+    digits = F.rpad(F.translate(zone, "+-:", ""), 4, "0")
+    return F.when(zone.isNull() | zone.isin("", "Z", "z"), F.lit(0).cast("bigint")).otherwise(
+        let(digits, size) * F.when(zone.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
     )
 
 
@@ -168,6 +170,8 @@ def date_pattern(strftime: str, for_parsing: bool = False) -> str:
             continue
         if char not in _DIRECTIVES:
             raise ValueError(f"unsupported directive %{char} in {strftime!r}")
+        if for_parsing and char in "aA":
+            continue
         fixed, free = _DIRECTIVES[char]
         neighbours = tokens[max(pos - 1, 0):pos] + tokens[pos + 1:pos + 2]
         tight = any(k and c in _NUMERIC for k, c in neighbours)
@@ -176,8 +180,14 @@ def date_pattern(strftime: str, for_parsing: bool = False) -> str:
     return "".join(out)
 
 
+_DAY_NAME = r"(?i)\b(?:mon|tue(?:s)?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\b"
+
+
 def strptime_micros(text: Column, strftime: str) -> Column:
+    """Text to an instant by a strftime pattern; names of days are passed over."""
     pattern = date_pattern(strftime, for_parsing=True)
+    if "%a" in strftime or "%A" in strftime:
+        text = F.regexp_replace(text, _DAY_NAME, "")
     squeezed = F.regexp_replace(text, r"\s+", " ")
     return let(F.unix_micros(F.try_to_timestamp(squeezed, F.lit(pattern))), in_calendar)
 

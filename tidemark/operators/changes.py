@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -86,6 +88,44 @@ def apply_changes(text: Column, changes: Column) -> Column:
     )
 
 
+def apply_change_list(text: Column, changes: list[tuple[str, str]]) -> Column:
+    """:func:`apply_changes` for a list known when the query is built, in time linear in the text.
+
+    All old values are matched by one expression. Where it finds as many places as the values have
+    one by one, no two places touch and the text is put together from its pieces. Any other text
+    goes through :func:`apply_changes`.
+    """
+    first = {}
+    for old, new in changes:
+        if old:
+            first.setdefault(old, new)
+    simple = not any(old[:n] == old[-n:] for old in first for n in range(1, len(old)))
+    slow = apply_changes(text, change_list(changes))
+    if not first or not simple:
+        return slow
+    either = "|".join(re.escape(old) for old in first)
+    pairs = [F.lit(x) for pair in first.items() for x in pair]
+
+    def put(t: Column) -> Column:
+        hits = F.regexp_extract_all(t, F.lit(either), F.lit(0))
+        alone = F.lit(0)
+        for old in first:
+            gone = F.length(t) - F.length(F.replace(t, F.lit(old), F.lit("")))
+            alone = alone + gone / F.lit(len(old))
+
+        def joined(found: Column) -> Column:
+            news = F.transform(found, lambda h: F.try_element_at(F.create_map(*pairs), h))
+            parts = F.transform(
+                F.arrays_zip(F.split(t, either, -1).alias("gap"), news.alias("new")),
+                lambda z: F.concat(z["gap"], F.coalesce(z["new"], F.lit(""))),
+            )
+            return F.when(F.size(found) == alone, F.array_join(parts, "")).otherwise(slow)
+
+        return let(hits, joined)
+
+    return let(text, put)
+
+
 def change_rows(df: DataFrame, key: str, text: str, changes: Column) -> DataFrame:
     """One row per place of a change: ``key, start, seq, stop, old, new``."""
     return df.select(key, F.explode(spans(F.col(text), changes)).alias("s")).select(key, "s.*")

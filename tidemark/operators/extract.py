@@ -160,7 +160,12 @@ def _read_candidate(formats: Sequence[str]) -> Callable[[Column], Column]:
                 lambda t: let(F.coalesce(e["number"], inner.number), lambda n: by_format(e, t, n)),
             )
 
-        return F.when(e.isNotNull(), let(e["variant"], of_variant))
+        held = F.coalesce(
+            e["variant"].isNotNull() | e["text"].isNotNull()
+            | e["number"].isNotNull() | e["instant"].isNotNull(),
+            F.lit(False),
+        )
+        return F.when(held, let(e["variant"], of_variant))
 
     return read
 

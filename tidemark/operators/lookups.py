@@ -97,22 +97,22 @@ def dependency_closure(edges: DataFrame, roots: DataFrame | None = None) -> Data
     frontier = start.distinct().select(
         F.col("dataset").alias("root"), F.col("dataset").alias("dataset")
     )
-    found = cut_lineage(frontier.withColumn("depth", F.lit(0)))
-    frontier, depth = found.select("root", "dataset"), 0
+    levels = [cut_lineage(frontier.withColumn("depth", F.lit(0)))]
     while True:
-        depth += 1
+        seen = levels[0]
+        for level in levels[1:]:
+            seen = seen.unionByName(level)
         step = (
-            frontier.join(edges, "dataset")
+            levels[-1].select("root", "dataset").join(edges, "dataset")
             .select("root", F.col("dependency").alias("dataset"))
             .distinct()
-            .join(found, ["root", "dataset"], "left_anti")
-            .withColumn("depth", F.lit(depth))
+            .join(seen, ["root", "dataset"], "left_anti")
+            .withColumn("depth", F.lit(len(levels)))
         )
         step = cut_lineage(step)
         if step.isEmpty():
-            return found
-        found = cut_lineage(found.unionByName(step))
-        frontier = step.select("root", "dataset")
+            return seen
+        levels.append(step)
 
 
 def dependency_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def dependency_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
             F.array("dataset").alias("path"), F.array().cast("array<int>").alias("places"),
         )
     )
-    every = level
+    levels = [level]
     while True:
         step = level.join(edges, "dataset").filter(~F.array_contains("path", F.col("dependency")))
         level = cut_lineage(
@@ -141,7 +141,10 @@ def dependency_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
         )
         if level.isEmpty():
             break
-        every = cut_lineage(every.unionByName(level))
+        levels.append(level)
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
     last = F.array(F.lit(2**31 - 1))
     return every.select("root", "dataset", F.concat("places", last).alias("priority"))
 

@@ -1,10 +1,11 @@
 """Moving the timestamps inside raw text, each in the notation it was written in.
 
-For every family the matches are taken over the whole text, as an array of hits with their
-position and new text. Hits are claimed in order of family priority; one that overlaps a claimed
-hit is skipped, and one that cannot be read claims nothing. The claimed hits are then put back.
-All of it is one Column expression evaluated in a single pass over the rows: no shuffle, no Python.
-Digits and blanks in the expressions are the ASCII ones.
+For every family of notations the matches are marked over the whole text. When only one family has
+matches, as in most lines, the text is put together again from its pieces. Otherwise each match
+becomes a hit with its position: hits are claimed in order of family priority, one that overlaps a
+claimed hit is skipped, and one that cannot be read claims nothing. All of it is one Column
+expression evaluated in a single pass over the rows: no shuffle, no Python. Digits and blanks in the
+expressions are the ASCII ones.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from tidemark.functions.affine import Affine
 from tidemark.functions.bind import let
 from tidemark.plans.text_families import (
     ALL_FAMILIES,
+    CLOCK_FAMILIES,
     DEFAULT_FAMILIES,
     FAMILY_MARKERS,
     FAMILY_REGEX,
@@ -36,15 +38,14 @@ def _show(us: Column, pattern: str) -> Column:
     return F.date_format(F.timestamp_micros(us), pattern)
 
 
-def _group(text: Column, family: str, i: int) -> Column:
-    return F.regexp_extract(text, FAMILY_REGEX[family], i)
-
-
 def _month_number(name: Column) -> Column:
     """``Jan`` .. ``Dec`` as two digits; NULL for any other word."""
-    place = F.instr(F.lit("JanFebMarAprMayJunJulAugSepOctNovDec"), name)
-    known = (F.length(name) == 3) & (place > 0) & (F.pmod(place, F.lit(3)) == 1)
-    return F.when(known, F.lpad(((place + 2) / 3).cast("int").cast("string"), 2, "0"))
+
+    def number(place: Column) -> Column:
+        known = (place > 0) & (F.pmod(place, F.lit(3)) == 1)
+        return F.when(known, F.lpad(((place + 2) / 3).cast("int").cast("string"), 2, "0"))
+
+    return let(F.instr(F.lit("JanFebMarAprMayJunJulAugSepOctNovDec"), name), number)
 
 
 def _two(digits: Column) -> Column:
@@ -55,6 +56,10 @@ def _day_padded(us: Column) -> Column:
     return F.lpad(_show(us, "d"), 2, " ")
 
 
+def _from(text: Column, start: int) -> Column:
+    return F.substring(text, F.lit(start), F.length(text))
+
+
 def _cut_fraction(us: Column, digits: Column) -> Column:
     """``.fff`` with as many digits as before, at most six; nothing where there was none."""
     kept = F.substring(I.fraction_digits(us), F.lit(1), F.length(digits))
@@ -66,158 +71,168 @@ def _six(digits: Column) -> Column:
 
 
 # Each function takes the matched text, the map and the base, and returns the new text,
-# or NULL when the match is not a real instant.
+# or NULL when the match is not a real instant. The match fixes the layout, so its parts are taken
+# by position.
 
 
 def _iso8601(hit: Column, plan: Affine) -> Column:
-    zone = F.regexp_extract(hit, r"(Z|[+-]\d{2}:?\d{2})\z", 1)
-    fraction = F.regexp_extract(hit, r"\.(\d+)", 1)
-    clock = F.substring(hit, 1, 19)
-    next_day = clock.endswith("T24:00:00") & F.regexp_replace(fraction, "0", "").isin("")
-    wall = F.when(
-        next_day, I.wall_micros(F.concat(F.substring(hit, 1, 11), F.lit("00:00:00"))) + F.lit(I.DAY)
-    ).otherwise(I.wall_micros(F.concat(clock, F.lit("."), _six(fraction))))
-
-    def put(new: Column) -> Column:
-        size = F.length(fraction)
-        digits = F.when(
-            size <= 6, F.substring(I.fraction_digits(new), F.lit(1), size)
-        ).otherwise(F.concat(I.fraction_digits(new), F.repeat(F.lit("0"), size - 6)))
-        unsigned_zero = F.when(
-            I.offset_micros(zone) == 0, F.regexp_replace(zone, "^-", "+")
-        ).otherwise(zone)
-        return F.concat(
-            _show(new, "yyyy-MM-dd'T'HH:mm:ss"),
-            F.when(fraction == "", F.lit("")).otherwise(F.concat(F.lit("."), digits)),
-            unsigned_zero,
+    def with_zone(zone_at: Column) -> Column:
+        zone = F.when(zone_at > 0, F.substring(hit, zone_at + 19, F.length(hit))).otherwise("")
+        digits = F.when(zone_at > 0, zone_at - 2).otherwise(F.length(hit) - 20)
+        fraction = F.when(digits > 0, F.substring(hit, F.lit(21), digits)).otherwise("")
+        return let(
+            zone,
+            lambda z: let(
+                fraction,
+                lambda f: let(I.offset_micros(z), lambda offset: with_parts(z, f, offset)),
+            ),
         )
 
-    moved = _moved(plan, wall - I.offset_micros(zone)) + I.offset_micros(zone)
-    return let(I.in_calendar(moved), put)
+    def with_parts(zone: Column, fraction: Column, offset: Column) -> Column:
+        clock = F.left(hit, F.lit(19))
+        wall = F.when(
+            clock.endswith("T24:00:00") & ~fraction.rlike("[1-9]"),
+            I.wall_micros(F.concat(F.left(hit, F.lit(11)), F.lit("00:00:00"))) + F.lit(I.DAY),
+        ).otherwise(I.wall_micros(F.concat(clock, F.lit("."), _six(fraction))))
+
+        def put(new: Column) -> Column:
+            size = F.length(fraction)
+            digits = F.rpad(F.substring(I.fraction_digits(new), F.lit(1), size), size, F.lit("0"))
+            return F.concat(
+                _show(new, "yyyy-MM-dd'T'HH:mm:ss"),
+                F.when(fraction == "", F.lit("")).otherwise(F.concat(F.lit("."), digits)),
+                F.when((offset == 0) & zone.startswith("-"), F.translate(zone, "-", "+")).otherwise(zone),
+            )
+
+        return let(let(_moved(plan, wall - offset) + offset, I.in_calendar), put)
+
+    rest = _from(hit, 20)
+    signs = F.translate(rest, "-Z", "++")
+    return let(F.instr(signs, "+"), with_zone)
 
 
 def _fortigate(hit: Column, plan: Affine) -> Column:
-    clock = F.concat(_group(hit, "fortigate", 1), F.lit(" "), _group(hit, "fortigate", 2))
+    clock = F.concat(F.substring(hit, 6, 10), F.lit(" "), F.right(hit, F.lit(8)))
     return let(
         _moved(plan, I.wall_micros(clock)), lambda new: _show(new, "'date='yyyy-MM-dd' time='HH:mm:ss")
     )
 
 
 def _audit(hit: Column, plan: Affine) -> Column:
-    seconds = _group(hit, "audit", 1).cast("bigint")
-    us = seconds * F.lit(I.SECOND) + _group(hit, "audit", 2).cast("bigint") * 1000
-    serial = F.regexp_extract(hit, r":(\d+\))", 0)
+    seconds = F.substring(hit, 7, 10).try_cast("bigint")
+    us = seconds * F.lit(I.SECOND) + F.substring(hit, 18, 3).try_cast("bigint") * 1000
     return let(
         _moved(plan, us),
         lambda new: F.concat(
             F.lit("audit("), I.epoch_seconds_text(new), F.lit("."),
-            F.substring(I.fraction_digits(new), 1, 3), serial,
+            F.substring(I.fraction_digits(new), 1, 3), _from(hit, 21),
         ),
     )
 
 
 def _syslog(hit: Column, plan: Affine) -> Column:
-    year = _show(plan.base, "yyyy")
+    day = F.trim(F.translate(F.substring(hit, F.lit(4), F.length(hit) - 12), "\t\n\x0b\f\r", "     "))
     clock = F.concat(
-        year, F.lit("-"), _month_number(_group(hit, "syslog", 1)), F.lit("-"),
-        _two(_group(hit, "syslog", 2)), F.lit(" "), _group(hit, "syslog", 3),
+        _show(plan.base, "yyyy-"), _month_number(F.left(hit, F.lit(3))), F.lit("-"),
+        _two(day), F.lit(" "), F.right(hit, F.lit(8)),
     )
     return let(
         _moved(plan, I.wall_micros(clock)),
-        lambda new: F.concat(
-            _show(new, "MMM"), F.lit(" "), _day_padded(new), F.lit(" "), _show(new, "HH:mm:ss")
-        ),
+        lambda new: F.concat(_show(new, "MMM "), _day_padded(new), _show(new, " HH:mm:ss")),
     )
 
 
 def _us_date(hit: Column, plan: Affine) -> Column:
-    date, half = _group(hit, "us_date", 1), F.trim(F.right(hit, F.lit(2)))
-    time = F.substring(_group(hit, "us_date", 2), 1, 8)
-    fraction = F.regexp_extract(hit, r"\.(\d+)", 1)
-    twelve = half.isin("AM", "PM")
-    hour = F.substring(time, 1, 2)
-    day_hour = (
-        F.when((half == "AM") & (hour == "12"), F.lit("00"))
-        .when((half == "PM") & (hour < "12"), (hour.cast("int") + 12).cast("string"))
-        .otherwise(hour)
-    )
-    clock = F.concat(
-        F.substring(date, 7, 4), F.lit("-"), F.substring(date, 1, 2), F.lit("-"),
-        F.substring(date, 4, 2), F.lit(" "), day_hour, F.substring(time, 3, 6), F.lit("."),
-        _six(fraction),
-    )
+    def with_parts(p: Column) -> Column:
+        date, time, half = F.get(p, 0), F.get(p, 1), F.get(p, 2)
+        hour, fraction = F.left(time, F.lit(2)), _from(time, 10)
+        day_hour = (
+            F.when((half == "AM") & (hour == "12"), F.lit("00"))
+            .when((half == "PM") & (hour < "12"), (hour.cast("int") + 12).cast("string"))
+            .otherwise(hour)
+        )
+        clock = F.concat(
+            F.substring(date, 7, 4), F.lit("-"), F.substring(date, 1, 2), F.lit("-"),
+            F.substring(date, 4, 2), F.lit(" "), day_hour, F.substring(time, 3, 6), F.lit("."),
+            _six(fraction),
+        )
+
+        def put(new: Column) -> Column:
+            tail = _cut_fraction(new, fraction)
+            return F.when(
+                half.isNotNull(), F.concat(_show(new, "MM/dd/yyyy hh:mm:ss"), tail, _show(new, " a"))
+            ).otherwise(F.concat(_show(new, "MM/dd/yyyy HH:mm:ss"), tail))
 
-    def put(new: Column) -> Column:
-        tail = _cut_fraction(new, fraction)
-        return F.when(
-            twelve, F.concat(_show(new, "MM/dd/yyyy hh:mm:ss"), tail, _show(new, " a"))
-        ).otherwise(F.concat(_show(new, "MM/dd/yyyy HH:mm:ss"), tail))
+        return let(_moved(plan, I.wall_micros(clock)), put)
 
-    return let(_moved(plan, I.wall_micros(clock)), put)
+    return let(F.split(hit, r"\s+"), with_parts)
 
 
 def _clf(hit: Column, plan: Affine) -> Column:
-    date, zone = _group(hit, "clf", 1), _group(hit, "clf", 2)
+    zone = F.left(F.right(hit, F.lit(6)), F.lit(5))
     clock = F.concat(
-        F.substring(date, 8, 4), F.lit("-"), _month_number(F.substring(date, 4, 3)), F.lit("-"),
-        F.substring(date, 1, 2), F.lit(" "), F.substring(date, 13, 8),
-    )
-    offset = I.offset_micros(zone)
-    return let(
-        I.in_calendar(_moved(plan, I.wall_micros(clock) - offset) + offset),
-        lambda new: F.concat(_show(new, "'['dd/MMM/yyyy:HH:mm:ss' '"), zone, F.lit("]")),
+        F.substring(hit, 9, 4), F.lit("-"), _month_number(F.substring(hit, 5, 3)), F.lit("-"),
+        F.substring(hit, 2, 2), F.lit(" "), F.substring(hit, 14, 8),
     )
 
+    def with_offset(offset: Column) -> Column:
+        return let(
+            let(_moved(plan, I.wall_micros(clock) - offset) + offset, I.in_calendar),
+            lambda new: F.concat(_show(new, "'['dd/MMM/yyyy:HH:mm:ss' '"), zone, F.lit("]")),
+        )
+
+    return let(I.offset_micros(zone), with_offset)
+
 
 def _apache_error(hit: Column, plan: Affine) -> Column:
-    fraction = _group(hit, "apache_error", 4)
-    clock = F.concat(
-        _group(hit, "apache_error", 5), F.lit("-"), _month_number(_group(hit, "apache_error", 1)),
-        F.lit("-"), _two(_group(hit, "apache_error", 2)), F.lit(" "),
-        _group(hit, "apache_error", 3), F.lit("."), _six(fraction),
-    )
-    return let(
-        _moved(plan, I.wall_micros(clock)),
-        lambda new: F.concat(
-            _show(new, "'['EEE MMM dd HH:mm:ss"), _cut_fraction(new, fraction), _show(new, " yyyy']'")
-        ),
-    )
+    def with_parts(p: Column) -> Column:
+        time = F.get(p, 3)
+        fraction = _from(time, 10)
+        clock = F.concat(
+            F.left(F.get(p, 4), F.lit(4)), F.lit("-"), _month_number(F.get(p, 1)), F.lit("-"),
+            _two(F.get(p, 2)), F.lit(" "), F.left(time, F.lit(8)), F.lit("."), _six(fraction),
+        )
+        return let(
+            _moved(plan, I.wall_micros(clock)),
+            lambda new: F.concat(
+                _show(new, "'['EEE MMM dd HH:mm:ss"), _cut_fraction(new, fraction),
+                _show(new, " yyyy']'"),
+            ),
+        )
+
+    return let(F.split(hit, r"\s+"), with_parts)
 
 
 def _ctime(hit: Column, plan: Affine) -> Column:
-    zone = F.regexp_extract(hit, r"\s+([A-Z]{1,5})\z", 1)
-    zone_text = F.when(zone == "", F.lit("")).otherwise(F.concat(F.lit(" "), zone))
-    day_first = F.split(_group(hit, "ctime", 1), r"\s+")
-    month_first = F.split(_group(hit, "ctime", 2), r"\s+")
-
-    def clock(year: Column, month: Column, day: Column, time: Column) -> Column:
-        return I.wall_micros(
-            F.concat(year, F.lit("-"), _month_number(month), F.lit("-"), _two(day), F.lit(" "), time)
+    def with_parts(p: Column) -> Column:
+        zone = F.get(p, 5)
+        zone_text = F.when(zone.isNull(), F.lit("")).otherwise(F.concat(F.lit(" "), zone))
+        day_first = F.get(p, 1) <= "99"
+
+        def token(first: int, otherwise: int) -> Column:
+            return F.when(day_first, F.get(p, first)).otherwise(F.get(p, otherwise))
+
+        clock = F.concat(
+            token(3, 4), F.lit("-"), _month_number(token(2, 1)), F.lit("-"), _two(token(1, 2)),
+            F.lit(" "), token(4, 3),
         )
+        comma = F.when(F.left(hit, F.lit(5)).contains(", "), F.lit(", ")).otherwise(F.lit(" "))
+
+        def put(new: Column) -> Column:
+            mail = F.concat(_show(new, "EEE"), comma, _show(new, "d MMM yyyy HH:mm:ss"))
+            plain = F.concat(_show(new, "EEE MMM "), _day_padded(new), _show(new, " HH:mm:ss yyyy"))
+            return F.concat(F.when(day_first, mail).otherwise(plain), zone_text)
+
+        return let(_moved(plan, I.wall_micros(clock)), put)
+
+    return let(F.split(hit, r"\s+"), with_parts)
 
-    comma = F.when(F.substring(hit, 1, 5).contains(", "), F.lit(", ")).otherwise(F.lit(" "))
-    mail = let(
-        _moved(plan, clock(F.get(day_first, 2), F.get(day_first, 1), F.get(day_first, 0), F.get(day_first, 3))),
-        lambda new: F.concat(_show(new, "EEE"), comma, _show(new, "d MMM yyyy HH:mm:ss"), zone_text),
-    )
-    plain = let(
-        _moved(plan, 
-            clock(
-                F.get(month_first, 3), F.get(month_first, 0), F.get(month_first, 1),
-                F.get(month_first, 2),
-            )
-        ),
-        lambda new: F.concat(
-            _show(new, "EEE MMM "), _day_padded(new), _show(new, " HH:mm:ss yyyy"), zone_text
-        ),
-    )
-    return F.when(_group(hit, "ctime", 1) != "", mail).otherwise(plain)
 
+def _dated(size: int, to_clock: Callable[[Column], Column], pattern: str):
+    """A date of ``size`` characters, blanks, and a time of day."""
 
-def _dated(family: str, to_clock: Callable[[Column], Column], pattern: str):
     def move(hit: Column, plan: Affine) -> Column:
-        clock = F.concat(to_clock(F.regexp_extract(hit, FAMILY_REGEX[family], 1)), F.lit(" "),
-                         F.right(hit, F.lit(8)))
+        clock = F.concat(to_clock(F.left(hit, F.lit(size))), F.lit(" "), F.right(hit, F.lit(8)))
         return let(_moved(plan, I.wall_micros(clock)), lambda new: _show(new, pattern))
 
     return move
@@ -229,23 +244,24 @@ def _compact_date(d: Column) -> Column:
     )
 
 
-def _epoch(hit: Column, plan: Affine) -> Column:
-    digits = F.right(hit, F.lit(10))
-    lead = F.substring(hit, F.lit(1), F.length(hit) - 10)
-    new = _moved(plan, digits.cast("bigint") * F.lit(I.SECOND))
-    return F.concat(lead, I.epoch_seconds_text(new))
+def _number(size: int, micros_each: int, show: Callable[[Column], Column]):
+    """An epoch number of ``size`` digits at the end of the match."""
+
+    def move(hit: Column, plan: Affine) -> Column:
+        us = F.right(hit, F.lit(size)).try_cast("bigint") * F.lit(micros_each)
+        lead = F.substring(hit, F.lit(1), F.length(hit) - size)
+        return F.concat(lead, show(_moved(plan, us)))
+
+    return move
 
 
-def _epoch_ms(hit: Column, plan: Affine) -> Column:
-    digits = F.right(hit, F.lit(13))
-    lead = F.substring(hit, F.lit(1), F.length(hit) - 13)
-    new = _moved(plan, digits.cast("bigint") * 1000)
-    return F.concat(lead, I.epoch_millis(new).cast("string"))
+def _millis_text(us: Column) -> Column:
+    return I.epoch_millis(us).cast("string")
 
 
 def _dotnet(hit: Column, plan: Affine) -> Column:
-    new = _moved(plan, F.substring(hit, 7, 13).cast("bigint") * 1000)
-    return F.concat(F.lit("/Date("), I.epoch_millis(new).cast("string"), F.lit(")/"))
+    new = _moved(plan, F.substring(hit, 7, 13).try_cast("bigint") * 1000)
+    return F.concat(F.lit("/Date("), _millis_text(new), F.lit(")/"))
 
 
 _MOVE: dict[str, Callable[[Column, Affine], Column]] = {
@@ -257,33 +273,43 @@ _MOVE: dict[str, Callable[[Column, Affine], Column]] = {
     "clf": _clf,
     "apache_error": _apache_error,
     "ctime": _ctime,
-    "panos": _dated("panos", lambda d: F.replace(d, F.lit("/"), F.lit("-")), "yyyy/MM/dd HH:mm:ss"),
-    "datetime": _dated("datetime", lambda d: d, "yyyy-MM-dd HH:mm:ss"),
-    "compact": _dated("compact", _compact_date, "yyyyMMdd HH:mm:ss"),
-    "epoch_ms": _epoch_ms,
+    "panos": _dated(10, lambda d: F.translate(d, "/", "-"), "yyyy/MM/dd HH:mm:ss"),
+    "datetime": _dated(10, lambda d: d, "yyyy-MM-dd HH:mm:ss"),
+    "compact": _dated(8, _compact_date, "yyyyMMdd HH:mm:ss"),
+    "epoch_ms": _number(13, 1000, _millis_text),
     "dotnet": _dotnet,
-    "epoch": _epoch,
+    "epoch": _number(10, I.SECOND, I.epoch_seconds_text),
 }
 
 _HIT = "struct<start:int,stop:int,new:string>"
 _NO_HITS = f"array<{_HIT}>"
+# a match is put between these two; text that holds one of them is cut up without marks
+_OPEN, _CLOSE = "\u0001", "\u0002"
+_CLOCK = r"\d{2}:\d{2}:\d{2}"
 
 
-def _matches(text: Column, family: str, wanted: Column | None) -> Column:
-    """The matches of one family over the whole text, with what is needed to place them."""
-    possible = wanted
+def _marked(
+    text: Column, family: str, clock: Column, clean: Column, wanted: Column | None
+) -> Column:
+    """The text with the matches of one family marked; not evaluated where none is possible."""
+    possible = clock if family in CLOCK_FAMILIES else None
     for marker in FAMILY_MARKERS[family]:
         seen = text.contains(marker)
         possible = seen if possible is None else possible & seen
-    regex = F.lit(FAMILY_REGEX[family])
+    if wanted is not None:
+        possible = wanted & possible
+    regex = FAMILY_REGEX[family]
+    marked = F.regexp_replace(text, regex, f"{_OPEN}$0{_CLOSE}")
     return F.struct(
-        F.lit(family).alias("family"), regex.alias("regex"),
-        F.when(possible, F.regexp_extract_all(text, regex, F.lit(0))).alias("texts"),
+        F.lit(family).alias("family"), F.lit(regex).alias("regex"),
+        F.when(possible, F.when(clean, marked).otherwise(_OPEN)).alias("marked"),
     )
 
 
-def _located(text: Column, plan: Affine, families: Sequence[str]) -> Callable[[Column], Column]:
-    """Readable hits of one family in text order: start, stop (characters) and new text."""
+def _cut(
+    text: Column, clean: Column, plan: Affine, families: Sequence[str]
+) -> Callable[[Column], Column]:
+    """Pieces of the text for one family: match, its new text (NULL if unreadable), text behind."""
 
     def moved(family: Column, hit: Column) -> Column:
         new = F.when(F.lit(False), F.lit(None).cast("string"))
@@ -291,30 +317,64 @@ def _located(text: Column, plan: Affine, families: Sequence[str]) -> Callable[[C
             new = new.when(family == name, _MOVE[name](hit, plan))
         return new
 
-    def place(found: Column) -> Column:
+    def unmarked(found: Column) -> Column:
         gaps = F.split(text, found["regex"], -1)
-        start = F.struct(F.lit(1).alias("at"), F.array().cast(_NO_HITS).alias("hits"))
-
-        def step(acc: Column, pair: Column) -> Column:
-            begin = acc["at"] + F.length(pair["gap"])
-            end = begin + F.length(pair["hit"])
-            hit = F.struct(
-                begin.alias("start"), end.alias("stop"), moved(found["family"], pair["hit"]).alias("new")
-            )
-            return F.struct(
-                end.alias("at"), F.concat(acc["hits"], F.array(hit)).cast(_NO_HITS).alias("hits")
-            )
+        hits = F.regexp_extract_all(text, found["regex"], F.lit(0))
+        rest = F.slice(gaps, F.lit(2), F.size(hits))
+        glued = F.transform(
+            F.arrays_zip(hits.alias("h"), rest.alias("g")),
+            lambda z: F.struct(z["h"].alias("hit"), z["g"].alias("gap")),
+        )
+        first = F.struct(F.lit("").alias("hit"), F.get(gaps, 0).alias("gap"))
+        return F.concat(F.array(first), glued)
+
+    def by_marks(found: Column) -> Column:
+        return F.transform(
+            F.split(found["marked"], _OPEN, -1),
+            lambda piece, i: F.when(
+                i == 0, F.struct(F.lit("").alias("hit"), piece.alias("gap"))
+            ).otherwise(
+                F.struct(
+                    F.substring_index(piece, _CLOSE, 1).alias("hit"),
+                    F.substring_index(piece, _CLOSE, -1).alias("gap"),
+                )
+            ),
+        )
 
-        pairs = F.arrays_zip(
-            F.slice(gaps, F.lit(1), F.size(found["texts"])).alias("gap"), found["texts"].alias("hit")
+    def pieces(found: Column) -> Column:
+        cut = F.when(clean, by_marks(found)).otherwise(unmarked(found))
+        return F.transform(
+            cut,
+            lambda p: F.struct(
+                p["hit"].alias("hit"),
+                F.when(p["hit"] != "", moved(found["family"], p["hit"])).alias("new"),
+                p["gap"].alias("gap"),
+            ),
         )
-        hits = F.aggregate(pairs, start, step, lambda acc: acc["hits"])
-        some = F.size(found["texts"]) > 0
-        return F.when(some, F.filter(hits, lambda h: h["new"].isNotNull())).otherwise(
-            F.array().cast(_NO_HITS)
+
+    return pieces
+
+
+def _join(pieces: Column) -> Column:
+    """The text of one family's pieces."""
+    parts = F.transform(pieces, lambda p: F.concat(F.coalesce(p["new"], p["hit"]), p["gap"]))
+    return F.array_join(parts, "")
+
+
+def _hits(pieces: Column) -> Column:
+    """Pieces to readable hits in text order: start, stop (characters) and new text."""
+    start = F.struct(F.lit(1).alias("at"), F.array().cast(_NO_HITS).alias("hits"))
+
+    def step(acc: Column, p: Column) -> Column:
+        stop = acc["at"] + F.length(p["hit"])
+        hit = F.struct(acc["at"].alias("start"), stop.alias("stop"), p["new"].alias("new"))
+        return F.struct(
+            (stop + F.length(p["gap"])).alias("at"),
+            F.when(p["new"].isNotNull(), F.concat(acc["hits"], F.array(hit)).cast(_NO_HITS))
+            .otherwise(acc["hits"]).alias("hits"),
         )
 
-    return place
+    return F.aggregate(pieces, start, step, lambda acc: acc["hits"])
 
 
 def _claim(hits: Column) -> Column:
@@ -363,23 +423,45 @@ def shift_text(
     if not families:
         return text
 
-    def finish(t: Column, found: Column) -> Column:
-        hits = F.flatten(F.transform(found, _located(t, plan, families)))
-        return let(let(hits, _claim), lambda c: _rebuild(t, c))
+    def finish(t: Column, clean: Column, found: Column) -> Column:
+        cut = F.transform(
+            F.filter(found, lambda f: f["marked"].contains(_OPEN)), _cut(t, clean, plan, families)
+        )
+
+        def put(pieces: Column) -> Column:
+            hits = F.flatten(F.transform(pieces, _hits))
+            return (
+                F.when(F.size(pieces) == 0, t)
+                .when(F.size(pieces) == 1, _join(F.get(pieces, 0)))
+                .otherwise(let(let(hits, _claim), lambda c: _rebuild(t, c)))
+            )
+
+        return let(cut, put)
+
+    def with_flags(t: Column, found: Callable[[Column, Column], Column]) -> Column:
+        clean = ~(t.contains(_OPEN) | t.contains(_CLOSE))
+        return let(
+            t.rlike(_CLOCK), lambda clock: let(clean, lambda c: finish(t, c, found(clock, c)))
+        )
 
     def fixed(t: Column) -> Column:
-        return finish(t, F.array(*[_matches(t, f, None) for f in families]))
+        return with_flags(
+            t, lambda clock, clean: F.array(*[_marked(t, f, clock, clean, None) for f in families])
+        )
 
     def by_row(wanted: Column) -> Callable[[Column], Column]:
         def whole(t: Column) -> Column:
-            found = F.create_map(*[
-                x
-                for f in families
-                for x in (F.lit(f), _matches(t, f, F.array_contains(wanted, f)))
-            ])
-            return finish(
-                t, let(found, lambda m: F.transform(wanted, lambda f: F.try_element_at(m, f)))
-            )
+            def found(clock: Column, clean: Column) -> Column:
+                by_name = F.create_map(*[
+                    x
+                    for f in families
+                    for x in (
+                        F.lit(f), _marked(t, f, clock, clean, F.array_contains(wanted, f))
+                    )
+                ])
+                return let(by_name, lambda m: F.transform(wanted, lambda f: F.try_element_at(m, f)))
+
+            return with_flags(t, found)
 
         return whole
 

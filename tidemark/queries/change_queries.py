@@ -16,7 +16,7 @@ _CROSSING = [("the ", "THE "), ("e a", "E A")]
 SELECT doc_id, md5(replace(replace(text, 'the', 'THE'), 'on', 'ON')) AS digest FROM documents""")
 def text_changes(spark, sf_dir):
     """All occurrences of the old values replaced, in whole documents."""
-    changed = C.apply_changes(F.col("text"), C.change_list(_APART))
+    changed = C.apply_change_list(F.col("text"), _APART)
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(changed).alias("digest"))
 
 
