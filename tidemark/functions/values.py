@@ -21,9 +21,16 @@ class Value:
     variant: Column | None = None  # where text and number come from, if from a variant
 
 
-_NO_TEXT = F.lit(None).cast("string")
-_NO_NUMBER = F.lit(None).cast("double")
-_NO_INSTANT = F.lit(None).cast("bigint")
+def no_text() -> Column:
+    return F.lit(None).cast("string")
+
+
+def no_number() -> Column:
+    return F.lit(None).cast("double")
+
+
+def no_instant() -> Column:
+    return F.lit(None).cast("bigint")
 
 
 def variant_value(v: Column) -> Value:
@@ -31,7 +38,7 @@ def variant_value(v: Column) -> Value:
     text = F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
     numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN") | kind.startswith("DECIMAL")
     number = F.when(numeric, F.try_variant_get(v, "$", "double"))
-    return Value(text, number, _NO_INSTANT, v)
+    return Value(text, number, no_instant(), v)
 
 
 def typed_value(col: Column, dtype: T.DataType) -> Value:
@@ -39,12 +46,12 @@ def typed_value(col: Column, dtype: T.DataType) -> Value:
     if isinstance(dtype, T.VariantType):
         return variant_value(col)
     if isinstance(dtype, T.StringType):
-        return Value(col, _NO_NUMBER, _NO_INSTANT)
+        return Value(col, no_number(), no_instant())
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
-        return Value(_NO_TEXT, col.cast("double"), _NO_INSTANT)
+        return Value(no_text(), col.cast("double"), no_instant())
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return Value(_NO_TEXT, _NO_NUMBER, F.unix_micros(col.cast("timestamp")))
-    return Value(_NO_TEXT, _NO_NUMBER, _NO_INSTANT)
+        return Value(no_text(), no_number(), F.unix_micros(col.cast("timestamp")))
+    return Value(no_text(), no_number(), no_instant())
 
 
 def read_instant(value: Value, fmt: str) -> Column:

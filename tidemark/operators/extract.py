@@ -11,11 +11,12 @@ from pyspark.sql import types as T
 
 from tidemark.functions import instants as I
 from tidemark.functions.bind import blank_to_null, let
-from tidemark.functions.values import Value, read_instant, typed_value, variant_value
+from tidemark.functions.values import (
+    Value, no_instant, no_number, no_text, read_instant, typed_value, variant_value,
+)
 from tidemark.plans.pattern_sets import GENERIC, METADATA, REGISTRY, REQUIRED_ANY, Pattern
 
 FieldReader = Callable[[str], Value]
-_NO_INSTANT = F.lit(None).cast("bigint")
 
 
 # ---------------------------------------------------------------------------------------------
@@ -48,7 +49,7 @@ def struct_reader(df: DataFrame, prefix: str | None = None) -> FieldReader:
             if isinstance(dtype, T.VariantType):
                 return variant_value(F.try_variant_get(col, json_path(steps[i:]), "variant"))
             if not isinstance(dtype, T.StructType) or step not in dtype.fieldNames():
-                return Value(F.lit(None).cast("string"), F.lit(None).cast("double"), _NO_INSTANT)
+                return Value(no_text(), no_number(), no_instant())
             col = F.col(f"`{step}`") if col is None else col.getField(step)
             dtype = dtype[step].dataType
         return typed_value(col, dtype)
@@ -110,11 +111,11 @@ def json_object(raw: Column) -> Column:
 
 @dataclass(frozen=True)
 class Found:
-    """One field: its instant (microseconds) and, for a regex field, what was matched."""
+    """One field: its instant (microseconds), and what the regex patterns matched, with their formats."""
 
     field: str
     us: Column
-    matched: Column | None = None
+    hits: tuple[tuple[Column, str], ...] = ()
     format: str = "iso8601"
 
 
@@ -125,7 +126,6 @@ def _regex_text(value: Value, regex: str) -> Column:
 
 
 INSTANTS, MATCHED = "_instants", "_matched"
-_NO_VARIANT = F.lit(None).cast("variant")
 
 
 def _candidate(read: FieldReader, p: Pattern, hit: Column | None) -> Column:
@@ -137,9 +137,9 @@ def _candidate(read: FieldReader, p: Pattern, hit: Column | None) -> Column:
     loose = value.variant is not None
     return F.struct(
         F.lit(p.format).alias("format"),
-        (value.variant if loose else _NO_VARIANT).alias("variant"),
-        (F.lit(None).cast("string") if loose else value.text).alias("text"),
-        (F.lit(None).cast("double") if loose else value.number).alias("number"),
+        (value.variant if loose else F.lit(None).cast("variant")).alias("variant"),
+        (no_text() if loose else value.text).alias("text"),
+        (no_number() if loose else value.number).alias("number"),
         value.instant.alias("instant"),
     )
 
@@ -147,7 +147,7 @@ def _candidate(read: FieldReader, p: Pattern, hit: Column | None) -> Column:
 def _read_candidate(formats: Sequence[str]) -> Callable[[Column], Column]:
     def by_format(e: Column, text: Column, number: Column) -> Column:
         value = Value(text, number, e["instant"])
-        chosen = F.when(F.lit(False), _NO_INSTANT)
+        chosen = F.when(F.lit(False), no_instant())
         for fmt in formats:
             chosen = chosen.when(e["format"] == fmt, read_instant(value, fmt))
         return chosen
@@ -190,21 +190,18 @@ def find_instants(
         df = df.withColumn(MATCHED, F.array(*matched))
     items, found, place = [], {}, 0
     for i, ((p, condition), hit) in enumerate(zip(candidates, hits)):
-        held = None
+        held, earlier = None, found.get(p.field)
         if hit is not None:
             held = F.get(F.col(MATCHED), F.lit(place))
             place += 1
         item = _candidate(read, p, held)
         items.append(item if condition is None else F.when(condition, item))
-        us, fmt = F.get(F.col(INSTANTS), F.lit(i)), p.format
-        if p.field in found:
-            earlier = found[p.field]
-            us = F.coalesce(us, earlier.us)
-            if held is None:
-                held, fmt = earlier.matched, earlier.format
-            elif earlier.matched is not None:
-                held = F.coalesce(held, earlier.matched)
-        found[p.field] = Found(p.field, us, held, fmt)
+        us = F.get(F.col(INSTANTS), F.lit(i))
+        hits_so_far = earlier.hits if earlier else ()
+        found[p.field] = Found(
+            p.field, F.coalesce(us, earlier.us) if earlier else us,
+            hits_so_far if held is None else (*hits_so_far, (held, p.format)), p.format,
+        )
     formats = list(dict.fromkeys(p.format for p, _ in candidates))
     df = df.withColumn(INSTANTS, F.transform(F.array(*items), _read_candidate(formats)))
     return df, list(found.values())
@@ -297,7 +294,7 @@ def instants_in_text(
 
     def matches(regex: str, fmt: str) -> Column:
         hits = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-        number, instant = F.lit(None).cast("double"), _NO_INSTANT
+        number, instant = no_number(), no_instant()
         read = F.transform(hits, lambda h: read_instant(Value(h, number, instant), fmt))
         return F.transform(F.filter(read, lambda u: u.isNotNull()), F.timestamp_micros)
 

@@ -99,14 +99,17 @@ def put_instants(
         node[steps[-1]] = f
 
     def leaf(f: Found, v: Column) -> Column:
-        if f.matched is not None:
+        plain = I.iso_text(f.us, zone_offset).cast("variant")
+        if f.hits:
             text = F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))
-            new = put_matched(text, f.us, f.format, f.matched).cast("variant")
-            plain = I.iso_text(f.us, zone_offset).cast("variant")
-            return F.when(f.matched.isNotNull(), new).otherwise(plain)
+            chosen = plain
+            for hit, fmt in f.hits:  # the last pattern that matched counts
+                new = put_matched(text, f.us, fmt, hit).cast("variant")
+                chosen = F.when(hit.isNotNull(), new).otherwise(chosen)
+            return chosen
         if keep_encoding and (f.format in I.EPOCH_SECONDS or f.format in I.EPOCH_MILLIS):
             return _same_encoding(v, f.us, f.format)
-        return I.iso_text(f.us, zone_offset).cast("variant")
+        return plain
 
     def any_moved(node: dict) -> Column:
         flags = [
@@ -193,7 +196,7 @@ def shift_found(
 ) -> DataFrame:
     # each reading and each moved instant is a column of its own, so that it is computed once
     olds = {f"_old_{i}": f.us for i, f in enumerate(found)}
-    hits = {f"_hit_{i}": f.matched for i, f in enumerate(found) if f.matched is not None}
+    hits = {f"_hit_{i}_{j}": h for i, f in enumerate(found) for j, (h, _) in enumerate(f.hits)}
     staged = df.withColumns({**olds, **hits}).withColumns(
         {f"_new_{i}": plan(F.col(f"_old_{i}")) for i in range(len(found))}
     )
@@ -202,7 +205,7 @@ def shift_found(
         return [
             Found(
                 f.field, F.col(f"{kind}{i}"),
-                F.col(f"_hit_{i}") if f.matched is not None else None, f.format,
+                tuple((F.col(f"_hit_{i}_{j}"), fmt) for j, (_, fmt) in enumerate(f.hits)), f.format,
             )
             for i, f in enumerate(found)
         ]

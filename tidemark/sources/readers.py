@@ -16,10 +16,13 @@ from tidemark.sources.listing import hadoop_uri
 
 FORMATS = ("auto", "csv", "json", "jsonl", "text", "xml")
 RECORD_COLUMNS = ("file_path", "file_name", "format", "raw", "data")
-_FILE = (
-    F.col("_metadata.file_path").alias("file_path"),
-    F.col("_metadata.file_name").alias("file_name"),
-)
+
+
+def _file() -> tuple[Column, Column]:
+    return (
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_name").alias("file_name"),
+    )
 
 
 def _paths(paths: str | Iterable[str]) -> list[str]:
@@ -47,7 +50,7 @@ def read_lines(
     ``block`` and ``seq`` place a line inside its file (see :func:`number_lines`).
     """
     return _reader(spark, pattern, lenient).option("lineSep", "\n").text(_paths(paths)).select(
-        *_FILE,
+        *_file(),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
         F.col("value").alias("line"),
@@ -174,7 +177,7 @@ def read_json_documents(
     A file is one value, so it must fit a task; use JSON lines for large files.
     """
     files = _reader(spark, pattern, lenient).text(_paths(paths), wholetext=True).select(
-        *_FILE, F.try_parse_json("value").alias("_doc")
+        *_file(), F.try_parse_json("value").alias("_doc")
     )
     kind = F.schema_of_variant("_doc")
     items = F.when(
@@ -210,7 +213,7 @@ def read_csv(
     data = F.map_from_arrays(
         F.array(*[F.lit(n) for n in names]), F.array(*[v.cast("variant") for v in values])
     )
-    rows = rows.select(*_FILE, data.alias("data")).withColumn("_raw", F.to_json("data"))
+    rows = rows.select(*_file(), data.alias("data")).withColumn("_raw", F.to_json("data"))
     return _records(rows, F.lit("csv"), F.col("_raw"))
 
 
@@ -237,7 +240,7 @@ def read_xml(
         reader = reader.schema(schema)
     rows = reader.load(_paths(paths))
     names = [c for c in rows.columns if c != "_corrupt_record"]
-    rows = rows.select(*_FILE, F.to_json(F.struct(*map(_column, names))).alias("_raw"))
+    rows = rows.select(*_file(), F.to_json(F.struct(*map(_column, names))).alias("_raw"))
     data = F.from_json("_raw", "map<string,variant>", JSON_OPTIONS)
     return _records(rows.withColumn("data", data), F.lit("xml"), F.col("_raw"))
 
