@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,47 +9,61 @@ from pyspark.sql import types as T
 from tidemark.functions import instants as I
 
 
-@dataclass(frozen=True)
 class Value:
-    """Readings of one field; each is NULL where the reading does not apply."""
-
-    text: Column
-    number: Column
-    instant: Column
-    variant: Column | None = None  # where text and number come from, if from a variant
-
-
-def no_text() -> Column:
-    return F.lit(None).cast("string")
-
-
-def no_number() -> Column:
-    return F.lit(None).cast("double")
+    """Readings of one field; each is NULL where the reading does not apply.
 
+    Given a variant, its text and number are read from it when they are asked for.
+    """
 
-def no_instant() -> Column:
-    return F.lit(None).cast("bigint")
+    def __init__(
+        self,
+        text: Column | None = None,
+        number: Column | None = None,
+        instant: Column | None = None,
+        variant: Column | None = None,
+    ):
+        self.variant = variant
+        self._text, self._number, self._instant = text, number, instant
+
+    @property
+    def text(self) -> Column:
+        if self._text is not None:
+            return self._text
+        if self.variant is None:
+            return F.lit(None).cast("string")
+        kind = F.schema_of_variant(self.variant)
+        return F.when(kind == "STRING", F.try_variant_get(self.variant, "$", "string"))
+
+    @property
+    def number(self) -> Column:
+        if self._number is not None:
+            return self._number
+        if self.variant is None:
+            return F.lit(None).cast("double")
+        kind = F.schema_of_variant(self.variant)
+        numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN") | kind.startswith("DECIMAL")
+        return F.when(numeric, F.try_variant_get(self.variant, "$", "double"))
+
+    @property
+    def instant(self) -> Column:
+        return self._instant if self._instant is not None else F.lit(None).cast("bigint")
 
 
 def variant_value(v: Column) -> Value:
-    kind = F.schema_of_variant(v)
-    text = F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
-    numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN") | kind.startswith("DECIMAL")
-    number = F.when(numeric, F.try_variant_get(v, "$", "double"))
-    return Value(text, number, no_instant(), v)
+    return Value(variant=v)
 
 
 def typed_value(col: Column, dtype: T.DataType) -> Value:
     """A column of a declared schema."""
     if isinstance(dtype, T.VariantType):
-        return variant_value(col)
+        return Value(variant=col)
     if isinstance(dtype, T.StringType):
-        return Value(col, no_number(), no_instant())
+        return Value(text=col)
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
-        return Value(no_text(), col.cast("double"), no_instant())
+        return Value(number=col.cast("double"))
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return Value(no_text(), no_number(), F.unix_micros(col.cast("timestamp")))
-    return Value(no_text(), no_number(), no_instant())
+        return Value(instant=F.unix_micros(col.cast("timestamp")))
+    return Value()
 
 
 def read_instant(value: Value, fmt: str) -> Column:
@@ -77,5 +89,5 @@ def epoch_of(value: Value) -> Column:
         value.number,
         I.number_in_text(F.trim(value.text)),
         I.iso_micros(F.trim(value.text)).cast("double") / F.lit(1e6),
-        F.when(value.instant.isNotNull(), value.instant.cast("double") / F.lit(1e6)),
+        value.instant.cast("double") / F.lit(1e6),
     )

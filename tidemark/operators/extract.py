@@ -11,9 +11,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import instants as I
 from tidemark.functions.bind import blank_to_null, let
-from tidemark.functions.values import (
-    Value, no_instant, no_number, no_text, read_instant, typed_value, variant_value,
-)
+from tidemark.functions.values import Value, read_instant, typed_value, variant_value
 from tidemark.plans.pattern_sets import GENERIC, METADATA, REGISTRY, REQUIRED_ANY, Pattern
 
 FieldReader = Callable[[str], Value]
@@ -49,7 +47,7 @@ def struct_reader(df: DataFrame, prefix: str | None = None) -> FieldReader:
             if isinstance(dtype, T.VariantType):
                 return variant_value(F.try_variant_get(col, json_path(steps[i:]), "variant"))
             if not isinstance(dtype, T.StructType) or step not in dtype.fieldNames():
-                return Value(no_text(), no_number(), no_instant())
+                return Value()
             col = F.col(f"`{step}`") if col is None else col.getField(step)
             dtype = dtype[step].dataType
         return typed_value(col, dtype)
@@ -134,12 +132,12 @@ def _candidate(read: FieldReader, p: Pattern, hit: Column | None) -> Column:
     if p.regex is not None:
         # a value that is not text is read as it is
         value = Value(hit, value.number, value.instant)
-    loose = value.variant is not None
+    held, none = value.variant, Value()
     return F.struct(
         F.lit(p.format).alias("format"),
-        (value.variant if loose else F.lit(None).cast("variant")).alias("variant"),
-        (no_text() if loose else value.text).alias("text"),
-        (no_number() if loose else value.number).alias("number"),
+        (F.lit(None).cast("variant") if held is None else held).alias("variant"),
+        (value if held is None else none).text.alias("text"),
+        (value if held is None else none).number.alias("number"),
         value.instant.alias("instant"),
     )
 
@@ -147,7 +145,7 @@ def _candidate(read: FieldReader, p: Pattern, hit: Column | None) -> Column:
 def _read_candidate(formats: Sequence[str]) -> Callable[[Column], Column]:
     def by_format(e: Column, text: Column, number: Column) -> Column:
         value = Value(text, number, e["instant"])
-        chosen = F.when(F.lit(False), no_instant())
+        chosen = F.when(F.lit(False), F.lit(None).cast("bigint"))
         for fmt in formats:
             chosen = chosen.when(e["format"] == fmt, read_instant(value, fmt))
         return chosen
@@ -294,8 +292,7 @@ def instants_in_text(
 
     def matches(regex: str, fmt: str) -> Column:
         hits = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-        number, instant = no_number(), no_instant()
-        read = F.transform(hits, lambda h: read_instant(Value(h, number, instant), fmt))
+        read = F.transform(hits, lambda h: read_instant(Value(text=h), fmt))
         return F.transform(F.filter(read, lambda u: u.isNotNull()), F.timestamp_micros)
 
     return F.concat(*[matches(regex, fmt) for regex, fmt in expressions])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,14 +81,15 @@ def put_instants(
     moved: Sequence[Found],
     keep_encoding: bool = False,
     paths: dict[str, str] | None = None,
-    raw_text: tuple[str, Column] | None = None,
+    plain: Column | None = None,
     zone_offset: int = 0,
 ) -> Column:
     """Write moved instants into a ``map<string, variant>``, other fields and their order kept.
 
     A plain field becomes ISO text (or keeps its number with ``keep_encoding``); a regex field has
     its match replaced. ``paths`` sends a field to another dotted path, whose missing parents are
-    created. ``raw_text`` names a text field and gives its new value.
+    created. ``plain`` is a ``map<string, timestamp>`` of further top-level fields, all written as ISO
+    text; it keeps the expression small when there are many.
     """
     paths = paths or {}
     tree: dict = {}
@@ -128,19 +130,22 @@ def put_instants(
 
     def new_value(child, v: Column) -> Column:
         if isinstance(child, Found):
-            return F.when(child.us.isNotNull(), leaf(child, v)).otherwise(v)
+            return leaf(child, v)
         inner = F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), no_fields)
-        return F.when(any_moved(child), F.to_variant_object(put(inner, child))).otherwise(v)
+        return F.to_variant_object(put(inner, child))
 
-    def put(fields: Column, node: dict) -> Column:
+    def put(fields: Column, node: dict, top: bool = False) -> Column:
         def each(k: Column, v: Column) -> Column:
-            chosen = None
+            kept = v
+            if top and plain is not None:
+                ts = F.when(~k.contains("."), F.try_element_at(plain, k))
+                text = let(F.unix_micros(ts), lambda us: I.iso_text(us, zone_offset))
+                kept = F.when(ts.isNotNull(), text.cast("variant")).otherwise(v)
+            chosen = F.when(F.lit(False), v)
             for name, child in node.items():
-                chosen = (
-                    F.when(k == name, new_value(child, v)) if chosen is None
-                    else chosen.when(k == name, new_value(child, v))
-                )
-            return chosen.otherwise(v)
+                flag = any_moved(child) if isinstance(child, dict) else child.us.isNotNull()
+                chosen = chosen.when((k == name) & flag, new_value(child, v))
+            return chosen.otherwise(kept)
 
         def with_key(m: Column, name: str, child) -> Column:
             flag = any_moved(child) if isinstance(child, dict) else child.us.isNotNull()
@@ -156,14 +161,7 @@ def put_instants(
 
         return F.transform_values(widen(fields) if paths else fields, each)
 
-    result = put(data, tree) if tree else data
-    if raw_text is None:
-        return result
-    name, new_raw = raw_text
-    return F.transform_values(
-        result,
-        lambda k, v: F.when((k == name) & new_raw.isNotNull(), new_raw.cast("variant")).otherwise(v),
-    )
+    return put(data, tree, True) if tree or plain is not None else data
 
 
 def shift_records(
@@ -194,60 +192,44 @@ def shift_found(
     sourcetype: str | None = None,
     keep_encoding: bool = False,
 ) -> DataFrame:
-    # each reading and each moved instant is a column of its own, so that it is computed once
-    olds = {f"_old_{i}": f.us for i, f in enumerate(found)}
-    hits = {f"_hit_{i}_{j}": h for i, f in enumerate(found) for j, (h, _) in enumerate(f.hits)}
-    staged = df.withColumns({**olds, **hits}).withColumns(
-        {f"_new_{i}": plan(F.col(f"_old_{i}")) for i in range(len(found))}
-    )
-
-    def held(kind: str) -> list[Found]:
-        return [
-            Found(
-                f.field, F.col(f"{kind}{i}"),
-                tuple((F.col(f"_hit_{i}_{j}"), fmt) for j, (_, fmt) in enumerate(f.hits)), f.format,
-            )
-            for i, f in enumerate(found)
-        ]
+    names = F.array(*[F.lit(f.field) for f in found])
 
-    def as_map(items: list[Found]) -> Column:
-        entries = F.array(*[
-            F.struct(F.lit(f.field).alias("key"), F.timestamp_micros(f.us).alias("value"))
-            for f in items
-        ])
+    def as_map(us: str) -> Column:
+        entries = F.transform(
+            F.arrays_zip(names.alias("key"), F.col(us).alias("us")),
+            lambda e: F.struct(e["key"].alias("key"), F.timestamp_micros(e["us"]).alias("value")),
+        )
         return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
-    new = held("_new_")
+    def special(f: Found) -> bool:
+        numeric = f.format in I.EPOCH_SECONDS or f.format in I.EPOCH_MILLIS
+        return "." in f.field or bool(f.hits) or (keep_encoding and numeric)
+
+    # the readings, the moved instants and the text are columns, so that each is computed once
+    staged = df.withColumn("_old", F.array(*[f.us for f in found]))
+    staged = staged.withColumn("_new", F.transform("_old", plan))
+    staged = staged.withColumns({"timestamps": as_map("_old"), "new_timestamps": as_map("_new")})
+    apart = [
+        replace(f, us=F.get(F.col("_new"), F.lit(i))) for i, f in enumerate(found) if special(f)
+    ]
     families = None if sourcetype is None else families_by_sourcetype(F.col(sourcetype))
     possible = DEFAULT_FAMILIES if sourcetype is None else ALL_FAMILIES
-    put = put_instants(F.col(data), new, keep_encoding)
     raw_value = F.try_element_at(F.col("_put"), F.lit(raw_field))
     raw = F.when(
         (F.size("new_timestamps") > 0) & (F.schema_of_variant(raw_value) == "STRING"),
         F.try_variant_get(raw_value, "$", "string"),
     )
+    with_raw = F.transform_values(
+        "_put", lambda k, v: F.when(k == raw_field, F.col("_raw_new").cast("variant")).otherwise(v)
+    )
     return (
-        staged.withColumns({
-            "timestamps": as_map(held("_old_")), "new_timestamps": as_map(new), "_put": put,
-        })
+        staged.withColumn(
+            "_put", put_instants(F.col(data), apart, keep_encoding, plain=F.col("new_timestamps"))
+        )
         .withColumn("_raw_text", raw)
         .withColumn("_raw_new", shift_text(F.col("_raw_text"), plan, possible, families))
-        .withColumn(
-            data,
-            F.when(
-                F.col("_raw_new").isNotNull(),
-                F.transform_values(
-                    "_put",
-                    lambda k, v: F.when(
-                        k == raw_field, F.col("_raw_new").cast("variant")
-                    ).otherwise(v),
-                ),
-            ).otherwise(F.col("_put")),
-        )
-        .drop(
-            "_put", "_raw_text", "_raw_new", INSTANTS, MATCHED, *olds, *hits,
-            *[f"_new_{i}" for i in range(len(found))],
-        )
+        .withColumn(data, F.when(F.col("_raw_new").isNotNull(), with_raw).otherwise(F.col("_put")))
+        .drop("_put", "_raw_text", "_raw_new", "_old", "_new", INSTANTS, MATCHED)
     )
 
 

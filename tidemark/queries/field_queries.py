@@ -6,9 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import instants as I
 from tidemark.functions.paths import output_path
-from tidemark.functions.values import (
-    Value, epoch_of, no_instant, no_number, no_text, read_instant,
-)
+from tidemark.functions.values import Value, epoch_of, read_instant
 from tidemark.operators import extract as X
 from tidemark.operators.errors import split_errors
 from tidemark.operators.writeback import (
@@ -25,7 +23,7 @@ def _id(n: int):
 
 
 def _text(col) -> Value:
-    return Value(col, no_number(), no_instant())
+    return Value(text=col)
 
 
 @query("parse_iso", f"""
@@ -51,7 +49,7 @@ SELECT event_id, ts AS from_number, make_timestamp({SECOND_SQL}) AS from_text, N
 FROM events""")
 def parse_epoch_seconds(spark, sf_dir):
     seconds = F.col("us") / F.lit(1e6)
-    number = Value(no_text(), seconds, no_instant())
+    number = Value(number=seconds)
     text = _text((second(F.col("us")) / 1_000_000).cast("bigint").cast("string"))
     junk = _text(F.concat(F.col("us").cast("string"), F.lit("d")))
     return events(spark, sf_dir).select(
@@ -65,7 +63,7 @@ def parse_epoch_seconds(spark, sf_dir):
 SELECT event_id, make_timestamp({MILLI_SQL}) AS from_number, make_timestamp({MILLI_SQL}) AS from_text FROM events""")
 def parse_epoch_millis(spark, sf_dir):
     ms = (milli(F.col("us")) / 1000).cast("bigint")
-    number = Value(no_text(), ms.cast("double"), no_instant())
+    number = Value(number=ms.cast("double"))
     return events(spark, sf_dir).select(
         "event_id",
         F.timestamp_micros(read_instant(number, "unix_ms")).alias("from_number"),
@@ -138,7 +136,7 @@ def to_epoch(spark, sf_dir):
         .when(_id(4) == 3, F.lit("soon"))
     )
     return events(spark, sf_dir).select(
-        "event_id", epoch_of(Value(text, number, no_instant())).alias("epoch")
+        "event_id", epoch_of(Value(text, number)).alias("epoch")
     )
 
 
