@@ -127,7 +127,8 @@ def test_replay_job(spark, tmp_path):
     _logs(src)
     job = Replay(spark, RUN).input_source(str(src), "jsonl").output_destination(str(out)).set_timestamp_options(
         delta_factor=2.0, target_time="now")
-    stats = job.run().first()
+    stats = job.output_destination(str(tmp_path / "second"), "text").run().first()
+    assert spark.read.text(str(tmp_path / "second")).count() == 3
     assert (stats.events, stats.events_modified, str(stats.new_latest)) == (3, 3, "2025-06-01 12:00:00")
     back = {r.value for r in spark.read.text(str(out)).select("value").collect()}
     assert '{"timestamp":"2025-06-01T12:00:00+00:00","src":"1.1.1.1"}' in back

@@ -53,6 +53,7 @@ def satisfies(version: Column, constraint: Column) -> Column:
 
 def highest_version(df: DataFrame, key: str, version: str, constraint: Column) -> DataFrame:
     """Per key the highest version that meets the constraint (by text among equal numbers)."""
-    fitting = df.filter(satisfies(F.col(version), constraint))
+    # distinct first: the rows are merged by hash, and only the few versions left are sorted
+    fitting = df.select(key, version).distinct().filter(satisfies(F.col(version), constraint))
     order = F.struct(semver(F.col(version)).alias("n"), F.col(version).alias("t"))
     return fitting.groupBy(key).agg(F.max_by(version, order).alias(version))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.affine import Affine
-from tidemark.plans.shift_plan import PLAN_FIELDS, affine_of_plan_columns
+from tidemark.operators.bounds import earliest_of, latest_of, range_by
+from tidemark.plans.shift_plan import PLAN_FIELDS, affine_of_plan_columns, plan_columns
 from tidemark.session import cut_lineage
 
 # A plan row is a few dozen bytes; this many stay below ten megabytes on every executor.
@@ -90,6 +91,46 @@ def attach_plans(df: DataFrame, plans: DataFrame, key: str, salts: int = 32) ->
     return joined.drop("_plan_key", "_salt", "_plan_salt")
 
 
+def plan_by_group(
+    df: DataFrame, instants: list[Column], key: str, settings: DataFrame, run_time: int
+) -> DataFrame:
+    """A plan per group from its own time range and its row of ``settings``.
+
+    ``settings`` has the key and the columns of ``SETTING_FIELDS``, as
+    :func:`tidemark.operators.lookups.effective_settings` gives them. A group without a readable
+    instant has no plan.
+    """
+    ranges = range_by(df, instants, [F.col(key)]).filter(F.col("earliest").isNotNull())
+    ends = ranges.select(
+        key, F.unix_micros(F.col("earliest").cast("timestamp")).alias("earliest_us"),
+        F.unix_micros(F.col("latest").cast("timestamp")).alias("latest_us"),
+    )
+    return plan_columns(ends.join(settings, key), run_time).select(key, *PLAN_FIELDS)
+
+
+def group_results(
+    df: DataFrame, instants: list[Column], plans: DataFrame, key: str
+) -> DataFrame:
+    """Per group: events, events modified, range before and after; ``error`` where there is no plan.
+
+    The new range is the moved old one, so nothing but the range is computed from the rows.
+    """
+    ranges = df.groupBy(key).agg(
+        F.count(F.lit(1)).alias("events"),
+        F.count(earliest_of(instants)).alias("events_modified"),
+        F.min(earliest_of(instants)).alias("original_earliest"),
+        F.max(latest_of(instants)).alias("original_latest"),
+    )
+    plan = affine_of_plan_columns()
+    joined = ranges.join(plans, key, "left")
+    return joined.select(
+        *ranges.columns,
+        plan.timestamp(F.col("original_earliest").cast("timestamp")).alias("new_earliest"),
+        plan.timestamp(F.col("original_latest").cast("timestamp")).alias("new_latest"),
+        F.when(F.col("base_us").isNull(), F.lit("no readable timestamp")).alias("error"),
+    )
+
+
 def shift_by_group(
     df: DataFrame, plans: DataFrame, key: str, columns: dict[str, str]
 ) -> DataFrame:

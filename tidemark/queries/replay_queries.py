@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.timeexpr import time_expression_micros
 from tidemark.operators import shift, stats
 from tidemark.operators.bounds import range_by, range_with_files, span_hours
-from tidemark.plans.shift_plan import TimeSettings, plan_columns, plan_shift
+from tidemark.operators.lookups import effective_settings
+from tidemark.plans.shift_plan import TimeSettings, plan_shift
 from tidemark.queries.registry import (
     BOUNDS_SQL, RUN_SQL, RUN_US, SETTINGS, TARGET, TARGET_SQL, bounds, events, move, moved_sql, plan,
     query, table,
@@ -184,16 +185,18 @@ r AS (SELECT *, CASE WHEN target_us + reach > {RUN_SQL} THEN {RUN_SQL} - reach E
 
 def _group_plans(spark, sf_dir):
     kind = F.col("event_type")
-    ranges = range_by(events(spark, sf_dir), [F.col("ts")], [kind])
-    with_settings = ranges.select(
+    rows = events(spark, sf_dir)
+    datasets = rows.select("event_type").distinct().select(
         "event_type",
-        F.unix_micros("earliest").alias("earliest_us"), F.unix_micros("latest").alias("latest_us"),
-        F.when(kind == "click", 0.5).when(kind == "view", 2.0).otherwise(1.0).alias("delta_factor"),
-        F.when(kind == "error", "latest").otherwise("auto").alias("base_time"),
-        F.when(kind == "signup", "now-1h").otherwise(TARGET).alias("target_time"),
-        F.lit(True).alias("prevent_future"), F.lit("now").alias("ceiling_time"),
+        F.when(kind == "click", 0.5).when(kind == "view", 2.0).alias("delta_factor"),
+        F.when(kind == "error", "latest").alias("base_time"),
+        F.when(kind == "signup", "now-1h").alias("target_time"),
+    )
+    settings = effective_settings(
+        datasets, {"target_time": TARGET}, {"ceiling_time": "now"},
+        {"delta_factor": 1.0, "base_time": "auto", "prevent_future": True},
     )
-    return plan_columns(with_settings, RUN_US)
+    return shift.plan_by_group(rows, [F.col("ts")], "event_type", settings, RUN_US)
 
 
 @query("plan_per_group", _GROUP_SQL + """
@@ -218,6 +221,19 @@ def shift_per_group(spark, sf_dir):
     return moved.select("event_id", "event_type", "new_ts")
 
 
+@query("profile_run", _GROUP_SQL + f"""
+SELECT event_type, count(*) AS events, count(*) AS events_modified, min(ts) AS original_earliest,
+  max(ts) AS original_latest,
+  make_timestamp(least({RUN_SQL}, new_base + round_even((min(epoch_us(ts)) - base) * delta_factor::DECIMAL(4,1), 0)::BIGINT)) AS new_earliest,
+  make_timestamp(least({RUN_SQL}, new_base + round_even((max(epoch_us(ts)) - base) * delta_factor::DECIMAL(4,1), 0)::BIGINT)) AS new_latest,
+  NULL::VARCHAR AS error
+FROM events JOIN r USING (event_type) GROUP BY event_type, new_base, base, delta_factor""")
+def profile_run(spark, sf_dir):
+    """The result of a profile: each dataset with its own plan."""
+    rows = events(spark, sf_dir)
+    return shift.group_results(rows, [F.col("ts")], _group_plans(spark, sf_dir), "event_type")
+
+
 # ---------------------------------------------------------------------------------------------
 # time expressions
 

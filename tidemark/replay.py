@@ -51,7 +51,7 @@ class Replay:
         self._patterns: tuple[Pattern, ...] = ()
         self._read_options: dict = {}
         self._files: DataFrame | None = None
-        self._output: _Output | None = None
+        self._outputs: list[_Output] = []
         self._settings = TimeSettings()
         self._range: tuple[int, int] | None = None
         self._shift, self._keep_encoding = True, False
@@ -74,8 +74,8 @@ class Replay:
         self, path: str | None, fmt: str = "jsonl", template: str = "{filename}",
         compression: str | None = None, files_per_path: int | None = None,
     ) -> "Replay":
-        """Where to write; no path prints to the console."""
-        self._output = _Output(path, fmt, template, compression, files_per_path)
+        """Where to write; no path prints to the console. Each call adds a destination."""
+        self._outputs.append(_Output(path, fmt, template, compression, files_per_path))
         return self
 
     def set_timestamp_options(self, **options) -> "Replay":
@@ -103,13 +103,13 @@ class Replay:
             found.append(f"unknown input format {self._format!r}")
         if self._schema not in SCHEMAS:
             found.append(f"unknown schema {self._schema!r}")
-        if self._output is not None:
-            if self._output.fmt not in OUTPUT_FORMATS:
-                found.append(f"unknown output format {self._output.fmt!r}")
-            if (self._output.compression or "none") not in COMPRESSIONS:
-                found.append(f"unknown compression {self._output.compression!r}")
+        for out in self._outputs:
+            if out.fmt not in OUTPUT_FORMATS:
+                found.append(f"unknown output format {out.fmt!r}")
+            if (out.compression or "none") not in COMPRESSIONS:
+                found.append(f"unknown compression {out.compression!r}")
             try:
-                template_parts(self._output.template)
+                template_parts(out.template)
             except ValueError as problem:
                 found.append(str(problem))
         return found
@@ -161,7 +161,11 @@ class Replay:
         )
 
     def run(self, dry_run: bool = False) -> DataFrame:
-        """Read, shift and write; one row of statistics, gathered while writing."""
+        """Read, shift and write to all destinations; one row of statistics, gathered while writing.
+
+        Every destination is a pass of its own over the input: the shift is a projection, cheaper
+        to repeat than to keep.
+        """
         problems = self.validate()
         if problems:
             raise ValueError("; ".join(problems))
@@ -172,15 +176,16 @@ class Replay:
         else:
             metrics = stats.replayed_statistics(plan.affine(), micros(self._run_time))
         aggregates = [c.alias(n) for n, c in metrics.items()]
-        if self._output is None:
+        if not self._outputs:
             return rows.agg(*aggregates)
         observed = Observation("replay")
-        self._write(rows.observe(observed, *aggregates), dry_run)
+        self._write(rows.observe(observed, *aggregates), self._outputs[0], dry_run)
+        for out in [] if dry_run else self._outputs[1:]:
+            self._write(rows, out, False)
         schema = rows.agg(*aggregates).schema
         return self._spark.createDataFrame([tuple(observed.get[n] for n in metrics)], schema)
 
-    def _write(self, rows: DataFrame, dry_run: bool) -> None:
-        out = self._output
+    def _write(self, rows: DataFrame, out: _Output, dry_run: bool) -> None:
         raw = F.col("raw") if "raw" in rows.columns and not self._shift else None
         line = serialised(F.col("data"), out.fmt, raw)
         if dry_run:

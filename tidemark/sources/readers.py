@@ -15,6 +15,8 @@ from tidemark.session import cut_lineage
 from tidemark.sources.listing import hadoop_uri
 
 FORMATS = ("auto", "csv", "json", "jsonl", "text", "xml")
+# A row per split of 128 MB: a hundred terabytes have 800,000, some 200 MB when broadcast.
+SPLIT_ROWS = 1_000_000
 RECORD_COLUMNS = ("file_path", "file_name", "format", "raw", "data")
 
 
@@ -71,7 +73,7 @@ def number_lines(lines: DataFrame) -> DataFrame:
     starts = cut_lineage(
         blocks.select("file_path", "block", "_first", before.alias("_before"))
     )
-    joined = lines.join(bounded_broadcast(starts), ["file_path", "block"])
+    joined = lines.join(bounded_broadcast(starts, SPLIT_ROWS), ["file_path", "block"])
     number = F.col("seq") - F.col("_first") + F.col("_before") + 1
     return joined.withColumn("line_number", number).drop("_first", "_before")
 
