@@ -22,6 +22,7 @@ from tidemark.plans.text_families import (
     ALL_FAMILIES,
     CLOCK_FAMILIES,
     DEFAULT_FAMILIES,
+    FAMILY_ANY,
     FAMILY_MARKERS,
     FAMILY_REGEX,
     PREFIX_FAMILIES,
@@ -296,6 +297,11 @@ def _marked(
     for marker in FAMILY_MARKERS[family]:
         seen = text.contains(marker)
         possible = seen if possible is None else possible & seen
+    one_of = None
+    for marker in FAMILY_ANY.get(family, ()):
+        one_of = text.contains(marker) if one_of is None else one_of | text.contains(marker)
+    if one_of is not None:
+        possible = possible & one_of
     if wanted is not None:
         possible = wanted & possible
     regex = FAMILY_REGEX[family]
