@@ -12,9 +12,9 @@ from tidemark.operators.errors import split_errors
 from tidemark.operators.writeback import (
     as_json, as_line, json_array_per_file, put_instants, put_matched, shift_records,
 )
-from tidemark.plans.pattern_sets import BRONZE, GENERIC, Pattern, ocsf, patterns_for
+from tidemark.plans.pattern_sets import BRONZE, GENERIC, Pattern, ocsf
 from tidemark.queries.registry import (
-    BOUNDS_SQL, MILLI_SQL, RUN_TIME, SECOND_SQL, TARGET_SQL, clock, events, milli, move, moved_sql,
+    BOUNDS_SQL, MILLI_SQL, RUN_TIME, SECOND_SQL, clock, events, milli, move, moved_sql,
     query, second, table,
 )
 
@@ -410,18 +410,15 @@ def put_missing_parent(spark, sf_dir):
 
 
 @query("replay_regex_field", f"""
-WITH {BOUNDS_SQL} SELECT event_id,
-  'type=X msg=audit(' || ({moved_sql(MILLI_SQL)} // 1000000) || '.'
-  || lpad((({moved_sql(MILLI_SQL)} % 1000000 + CASE WHEN ({moved_sql(MILLI_SQL)} % 1000) * 2 > 1000 OR
-      (({moved_sql(MILLI_SQL)} % 1000) * 2 = 1000 AND ({moved_sql(MILLI_SQL)} // 1000) % 2 = 1)
-      THEN 1000 ELSE 0 END) // 1000 % 1000)::VARCHAR, 3, '0')
-  || ':9) and msg=audit(1.000:9)' AS line FROM events, b
-WHERE ({moved_sql(MILLI_SQL)} % 1000000) < 999500 OR true""")
+WITH {BOUNDS_SQL}, x AS (SELECT event_id, {moved_sql(MILLI_SQL)} AS us FROM events, b),
+m AS (SELECT event_id, us // 1000 + CASE WHEN us % 1000 > 500 OR (us % 1000 = 500 AND us // 1000 % 2 = 1)
+  THEN 1 ELSE 0 END AS ms FROM x)
+SELECT event_id, 'type=X msg=audit(' || (ms // 1000) || '.' || lpad((ms % 1000)::VARCHAR, 3, '0')
+  || ':9) and msg=audit(1.000:9)' AS line FROM m""")
 def replay_regex_field(spark, sf_dir):
     """Only the first occurrence of the match is replaced; decimals of the epoch are kept."""
     us = F.col("us")
     old = F.format_string("%.3f", milli(us) / F.lit(1e6))
-    # the new instant is kept off the last half millisecond of a second, as the SQL assumes
     line = F.concat(F.lit("type=X msg=audit("), old, F.lit(":9) and msg=audit(1.000:9)"))
     new = move(spark, sf_dir)(milli(us))
     return events(spark, sf_dir).select(
