@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as entry
 from check import connect, difference
+from tidemark.queries import load
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = load()
 
 
 @pytest.fixture(scope="module")
