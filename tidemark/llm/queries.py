@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import sharding
+from tidemark.llm import bpe, sharding
 from tidemark.llm.common import table
 from tidemark.llm.registry import query
 
@@ -13,3 +13,11 @@ from tidemark.llm.registry import query
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sharding of all documents over shards 0 to 23 by the law ``key``."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
+
+
+@query("op3_byte_bpe")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of all documents and back."""
+    import public_tokenizers
+
+    return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
