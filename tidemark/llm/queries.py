@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, sharding
+from tidemark.llm import bpe, exact, sharding
 from tidemark.llm.common import table
 from tidemark.llm.registry import query
 
@@ -21,3 +21,23 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query(
+    "op7_extendible_dedup",
+    r"""
+    WITH plain AS (
+        SELECT doc_id, length(coalesce(text, '')) AS chars,
+               regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain
+        FROM documents
+    ), ranked AS (
+        SELECT doc_id, plain, first_value(doc_id) OVER (PARTITION BY plain ORDER BY chars DESC, doc_id) AS keep_id,
+               count(*) OVER (PARTITION BY plain) AS group_size
+        FROM plain
+    )
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS text_sha256 FROM ranked
+    """,
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact dedup of all documents by the extendible-hash index."""
+    return exact.exact_groups(table(spark, sf_dir, "documents"))
