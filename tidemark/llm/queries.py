@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact, sharding
+from tidemark.llm import bpe, exact, language, sharding
 from tidemark.llm.common import table
 from tidemark.llm.registry import query
 
@@ -41,3 +41,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of all documents by the extendible-hash index."""
     return exact.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op5_word_first_language")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
