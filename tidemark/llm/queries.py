@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact, language, sharding
+from tidemark.llm import bpe, exact, language, licenses, sharding
 from tidemark.llm.common import table
 from tidemark.llm.registry import query
 
@@ -48,3 +48,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, learned from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.train(docs))
+
+
+@query("op2_license_rules")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License scan of all documents."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
