@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact, language, licenses, sharding
+from tidemark.llm import bpe, exact, language, licenses, sharding, substrings
 from tidemark.llm.common import table
 from tidemark.llm.registry import query
 
@@ -54,3 +55,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License scan of all documents."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op1_super_kmer_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Substring dedup of all documents, windows of 20 words."""
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"), 20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
