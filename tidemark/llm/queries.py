@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact, language, licenses, sharding, substrings
+from tidemark.llm import bpe, exact, jaccard, language, licenses, sharding, substrings
 from tidemark.llm.common import table
 from tidemark.llm.registry import query
 
@@ -62,3 +62,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Substring dedup of all documents, windows of 20 words."""
     kept = substrings.remove_repeats(table(spark, sf_dir, "documents"), 20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_size_aware_jaccard")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents that link by the Jaccard similarity of their shingles."""
+    return jaccard.near_groups(table(spark, sf_dir, "documents"))
