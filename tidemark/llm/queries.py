@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact, jaccard, language, licenses, sharding, substrings
+from tidemark.llm import benchmark, bpe, exact, jaccard, language, licenses, sharding, substrings
 from tidemark.llm.common import table
 from tidemark.llm.registry import query
 
@@ -68,3 +68,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of all documents that link by the Jaccard similarity of their shingles."""
     return jaccard.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op4_template_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that have an item of the benchmark."""
+    return benchmark.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
