@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import benchmark, bpe, exact, jaccard, language, licenses, sharding, substrings
+from tidemark.llm import benchmark, bpe, exact, jaccard, language, licenses, pseudo_likelihood, sharding, substrings
 from tidemark.llm.common import table
 from tidemark.llm.registry import query
 
@@ -74,3 +74,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that have an item of the benchmark."""
     return benchmark.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_masked_pseudo_likelihood")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-likelihood of all documents under a network trained on them."""
+    docs = table(spark, sf_dir, "documents")
+    vocabulary = pseudo_likelihood.read_vocabulary(docs)
+    return pseudo_likelihood.score_documents(docs, vocabulary, pseudo_likelihood.train(docs, vocabulary))
