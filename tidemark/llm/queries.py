@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import benchmark, bpe, exact, jaccard, language, licenses, pseudo_likelihood, sharding, substrings
+from tidemark.llm import benchmark, bpe, exact, jaccard, language, licenses, pages, pseudo_likelihood, sharding, substrings
 from tidemark.llm.common import table
 from tidemark.llm.registry import query
 
@@ -82,3 +82,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     vocabulary = pseudo_likelihood.read_vocabulary(docs)
     return pseudo_likelihood.score_documents(docs, vocabulary, pseudo_likelihood.train(docs, vocabulary))
+
+
+@query("op10_host_suffix_text")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return pages.extract_text(table(spark, sf_dir, "pages"))
