@@ -36,7 +36,8 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5
 ROUND_BYTES = 4 << 20
 FIRSTS = 4
-HEAVY_USES = 4
+HEAVY_USES = 3
+COUNTED_AT_ONCE = 4_000_000
 HEAVY_TOKENS = 1 << 16
 LIGHT_AT_MOST = 24
 SCAN_WEIGHT = 4
@@ -138,39 +139,75 @@ def choose_boundary(sizes: dict[int, int]) -> int:
 
 
 def _describe(docs: DataFrame) -> DataFrame:
-    """One row per document: size, fingerprint, sketch, minimum hashes; and one per frequent shingle.
+    """One row per document: size, fingerprint, sketches, minimum hashes; and one per frequent shingle.
 
-    A shingle is reported with its uses when HEAVY_USES different sets of one round have it.
+    A shingle is reported with its uses when HEAVY_USES different sets have it among those that are
+    counted together, about COUNTED_AT_ONCE shingles of a task. That only orders the keys of sets.
     """
 
+    def documents(rows: list, sets: list[np.ndarray], prints: list[bytes]) -> pa.RecordBatch:
+        narrow = np.zeros((len(sets), SKETCH_WORDS), np.uint64)
+        for i, found in enumerate(sets):
+            np.bitwise_xor.at(narrow[i], (found >> U(6)) % U(SKETCH_WORDS), U(1) << (found & U(63)))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([True] * len(rows)),
+                pa.array([r[0] for r in rows], pa.int64()),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array(prints, pa.binary()),
+                pa.array([wide_sketch(s) for s in sets], pa.binary()),
+                *[pa.array(narrow[:, k].astype(np.int64)) for k in range(SKETCH_WORDS)],
+                pa.array([s[:FIRSTS].astype(np.int64).tolist() for s in sets], pa.list_(pa.int64())),
+            ],
+            names,
+        )
+
+    def frequent(counted: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, uses = np.unique(np.concatenate(counted), return_counts=True)
+        tokens, uses = tokens[uses >= HEAVY_USES].astype(np.int64), uses[uses >= HEAVY_USES]
+        n = len(tokens)
+        none = [pa.nulls(n, pa.int64())] * SKETCH_WORDS
+        columns = [pa.array([False] * n, pa.bool_()), pa.nulls(n, pa.int64()), pa.array(uses, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
+        return pa.RecordBatch.from_arrays([*columns, *none, pa.array([[t] for t in tokens.tolist()], pa.list_(pa.int64()))], names)
+
+    names = ["is_doc", "doc_id", "n", "print", "wide", *SKETCH, "firsts"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted: dict[bytes, np.ndarray] = {}
+        held = 0
         for rows, sets in _rounds(batches, ("doc_id", "text")):
-            prints, sketches = [], np.zeros((len(sets), SKETCH_WORDS), np.uint64)
-            distinct: dict[bytes, np.ndarray] = {}
-            for i, found in enumerate(sets):
-                print_ = np.array([np.bitwise_xor.reduce(_mixed(found)), _mixed(found ^ U(0xA5A5A5A5)).sum(dtype=np.uint64)], "<u8").tobytes()
-                prints.append(print_ + len(found).to_bytes(8, "little"))
-                distinct[prints[-1]] = found
-                np.bitwise_xor.at(sketches[i], (found >> U(6)) % U(SKETCH_WORDS), U(1) << (found & U(63)))
-            tokens, uses = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
-            tokens, uses = tokens[uses >= HEAVY_USES], uses[uses >= HEAVY_USES]
-            n, m = len(rows), len(tokens)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([True] * n + [False] * m),
-                    pa.array([r[0] for r in rows] + [None] * m, pa.int64()),
-                    pa.array([len(s) for s in sets] + uses.tolist(), pa.int64()),
-                    pa.array(prints + [None] * m, pa.binary()),
-                    *[pa.concat_arrays([pa.array(sketches[:, k].astype(np.int64)), pa.nulls(m, pa.int64())]) for k in range(SKETCH_WORDS)],
-                    pa.array([s[:FIRSTS].astype(np.int64).tolist() for s in sets] + [[t] for t in tokens.astype(np.int64).tolist()], pa.list_(pa.int64())),
-                ],
-                ["is_doc", "doc_id", "n", "print", *SKETCH, "firsts"],
-            )
-
-    schema = "is_doc boolean, doc_id long, n long, print binary, " + ", ".join(f"{s} long" for s in SKETCH) + ", firsts array<long>"
+            prints = []
+            for found in sets:
+                mixed = _mixed(found ^ U(0xA5A5A5A5)).sum(dtype=np.uint64)
+                print_ = np.array([np.bitwise_xor.reduce(_mixed(found)), mixed, len(found)], "<u8").tobytes()
+                prints.append(print_)
+                held += 0 if print_ in counted else len(found)
+                counted[print_] = found
+            yield documents(rows, sets, prints)
+            if held >= COUNTED_AT_ONCE:
+                yield frequent(list(counted.values()))
+                counted, held = {}, 0
+        if counted:
+            yield frequent(list(counted.values()))
+
+    schema = "is_doc boolean, doc_id long, n long, print binary, wide binary, " + ", ".join(f"{s} long" for s in SKETCH) + ", firsts array<long>"
     return written(_rows(docs).mapInArrow(run, schema), "jaccard-sets")
 
 
+def wide_sketch(found: np.ndarray) -> bytes:
+    """Parities of a set's hashes over a power of two of bits, no fewer than the set has shingles."""
+    bits = max(512, 1 << (len(found) - 1).bit_length()) if len(found) else 512
+    return np.packbits((np.bincount((found & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def sketches_differ(a: bytes, b: bytes) -> int:
+    """In how many bits two sketches differ, the longer one folded to the length of the other."""
+    x, y = (np.frombuffer(s, np.uint8) for s in (a, b))
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(s.reshape(-1, size), axis=0) for s in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -223,8 +260,31 @@ def _in_bitmap(docs: DataFrame, bits: np.ndarray) -> Column:
 # --- verification ---
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` of documents that link, decided on their words."""
+def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose wide sketches allow a link; they are as wide as the sets, so long texts count too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                columns = [part.column(n).to_pylist() for n in ("n_a", "n_b", "wide_a", "wide_b")]
+                kept = [
+                    (DENOMINATOR + NUMERATOR) * sketches_differ(x, y) <= (n + m) * (DENOMINATOR - NUMERATOR)
+                    for n, m, x, y in zip(*columns)
+                ]
+                arrays = [part.column("a"), part.column("b")]
+                yield pa.RecordBatch.from_arrays(arrays, ["a", "b"]).filter(pa.array(kept))
+
+    first = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("wide").alias("wide_a"))
+    other = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("wide").alias("wide_b"))
+    return pairs.join(first, "a").join(other, "b").select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(run, "a long, b long")
+
+
+def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` of documents that link, decided on their words.
+
+    ``sets`` has the size and the wide sketch of every document in ``pairs``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, of_last = None, set()
@@ -241,7 +301,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                         links.append((a, b))
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
 
-    wanted = written(pairs, "jaccard-pairs")
+    wanted = written(_plausible(pairs, sets), "jaccard-pairs")
     ids = wanted.select(F.explode(F.array("a", "b")).alias("doc_id"))
     texts = _rows(docs).filter(_in_bitmap(docs, _bitmap(ids.select(_bit_of("doc_id").alias("bit")))))
     first = wanted.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -395,7 +455,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rows = described.filter("is_doc").drop("is_doc")
     nodes = rows.filter("n > 0 AND doc_id IS NOT NULL")
     first = nodes.groupBy("print").agg(F.min("doc_id").alias("rep"))
-    reps = written(nodes.join(first, "print").select("doc_id", "rep", "n", *SKETCH, "firsts"), "jaccard-reps")
+    reps = written(nodes.join(first, "print").select("doc_id", "rep", "n", "wide", *SKETCH, "firsts"), "jaccard-reps")
     standing = reps.filter("doc_id = rep")
 
     # first round: each set against the smallest document under its minimum hashes
@@ -406,7 +466,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     met = entries.join(hubs, "key").filter("doc.doc_id <> hub.doc_id")
     near = met.filter(_may_link(F.col("doc.n"), F.col("hub.n"), sketch("doc"), sketch("hub")))
     pairs = near.select(F.col("doc.doc_id").alias("a"), F.col("hub.doc_id").alias("b")).distinct()
-    stars = written(_verified(docs, pairs), "jaccard-links")
+    stars = written(_verified(docs, standing, pairs), "jaccard-links")
     known = written(components(stars), "jaccard-components")
 
     # second round: keys whose lists hold several components
@@ -427,7 +487,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     across = across & _may_link(F.col("doc.n"), F.col("other.n"), sketch("doc"), sketch("other"))
     left = held.join(other, "key").filter(across)
     pairs = left.select(F.col("doc.doc_id").alias("a"), F.col("other.doc_id").alias("b")).distinct()
-    links = known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_verified(docs, pairs))
+    links = known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_verified(docs, standing, pairs))
     linked = components(links)
 
     found = reps.select("doc_id", "rep").distinct().join(linked, F.col("rep") == F.col("node"), "left")
