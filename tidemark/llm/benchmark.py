@@ -76,8 +76,9 @@ def _detailed(rows: DataFrame, *kept: str) -> DataFrame:
 
     A slot is its place in the window, its type and the word behind it, in one text.
     """
-    windows = rows.select(*kept, "words", "parts", F.explode(_places()).alias("place"))
-    cut = windows.select(*kept, "place", _window("words", F.col("place")).alias("words"), _window("parts", F.col("place")).alias("parts"))
+    # cut before the rows are made: a row has the words of its window, not those of the text
+    cut_out = F.transform(_places(), lambda at: F.struct(at.alias("place"), _window("words", at).alias("words"), _window("parts", at).alias("parts")))
+    cut = rows.select(*kept, F.explode(cut_out).alias("cut")).select(*kept, "cut.*")
     literal = F.size(F.filter("parts", lambda part: ~_placeholder(part)))
     slots = F.filter(
         F.transform(
