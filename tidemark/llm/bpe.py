@@ -319,28 +319,33 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, data binary")
 
 
-def token_digests(docs: DataFrame, path: str) -> DataFrame:
+def token_digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row: encoded, then decoded from the ids.
 
-    Null, repeated and empty input as in :func:`encode_documents`.
+    With ``with_ids`` the ids come along as ``ids array<int>``. Null, repeated and empty input as in
+    :func:`encode_documents`.
     """
     ranks = _shared_ranks(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks.value)
         for batch in batches:
-            counts, digests, decoded = [], [], []
             for at in range(0, batch.num_rows, 256):
-                for packed in codec.encode(batch.column("text").slice(at, 256).to_pylist()):
-                    counts.append(len(packed) // 4)
-                    digests.append(hashlib.sha256(packed).hexdigest())
-                    decoded.append(hashlib.sha256(codec.decode(np.frombuffer(packed, "<u4"))).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                part = batch.slice(at, 256)
+                packed = list(codec.encode(part.column("text").to_pylist()))
+                ids = [np.frombuffer(p, "<u4") for p in packed]
+                columns = {
+                    "doc_id": part.column("doc_id"),
+                    "n_tokens": pa.array([len(i) for i in ids], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(codec.decode(i)).hexdigest() for i in ids], pa.string()),
+                }
+                if with_ids:
+                    columns["ids"] = pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return _texts(docs).mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
