@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.session import require_checkpoint_dir
 
@@ -31,3 +32,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def most_frequent(counted: DataFrame, at_most: int, uses: str) -> DataFrame:
+    """The rows with the highest counts, ``at_most`` in all, without sorting the others.
+
+    Counts fall into classes of an eighth of an octave; a sum per class (a few hundred rows) tells which
+    classes fit as a whole. Rows of the first class that does not fit are left out, so the choice does
+    not depend on the order of ties.
+    """
+    level = F.floor(F.log2(uses) * 8).cast("long")
+    sizes = counted.filter(F.col(uses) > 0).groupBy(level.alias("level")).count().collect()
+    lowest, total = None, 0
+    for row in sorted(sizes, key=lambda r: -r["level"]):
+        total += row["count"]
+        if total > at_most:
+            break
+        lowest = row["level"]
+    return counted.filter((F.col(uses) > 0) & (level >= lowest)) if lowest is not None else counted.limit(0)

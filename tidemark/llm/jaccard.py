@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import partitions, written
+from tidemark.llm.common import most_frequent, partitions, written
 from tidemark.llm.components import components
 from tidemark.llm.substrings import U, _combined, _mixed, pack, unpack, word_hashes
 
@@ -471,8 +471,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     # second round: keys whose lists hold several components
     heavy = described.filter("NOT is_doc").groupBy(F.col("firsts")[0].alias("token")).agg(F.sum("n").alias("uses"))
-    heavy = heavy.orderBy(F.desc("uses"), "token").limit(HEAVY_TOKENS).collect()
-    tokens = np.array([t for t, _ in reversed(heavy)], np.int64).astype(np.uint64)
+    heavy = sorted((uses, token) for token, uses in most_frequent(written(heavy, "jaccard-heavy"), HEAVY_TOKENS, "uses").collect())
+    tokens = np.array([token for _, token in heavy], np.int64).astype(np.uint64)
     sizes = {n: c for n, c in standing.filter(F.col("n") <= LIGHT_AT_MOST).groupBy("n").count().collect()}
     keys = spark.sparkContext.broadcast(Keys(choose_boundary(sizes), tokens))
     entries_now = standing.agg(F.sum(F.floor(F.col("n") / DENOMINATOR) + 1)).first()[0] or 0
