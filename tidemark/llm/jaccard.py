@@ -34,10 +34,10 @@ from tidemark.llm.substrings import U, _combined, _mixed, pack, unpack, word_has
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5
-ROUND_BYTES = 4 << 20
+ROUND_BYTES = 2 << 20
 FIRSTS = 4
 HEAVY_USES = 3
-COUNTED_AT_ONCE = 4_000_000
+COUNTED_AT_ONCE = 2_000_000
 HEAVY_TOKENS = 1 << 16
 LIGHT_AT_MOST = 24
 SCAN_WEIGHT = 4
