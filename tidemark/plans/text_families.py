@@ -72,185 +72,176 @@ SOURCETYPE_PREFIXES = (
     "symantec:ep:", "mysql:", "aws:", "code42:", "ms:aad:", "o365:", "ms:o365:",
 )
 
-# Fixed values: ``sourcetype = families in order of priority`` (nothing after ``=``: the text of
-# this sourcetype holds no timestamps).
-_SOURCETYPE_TEXT = """
-stream:http = iso8601
-stream:dns = iso8601
-stream:dhcp = iso8601
-stream:icmp = iso8601
-stream:ip = iso8601
-stream:ldap = iso8601
-stream:mapi = iso8601
-stream:sip = iso8601
-stream:smb = iso8601
-stream:snmp = iso8601
-stream:tcp = iso8601
-stream:ftp = iso8601
-stream:arp = iso8601
-stream:mysql = iso8601
-stream:smtp = iso8601
-stream:udp = iso8601
-stream:irc = iso8601
-stream:igmp = iso8601
-suricata = iso8601
-XmlWinEventLog:Microsoft-Windows-Sysmon/Operational = iso8601
-WinEventLog:Security = us_date
-WinEventLog:Application = us_date
-WinEventLog:System = us_date
-WinEventLog:Directory-Service = us_date
-WinEventLog:Microsoft-Windows-PowerShell/Operational = us_date
-WinEventLog:Microsoft-Windows-AppLocker/EXE and DLL = us_date
-WinEventLog:Microsoft-Windows-AppLocker/Packaged app-Execution = us_date
-WinRegistry = us_date
-fortigate_event = fortigate syslog
-fortigate_traffic = fortigate syslog
-fortigate_utm = fortigate syslog
-fgt_event = fortigate syslog
-fgt_traffic = fortigate syslog
-fgt_utm = fortigate syslog
-iis = datetime
-nessus:scan = epoch
-pan:traffic = syslog panos
-pan:threat = syslog panos
-pan:system = syslog
-symantec:ep:security:file = datetime
-symantec:ep:traffic:file = datetime
-symantec:ep:agent:file = datetime
-symantec:ep:agt_system:file = datetime
-symantec:ep:behavior:file = datetime
-symantec:ep:packet:file = datetime
-symantec:ep:scan:file = datetime
-symantec:ep:scm_system:file = datetime
-symantec:ep:risk:file = datetime
-access_combined = clf
-WebLogic_Access_Combined = clf
-apache_error = apache_error
-weblogic_stdout = iso8601
-syslog = syslog ctime
-linux_secure = syslog
-auditd = us_date
-linux_audit = audit
-linux:audit = audit
-cisco:asa = syslog
-osquery_results = ctime epoch
-osquery_info = ctime epoch
-osquery:results = ctime epoch
-osquery:info = ctime epoch
-osquery_warning =
-osquery:warning =
-aws:cloudtrail = iso8601
-aws:cloudwatch = iso8601
-aws:cloudwatchlogs = iso8601
-aws:cloudwatch:guardduty = iso8601
-aws:elb:accesslogs = iso8601
-aws:s3:accesslogs = clf
-aws:rds:audit = compact
-aws:rds:error = iso8601
-aws:config:rule = iso8601
-aws:description = iso8601
-aws:cloudwatchlogs:vpcflow =
-ms:o365:management = iso8601
-o365:management:activity = iso8601
-ms:o365:reporting:messagetrace = iso8601 dotnet
-ms:aad:signin = iso8601 epoch_ms
-ms:aad:audit = iso8601 epoch_ms
-code42:security = iso8601 epoch epoch_ms ctime
-code42:api = iso8601
-code42:computer = iso8601
-code42:org = iso8601
-code42:user = iso8601
-mysql:connection:stats =
-mysql:database =
-mysql:errorLog = iso8601
-mysql:instance:stats =
-mysql:server:stats =
-mysql:status =
-mysql:table_io_waits_summary_by_index_usage =
-mysql:tableStatus =
-mysql:transaction:details =
-mysql:transaction:stats =
-mysql:user =
-mysql:variables =
-mysqld-8 =
-Perfmon:CPU =
-Perfmon:LogicalDisk =
-Perfmon:Memory =
-Perfmon:Network =
-Perfmon:Network_Interface =
-Perfmon:NTDS =
-Perfmon:PhysicalDisk =
-Perfmon:Process =
-Perfmon:Processor =
-Perfmon:System =
-PerfmonMk:Process =
-collectd =
-cpu =
-df =
-iostat =
-vmstat =
-top =
-ps =
-netstat =
-who =
-time =
-bandwidth =
-WinHostMon =
-hardware =
-interfaces =
-openPorts =
-package =
-protocol =
-lastlog =
-lsof =
-usersWithLoginPrivs =
-ActiveDirectory =
-MSAD:NT6:Health =
-MSAD:NT6:SiteInfo =
-Linux:SELinuxConfig =
-WindowsUpdateLog =
-Powershell:ScriptExecutionSummary =
-Script:InstalledApps =
-Script:ListeningPorts =
-Script:GetEndpointInfo =
-Unix:ListeningPorts =
-Unix:Service =
-Unix:SSHDConfig =
-Unix:Update =
-Unix:Uptime =
-Unix:UserAccounts =
-Unix:Version =
-web_ping =
-csp-violation =
-ess_content_importer =
-config_file =
-dmesg =
-dpkg =
-alternatives =
-bootstrap =
-cloud-init =
-cloud-init-output =
-amazon-ssm-agent =
-amazon-ssm-agent-too_small =
-bash_history =
-history-2 =
-localhost-5 =
-out-3 =
-errors =
-error-too_small =
-errors-too_small =
-cron-too_small =
-maillog-too_small =
-yum-too_small =
-"""
-
-
-def _sourcetypes() -> dict[str, tuple[str, ...]]:
-    rows = (row.split("=", 1) for row in _SOURCETYPE_TEXT.strip().splitlines())
-    return {name.strip(): tuple(families.split()) for name, families in rows}
-
-
-SOURCETYPE_FAMILIES = _sourcetypes()
+# Families of a sourcetype in order of priority; none means that its text holds no timestamps.
+SOURCETYPE_FAMILIES: dict[str, tuple[str, ...]] = {
+    "stream:http": ("iso8601",),
+    "stream:dns": ("iso8601",),
+    "stream:dhcp": ("iso8601",),
+    "stream:icmp": ("iso8601",),
+    "stream:ip": ("iso8601",),
+    "stream:ldap": ("iso8601",),
+    "stream:mapi": ("iso8601",),
+    "stream:sip": ("iso8601",),
+    "stream:smb": ("iso8601",),
+    "stream:snmp": ("iso8601",),
+    "stream:tcp": ("iso8601",),
+    "stream:ftp": ("iso8601",),
+    "stream:arp": ("iso8601",),
+    "stream:mysql": ("iso8601",),
+    "stream:smtp": ("iso8601",),
+    "stream:udp": ("iso8601",),
+    "stream:irc": ("iso8601",),
+    "stream:igmp": ("iso8601",),
+    "suricata": ("iso8601",),
+    "XmlWinEventLog:Microsoft-Windows-Sysmon/Operational": ("iso8601",),
+    "WinEventLog:Security": ("us_date",),
+    "WinEventLog:Application": ("us_date",),
+    "WinEventLog:System": ("us_date",),
+    "WinEventLog:Directory-Service": ("us_date",),
+    "WinEventLog:Microsoft-Windows-PowerShell/Operational": ("us_date",),
+    "WinEventLog:Microsoft-Windows-AppLocker/EXE and DLL": ("us_date",),
+    "WinEventLog:Microsoft-Windows-AppLocker/Packaged app-Execution": ("us_date",),
+    "WinRegistry": ("us_date",),
+    "fortigate_event": ("fortigate", "syslog"),
+    "fortigate_traffic": ("fortigate", "syslog"),
+    "fortigate_utm": ("fortigate", "syslog"),
+    "fgt_event": ("fortigate", "syslog"),
+    "fgt_traffic": ("fortigate", "syslog"),
+    "fgt_utm": ("fortigate", "syslog"),
+    "iis": ("datetime",),
+    "nessus:scan": ("epoch",),
+    "pan:traffic": ("syslog", "panos"),
+    "pan:threat": ("syslog", "panos"),
+    "pan:system": ("syslog",),
+    "symantec:ep:security:file": ("datetime",),
+    "symantec:ep:traffic:file": ("datetime",),
+    "symantec:ep:agent:file": ("datetime",),
+    "symantec:ep:agt_system:file": ("datetime",),
+    "symantec:ep:behavior:file": ("datetime",),
+    "symantec:ep:packet:file": ("datetime",),
+    "symantec:ep:scan:file": ("datetime",),
+    "symantec:ep:scm_system:file": ("datetime",),
+    "symantec:ep:risk:file": ("datetime",),
+    "access_combined": ("clf",),
+    "WebLogic_Access_Combined": ("clf",),
+    "apache_error": ("apache_error",),
+    "weblogic_stdout": ("iso8601",),
+    "syslog": ("syslog", "ctime"),
+    "linux_secure": ("syslog",),
+    "auditd": ("us_date",),
+    "linux_audit": ("audit",),
+    "linux:audit": ("audit",),
+    "cisco:asa": ("syslog",),
+    "osquery_results": ("ctime", "epoch"),
+    "osquery_info": ("ctime", "epoch"),
+    "osquery:results": ("ctime", "epoch"),
+    "osquery:info": ("ctime", "epoch"),
+    "osquery_warning": (),
+    "osquery:warning": (),
+    "aws:cloudtrail": ("iso8601",),
+    "aws:cloudwatch": ("iso8601",),
+    "aws:cloudwatchlogs": ("iso8601",),
+    "aws:cloudwatch:guardduty": ("iso8601",),
+    "aws:elb:accesslogs": ("iso8601",),
+    "aws:s3:accesslogs": ("clf",),
+    "aws:rds:audit": ("compact",),
+    "aws:rds:error": ("iso8601",),
+    "aws:config:rule": ("iso8601",),
+    "aws:description": ("iso8601",),
+    "aws:cloudwatchlogs:vpcflow": (),
+    "ms:o365:management": ("iso8601",),
+    "o365:management:activity": ("iso8601",),
+    "ms:o365:reporting:messagetrace": ("iso8601", "dotnet"),
+    "ms:aad:signin": ("iso8601", "epoch_ms"),
+    "ms:aad:audit": ("iso8601", "epoch_ms"),
+    "code42:security": ("iso8601", "epoch", "epoch_ms", "ctime"),
+    "code42:api": ("iso8601",),
+    "code42:computer": ("iso8601",),
+    "code42:org": ("iso8601",),
+    "code42:user": ("iso8601",),
+    "mysql:connection:stats": (),
+    "mysql:database": (),
+    "mysql:errorLog": ("iso8601",),
+    "mysql:instance:stats": (),
+    "mysql:server:stats": (),
+    "mysql:status": (),
+    "mysql:table_io_waits_summary_by_index_usage": (),
+    "mysql:tableStatus": (),
+    "mysql:transaction:details": (),
+    "mysql:transaction:stats": (),
+    "mysql:user": (),
+    "mysql:variables": (),
+    "mysqld-8": (),
+    "Perfmon:CPU": (),
+    "Perfmon:LogicalDisk": (),
+    "Perfmon:Memory": (),
+    "Perfmon:Network": (),
+    "Perfmon:Network_Interface": (),
+    "Perfmon:NTDS": (),
+    "Perfmon:PhysicalDisk": (),
+    "Perfmon:Process": (),
+    "Perfmon:Processor": (),
+    "Perfmon:System": (),
+    "PerfmonMk:Process": (),
+    "collectd": (),
+    "cpu": (),
+    "df": (),
+    "iostat": (),
+    "vmstat": (),
+    "top": (),
+    "ps": (),
+    "netstat": (),
+    "who": (),
+    "time": (),
+    "bandwidth": (),
+    "WinHostMon": (),
+    "hardware": (),
+    "interfaces": (),
+    "openPorts": (),
+    "package": (),
+    "protocol": (),
+    "lastlog": (),
+    "lsof": (),
+    "usersWithLoginPrivs": (),
+    "ActiveDirectory": (),
+    "MSAD:NT6:Health": (),
+    "MSAD:NT6:SiteInfo": (),
+    "Linux:SELinuxConfig": (),
+    "WindowsUpdateLog": (),
+    "Powershell:ScriptExecutionSummary": (),
+    "Script:InstalledApps": (),
+    "Script:ListeningPorts": (),
+    "Script:GetEndpointInfo": (),
+    "Unix:ListeningPorts": (),
+    "Unix:Service": (),
+    "Unix:SSHDConfig": (),
+    "Unix:Update": (),
+    "Unix:Uptime": (),
+    "Unix:UserAccounts": (),
+    "Unix:Version": (),
+    "web_ping": (),
+    "csp-violation": (),
+    "ess_content_importer": (),
+    "config_file": (),
+    "dmesg": (),
+    "dpkg": (),
+    "alternatives": (),
+    "bootstrap": (),
+    "cloud-init": (),
+    "cloud-init-output": (),
+    "amazon-ssm-agent": (),
+    "amazon-ssm-agent-too_small": (),
+    "bash_history": (),
+    "history-2": (),
+    "localhost-5": (),
+    "out-3": (),
+    "errors": (),
+    "error-too_small": (),
+    "errors-too_small": (),
+    "cron-too_small": (),
+    "maillog-too_small": (),
+    "yum-too_small": (),
+}
 PREFIX_FAMILIES = {
     prefix: next(f for name, f in SOURCETYPE_FAMILIES.items() if name.startswith(prefix))
     for prefix in SOURCETYPE_PREFIXES
