@@ -43,6 +43,24 @@ def test_line_numbers_over_many_splits(spark, tmp_path):
     assert {(r.file_name, r.line_number, r.line) for r in shown} == {(f, n, t[:5]) for f, n, t in want if n <= 3}
 
 
+def test_line_numbers_never_lose_lines(spark, tmp_path):
+    for name in ("a.log", "b.log"):
+        (tmp_path / name).write_text("".join(f"line {i} of {name}\n" for i in range(5000)))
+    conf = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(conf, "100000")
+    try:
+        numbered = readers.number_lines(readers.read_lines(spark, str(tmp_path)))
+        spark.conf.set(conf, "7000")
+        with pytest.raises(Exception, match="split differently"):
+            numbered.collect()
+        spark.conf.set(conf, "100000")
+        numbered = readers.number_lines(readers.read_lines(spark, str(tmp_path)))
+        assert numbered.count() == 10_000
+        assert {int(r.line.split()[1]) - r.line_number for r in numbered.collect()} == {-1}
+    finally:
+        spark.conf.unset(conf)
+
+
 def test_text_reader(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"one\n\n  \n<Event><System><X>1</X></System></Event>\n<Event><bad\n\xff\xfe bad\ntwo\n")
     rows = readers.read_text(spark, str(tmp_path), line_numbers=True).orderBy("line_number").collect()

@@ -94,6 +94,29 @@ def test_bad_json(spark):
     assert [r.i for r in flat.filter("is_object").collect()] == [5]
 
 
+def test_white_space_around_records(spark):
+    good = ['{"a":1}', '\t{"a":1}', '{"a":1}\t \r', '\u00a0{"a":1}\x0b', " {\"a\":1} "]
+    assert records(spark, good).filter("data IS NOT NULL").count() == len(good)
+
+
+def test_groups_without_key_or_settings(spark):
+    from tidemark.operators import shift
+    from tidemark.plans.shift_plan import SETTING_FIELDS
+
+    rows = spark.sql(
+        "SELECT k, timestamp_micros(t) AS ts, map('x', parse_json('1')) AS data "
+        "FROM VALUES ('a', 5000000), (NULL, 7000000), ('b', 9000000), ('c', NULL) AS t(k, t)"
+    )
+    settings = spark.createDataFrame([("a", 1.0, "auto", "2020-01-01T00:00:00Z", True, "now")], "k string, delta_factor double, base_time string, target_time string, prevent_future boolean, ceiling_time string")
+    assert set(SETTING_FIELDS) < set(settings.columns)
+    run = 1_700_000_000_000_000
+    plans = shift.plan_by_group(rows, [F.col("ts")], "k", settings, run)
+    moved = {r.k: r.new for r in shift.shift_by_group(rows, plans, "k", {"ts": "new"}).selectExpr("k", "unix_micros(new) AS new").collect()}
+    assert moved == {"a": 1_577_836_800_000_000, None: run, "b": run, "c": None}
+    results = {r.k: r.error for r in shift.group_results(rows, [F.col("ts")], plans, "k").collect()}
+    assert results == {"a": None, None: None, "b": None, "c": "no readable timestamp"}
+
+
 def test_no_timestamps(spark):
     with pytest.raises(NoTimestampsError):
         require_range(spark.createDataFrame([(None,)], "t timestamp"), [F.col("t")])

@@ -72,7 +72,8 @@ def json_fields(
         [T.StructField(t, T.VariantType()) for t in tops] + [T.StructField(_BAD, T.StringType())]
     )
     options = {**JSON_OPTIONS, "columnNameOfCorruptRecord": _BAD}
-    parsed = F.when(looks_like_object(F.col(raw)), F.from_json(F.col(raw), schema, options))
+    text = stripped(F.col(raw))
+    parsed = F.when(looks_like_object(text), F.from_json(text, schema, options))
     # names are replaced by position: fields may differ in letter case only
     helpers = [f"_field_{i}" for i in range(len(tops))]
     staged = df.withColumn("_parsed", parsed)
@@ -92,15 +93,26 @@ def json_fields(
     return flat.drop("_known", _BAD), read
 
 
-def looks_like_object(raw: Column) -> Column:
-    return F.trim(raw).startswith("{") & F.rtrim(F.regexp_replace(raw, r"[\r\n\t]+\z", "")).endswith("}")
+# What counts as white space around a record.
+WHITE_SPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def stripped(raw: Column) -> Column:
+    return F.btrim(raw, F.lit(WHITE_SPACE))
+
+
+def looks_like_object(text: Column) -> Column:
+    """Whether text without white space around it can be a JSON object."""
+    return text.startswith("{") & text.endswith("}")
 
 
 def json_object(raw: Column) -> Column:
     """JSON text to ``map<string, variant>``, NULL where it is not one object."""
-    return F.when(
-        looks_like_object(raw), F.from_json(raw, "map<string,variant>", JSON_OPTIONS)
-    )
+    text = stripped(raw)
+    return F.when(looks_like_object(text), F.from_json(text, "map<string,variant>", JSON_OPTIONS))
 
 
 # ---------------------------------------------------------------------------------------------

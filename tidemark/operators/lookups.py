@@ -13,15 +13,6 @@ from tidemark.plans.shift_plan import SETTING_FIELDS
 from tidemark.plans.text_families import DEFAULT_FAMILIES, PREFIX_FAMILIES, SOURCETYPE_FAMILIES
 from tidemark.session import cut_lineage
 
-BROADCAST_ROWS = 100_000
-
-
-def bounded_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``dim`` only after counting that it is small; otherwise leave the join to AQE."""
-    few = dim.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(dim) if few else dim
-
-
 def file_sourcetypes(df: DataFrame, files: DataFrame) -> DataFrame:
     """Add the sourcetype of each row's file (NULL when unlisted).
 
@@ -30,7 +21,7 @@ def file_sourcetypes(df: DataFrame, files: DataFrame) -> DataFrame:
     """
     named = files.filter(F.col("sourcetype").isNotNull())
     one = named.groupBy("file_name").agg(F.max_by("sourcetype", "position").alias("sourcetype"))
-    return df.join(bounded_broadcast(one), "file_name", "left")
+    return df.join(one, "file_name", "left")
 
 
 def registry_table(spark: SparkSession) -> DataFrame:
@@ -82,7 +73,7 @@ def sourcetype_families(df: DataFrame, sourcetype: str) -> DataFrame:
 def uncovered_references(references: DataFrame, bundled: DataFrame) -> DataFrame:
     """References whose sourcetype no bundled file covers (one without a sourcetype is kept)."""
     covered = bundled.select("sourcetype").filter(F.col("sourcetype").isNotNull()).distinct()
-    return references.join(bounded_broadcast(covered), "sourcetype", "left_anti")
+    return references.join(covered, "sourcetype", "left_anti")
 
 
 def dependency_closure(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -200,8 +191,11 @@ def effective_settings(
 
 
 def fan_out(df: DataFrame, destinations: DataFrame) -> DataFrame:
-    """Every dataset row once per destination of its profile (``profile`` is the join key)."""
-    return df.join(bounded_broadcast(destinations), "profile")
+    """Every dataset row once per destination of its profile (``profile`` is the join key).
+
+    A dataset whose profile has no destination stays, with NULLs for it.
+    """
+    return df.join(destinations, "profile", "left")
 
 
 def first_per_key(df: DataFrame, key: str, order: Sequence[Column], n: int) -> DataFrame:

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.affine import Affine
 from tidemark.operators.bounds import earliest_of, latest_of, range_by
-from tidemark.plans.shift_plan import PLAN_FIELDS, affine_of_plan_columns, plan_columns
+from tidemark.plans.shift_plan import (
+    PLAN_FIELDS,
+    SETTING_FIELDS,
+    TimeSettings,
+    affine_of_plan_columns,
+    plan_columns,
+)
 from tidemark.session import cut_lineage
 
-# A plan row is a few dozen bytes; this many stay below ten megabytes on every executor.
-BROADCAST_ROWS = 100_000
-
-
 def shift_columns(df: DataFrame, plan: Affine, columns: dict[str, str]) -> DataFrame:
     """Add a moved copy of each timestamp column: ``{source: new name}``."""
     return df.withColumns(
@@ -69,26 +71,16 @@ def shift_counters(us: list[Column], plan: Affine, run_time: int) -> dict[str, C
     }
 
 
-def attach_plans(df: DataFrame, plans: DataFrame, key: str, salts: int = 32) -> DataFrame:
+def attach_plans(df: DataFrame, plans: DataFrame, key: str) -> DataFrame:
     """Put the plan of its group next to every row.
 
-    ``plans`` (one row per key) is the result of an aggregation over the data; it is materialised
-    once. Up to :data:`BROADCAST_ROWS` plans are broadcast and the data is not shuffled. Beyond
-    that the rows are joined by key and salt, so that a group with a large share of all rows is
-    spread over ``salts`` tasks. Every row is kept; a row without a plan gets NULLs.
+    ``plans`` (one row per key) is the result of an aggregation over the data; it is written once.
+    The planner broadcasts it if its bytes allow, else joins by key, and the adaptive join splits a
+    group with a large share of all rows. Every row is kept, the NULL key is a group like any other,
+    and a row without a plan gets NULLs.
     """
     plans = cut_lineage(plans.select(F.col(key).alias("_plan_key"), *PLAN_FIELDS))
-    if plans.count() <= BROADCAST_ROWS:
-        joined = df.join(F.broadcast(plans), F.col(key).eqNullSafe(F.col("_plan_key")), "left")
-        return joined.drop("_plan_key")
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
-    spread = plans.withColumn("_plan_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = df.withColumn("_salt", salt).join(
-        spread,
-        F.col(key).eqNullSafe(F.col("_plan_key")) & (F.col("_salt") == F.col("_plan_salt")),
-        "left",
-    )
-    return joined.drop("_plan_key", "_salt", "_plan_salt")
+    return df.join(plans, F.col(key).eqNullSafe(F.col("_plan_key")), "left").drop("_plan_key")
 
 
 def plan_by_group(
@@ -97,15 +89,22 @@ def plan_by_group(
     """A plan per group from its own time range and its row of ``settings``.
 
     ``settings`` has the key and the columns of ``SETTING_FIELDS``, as
-    :func:`tidemark.operators.lookups.effective_settings` gives them. A group without a readable
-    instant has no plan.
+    :func:`tidemark.operators.lookups.effective_settings` gives them; a group without a row there is
+    replayed by the defaults of :class:`TimeSettings`. The NULL key is a group too. A group without a
+    readable instant has no plan.
     """
     ranges = range_by(df, instants, [F.col(key)]).filter(F.col("earliest").isNotNull())
     ends = ranges.select(
         key, F.unix_micros(F.col("earliest").cast("timestamp")).alias("earliest_us"),
         F.unix_micros(F.col("latest").cast("timestamp")).alias("latest_us"),
     )
-    return plan_columns(ends.join(settings, key), run_time).select(key, *PLAN_FIELDS)
+    own = settings.select(F.col(key).alias("_settings_key"), *SETTING_FIELDS, F.lit(True).alias("_set"))
+    joined = ends.join(own, F.col(key).eqNullSafe(F.col("_settings_key")), "left")
+    defaults = TimeSettings()
+    filled = joined.withColumns({
+        f: F.when(F.col("_set"), F.col(f)).otherwise(F.lit(getattr(defaults, f))) for f in SETTING_FIELDS
+    })
+    return plan_columns(filled.drop("_settings_key", "_set"), run_time).select(key, *PLAN_FIELDS)
 
 
 def group_results(
@@ -122,7 +121,8 @@ def group_results(
         F.max(latest_of(instants)).alias("original_latest"),
     )
     plan = affine_of_plan_columns()
-    joined = ranges.join(plans, key, "left")
+    plans = plans.withColumnRenamed(key, "_plan_key")
+    joined = ranges.join(plans, F.col(key).eqNullSafe(F.col("_plan_key")), "left").drop("_plan_key")
     return joined.select(
         *ranges.columns,
         plan.timestamp(F.col("original_earliest").cast("timestamp")).alias("new_earliest"),

@@ -8,10 +8,10 @@ from tidemark.functions.timeexpr import moment
 from tidemark.plans.pattern_sets import Pattern
 from tidemark.queries.field_queries import json_events
 from tidemark.queries.registry import (
-    BOUNDS_SQL, RUN_TIME, clock, events, moved_sql, plan, query, scratch, second, table,
+    BOUNDS_SQL, RUN_TIME, TARGET, TARGET_SQL, clock, events, moved_sql, plan, query, scratch, second, table,
 )
 from tidemark.replay import Replay
-from tidemark.sinks.files import run_dry, write_lines
+from tidemark.sinks.files import write_lines
 from tidemark.sources import listing, readers
 
 
@@ -49,10 +49,24 @@ def scan_json_lines(spark, sf_dir):
     )
 
 
-@query("quarantined_lines", "SELECT count(*) AS bad FROM events WHERE event_id % 97 = 96")
+@query("quarantined_lines", "SELECT event_id FROM events WHERE event_id % 97 = 96")
 def quarantined_lines(spark, sf_dir):
+    """The lines a reader of JSON lines leaves out: here those cut in half."""
     rows = json_events(spark, sf_dir).select("event_type", F.col("raw").alias("value"))
-    return readers.quarantine(spark, _write(rows, scratch(spark))).agg(F.count("error").alias("bad"))
+    bad = readers.quarantine(spark, _write(rows, scratch(spark)))
+    return bad.select(F.regexp_extract("raw", r'"event_id":(\d+)', 1).cast("bigint").alias("event_id"))
+
+
+@query("scan_padded_lines", """
+SELECT event_id, user_id FROM events""")
+def scan_padded_lines(spark, sf_dir):
+    """JSON lines with white space of all kinds around them are records like any other."""
+    pads = F.array(*map(F.lit, ("", "\t", " \t ", "\u00a0", "\x0b", "\u2003\t")))
+    pad = F.element_at(pads, (F.pmod("event_id", F.lit(6)) + 1).cast("int"))
+    text = F.concat(pad, F.to_json(F.struct("event_id", "user_id")), pad)
+    rows = events(spark, sf_dir).select("event_type", text.alias("value"))
+    read = readers.read_json_lines(spark, _write(rows, scratch(spark)))
+    return read.select(*[F.try_variant_get(F.col("data")[c], "$", "bigint").alias(c) for c in ("event_id", "user_id")])
 
 
 @query("scan_json_documents", "SELECT event_id, user_id FROM events")
@@ -145,8 +159,8 @@ def scan_xml_lines(spark, sf_dir):
 
 
 @query("scan_auto", """
-SELECT CASE event_id % 3 WHEN 0 THEN 'jsonl' WHEN 1 THEN 'xml' ELSE 'text' END AS format, count(*) AS n,
-       count(*) FILTER (event_id % 3 < 2) AS with_id FROM events GROUP BY 1""")
+SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'jsonl' WHEN 1 THEN 'xml' ELSE 'text' END AS format,
+       CASE WHEN event_id % 3 < 2 THEN event_id::VARCHAR END AS id FROM events""")
 def scan_auto(spark, sf_dir):
     """Format by line."""
     i = F.pmod("event_id", F.lit(3))
@@ -157,54 +171,59 @@ def scan_auto(spark, sf_dir):
     )
     rows = events(spark, sf_dir).select("event_type", value.alias("value"))
     read = readers.read_auto(spark, _write(rows, scratch(spark)))
-    return read.groupBy("format").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.map_contains_key("data", F.lit("id"))).alias("with_id")
+    return read.select(
+        F.regexp_extract("raw", r"(\d+)", 1).cast("bigint").alias("event_id"), "format",
+        F.try_variant_get(F.col("data")["id"], "$", "string").alias("id"),
     )
 
 
 @query("line_numbers", """
-SELECT count(*) AS lines, count(*) AS in_order FROM events""")
+SELECT event_id, row_number() OVER (PARTITION BY event_id // 2500 ORDER BY event_id) AS line_number FROM events""")
 def line_numbers(spark, sf_dir):
-    """Line numbers follow the order inside each file."""
+    """Line numbers follow the order inside each file; a file has 2,500 events here."""
     folder = scratch(spark)
-    ordered = events(spark, sf_dir).repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
-    ordered.select(F.col("event_id").cast("string").alias("value")).write.text(folder)
+    part = F.floor(F.col("event_id") / 2500).alias("part")
+    rows = events(spark, sf_dir).select(part, "event_id", F.col("event_id").cast("string").alias("value"))
+    ordered = rows.repartitionByRange(4, "part").sortWithinPartitions("part", "event_id")
+    ordered.select("part", "value").write.partitionBy("part").text(folder)
     numbered = readers.number_lines(readers.read_lines(spark, folder))
-    offset = F.col("line").cast("bigint") - F.col("line_number")
-    per_file = numbered.groupBy("file_path").agg(
-        F.count(F.lit(1)).alias("n"), F.min(offset).alias("lo"), F.max(offset).alias("hi")
-    )
-    return per_file.agg(
-        F.sum("n").alias("lines"), F.sum(F.when(F.col("lo") == F.col("hi"), F.col("n"))).alias("in_order")
-    )
+    return numbered.select(F.col("line").cast("bigint").alias("event_id"), "line_number")
 
 
 @query("file_preview", """
-SELECT 5 * count(DISTINCT event_type) AS lines, 12 AS longest FROM events""")
+SELECT event_id // 2500 AS part, row_number() OVER (PARTITION BY event_id // 2500 ORDER BY event_id) AS line_number,
+       left('a long line ' || event_id, 14) AS line FROM events QUALIFY line_number <= 5""")
 def file_preview(spark, sf_dir):
     """The first lines of every file, cut to a width."""
     folder = scratch(spark)
-    rows = events(spark, sf_dir).select("event_type", F.concat(F.lit("a long line "), "event_id").alias("value"))
-    rows.repartition("event_type").write.partitionBy("event_type").text(folder)
-    shown = readers.preview(spark, folder, 5, 12)
-    return shown.agg(F.count(F.lit(1)).alias("lines"), F.max(F.length("line")).alias("longest"))
+    part = F.floor(F.col("event_id") / 2500).alias("part")
+    rows = events(spark, sf_dir).select(part, "event_id", F.concat(F.lit("a long line "), "event_id").alias("value"))
+    ordered = rows.repartitionByRange(4, "part").sortWithinPartitions("part", "event_id")
+    ordered.select("part", "value").write.partitionBy("part").text(folder)
+    shown = readers.preview(spark, folder, 5, 14)
+    return shown.select(F.regexp_extract("file_path", r"part=(\d+)", 1).cast("bigint").alias("part"), "line_number", "line")
 
 
 @query("file_listing", """
-SELECT count(DISTINCT event_type) AS files, sum(length(event_id::VARCHAR) + 1)::BIGINT AS bytes, true AS verified FROM events""")
+SELECT event_id // 2500 AS part, count(*) AS lines, sum(length(event_id::VARCHAR) + 1)::BIGINT AS size,
+       event_id // 2500 % 2 = 0 AS ok FROM events GROUP BY event_id // 2500""")
 def file_listing(spark, sf_dir):
-    """Names, sizes and checksums of the files below a folder."""
+    """Names, sizes and checksums of files; the digests come from the rows, every other one is wrong."""
     folder = scratch(spark)
-    rows = events(spark, sf_dir).select("event_type", F.col("event_id").cast("string").alias("value"))
-    rows.repartition("event_type").write.partitionBy("event_type").text(folder)
-    files = listing.list_files(spark, folder, "*.txt")
-    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option(
-        "recursiveFileLookup", True).load(folder)
-    manifest = content.select("path", F.concat(F.lit("md5:"), F.md5("content")).alias("checksum"))
-    checked = listing.verify_checksums(spark, manifest, [folder]).filter(F.col("checksum").isNotNull())
-    return files.join(checked, "path").agg(
-        F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.every("ok").alias("verified")
-    )
+    part = F.floor(F.col("event_id") / 2500).alias("part")
+    rows = events(spark, sf_dir).select(part, "event_id", F.col("event_id").cast("string").alias("value"))
+    ordered = rows.repartitionByRange(4, "part").sortWithinPartitions("part", "event_id")
+    ordered.select("part", "value").write.partitionBy("part").text(folder)
+    place = F.regexp_extract("path", r"part=(\d+)", 1).cast("bigint").alias("part")
+    files = listing.list_files(spark, folder, "*.txt").select("path", "size", place)
+    # a file has 2,500 lines at most
+    text = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda i: i.cast("string")), "\n"), F.lit("\n"))
+    digests = rows.groupBy("part").agg(F.md5(text).alias("md5"), F.count(F.lit(1)).alias("lines"))
+    right = F.pmod("part", F.lit(2)) == 0
+    declared = F.concat(F.lit("md5:"), F.when(right, F.col("md5")).otherwise(F.reverse("md5")))
+    manifest = files.join(digests, "part").select("path", "part", "lines", "size", declared.alias("checksum"))
+    checked = listing.verify_checksums(spark, manifest, [folder]).select("path", "ok")
+    return manifest.join(checked, "path").select("part", "lines", "size", "ok")
 
 
 @query("write_by_template", """
@@ -270,22 +289,30 @@ def replay_statistics(spark, sf_dir):
     return job.run(dry_run=True)
 
 
-@query("replay_declared_range", """
-SELECT count(*) AS events, count(*) AS events_modified FROM events""")
+@query("replay_declared_range", f"""
+WITH {BOUNDS_SQL}, d AS (SELECT lo + 86400000000 AS lo, hi FROM b)
+SELECT event_id, make_timestamp({TARGET_SQL} + epoch_us(ts) - d.lo) AS new_ts FROM events, d""")
 def replay_declared_range(spark, sf_dir):
-    """A declared range replaces the first pass; the result is one pass over the files."""
+    """A declared range replaces the first pass: here it begins a day after the events do."""
     fixed = plan(spark, sf_dir)
     ends = table(spark, sf_dir, "events").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0]
+    out = scratch(spark)
     job = (
         Replay(spark, RUN_TIME).input_source(_log_folder(spark, sf_dir), "auto", patterns=(Pattern("timestamp"),))
-        .declared_range(moment(fixed.base), moment(ends))
+        .output_destination(out, "jsonl", "{sourcetype}").set_timestamp_options(target_time=TARGET)
+        .declared_range(moment(fixed.base + 86_400_000_000), moment(ends))
+    )
+    job.run()
+    data = F.col("data")
+    return readers.read_json_lines(spark, out).select(
+        F.try_variant_get(data["id"], "$", "bigint").alias("event_id"),
+        F.try_variant_get(data["timestamp"], "$", "string").cast("timestamp").alias("new_ts"),
     )
-    return job.run().select("events", "events_modified")
 
 
 @query("read_dataset", """
 SELECT CASE event_type WHEN 'click' THEN 'csv' WHEN 'view' THEN 'text' ELSE 'jsonl' END AS format,
-       'st:' || event_type AS sourcetype, count(*) AS records FROM events GROUP BY ALL""")
+       'st:' || event_type AS sourcetype, event_id FROM events""")
 def read_dataset(spark, sf_dir):
     """Files of several formats read as one dataset, each by its own reader."""
     folder = scratch(spark)
@@ -302,12 +329,25 @@ def read_dataset(spark, sf_dir):
             F.concat(F.lit("st:"), F.regexp_extract("path", r"event_type=(\w+)", 1)).alias("sourcetype"),
         )
         files = found if files is None else files.unionByName(found)
-    return readers.read_dataset(spark, files).groupBy("format", "sourcetype").agg(F.count(F.lit(1)).alias("records"))
+    data = F.col("data")
+    value = F.coalesce(data["event_id"], data["line"])
+    return readers.read_dataset(spark, files).select(
+        "format", "sourcetype", F.try_variant_get(value, "$", "string").cast("bigint").alias("event_id")
+    )
 
 
-@query("no_output_run", "SELECT count(*) AS events FROM events")
+@query("no_output_run", f"""
+WITH {BOUNDS_SQL}
+SELECT count(*) AS events, make_timestamp(min({moved_sql('epoch_us(ts)')})) AS new_earliest, true AS nothing_written
+FROM events, b""")
 def no_output_run(spark, sf_dir):
-    """A write to nowhere, then the count of what it did."""
-    rows = events(spark, sf_dir)
-    run_dry(rows.select(clock(F.col("us"), "yyyy").alias("value")))
-    return rows.agg(F.count(F.lit(1)).alias("events"))
+    """A dry run of the whole job: its numbers, and no file where it would have written."""
+    out = scratch(spark)
+    job = (
+        Replay(spark, RUN_TIME).input_source(_log_folder(spark, sf_dir), "jsonl")
+        .output_destination(out).set_timestamp_options(target_time=TARGET)
+    )
+    numbers = job.run(dry_run=True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    absent = not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return numbers.select("events", "new_earliest", F.lit(absent).alias("nothing_written"))

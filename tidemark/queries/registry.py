@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -14,7 +13,7 @@ from tidemark.functions.affine import Affine
 from tidemark.functions.timeexpr import micros
 from tidemark.operators.bounds import require_range
 from tidemark.plans.shift_plan import ShiftPlan, TimeSettings, plan_shift
-from tidemark.session import require_checkpoint_dir, require_utc
+from tidemark.session import require_utc, shared_path
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -83,8 +82,7 @@ def move(spark: SparkSession, sf_dir: str, settings: TimeSettings = SETTINGS) ->
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below the checkpoint folder, for queries that read back what they write."""
-    require_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/tidemark-{uuid.uuid4().hex}"
+    return shared_path(spark, "tidemark")
 
 
 def clock(us: Column, pattern: str) -> Column:

@@ -221,6 +221,27 @@ def shift_per_group(spark, sf_dir):
     return moved.select("event_id", "event_type", "new_ts")
 
 
+_NULL_GROUP_SQL = f"""
+WITH e AS (SELECT event_id, ts, nullif(event_type, 'error') AS kind FROM events),
+g AS (SELECT kind, epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM e GROUP BY kind),
+p AS (SELECT kind, lo, CASE WHEN kind = 'view' THEN {TARGET_SQL} ELSE {RUN_SQL} END AS target, hi - lo AS reach FROM g),
+r AS (SELECT kind, lo, CASE WHEN target + reach > {RUN_SQL} THEN {RUN_SQL} - reach ELSE target END AS new_base FROM p)
+"""
+
+
+@query("shift_null_group", _NULL_GROUP_SQL + """
+SELECT event_id, e.kind, make_timestamp(new_base + epoch_us(ts) - lo) AS new_ts FROM e JOIN r ON e.kind IS NOT DISTINCT FROM r.kind""")
+def shift_null_group(spark, sf_dir):
+    """Events without a group are one, and a group without settings is replayed by the defaults."""
+    rows = events(spark, sf_dir).select("event_id", "ts", F.nullif("event_type", F.lit("error")).alias("kind"))
+    own = effective_settings(
+        spark.createDataFrame([("view",)], "kind string"), {"target_time": TARGET}, None,
+        {"delta_factor": 1.0, "base_time": "auto", "prevent_future": True, "ceiling_time": "now"},
+    )
+    plans = shift.plan_by_group(rows, [F.col("ts")], "kind", own, RUN_US)
+    return shift.shift_by_group(rows, plans, "kind", {"ts": "new_ts"}).select("event_id", "kind", "new_ts")
+
+
 @query("profile_run", _GROUP_SQL + f"""
 SELECT event_type, count(*) AS events, count(*) AS events_modified, min(ts) AS original_earliest,
   max(ts) AS original_latest,

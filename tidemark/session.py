@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +33,17 @@ def require_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    require_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably so that it is computed once and survives lost executors."""
-    require_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a table in the shared folder: computed once, safe from lost executors, of known size.
+
+    The planner sees the bytes of the files, so whether a join broadcasts it is its own choice.
+    """
+    path = shared_path(df.sparkSession, "tidemark")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,6 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.lookups import bounded_broadcast
 
 # Address scheme -> (kind, scheme of the Hadoop file system).
 OBJECT_STORES = {
@@ -67,7 +66,7 @@ def list_files(
         F.col("modificationTime").alias("modified"),
     )
     if allow is not None:
-        files = files.join(bounded_broadcast(allow.select("path")), "path", "left_semi")
+        files = files.join(allow.select("path"), "path", "left_semi")
     return files
 
 
@@ -112,7 +111,7 @@ def verify_checksums(spark: SparkSession, manifest: DataFrame, paths: list[str])
     binary value; a larger file fails the job instead of passing unchecked.
     """
     content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    joined = content.join(bounded_broadcast(manifest.select("path", "checksum")), "path")
+    joined = content.join(manifest.select("path", "checksum"), "path")
     return joined.select("path", "checksum", checksum_matches(F.col("content"), F.col("checksum")).alias("ok"))
 
 

@@ -10,13 +10,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.xmltext import is_xml_line, windows_event, xml_line_json
 from tidemark.operators.extract import JSON_OPTIONS, json_object
-from tidemark.operators.lookups import bounded_broadcast
 from tidemark.session import cut_lineage
 from tidemark.sources.listing import hadoop_uri
 
 FORMATS = ("auto", "csv", "json", "jsonl", "text", "xml")
-# A row per split of 128 MB: a hundred terabytes have 800,000, some 200 MB when broadcast.
-SPLIT_ROWS = 1_000_000
 RECORD_COLUMNS = ("file_path", "file_name", "format", "raw", "data")
 
 
@@ -63,7 +60,9 @@ def number_lines(lines: DataFrame) -> DataFrame:
     """Add ``line_number`` (from 1, blank lines counted) without sorting the lines.
 
     A split is read in order by one task, so a line's place in its split is known; only the line
-    counts of the splits (one row each) are added up over a file.
+    counts of the splits (one row each) are added up over a file. Both passes must cut the files
+    alike: should a setting or the number of cores change the splits in between, the job fails with
+    a message and no line is lost or misnumbered.
     """
     blocks = lines.groupBy("file_path", "block").agg(
         F.min("seq").alias("_first"), F.count(F.lit(1)).alias("_n")
@@ -71,11 +70,14 @@ def number_lines(lines: DataFrame) -> DataFrame:
     earlier = W.partitionBy("file_path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
     starts = cut_lineage(
-        blocks.select("file_path", "block", "_first", before.alias("_before"))
+        blocks.select("file_path", "block", "_first", "_n", before.alias("_before"))
     )
-    joined = lines.join(bounded_broadcast(starts, SPLIT_ROWS), ["file_path", "block"])
-    number = F.col("seq") - F.col("_first") + F.col("_before") + 1
-    return joined.withColumn("line_number", number).drop("_first", "_before")
+    joined = lines.join(starts, ["file_path", "block"], "left")
+    place = F.col("seq") - F.col("_first") + 1
+    message = F.lit("files were split differently in the two passes over them; read them again")
+    checked = F.when(place.between(1, F.col("_n")), F.col("_before") + place)
+    number = checked.otherwise(F.raise_error(message).cast("bigint"))
+    return joined.withColumn("line_number", number).drop("_first", "_n", "_before")
 
 
 def _present(line: Column) -> Column:
@@ -321,8 +323,12 @@ def preview(
     width: int = 200,
     pattern: str | None = None,
 ) -> DataFrame:
-    """The first lines of every file, cut to ``width`` characters."""
-    numbered = number_lines(read_lines(spark, paths, pattern))
-    return numbered.filter(F.col("line_number") <= lines).select(
-        "file_name", "line_number", F.left("line", F.lit(width)).alias("line")
-    )
+    """``file_path, file_name, line_number, line``: the first lines of every file, cut to ``width``.
+
+    One pass: a task keeps the first ``lines`` of each of its splits, so no more reach the exchange.
+    """
+    order = W.partitionBy("file_path").orderBy("block", "seq")
+    ranked = read_lines(spark, paths, pattern).select(
+        "file_path", "file_name", "block", "seq", F.left("line", F.lit(width)).alias("line")
+    ).withColumn("line_number", F.row_number().over(order).cast("bigint"))
+    return ranked.filter(F.col("line_number") <= lines).select("file_path", "file_name", "line_number", "line")
