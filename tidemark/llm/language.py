@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,10 +22,10 @@ UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 DOCS_PER_LANGUAGE = 2_000
 WORDS_PER_LANGUAGE = 20_000
-GRAMS_PER_LANGUAGE = 20_000
+GRAMS_PER_LANGUAGE = 8_000
 LONGEST_GRAM = 5
 PENALTY = 7.0
-CACHED_WORDS = 150_000
+CACHED_WORDS = 100_000
 ROWS_AT_ONCE = 256
 
 
@@ -157,20 +156,12 @@ def train(
     return LanguageModel(languages, _costs(words, totals, languages, lambda unit: 0), _costs(grams, totals, languages, len))
 
 
-def _prediction(docs: DataFrame, model: LanguageModel):
-    """``lang_pred`` and ``score`` of the column ``text``, as one struct."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        labels, scores = [], []
-        for at in range(0, len(texts), ROWS_AT_ONCE):
-            found = shared.value.predict([t if isinstance(t, str) else None for t in texts.iloc[at : at + ROWS_AT_ONCE]])
-            labels += found[0]
-            scores += found[1]
-        return pd.DataFrame({"lang_pred": labels, "score": scores})
-
-    return predict(F.col("text"))
+def _slices(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterator[tuple[pa.RecordBatch, list[str], list[float]]]:
+    """A few rows at a time with their languages and scores."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            part = batch.slice(at, ROWS_AT_ONCE)
+            yield part, *model.predict(part.column("text").to_pylist())
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -181,16 +172,29 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     likelihoods of a word are made to sum to one. Ties go to the first language in alphabetical order.
     Repeated rows give repeated results; other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), _prediction(docs, model).alias("found"))
-    return rows.select("doc_id", "held_out", "found.lang_pred", "found.score")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, labels, scores in _slices(batches, shared.value):
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("held_out"), pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
+                ["doc_id", "held_out", "lang_pred", "score"],
+            )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that have a language: not ``und``, and a score of ``min_score`` or more.
 
-    All columns stay and no row is sent anywhere. With four languages a score of 0.25 means that none
-    fits better than another.
+    All columns stay and no row is sent to another task. With four languages a score of 0.25 means that
+    none fits better than another.
     """
-    found = docs.select("*", _prediction(docs, model).alias("_found"))
-    kept = found.filter((F.col("_found.lang_pred") != UNKNOWN) & (F.col("_found.score") >= min_score))
-    return kept.select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, labels, scores in _slices(batches, shared.value):
+            yield part.filter(pa.array([label != UNKNOWN and score >= min_score for label, score in zip(labels, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
