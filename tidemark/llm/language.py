@@ -18,8 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import partitions
+
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
+LANGUAGES = 1_000
 DOCS_PER_LANGUAGE = 2_000
 WORDS_PER_LANGUAGE = 20_000
 GRAMS_PER_LANGUAGE = 8_000
@@ -110,15 +113,21 @@ def train(
 ) -> LanguageModel:
     """Fit on ``text`` and non-null ``lang`` of rows that are not held out.
 
-    The fit takes ``docs_per_language`` rows of each language, those with the smallest hash of
-    ``doc_id`` and text; the model keeps that many words and n-grams of each length per language, so
-    its size depends on the number of languages alone.
+    The fit takes ``docs_per_language`` rows of each language, picked by a hash of ``doc_id`` and text,
+    and of no more than LANGUAGES languages, the most frequent ones. The model keeps a fixed number of
+    words and of n-grams of each length per language.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select(
         "lang", "text", F.xxhash64("doc_id", "text").alias("place")
     )
+    # thin out by hash where the rows are; what is left is a little more than wanted, and is ranked
+    labelled = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("labelled"))
+    labelled = labelled.orderBy(F.desc("labelled"), "lang").limit(LANGUAGES)
+    share = F.pmod("place", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    near = rows.join(F.broadcast(labelled), "lang").filter(share * F.col("labelled") <= F.lit(1.2 * docs_per_language + 50.0))
     first = Window.partitionBy("lang").orderBy("place")
-    sample = rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= docs_per_language).select("lang", "text")
+    sample = near.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= docs_per_language)
+    sample = sample.select("lang", "text").repartition(partitions(docs.sparkSession))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
