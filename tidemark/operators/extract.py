@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import instants as I
-from tidemark.functions.bind import blank_to_null, let
+from tidemark.functions.bind import blank_to_null, computed_once, let
 from tidemark.functions.values import Value, read_instant, typed_value, variant_value
 from tidemark.plans.pattern_sets import GENERIC, METADATA, REGISTRY, REQUIRED_ANY, Pattern
 
@@ -129,20 +129,16 @@ class Found:
     format: str = "iso8601"
 
 
-def _regex_text(value: Value, regex: str) -> Column:
-    return let(
-        value.text, lambda t: F.when(t.rlike(regex), F.regexp_extract(t, regex, 1))
-    )
+INSTANTS, MATCHED = "_instants", "_matched"
 
 
-INSTANTS, MATCHED = "_instants", "_matched"
+def _regex_text(text: Column, regex: str) -> Column:
+    return F.when(text.rlike(regex), F.regexp_extract(text, regex, 1))
 
 
-def _candidate(read: FieldReader, p: Pattern, hit: Column | None) -> Column:
-    """What one pattern sees in a record: format, and the value in the form it is held."""
-    value = read(p.field)
+def _candidate(value: Value, p: Pattern, hit: Column | None) -> Column:
+    """What a pattern of some rows sees: its format, and the value in the form it is held."""
     if p.regex is not None:
-        # a value that is not text is read as it is
         value = Value(hit, value.number, value.instant)
     held, none = value.variant, Value()
     return F.struct(
@@ -185,36 +181,58 @@ def find_instants(
 ) -> tuple[DataFrame, list[Found]]:
     """Try patterns in order, each under its condition; the last success of a field counts.
 
-    All candidates of a record go through one parse expression, so the plan does not grow with the
-    number of patterns. The readings are held in helper columns of the returned frame (see
-    :func:`drop_helpers`); the fields found refer to them.
+    The fields that every row may have are looked up once each, and their kind is tested once; each of
+    their patterns is an expression over two plain columns, text and number. Patterns of some rows only
+    go through one parse expression together, so a row pays for those of its own. The readings are held
+    in helper columns of the returned frame (see :func:`drop_helpers`); the fields found refer to them.
     """
     df = drop_helpers(df)
-    hits = [None if p.regex is None else _regex_text(read(p.field), p.regex) for p, _ in candidates]
-    hits = [
-        h if h is None or condition is None else F.when(condition, h)
-        for h, (_, condition) in zip(hits, candidates)
-    ]
-    matched = [h for h in hits if h is not None]
+    original = df.columns
+    values = {p.field: read(p.field) for p, _ in candidates}
+    everywhere = list(dict.fromkeys(p.field for p, condition in candidates if condition is None))
+    held = {f"_held_{i}": values[f].variant for i, f in enumerate(everywhere) if values[f].variant is not None}
+    df = df.withColumns(held) if held else df
+    parts, plain = {}, {}
+    for i, field in enumerate(everywhere):
+        value = variant_value(F.col(f"_held_{i}")) if f"_held_{i}" in held else values[field]
+        parts |= {f"_text_{i}": value.text, f"_number_{i}": value.number, f"_instant_{i}": value.instant}
+        plain[field] = Value(*[F.col(f"_{kind}_{i}") for kind in ("text", "number", "instant")])
+    df = df.withColumns(parts) if parts else df
+
+    matched, hits, items, readings, found = [], {}, [], [], {}
+    for p, condition in candidates:
+        if p.regex is not None:
+            hit = _regex_text((plain[p.field] if condition is None else values[p.field]).text, p.regex)
+            hits[p, id(condition)] = F.get(F.col(MATCHED), F.lit(len(matched)))
+            matched.append(hit if condition is None else F.when(condition, hit))
     if matched:
-        df = df.withColumn(MATCHED, F.array(*matched))
-    items, found, place = [], {}, 0
-    for i, ((p, condition), hit) in enumerate(zip(candidates, hits)):
-        held, earlier = None, found.get(p.field)
-        if hit is not None:
-            held = F.get(F.col(MATCHED), F.lit(place))
-            place += 1
-        item = _candidate(read, p, held)
-        items.append(item if condition is None else F.when(condition, item))
-        us = F.get(F.col(INSTANTS), F.lit(i))
-        hits_so_far = earlier.hits if earlier else ()
-        found[p.field] = Found(
-            p.field, F.coalesce(us, earlier.us) if earlier else us,
-            hits_so_far if held is None else (*hits_so_far, (held, p.format)), p.format,
-        )
-    formats = list(dict.fromkeys(p.format for p, _ in candidates))
-    df = df.withColumn(INSTANTS, F.transform(F.array(*items), _read_candidate(formats)))
-    return df, list(found.values())
+        df = computed_once(df, {MATCHED: F.array(*matched)})
+    for p, condition in candidates:
+        hit = hits.get((p, id(condition)))
+        if condition is None:
+            value = plain[p.field]
+            # a value that is not text is read as it is
+            value = value if hit is None else Value(hit, value.number, value.instant)
+            place = len(readings)
+            readings.append(read_instant(value, p.format))
+            us = F.get(F.col(INSTANTS), F.lit(place))
+        else:
+            us = F.get(F.col("_some"), F.lit(len(items)))
+            items.append(F.when(condition, _candidate(values[p.field], p, hit)))
+        earlier = found.get(p.field, ((), ()))
+        found[p.field] = ((us, *earlier[0]), earlier[1] if hit is None else (*earlier[1], (hit, p.format)))
+    formats = list(dict.fromkeys(p.format for p, condition in candidates if condition is not None))
+    df = computed_once(df, {INSTANTS: F.array(*readings).cast("array<bigint>")})
+    if items:
+        df = computed_once(df, {"_some": F.transform(F.array(*items), _read_candidate(formats))})
+    each = [F.coalesce(*tries) for tries, _ in found.values()]
+    df = computed_once(df, {INSTANTS: F.array(*each)})
+    df = df.select(*[f"`{c}`" for c in original], *([MATCHED] if matched else []), INSTANTS)
+    last = {p.field: p.format for p, _ in candidates}
+    return df, [
+        Found(field, F.get(F.col(INSTANTS), F.lit(i)), field_hits, last[field])
+        for i, (field, (_, field_hits)) in enumerate(found.items())
+    ]
 
 
 def drop_helpers(df: DataFrame) -> DataFrame:

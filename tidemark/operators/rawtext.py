@@ -1,481 +1,98 @@
 """Moving the timestamps inside raw text, each in the notation it was written in.
 
-For every family of notations the matches are marked over the whole text. When only one family has
-matches, as in most lines, the text is put together again from its pieces. Otherwise each match
-becomes a hit with its position: hits are claimed in order of family priority, one that overlaps a
-claimed hit is skipped, and one that cannot be read claims nothing. All of it is one Column
-expression evaluated in a single pass over the rows: no shuffle, no Python. Digits and blanks in the
-expressions are the ASCII ones.
+Families of notations are tried in order of priority; a match that overlaps a claimed one is skipped,
+and one that cannot be read claims nothing. The lines go to workers in Arrow batches and come back as
+one column, without a shuffle. (The same as one expression of the JVM needs higher-order functions,
+which Spark interprets: it took 52 to 162 microseconds a line where this takes about ten.)
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from itertools import repeat
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import instants as I
 from tidemark.functions.affine import Affine
-from tidemark.functions.bind import let
+from tidemark.functions.rawmoves import Move, moved_line
 from tidemark.plans.text_families import (
-    ALL_FAMILIES,
-    CLOCK_FAMILIES,
     DEFAULT_FAMILIES,
-    FAMILY_ANY,
-    FAMILY_MARKERS,
-    FAMILY_REGEX,
     PREFIX_FAMILIES,
     SOURCETYPE_FAMILIES,
+    families_for,
 )
 
+# plans and sourcetypes a worker remembers
+REMEMBERED = 10_000
 
-def _moved(plan: Affine, us: Column) -> Column:
-    """The moved instant, with ``us`` computed once."""
-    return let(us, plan)
 
+class _Moves(dict):
+    """Plan to its map, made once."""
 
-def _show(us: Column, pattern: str) -> Column:
-    return F.date_format(F.timestamp_micros(us), pattern)
+    def __missing__(self, plan: tuple) -> Move:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        base, new_base, factor, ceiling = plan
+        self[plan] = move = Move(int(base), int(new_base), factor, None if ceiling is None else int(ceiling))
+        return move
 
 
-def _month_number(name: Column) -> Column:
-    """``Jan`` .. ``Dec`` as two digits; NULL for any other word."""
+class _Families(dict):
+    """Sourcetype to its families, looked up once."""
 
-    def number(place: Column) -> Column:
-        known = (place > 0) & (F.pmod(place, F.lit(3)) == 1)
-        return F.when(known, F.lpad(((place + 2) / 3).cast("int").cast("string"), 2, "0"))
+    def __missing__(self, sourcetype: str | None) -> tuple[str, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[sourcetype] = families = families_for(sourcetype)
+        return families
 
-    return let(F.instr(F.lit("JanFebMarAprMayJunJulAugSepOctNovDec"), name), number)
 
-
-def _two(digits: Column) -> Column:
-    return F.lpad(digits, 2, "0")
-
-
-def _day_padded(us: Column) -> Column:
-    return F.lpad(_show(us, "d"), 2, " ")
-
-
-def _from(text: Column, start: int) -> Column:
-    return F.substring(text, F.lit(start), F.length(text))
-
-
-def _cut_fraction(us: Column, digits: Column) -> Column:
-    """``.fff`` with as many digits as before, at most six; nothing where there was none."""
-    kept = F.substring(I.fraction_digits(us), F.lit(1), F.length(digits))
-    return F.when(digits == "", F.lit("")).otherwise(F.concat(F.lit("."), kept))
-
-
-def _six(digits: Column) -> Column:
-    return F.rpad(F.substring(digits, 1, 6), 6, "0")
-
-
-# Each function takes the matched text, the map and the base, and returns the new text,
-# or NULL when the match is not a real instant. The match fixes the layout, so its parts are taken
-# by position.
-
-
-def _iso8601(hit: Column, plan: Affine) -> Column:
-    def with_zone(zone_at: Column) -> Column:
-        zone = F.when(zone_at > 0, F.substring(hit, zone_at + 19, F.length(hit))).otherwise("")
-        digits = F.when(zone_at > 0, zone_at - 2).otherwise(F.length(hit) - 20)
-        fraction = F.when(digits > 0, F.substring(hit, F.lit(21), digits)).otherwise("")
-        return let(
-            zone,
-            lambda z: let(
-                fraction,
-                lambda f: let(I.offset_micros(z), lambda offset: with_parts(z, f, offset)),
-            ),
-        )
-
-    def with_parts(zone: Column, fraction: Column, offset: Column) -> Column:
-        clock = F.left(hit, F.lit(19))
-        wall = F.when(
-            clock.endswith("T24:00:00") & ~fraction.rlike("[1-9]"),
-            I.wall_micros(F.concat(F.left(hit, F.lit(11)), F.lit("00:00:00"))) + F.lit(I.DAY),
-        ).otherwise(I.wall_micros(F.concat(clock, F.lit("."), _six(fraction))))
-
-        def put(new: Column) -> Column:
-            size = F.length(fraction)
-            digits = F.rpad(F.substring(I.fraction_digits(new), F.lit(1), size), size, F.lit("0"))
-            return F.concat(
-                _show(new, "yyyy-MM-dd'T'HH:mm:ss"),
-                F.when(fraction == "", F.lit("")).otherwise(F.concat(F.lit("."), digits)),
-                F.when((offset == 0) & zone.startswith("-"), F.translate(zone, "-", "+")).otherwise(zone),
-            )
-
-        return let(let(_moved(plan, wall - offset) + offset, I.in_calendar), put)
-
-    rest = _from(hit, 20)
-    signs = F.translate(rest, "-Z", "++")
-    return let(F.instr(signs, "+"), with_zone)
-
-
-def _fortigate(hit: Column, plan: Affine) -> Column:
-    clock = F.concat(F.substring(hit, 6, 10), F.lit(" "), F.right(hit, F.lit(8)))
-    return let(
-        _moved(plan, I.wall_micros(clock)), lambda new: _show(new, "'date='yyyy-MM-dd' time='HH:mm:ss")
-    )
-
-
-def _audit(hit: Column, plan: Affine) -> Column:
-    seconds = F.substring(hit, 7, 10).try_cast("bigint")
-    us = seconds * F.lit(I.SECOND) + F.substring(hit, 18, 3).try_cast("bigint") * 1000
-    return let(
-        _moved(plan, us),
-        lambda new: F.concat(
-            F.lit("audit("), I.epoch_seconds_text(new), F.lit("."),
-            F.substring(I.fraction_digits(new), 1, 3), _from(hit, 21),
-        ),
-    )
-
-
-def _syslog(hit: Column, plan: Affine) -> Column:
-    day = F.trim(F.translate(F.substring(hit, F.lit(4), F.length(hit) - 12), "\t\n\x0b\f\r", "     "))
-    clock = F.concat(
-        _show(plan.base, "yyyy-"), _month_number(F.left(hit, F.lit(3))), F.lit("-"),
-        _two(day), F.lit(" "), F.right(hit, F.lit(8)),
-    )
-    return let(
-        _moved(plan, I.wall_micros(clock)),
-        lambda new: F.concat(_show(new, "MMM "), _day_padded(new), _show(new, " HH:mm:ss")),
-    )
-
-
-def _us_date(hit: Column, plan: Affine) -> Column:
-    def with_parts(p: Column) -> Column:
-        date, time, half = F.get(p, 0), F.get(p, 1), F.get(p, 2)
-        hour, fraction = F.left(time, F.lit(2)), _from(time, 10)
-        day_hour = (
-            F.when((half == "AM") & (hour == "12"), F.lit("00"))
-            .when((half == "PM") & (hour < "12"), (hour.cast("int") + 12).cast("string"))
-            .otherwise(hour)
-        )
-        clock = F.concat(
-            F.substring(date, 7, 4), F.lit("-"), F.substring(date, 1, 2), F.lit("-"),
-            F.substring(date, 4, 2), F.lit(" "), day_hour, F.substring(time, 3, 6), F.lit("."),
-            _six(fraction),
-        )
-
-        def put(new: Column) -> Column:
-            tail = _cut_fraction(new, fraction)
-            return F.when(
-                half.isNotNull(), F.concat(_show(new, "MM/dd/yyyy hh:mm:ss"), tail, _show(new, " a"))
-            ).otherwise(F.concat(_show(new, "MM/dd/yyyy HH:mm:ss"), tail))
-
-        return let(_moved(plan, I.wall_micros(clock)), put)
-
-    return let(F.split(hit, r"\s+"), with_parts)
-
-
-def _clf(hit: Column, plan: Affine) -> Column:
-    zone = F.left(F.right(hit, F.lit(6)), F.lit(5))
-    clock = F.concat(
-        F.substring(hit, 9, 4), F.lit("-"), _month_number(F.substring(hit, 5, 3)), F.lit("-"),
-        F.substring(hit, 2, 2), F.lit(" "), F.substring(hit, 14, 8),
-    )
-
-    def with_offset(offset: Column) -> Column:
-        return let(
-            let(_moved(plan, I.wall_micros(clock) - offset) + offset, I.in_calendar),
-            lambda new: F.concat(_show(new, "'['dd/MMM/yyyy:HH:mm:ss' '"), zone, F.lit("]")),
-        )
-
-    return let(I.offset_micros(zone), with_offset)
-
-
-def _apache_error(hit: Column, plan: Affine) -> Column:
-    def with_parts(p: Column) -> Column:
-        time = F.get(p, 3)
-        fraction = _from(time, 10)
-        clock = F.concat(
-            F.left(F.get(p, 4), F.lit(4)), F.lit("-"), _month_number(F.get(p, 1)), F.lit("-"),
-            _two(F.get(p, 2)), F.lit(" "), F.left(time, F.lit(8)), F.lit("."), _six(fraction),
-        )
-        return let(
-            _moved(plan, I.wall_micros(clock)),
-            lambda new: F.concat(
-                _show(new, "'['EEE MMM dd HH:mm:ss"), _cut_fraction(new, fraction),
-                _show(new, " yyyy']'"),
-            ),
-        )
-
-    return let(F.split(hit, r"\s+"), with_parts)
-
-
-def _ctime(hit: Column, plan: Affine) -> Column:
-    def with_parts(p: Column) -> Column:
-        zone = F.get(p, 5)
-        zone_text = F.when(zone.isNull(), F.lit("")).otherwise(F.concat(F.lit(" "), zone))
-        day_first = F.get(p, 1) <= "99"
-
-        def token(first: int, otherwise: int) -> Column:
-            return F.when(day_first, F.get(p, first)).otherwise(F.get(p, otherwise))
-
-        clock = F.concat(
-            token(3, 4), F.lit("-"), _month_number(token(2, 1)), F.lit("-"), _two(token(1, 2)),
-            F.lit(" "), token(4, 3),
-        )
-        comma = F.when(F.left(hit, F.lit(5)).contains(", "), F.lit(", ")).otherwise(F.lit(" "))
-
-        def put(new: Column) -> Column:
-            mail = F.concat(_show(new, "EEE"), comma, _show(new, "d MMM yyyy HH:mm:ss"))
-            plain = F.concat(_show(new, "EEE MMM "), _day_padded(new), _show(new, " HH:mm:ss yyyy"))
-            return F.concat(F.when(day_first, mail).otherwise(plain), zone_text)
-
-        return let(_moved(plan, I.wall_micros(clock)), put)
-
-    return let(F.split(hit, r"\s+"), with_parts)
-
-
-def _dated(size: int, to_clock: Callable[[Column], Column], pattern: str):
-    """A date of ``size`` characters, blanks, and a time of day."""
-
-    def move(hit: Column, plan: Affine) -> Column:
-        clock = F.concat(to_clock(F.left(hit, F.lit(size))), F.lit(" "), F.right(hit, F.lit(8)))
-        return let(_moved(plan, I.wall_micros(clock)), lambda new: _show(new, pattern))
-
-    return move
-
-
-def _compact_date(d: Column) -> Column:
-    return F.concat(
-        F.substring(d, 1, 4), F.lit("-"), F.substring(d, 5, 2), F.lit("-"), F.substring(d, 7, 2)
-    )
-
-
-def _number(size: int, micros_each: int, show: Callable[[Column], Column]):
-    """An epoch number of ``size`` digits at the end of the match."""
-
-    def move(hit: Column, plan: Affine) -> Column:
-        us = F.right(hit, F.lit(size)).try_cast("bigint") * F.lit(micros_each)
-        lead = F.substring(hit, F.lit(1), F.length(hit) - size)
-        return F.concat(lead, show(_moved(plan, us)))
-
-    return move
-
-
-def _millis_text(us: Column) -> Column:
-    return I.epoch_millis(us).cast("string")
-
-
-def _dotnet(hit: Column, plan: Affine) -> Column:
-    new = _moved(plan, F.substring(hit, 7, 13).try_cast("bigint") * 1000)
-    return F.concat(F.lit("/Date("), _millis_text(new), F.lit(")/"))
-
-
-_MOVE: dict[str, Callable[[Column, Affine], Column]] = {
-    "iso8601": _iso8601,
-    "fortigate": _fortigate,
-    "audit": _audit,
-    "syslog": _syslog,
-    "us_date": _us_date,
-    "clf": _clf,
-    "apache_error": _apache_error,
-    "ctime": _ctime,
-    "panos": _dated(10, lambda d: F.translate(d, "/", "-"), "yyyy/MM/dd HH:mm:ss"),
-    "datetime": _dated(10, lambda d: d, "yyyy-MM-dd HH:mm:ss"),
-    "compact": _dated(8, _compact_date, "yyyyMMdd HH:mm:ss"),
-    "epoch_ms": _number(13, 1000, _millis_text),
-    "dotnet": _dotnet,
-    "epoch": _number(10, I.SECOND, I.epoch_seconds_text),
-}
-
-_HIT = "struct<start:int,stop:int,new:string>"
-_NO_HITS = f"array<{_HIT}>"
-# a match is put between these two; text that holds one of them is cut up without marks
-_OPEN, _CLOSE = "\u0001", "\u0002"
-_CLOCK = r"\d{2}:\d{2}:\d{2}"
-
-
-def _marked(
-    text: Column, family: str, clock: Column, clean: Column, wanted: Column | None
-) -> Column:
-    """The text with the matches of one family marked; not evaluated where none is possible."""
-    possible = clock if family in CLOCK_FAMILIES else None
-    for marker in FAMILY_MARKERS[family]:
-        seen = text.contains(marker)
-        possible = seen if possible is None else possible & seen
-    one_of = None
-    for marker in FAMILY_ANY.get(family, ()):
-        one_of = text.contains(marker) if one_of is None else one_of | text.contains(marker)
-    if one_of is not None:
-        possible = possible & one_of
-    if wanted is not None:
-        possible = wanted & possible
-    regex = FAMILY_REGEX[family]
-    marked = F.regexp_replace(text, regex, f"{_OPEN}$0{_CLOSE}")
-    return F.struct(
-        F.lit(family).alias("family"), F.lit(regex).alias("regex"),
-        F.when(possible, F.when(clean, marked).otherwise(_OPEN)).alias("marked"),
-    )
-
-
-def _cut(
-    text: Column, clean: Column, plan: Affine, families: Sequence[str]
-) -> Callable[[Column], Column]:
-    """Pieces of the text for one family: match, its new text (NULL if unreadable), text behind."""
-
-    def moved(family: Column, hit: Column) -> Column:
-        new = F.when(F.lit(False), F.lit(None).cast("string"))
-        for name in families:
-            new = new.when(family == name, _MOVE[name](hit, plan))
-        return new
-
-    def unmarked(found: Column) -> Column:
-        gaps = F.split(text, found["regex"], -1)
-        hits = F.regexp_extract_all(text, found["regex"], F.lit(0))
-        rest = F.slice(gaps, F.lit(2), F.size(hits))
-        glued = F.transform(
-            F.arrays_zip(hits.alias("h"), rest.alias("g")),
-            lambda z: F.struct(z["h"].alias("hit"), z["g"].alias("gap")),
-        )
-        first = F.struct(F.lit("").alias("hit"), F.get(gaps, 0).alias("gap"))
-        return F.concat(F.array(first), glued)
-
-    def by_marks(found: Column) -> Column:
-        return F.transform(
-            F.split(found["marked"], _OPEN, -1),
-            lambda piece, i: F.when(
-                i == 0, F.struct(F.lit("").alias("hit"), piece.alias("gap"))
-            ).otherwise(
-                F.struct(
-                    F.substring_index(piece, _CLOSE, 1).alias("hit"),
-                    F.substring_index(piece, _CLOSE, -1).alias("gap"),
-                )
-            ),
-        )
-
-    def pieces(found: Column) -> Column:
-        cut = F.when(clean, by_marks(found)).otherwise(unmarked(found))
-        return F.transform(
-            cut,
-            lambda p: F.struct(
-                p["hit"].alias("hit"),
-                F.when(p["hit"] != "", moved(found["family"], p["hit"])).alias("new"),
-                p["gap"].alias("gap"),
-            ),
-        )
-
-    return pieces
-
-
-def _join(pieces: Column) -> Column:
-    """The text of one family's pieces."""
-    parts = F.transform(pieces, lambda p: F.concat(F.coalesce(p["new"], p["hit"]), p["gap"]))
-    return F.array_join(parts, "")
-
-
-def _hits(pieces: Column) -> Column:
-    """Pieces to readable hits in text order: start, stop (characters) and new text."""
-    start = F.struct(F.lit(1).alias("at"), F.array().cast(_NO_HITS).alias("hits"))
-
-    def step(acc: Column, p: Column) -> Column:
-        stop = acc["at"] + F.length(p["hit"])
-        hit = F.struct(acc["at"].alias("start"), stop.alias("stop"), p["new"].alias("new"))
-        return F.struct(
-            (stop + F.length(p["gap"])).alias("at"),
-            F.when(p["new"].isNotNull(), F.concat(acc["hits"], F.array(hit)).cast(_NO_HITS))
-            .otherwise(acc["hits"]).alias("hits"),
-        )
-
-    return F.aggregate(pieces, start, step, lambda acc: acc["hits"])
-
-
-def _claim(hits: Column) -> Column:
-    """Hits in order of priority to the claimed ones in text order."""
-
-    def overlaps(taken: Column, hit: Column) -> Column:
-        return F.exists(taken, lambda t: (hit["start"] < t["stop"]) & (hit["stop"] > t["start"]))
-
-    def add(taken: Column, hit: Column) -> Column:
-        return F.when(overlaps(taken, hit), taken).otherwise(F.concat(taken, F.array(hit)))
-
-    def clash(ordered: Column) -> Column:
-        end = F.aggregate(
-            ordered, F.lit(0),
-            lambda at, h: F.when((at < 0) | (h["start"] < at), F.lit(-1)).otherwise(h["stop"]),
-        )
-        return end < 0
-
-    slow = F.array_sort(F.aggregate(hits, F.array().cast(_NO_HITS), add))
-    return let(F.array_sort(hits), lambda ordered: F.when(clash(ordered), slow).otherwise(ordered))
-
-
-def _rebuild(text: Column, claimed: Column) -> Column:
-    def piece(hit: Column, i: Column) -> Column:
-        before = F.when(i == 0, F.lit(1)).otherwise(F.get(claimed, i - 1)["stop"])
-        return F.concat(F.substring(text, before, hit["start"] - before), hit["new"])
-
-    last = F.get(claimed, F.size(claimed) - 1)["stop"]
-    tail = F.substring(text, last, F.length(text) + 1 - last)
-    return F.when(
-        F.size(claimed) > 0, F.concat(F.array_join(F.transform(claimed, piece), ""), tail)
-    ).otherwise(text)
+def _plain(series: pd.Series) -> list:
+    """Values with None for what is missing."""
+    return [None if value is None or value != value else value for value in series.tolist()]
 
 
 def shift_text(
     text: Column,
     plan: Affine,
     families: Sequence[str] = DEFAULT_FAMILIES,
-    families_column: Column | None = None,
+    sourcetype: Column | None = None,
 ) -> Column:
     """The text with every recognised instant moved by ``plan``.
 
-    ``families`` is the order of priority. ``families_column`` (array of names) chooses per row;
-    then ``families`` only bounds what can occur, and the array gives the order.
+    ``families`` is the order of priority; with a ``sourcetype`` column each row has the families of
+    its own. A row without a plan keeps its text.
     """
-    if not families:
+    if not families and sourcetype is None:
         return text
-
-    def finish(t: Column, clean: Column, found: Column) -> Column:
-        cut = F.transform(
-            F.filter(found, lambda f: f["marked"].contains(_OPEN)), _cut(t, clean, plan, families)
-        )
-
-        def put(pieces: Column) -> Column:
-            hits = F.flatten(F.transform(pieces, _hits))
-            return (
-                F.when(F.size(pieces) == 0, t)
-                .when(F.size(pieces) == 1, _join(F.get(pieces, 0)))
-                .otherwise(let(let(hits, _claim), lambda c: _rebuild(t, c)))
-            )
-
-        return let(cut, put)
-
-    def with_flags(t: Column, found: Callable[[Column, Column], Column]) -> Column:
-        clean = ~(t.contains(_OPEN) | t.contains(_CLOSE))
-        return let(
-            t.rlike(_CLOCK), lambda clock: let(clean, lambda c: finish(t, c, found(clock, c)))
-        )
-
-    def fixed(t: Column) -> Column:
-        return with_flags(
-            t, lambda clock, clean: F.array(*[_marked(t, f, clock, clean, None) for f in families])
+    fixed = tuple(families)
+    by_row = sourcetype is not None
+
+    @F.pandas_udf("string")
+    def moved(
+        lines: pd.Series, base: pd.Series, new_base: pd.Series, factor: pd.Series, ceiling: pd.Series, kind: pd.Series
+    ) -> pd.Series:
+        moves, known = _Moves(), _Families()
+        chosen = [known[k] for k in _plain(kind)] if by_row else repeat(fixed)
+        plans = zip(_plain(base), _plain(new_base), _plain(factor), _plain(ceiling))
+        return pd.Series(
+            [
+                line if line is None or not own or plan[0] is None else moved_line(line, own, moves[plan])
+                for line, own, plan in zip(lines.tolist(), chosen, plans)
+            ],
+            dtype=object,
         )
 
-    def by_row(wanted: Column) -> Callable[[Column], Column]:
-        def whole(t: Column) -> Column:
-            def found(clock: Column, clean: Column) -> Column:
-                by_name = F.create_map(*[
-                    x
-                    for f in families
-                    for x in (
-                        F.lit(f), _marked(t, f, clock, clean, F.array_contains(wanted, f))
-                    )
-                ])
-                return let(by_name, lambda m: F.transform(wanted, lambda f: F.try_element_at(m, f)))
-
-            return with_flags(t, found)
-
-        return whole
-
-    if families_column is None:
-        return let(text, fixed)
-    return F.when(
-        F.size(families_column) > 0, let(families_column, lambda w: let(text, by_row(w)))
-    ).otherwise(text)
+    factor = plan.factor if isinstance(plan.factor, Column) else F.lit(float(plan.factor))
+    ceiling = F.lit(None).cast("string") if plan.ceiling is None else plan.ceiling.cast("string")
+    # whole microseconds travel as text: a missing one would turn a column of integers into doubles;
+    # declared as not deterministic, the column is computed once and not copied into what uses it
+    return moved.asNondeterministic()(
+        text, plan.base.cast("string"), plan.new_base.cast("string"), factor, ceiling,
+        F.lit("") if sourcetype is None else sourcetype,
+    )
 
 
 def families_by_sourcetype(sourcetype: Column) -> Column:
@@ -486,22 +103,16 @@ def families_by_sourcetype(sourcetype: Column) -> Column:
     def names(families: Sequence[str]) -> Column:
         return F.array(*[F.lit(f) for f in families]).cast("array<string>")
 
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for name, families in SOURCETYPE_FAMILIES.items():
-        groups.setdefault(families, []).append(name)
-    exact = F.lit(None).cast("array<string>")
-    for families, members in groups.items():
-        exact = F.coalesce(exact, F.when(sourcetype.isin(members), names(families)))
+    exact = F.create_map(*[x for name, families in SOURCETYPE_FAMILIES.items() for x in (F.lit(name), names(families))])
     prefixed = F.lit(None).cast("array<string>")
     for prefix, families in PREFIX_FAMILIES.items():
         prefixed = F.coalesce(prefixed, F.when(sourcetype.startswith(prefix), names(families)))
-    return F.coalesce(exact, prefixed, names(DEFAULT_FAMILIES))
+    return F.coalesce(F.try_element_at(exact, sourcetype), prefixed, names(DEFAULT_FAMILIES))
 
 
 def shift_raw(
     df: DataFrame, text: str, plan: Affine, sourcetype: str | None = None, new: str | None = None
 ) -> DataFrame:
     """Move the instants in a text column; families follow each row's sourcetype column."""
-    chosen = None if sourcetype is None else families_by_sourcetype(F.col(sourcetype))
-    families = DEFAULT_FAMILIES if sourcetype is None else ALL_FAMILIES
-    return df.withColumn(new or text, shift_text(F.col(text), plan, families, chosen))
+    kind = None if sourcetype is None else F.col(sourcetype)
+    return df.withColumn(new or text, shift_text(F.col(text), plan, DEFAULT_FAMILIES, kind))

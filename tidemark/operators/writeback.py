@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import instants as I
 from tidemark.functions.affine import Affine
-from tidemark.functions.bind import let, whole_div
+from tidemark.functions.bind import computed_once, let, whole_div
 from tidemark.operators.extract import INSTANTS, MATCHED, FieldReader, Found, instants
-from tidemark.operators.rawtext import families_by_sourcetype, shift_text
+from tidemark.operators.rawtext import shift_text
 from tidemark.plans.pattern_sets import Pattern
-from tidemark.plans.text_families import ALL_FAMILIES, DEFAULT_FAMILIES
+from tidemark.plans.text_families import DEFAULT_FAMILIES
 
 
 def replace_first(text: Column, old: Column, new: Column) -> Column:
@@ -205,32 +205,28 @@ def shift_found(
         numeric = f.format in I.EPOCH_SECONDS or f.format in I.EPOCH_MILLIS
         return "." in f.field or bool(f.hits) or (keep_encoding and numeric)
 
-    # the readings, the moved instants and the text are columns, so that each is computed once
-    staged = df.withColumn("_old", F.array(*[f.us for f in found]))
-    staged = staged.withColumn("_new", F.transform("_old", plan))
-    staged = staged.withColumns({"timestamps": as_map("_old"), "new_timestamps": as_map("_new")})
+    # the readings, the moved instants and the text are computed once each
+    staged = computed_once(df, {"_old": F.array(*[f.us for f in found])})
+    staged = computed_once(staged, {"_new": F.transform("_old", plan)})
+    staged = computed_once(staged, {"timestamps": as_map("_old"), "new_timestamps": as_map("_new")})
     apart = [
         replace(f, us=F.get(F.col("_new"), F.lit(i))) for i, f in enumerate(found) if special(f)
     ]
-    families = None if sourcetype is None else families_by_sourcetype(F.col(sourcetype))
-    possible = DEFAULT_FAMILIES if sourcetype is None else ALL_FAMILIES
+    kind = None if sourcetype is None else F.col(sourcetype)
+    put = put_instants(F.col(data), apart, keep_encoding, plain=F.col("new_timestamps"))
+    staged = computed_once(staged, {"_put": put})
     raw_value = F.try_element_at(F.col("_put"), F.lit(raw_field))
     raw = F.when(
         (F.size("new_timestamps") > 0) & (F.schema_of_variant(raw_value) == "STRING"),
         F.try_variant_get(raw_value, "$", "string"),
     )
+    moved = shift_text(raw, plan, DEFAULT_FAMILIES, kind)
+    staged = computed_once(staged.withColumn("_raw_new", moved), {"_raw_new": F.col("_raw_new")})
     with_raw = F.transform_values(
         "_put", lambda k, v: F.when(k == raw_field, F.col("_raw_new").cast("variant")).otherwise(v)
     )
-    return (
-        staged.withColumn(
-            "_put", put_instants(F.col(data), apart, keep_encoding, plain=F.col("new_timestamps"))
-        )
-        .withColumn("_raw_text", raw)
-        .withColumn("_raw_new", shift_text(F.col("_raw_text"), plan, possible, families))
-        .withColumn(data, F.when(F.col("_raw_new").isNotNull(), with_raw).otherwise(F.col("_put")))
-        .drop("_put", "_raw_text", "_raw_new", "_old", "_new", INSTANTS, MATCHED)
-    )
+    final = F.when(F.col("_raw_new").isNotNull(), with_raw).otherwise(F.col("_put"))
+    return staged.withColumn(data, final).drop("_put", "_raw_new", "_old", "_new", INSTANTS, MATCHED)
 
 
 # ---------------------------------------------------------------------------------------------

@@ -56,12 +56,6 @@ FAMILY_MARKERS = {
 # Text of which every match of the family contains at least one.
 FAMILY_ANY = {"apache_error": tuple(_DAYS.split("|")), "ctime": tuple(_DAYS.split("|"))}
 
-# Families whose matches hold a time of day like 10:11:12.
-CLOCK_FAMILIES = frozenset(
-    ("iso8601", "fortigate", "syslog", "us_date", "clf", "apache_error", "ctime", "panos", "datetime",
-     "compact")
-)
-
 # Families tried for a sourcetype that is not listed.
 DEFAULT_FAMILIES = ("iso8601", "fortigate", "syslog", "us_date", "epoch", "datetime")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.bind import computed_once
 from tidemark.functions.xmltext import is_xml_line, windows_event, xml_line_json
 from tidemark.operators.extract import JSON_OPTIONS, json_object
 from tidemark.session import cut_lineage
@@ -142,7 +143,7 @@ def read_text(
         return _records(lines, F.lit("text"), F.col("line"))
     lines = lines.withColumn("_xml", _xml_data(F.col("line"), xml_lines == "windows"))
     parsed = _with_number(F.col("_xml"), number)
-    lines = lines.withColumn("data", F.coalesce(parsed, plain))
+    lines = computed_once(lines, {"data": F.coalesce(parsed, plain)})
     fmt = F.when(F.col("_xml").isNotNull(), "xml").otherwise("text")
     return _records(lines, fmt, F.col("line"))
 
@@ -274,7 +275,7 @@ def read_auto(
         .otherwise("text")
     )
     data = F.coalesce("_json", _with_number(F.col("_xml"), number), _line_data(F.col("line"), number))
-    return _records(staged.withColumn("data", data), fmt, F.col("line"))
+    return _records(computed_once(staged, {"data": data}), fmt, F.col("line"))
 
 
 _READERS = {
