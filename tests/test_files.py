@@ -85,13 +85,46 @@ def test_compressed_and_patterns(spark, tmp_path):
     assert files.filter(files.size > 0).count() == 3
 
 
-def test_csv_with_another_header_fails(spark, tmp_path):
+def test_csv_by_the_header_of_each_file(spark, tmp_path):
     (tmp_path / "a.csv").write_text('a,b\n1,"x ""q"", y"\n2\n,\n')
+    (tmp_path / "b.csv").write_text('b,c\r\n1,2,9\r\n\r\n"3\n4",5\r\n')
+    want = [{"a": "", "b": ""}, {"a": "1", "b": 'x "q", y'}, {"a": "2", "b": ""}, {"b": "1", "c": "2"}, {"b": "3\n4", "c": "5"}]
     rows = readers.read_csv(spark, str(tmp_path)).collect()
-    assert [json.loads(r.raw) for r in rows] == [{"a": "1", "b": 'x "q", y'}, {"a": "2", "b": ""}, {"a": "", "b": ""}]
-    (tmp_path / "b.csv").write_text("b,a\n1,2\n")
+    assert sorted((json.loads(r.raw) for r in rows), key=str) == sorted(want, key=str)
+    (tmp_path / "b.csv").write_text("c,b\n" + "".join(f"{i},x\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        rows = readers.read_csv(spark, str(tmp_path), multi_line=False).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(int(json.loads(r.raw)["c"]) for r in rows if "c" in json.loads(r.raw)) == list(range(5000))
+    assert sum("a" in json.loads(r.raw) for r in rows) == 3
     with pytest.raises(Exception):
-        readers.read_csv(spark, str(tmp_path)).collect()
+        readers.read_csv(spark, str(tmp_path), one_header=True).collect()
+
+
+def test_windows_events_outside_the_layout(spark, tmp_path):
+    event = "<Event><System><EventID>1</EventID>{system}</System><EventData><Data Name='a'>x</Data></EventData>{more}</Event>"
+    lines = [event.format(system="", more=""), event.format(system="<Odd>7</Odd>", more=""),
+             event.format(system="", more="<UserData><U><V>9</V></U></UserData>"),
+             event.format(system="", more="<RenderingInfo><Message>m</Message></RenderingInfo>"), "plain"]
+    (tmp_path / "e.log").write_text("\n".join(lines) + "\n")
+    by_mode = [
+        sorted(json.dumps(json.loads(r.d), sort_keys=True) for r in readers.read_text(spark, str(tmp_path), xml_lines=m).select(F.to_json("data").alias("d")).collect())
+        for m in ("windows", "any")
+    ]
+    assert by_mode[0] == by_mode[1] and any("Odd" in d for d in by_mode[0]) and any('"V": "9"' in d for d in by_mode[0])
+
+
+def test_large_files_are_refused_one_by_one(spark, tmp_path):
+    for name, text in (("small", "abc"), ("large", "abcdef"), ("free", "abcdef")):
+        (tmp_path / name).write_text(text)
+    files = listing.list_files(spark, str(tmp_path))
+    declared = F.when(F.col("file_name") == "free", None).otherwise(F.concat(F.lit("md5:"), F.md5(F.lit("abc"))))
+    manifest = files.select("path", "file_name", declared.alias("checksum"))
+    rows = listing.verify_checksums(spark, manifest, [str(tmp_path)], max_bytes=4).join(manifest.select("path", "file_name"), "path")
+    assert {r.file_name: (r.ok, r.error) for r in rows.collect()} == {
+        "small": (True, None), "large": (False, "larger than 4 bytes"), "free": (True, None)}
 
 
 def test_json_documents(spark, tmp_path):

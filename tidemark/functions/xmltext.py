@@ -31,6 +31,7 @@ _EVENT_SCHEMA = (
     + ",TimeCreated:struct<SystemTime:string>>"
     + ",EventData:struct<Data:array<struct<_text:string,Name:string>>>>"
 )
+_SYSTEM_CHILDREN = (*_SYSTEM_TEXT, *_SYSTEM_ATTRIBUTES, "TimeCreated")
 _XML_OPTIONS = {"attributePrefix": "", "valueTag": "_text", "ignoreNamespace": "true"}
 
 
@@ -39,6 +40,16 @@ def is_xml_line(line: Column) -> Column:
     return start.startswith("<Event") | start.startswith("<?xml")
 
 
+def fits_layout(line: Column) -> Column:
+    """Whether a Windows event has nothing but what :func:`windows_event` reads."""
+    system = F.regexp_extract(line, r"(?s)<System>(.*?)</System>", 1)
+    children = F.array_distinct(F.regexp_extract_all(system, F.lit(r"<([A-Za-z]\w*)"), F.lit(1)))
+    known = F.array(*[F.lit(n) for n in _SYSTEM_CHILDREN])
+    top = F.regexp_replace(line, r"(?s)<(System|EventData)\b.*?</\1>", "")
+    plain = ~top.rlike(r"(?s)<Event\b[^>]*>.*<[A-Za-z]")
+    return (F.size(F.array_except(children, known)) == 0) & plain
+
+
 def windows_event(line: Column) -> Column:
     """A Windows event to a flat ``map<string, variant>``; NULL for any other line.
 

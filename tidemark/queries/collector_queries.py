@@ -73,19 +73,21 @@ def collector_raw_lines(spark, sf_dir):
 
 
 @query("collector_batches", """
-SELECT count(*) AS events, sum(octet_length(encode('event ' || event_id)) + 1)::BIGINT AS bytes,
-       true AS within_limits FROM events""")
+SELECT 'event ' || event_id AS line, true AS within_limits FROM events""")
 def collector_batches(spark, sf_dir):
-    """Bodies stay within both limits and hold every line once."""
+    """Every line is in one body, and bodies stay within both limits."""
     lines = events(spark, sf_dir).select(F.concat(F.lit("event "), "event_id").alias("line"))
     bodies = C.pack(lines, "line", max_events=100, max_bytes=1000)
-    fits = (F.col("events") <= 100) & (F.col("bytes") <= 1000)
-    return bodies.agg(
-        F.sum("events").alias("events"), F.sum("bytes").alias("bytes"), F.every(fits).alias("within_limits")
-    )
+    rows = F.split("body", "\n", -1)
+    fits = (F.col("events") <= 100) & (F.col("bytes") <= 1000) & (F.size(rows) == F.col("events"))
+    fits = fits & (F.octet_length("body") + 1 == F.col("bytes"))
+    return bodies.select(F.explode(rows).alias("line"), fits.alias("within_limits"))
 
 
-@query("collector_dry_run", "SELECT count(*) AS events FROM events")
+@query("collector_dry_run", "SELECT count(*) AS events, least(count(*), 5) AS shown, true AS filled FROM events")
 def collector_dry_run(spark, sf_dir):
+    """A few envelopes to look at, and the count of all."""
     made = C.envelopes(_records(spark, sf_dir), "text", C.EnvelopeOptions())
-    return C.dry_run(made)[1]
+    sample, counted = C.dry_run(made)
+    seen = sample.agg(F.count(F.lit(1)).alias("shown"), F.every(F.col("envelope").startswith('{"event":')).alias("filled"))
+    return counted.crossJoin(seen)

@@ -100,6 +100,24 @@ def scan_csv(spark, sf_dir):
     return data.select(*[F.try_variant_get(F.col("data")[c], "$", "string").alias(c) for c in ("id", "note", "flag")])
 
 
+@query("scan_csv_headers", """
+SELECT event_id::VARCHAR AS id, event_type AS kind, CASE WHEN event_id % 2 = 0 THEN user_id::VARCHAR END AS "user",
+       CASE WHEN event_id % 2 = 1 THEN 'n' || event_id END AS note FROM events""")
+def scan_csv_headers(spark, sf_dir):
+    """Files with different headers in one folder, each read by its own."""
+    folder = scratch(spark)
+    rows = events(spark, sf_dir).select(
+        F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("kind"),
+        F.col("user_id").cast("string").alias("user"), F.concat(F.lit("n"), "event_id").alias("note"),
+        F.pmod("event_id", F.lit(2)).alias("odd"),
+    )
+    rows.filter("odd = 0").select("id", "kind", "user").write.option("header", True).csv(f"{folder}/a")
+    rows.filter("odd = 1").select("note", "id", "kind").write.option("header", True).csv(f"{folder}/b")
+    data = F.col("data")
+    read = readers.read_csv(spark, folder, "*.csv")
+    return read.select(*[F.try_variant_get(F.try_element_at(data, F.lit(c)), "$", "string").alias(c) for c in ("id", "kind", "user", "note")])
+
+
 @query("scan_xml", """
 SELECT event_id::VARCHAR AS id, event_type AS kind, '["a","b' || user_id || '"]' AS tags FROM events""")
 def scan_xml(spark, sf_dir):

@@ -96,22 +96,27 @@ def dependency_closure(spark, sf_dir):
 
 
 @query("merged_defaults", """
-WITH RECURSIVE e AS (SELECT p_partkey AS dataset, p_partkey // 3 AS dependency FROM part WHERE p_partkey > 0),
-c AS (SELECT p_partkey AS root, p_partkey AS dataset, 0 AS depth FROM part
-      UNION ALL SELECT root, dependency, depth + 1 FROM c JOIN e USING (dataset)),
-s AS (SELECT root, 'replay.f' || (dataset % 4) AS path, p_brand AS value, depth FROM c JOIN part ON dataset = p_partkey)
-SELECT root, path, arg_min(value, depth) AS value FROM s GROUP BY root, path""")
+WITH RECURSIVE e AS (
+  SELECT p_partkey AS dataset, p_partkey // 3 AS dependency, 0 AS position FROM part WHERE p_partkey > 0
+  UNION ALL SELECT p_partkey, p_partkey // 7, 1 FROM part WHERE p_partkey > 0 AND p_partkey % 2 = 0 AND p_partkey // 7 <> p_partkey // 3),
+c AS (SELECT p_partkey AS root, p_partkey AS dataset, []::INT[] AS places FROM part
+      UNION ALL SELECT root, dependency, list_append(places, position) FROM c JOIN e USING (dataset)),
+s AS (SELECT root, 'replay.f' || (dataset % 4) AS path, p_brand AS value, list_append(places, 2147483647) AS priority, dataset
+      FROM c JOIN part ON dataset = p_partkey)
+SELECT root, path, arg_max(value, priority) AS value FROM s GROUP BY root, path""")
 def merged_defaults(spark, sf_dir):
-    """Defaults of a dataset and its dependencies, merged by path; the nearest one counts."""
-    parts = table(spark, sf_dir, "part")
-    edges = parts.filter("p_partkey > 0").select(
-        F.col("p_partkey").alias("dataset"), F.floor(F.col("p_partkey") / 3).cast("bigint").alias("dependency"),
-        F.lit(0).alias("position"),
-    )
-    places = L.dependency_paths(edges, parts.select(F.col("p_partkey").alias("dataset")))
+    """Defaults of a dataset and its dependencies, up to two each, merged by path.
+
+    Dependencies count in order, the later over the earlier, each after its own; the dataset counts last.
+    """
+    parts = table(spark, sf_dir, "part").withColumn("dataset", F.col("p_partkey"))
+    third, seventh = (F.floor(F.col("p_partkey") / n).cast("bigint") for n in (3, 7))
+    one = parts.filter("p_partkey > 0").select("dataset", third.alias("dependency"), F.lit(0).alias("position"))
+    two = parts.filter((F.col("p_partkey") > 0) & (F.pmod("p_partkey", F.lit(2)) == 0) & (third != seventh))
+    edges = one.unionByName(two.select("dataset", seventh.alias("dependency"), F.lit(1).alias("position")))
+    places = L.dependency_paths(edges, parts.select("dataset"))
     own = parts.select(
-        F.col("p_partkey").alias("dataset"),
-        F.concat(F.lit("replay.f"), F.pmod("p_partkey", F.lit(4))).alias("path"), F.col("p_brand").alias("value"),
+        "dataset", F.concat(F.lit("replay.f"), F.pmod("p_partkey", F.lit(4))).alias("path"), F.col("p_brand").alias("value"),
     )
     return L.merged_settings(places.join(own, "dataset"), ["root"])
 
@@ -133,20 +138,20 @@ def replay_settings(spark, sf_dir):
 
 
 @query("profile_fan_out", """
-SELECT c_custkey AS dataset, c_mktsegment AS profile, s_name AS destination
-FROM customer JOIN supplier ON c_nationkey = s_nationkey AND s_nationkey % 5 = 2
- AND s_suppkey IN (SELECT min(s_suppkey) FROM supplier GROUP BY s_nationkey)""")
+WITH d AS (SELECT s_nationkey, s_name FROM supplier WHERE s_nationkey % 5 <> 2
+           QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) <= 3)
+SELECT c_custkey AS dataset, c_nationkey AS profile, s_name AS destination
+FROM customer LEFT JOIN d ON c_nationkey = s_nationkey""")
 def profile_fan_out(spark, sf_dir):
-    """Every dataset once per destination of its profile (here: nation)."""
+    """Every dataset once per destination of its profile (here: nation); some profiles have none."""
     datasets = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("dataset"), "c_mktsegment", F.col("c_nationkey").alias("profile")
+        F.col("c_custkey").alias("dataset"), F.col("c_nationkey").alias("profile")
     )
-    destinations = (
-        table(spark, sf_dir, "supplier").filter(F.pmod("s_nationkey", F.lit(5)) == 2)
-        .groupBy(F.col("s_nationkey").alias("profile")).agg(F.min_by("s_name", "s_suppkey").alias("destination"))
+    suppliers = table(spark, sf_dir, "supplier").filter(F.pmod("s_nationkey", F.lit(5)) != 2)
+    destinations = L.first_per_key(suppliers, "s_nationkey", [F.col("s_suppkey")], 3).select(
+        F.col("s_nationkey").alias("profile"), F.col("s_name").alias("destination")
     )
-    fanned = L.fan_out(datasets, destinations)
-    return fanned.select("dataset", F.col("c_mktsegment").alias("profile"), "destination")
+    return L.fan_out(datasets, destinations).select("dataset", "profile", "destination")
 
 
 @query("conversation_preview", """

@@ -53,9 +53,10 @@ def deliver(
     transport: Transport = http_post,
     pause: Callable[[float], None] = time.sleep,
 ) -> Delivered:
-    """POST every body (column ``body``, ``events``), one connection per task.
+    """POST every body (column ``body``, ``events``), one request each.
 
-    Order holds within a task. A body is sent at least once: a task that is run again sends its
+    ``parallelism`` is the number of tasks that send; bodies are dealt out to them evenly, and what
+    made the bodies keeps its own tasks. Without it order holds within a task. A body is sent at least once: a task that is run again sends its
     bodies again. A body that is refused after all attempts fails the task.
     """
     address = url + ("?" + parse.urlencode(params) if params else "")
@@ -77,6 +78,6 @@ def deliver(
                     raise OSError(f"collector refused {row.events} events: status {status}")
                 pause(wait_seconds(attempt, asked))
 
-    tasks = bodies if parallelism is None else bodies.coalesce(parallelism)
+    tasks = bodies if parallelism is None else bodies.repartition(parallelism)
     tasks.select("body", "events").foreachPartition(send_all)
     return Delivered(events.value, requests.value)

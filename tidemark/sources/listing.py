@@ -104,15 +104,32 @@ def checksum_matches(content: Column, declared: Column) -> Column:
     )
 
 
-def verify_checksums(spark: SparkSession, manifest: DataFrame, paths: list[str]) -> DataFrame:
-    """``path, checksum, ok`` for every manifest row (``path``, ``checksum``) found on disk.
+# the largest binary value Spark holds
+MAX_HASHED_BYTES = 2**31 - 64
 
-    Each file is hashed by one task and must be smaller than the 2 GB that Spark allows for one
-    binary value; a larger file fails the job instead of passing unchecked.
+
+def verify_checksums(
+    spark: SparkSession, manifest: DataFrame, paths: list[str], max_bytes: int = MAX_HASHED_BYTES
+) -> DataFrame:
+    """``path, checksum, ok, error`` for every manifest row (``path``, ``checksum``) found on disk.
+
+    Each file is hashed by one task. A file too large for one value is not read: it gets ``ok`` false and
+    an error, unless nothing is declared for it.
     """
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    joined = content.join(manifest.select("path", "checksum"), "path")
-    return joined.select("path", "checksum", checksum_matches(F.col("content"), F.col("checksum")).alias("ok"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    declared = manifest.select("path", "checksum")
+    small = files.filter(F.col("length") <= max_bytes).join(declared, "path")
+    hashed = small.select(
+        "path", "checksum", checksum_matches(F.col("content"), F.col("checksum")).alias("ok"),
+        F.lit(None).cast("string").alias("error"),
+    )
+    large = files.filter(F.col("length") > max_bytes).select("path").join(declared, "path")
+    passed = F.col("checksum").isNull()
+    refused = large.select(
+        "path", "checksum", passed.alias("ok"),
+        F.when(~passed, F.lit(f"larger than {max_bytes} bytes")).alias("error"),
+    )
+    return hashed.unionByName(refused)
 
 
 def missing_files(manifest: DataFrame, files: DataFrame) -> DataFrame:

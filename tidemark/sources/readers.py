@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import csv
+import io
+import json
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.bind import computed_once
-from tidemark.functions.xmltext import is_xml_line, windows_event, xml_line_json
+from tidemark.functions.xmltext import fits_layout, is_xml_line, windows_event, xml_line_json
 from tidemark.operators.extract import JSON_OPTIONS, json_object
 from tidemark.session import cut_lineage
 from tidemark.sources.listing import hadoop_uri
 
 FORMATS = ("auto", "csv", "json", "jsonl", "text", "xml")
+CSV_ROWS = 2_000
 RECORD_COLUMNS = ("file_path", "file_name", "format", "raw", "data")
 
 
@@ -112,10 +117,13 @@ def _with_number(data: Column, number: Column | None) -> Column:
     return F.map_concat(data, F.create_map(F.lit("line_number"), number.cast("variant")))
 
 
-def _xml_data(line: Column, windows_only: bool) -> Column:
-    if windows_only:
-        return windows_event(line)
-    return json_object(xml_line_json(F.when(is_xml_line(line), F.trim(line))))
+def _xml_data(line: Column, windows: bool) -> Column:
+    free = F.when(is_xml_line(line), F.trim(line))
+    if not windows:
+        return json_object(xml_line_json(free))
+    # an event that has more than the layout holds goes through the free-form function
+    fits = fits_layout(line)
+    return F.coalesce(F.when(fits, windows_event(line)), json_object(xml_line_json(F.when(~fits, free))))
 
 
 def read_text(
@@ -129,8 +137,8 @@ def read_text(
     """Plain text, one record per line that is not blank: ``data = {line}``.
 
     Lines that start like an XML event become the fields of that event; ``xml_lines`` is ``any``
-    (any XML, through a small Arrow function), ``windows`` (the Windows event layout, JVM only) or
-    ``off``. An XML line that cannot be parsed stays text.
+    (any XML, through a small Arrow function), ``windows`` (the Windows event layout in the JVM, the
+    function only for events with other elements) or ``off``. An XML line that cannot be parsed stays text.
     """
     lines = read_lines(spark, paths, pattern, lenient)
     if line_numbers:
@@ -200,13 +208,59 @@ def read_csv(
     pattern: str | None = None,
     multi_line: bool = True,
     lenient: bool = False,
+    one_header: bool = False,
 ) -> DataFrame:
     """CSV with a header row; all values are strings, empty ones stay empty.
 
-    All files must share the header: a file with another one fails instead of being read by
-    position. ``multi_line`` allows line breaks inside quotes, at the price of one task per file;
-    turn it off for large files without them.
+    Every file is read by its own header. A short row has empty values, further values of a long row
+    are left out, blank lines too. ``multi_line`` allows line breaks inside quotes, at the price of one
+    task per file; turn it off for large files without them: lines are then read in parallel and meet
+    the header of their file. ``one_header`` promises that all files share one, which Spark's own parser
+    then reads; a file that breaks the promise fails the job.
     """
+    if one_header:
+        return _read_csv_alike(spark, paths, pattern, multi_line, lenient)
+    if multi_line:
+        files = _reader(spark, pattern, lenient).text(_paths(paths), wholetext=True)
+        files = files.select(*_file(), F.col("value").alias("line"), F.lit(None).cast("string").alias("header"))
+    else:
+        lines = read_lines(spark, paths, pattern, lenient)
+        first = lines.groupBy("file_path").agg(F.min(F.struct("block", "seq", "line")).alias("first"))
+        headers = first.select("file_path", F.col("first.line").alias("header"), "first.block", "first.seq")
+        body = lines.join(headers.withColumnsRenamed({"block": "_block", "seq": "_seq"}), "file_path")
+        files = body.filter((F.col("block") != F.col("_block")) | (F.col("seq") != F.col("_seq")))
+        files = files.select("file_path", "file_name", "line", "header")
+    rows = files.mapInArrow(_csv_rows, "file_path string, file_name string, _raw string")
+    data = F.from_json("_raw", "map<string,variant>", JSON_OPTIONS)
+    return _records(computed_once(rows, {"data": data}), F.lit("csv"), F.col("_raw"))
+
+
+def _csv_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of whole files, or of single lines with the header of their file, as JSON objects."""
+    csv.field_size_limit(2**31 - 1)
+    for batch in batches:
+        for path, name, text, header in zip(*[batch.column(c).to_pylist() for c in ("file_path", "file_name", "line", "header")]):
+            source = io.StringIO((text or "").removeprefix("\ufeff"), newline="")
+            names = None if header is None else next(csv.reader([header.removeprefix("\ufeff").rstrip("\r")]), [])
+            out: list[str] = []
+            for row in csv.DictReader(source, names, restval=""):
+                row.pop(None, None)
+                out.append(json.dumps(row, ensure_ascii=False))
+                if len(out) >= CSV_ROWS:
+                    yield _csv_batch(path, name, out)
+                    out = []
+            if out:
+                yield _csv_batch(path, name, out)
+
+
+def _csv_batch(path: str, name: str, rows: list[str]) -> pa.RecordBatch:
+    n = len(rows)
+    return pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([name] * n), pa.array(rows)], ["file_path", "file_name", "_raw"])
+
+
+def _read_csv_alike(
+    spark: SparkSession, paths: str | Iterable[str], pattern: str | None, multi_line: bool, lenient: bool
+) -> DataFrame:
     reader = _reader(spark, pattern, lenient).options(
         header=True, inferSchema=False, enforceSchema=False, multiLine=multi_line,
         mode="PERMISSIVE", escape='"', maxCharsPerColumn=-1, encoding="UTF-8",
