@@ -80,6 +80,10 @@ ISO = {
     "2016-08-28T10:00:00.123456789Z": datetime(2016, 8, 28, 10, 0, 0, 123456),
     "20160828T103000,5-0330": datetime(2016, 8, 28, 14, 0, 0, 500000),
     "2016-08-28T10:00:00+19:00": datetime(2016, 8, 27, 15),
+    "2016-W34-7": datetime(2016, 8, 28), "2016W347": datetime(2016, 8, 28), "2016-W34": datetime(2016, 8, 22),
+    "2015-W53-5T10:30Z": datetime(2016, 1, 1, 10, 30), "2016W01": datetime(2016, 1, 4), "2009-W01-1": datetime(2008, 12, 29),
+    "2016-241": datetime(2016, 8, 28), "2016241T103000+0200": datetime(2016, 8, 28, 8, 30), "2016-366": datetime(2016, 12, 31),
+    "2015-366": None, "2016-000": None, "2016-W54": None, "2016-W00-1": None, "2016-W34-8": None, "0000-W01": None,
     "2016-02-30": None, "2016-8-28": None, "1472056400": None, "2016-08-28T24:01": None, "x": None, "": None,
     "2016-08-28T10:3000": None, "0000-01-01": None, "2016-08-28T10:00:60Z": None,
 }

@@ -29,6 +29,9 @@ _FULL_ISO = (
     r"^((?!0000)\d{4})(-?)(\d{2})\2(\d{2})"
     r"(?:(?s:.)(\d{2})(?:(:?)(\d{2})(?:\6(\d{2})(?:[.,](\d+))?)?)?(Z|z|[+-]\d{2}(?::?\d{2})?)?)?\z"
 )
+# 1 year 2 week 3 day 4 time; 1 year 2 day of the year 3 time
+_WEEK_ISO = r"^((?!0000)\d{4})-?W(\d{2})(?:-?(\d))?((?s:.)\d{2}.*)?\z"
+_ORDINAL_ISO = r"^((?!0000)\d{4})-?(\d{3})((?s:\D)\d{2}.*)?\z"
 _PARTIAL_ISO = r"^(?!0000)\d{4}(?:-\d{2})?\z"
 _NUMBER = r"^\s*[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?\s*\z"
 
@@ -84,12 +87,38 @@ def _full_iso_micros(text: Column) -> Column:
     return F.when(text.rlike(_FULL_ISO), let(parts, read))
 
 
+def _week_iso_micros(text: Column) -> Column:
+    """``2016-W34``, ``2016W347`` and the like: the day, then the time as in any other text."""
+
+    def part(i: int) -> Column:
+        return F.regexp_extract(text, _WEEK_ISO, i)
+
+    fourth = F.make_date(part(1).try_cast("int"), F.lit(1), F.lit(4))
+    week, day = part(2).try_cast("int"), F.coalesce(part(3).try_cast("int"), F.lit(1))
+    date = F.date_add(fourth, (week - 1) * 7 + day - 1 - F.weekday(fourth))
+    valid = week.between(1, 53) & day.between(1, 7)
+    return F.when(valid, _full_iso_micros(F.concat(F.date_format(date, "yyyy-MM-dd"), part(4))))
+
+
+def _ordinal_iso_micros(text: Column) -> Column:
+    """``2016-241`` and ``2016241``: the day of the year."""
+
+    def part(i: int) -> Column:
+        return F.regexp_extract(text, _ORDINAL_ISO, i)
+
+    first = F.make_date(part(1).try_cast("int"), F.lit(1), F.lit(1))
+    day = part(2).try_cast("int")
+    date = F.date_add(first, day - 1)
+    valid = (day >= 1) & (F.year(date) == F.year(first))
+    return F.when(valid, _full_iso_micros(F.concat(F.date_format(date, "yyyy-MM-dd"), part(3))))
+
+
 def iso_micros(text: Column) -> Column:
     """ISO 8601 / RFC 3339 text to an instant; a value without a zone is UTC.
 
     Accepts extended and compact dates, a bare year or year-month, hours alone, any single
     character between date and time, ``24:00`` and any fraction length (cut to microseconds).
-    Week and ordinal dates are not read.
+    Week dates (``2016-W34-7``) and days of the year (``2016-241``) are read too.
     """
 
     def read(t: Column) -> Column:
@@ -98,7 +127,9 @@ def iso_micros(text: Column) -> Column:
             t.rlike(_PARTIAL_ISO),
             wall_micros(F.concat(F.rpad(t, 7, "-01"), F.lit("-01 00:00:00"))),
         )
-        return F.coalesce(plain, _full_iso_micros(t), partial)
+        week = F.when(t.rlike(_WEEK_ISO), _week_iso_micros(t))
+        ordinal = F.when(t.rlike(_ORDINAL_ISO), _ordinal_iso_micros(t))
+        return F.coalesce(plain, _full_iso_micros(t), partial, week, ordinal)
 
     return let(text, read)
 

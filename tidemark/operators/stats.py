@@ -97,39 +97,46 @@ def file_breakdown(df: DataFrame, instants: list[Column], plan: Affine, file: Co
     )
 
 
-def histogram(df: DataFrame, us: list[Column], buckets: int = 10) -> DataFrame:
+def histogram(
+    df: DataFrame, us: list[Column], buckets: int = 10, bounds: tuple[int, int] | None = None
+) -> DataFrame:
     """Equal buckets over the whole range, the last one closed, empty ones kept.
 
+    ``bounds``, the earliest and latest instant, are those a plan was made from; without them a pass
+    over the data finds them.
+
     ``us`` are instants in microseconds; every instant of a record counts. When all instants are
     equal there is one bucket and it counts records.
     """
     records = df.select(F.array_compact(F.array(*us)).alias("_us"))
-    bounds = records.filter(F.size("_us") > 0).agg(
-        F.min(F.array_min("_us")).alias("lo"),
-        F.max(F.array_max("_us")).alias("hi"),
-        F.count(F.lit(1)).alias("records"),
-    )
-    row = bounds.first()
     spark = df.sparkSession
-    if row is None or row.lo is None:
+    low, high = bounds or (None, None)
+    if low is None or low == high:
+        row = records.filter(F.size("_us") > 0).agg(
+            F.min(F.array_min("_us")).alias("lo"),
+            F.max(F.array_max("_us")).alias("hi"),
+            F.count(F.lit(1)).alias("records"),
+        ).first()
+        low, high = row.lo, row.hi
+    if low is None:
         return spark.range(0).select(
             F.lit(0).alias("bucket"), F.lit(None).cast("timestamp").alias("bucket_start"),
             F.lit(0).cast("bigint").alias("n"),
         )
-    if row.lo == row.hi:
+    if low == high:
         return spark.range(1).select(
-            F.lit(0).alias("bucket"), F.timestamp_micros(F.lit(row.lo)).alias("bucket_start"),
+            F.lit(0).alias("bucket"), F.timestamp_micros(F.lit(low)).alias("bucket_start"),
             F.lit(row.records).cast("bigint").alias("n"),
         )
-    width = ((row.hi - row.lo) / 1e6) / buckets
-    offset = (F.col("us") - F.lit(row.lo)).cast("double") / F.lit(1e6)
+    width = ((high - low) / 1e6) / buckets
+    offset = (F.col("us") - F.lit(low)).cast("double") / F.lit(1e6)
     index = F.least(F.floor(offset / F.lit(width)).cast("int"), F.lit(buckets - 1))
     counts = (
         records.select(F.explode("_us").alias("us"))
         .groupBy(index.alias("bucket"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    start = F.lit(row.lo) + epoch_micros(F.col("id").cast("double") * F.lit(width))
+    start = F.lit(low) + epoch_micros(F.col("id").cast("double") * F.lit(width))
     grid = spark.range(buckets).select(
         F.col("id").cast("int").alias("bucket"), F.timestamp_micros(start).alias("bucket_start")
     )

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import instants as I
@@ -244,10 +245,14 @@ def as_line(data: Column, raw: Column | None = None) -> Column:
     return F.coalesce(line, *([] if raw is None else [raw]), F.to_json(data))
 
 
-def json_array_per_file(df: DataFrame, file: str, order: str, record: str) -> DataFrame:
-    """One JSON array per file. Only for files of a size one task can hold; JSON lines has no limit."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(record).alias("r"))))
-    items = F.transform(pairs, lambda p: p["r"])
-    return df.groupBy(file).agg(
-        F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")).alias("content")
-    )
+def json_array_lines(df: DataFrame, file: str, order: str, record: str) -> DataFrame:
+    """``file, place, line``: the lines of one JSON array per file, in order of ``place``.
+
+    Rows are sorted within a file and pass one by one, so a task holds no array, whatever its size. The
+    result is partitioned by file and sorted: written as text, partitioned by file, it is the arrays.
+    """
+    within = W.partitionBy(file).orderBy(order)
+    place = F.row_number().over(within) - 1
+    last = F.lead(F.lit(1)).over(within).isNull()
+    line = F.concat(F.when(place == 0, "[").otherwise(""), F.col(record), F.when(last, "]").otherwise(","))
+    return df.select(file, place.cast("long").alias("place"), line.alias("line"))

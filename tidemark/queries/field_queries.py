@@ -10,7 +10,7 @@ from tidemark.functions.values import Value, epoch_of, read_instant
 from tidemark.operators import extract as X
 from tidemark.operators.errors import split_errors
 from tidemark.operators.writeback import (
-    as_json, as_line, json_array_per_file, put_instants, put_matched, shift_records,
+    as_json, as_line, json_array_lines, put_instants, put_matched, shift_records,
 )
 from tidemark.plans.pattern_sets import BRONZE, GENERIC, Pattern, ocsf
 from tidemark.queries.registry import (
@@ -27,18 +27,24 @@ def _text(col) -> Value:
 
 
 @query("parse_iso", f"""
-SELECT event_id, CASE event_id % 6 WHEN 0 THEN ts WHEN 1 THEN ts WHEN 2 THEN make_timestamp({MILLI_SQL})
-  WHEN 3 THEN make_timestamp({SECOND_SQL}) WHEN 4 THEN date_trunc('day', ts)
-  ELSE NULL END AS parsed FROM events""")
+SELECT event_id, CASE event_id % 8 WHEN 0 THEN ts WHEN 1 THEN ts WHEN 2 THEN make_timestamp({MILLI_SQL})
+  WHEN 3 THEN make_timestamp({SECOND_SQL}) WHEN 4 THEN date_trunc('day', ts) WHEN 6 THEN date_trunc('day', ts)
+  WHEN 7 THEN make_timestamp({SECOND_SQL}) ELSE NULL END AS parsed FROM events""")
 def parse_iso(spark, sf_dir):
-    """ISO text with and without zone, fractions of any length, compact dates, and junk."""
+    """ISO text with and without zone, fractions of any length, compact, week and ordinal dates, and junk."""
     us = F.col("us")
+    day = F.timestamp_micros(us)
+    # the year of the week is that of its Thursday
+    week_year = F.year(F.date_add(day.cast("date"), 3 - F.weekday(day)))
+    week = F.concat(week_year.cast("string"), F.lit("-W"), F.lpad(F.weekofyear(day).cast("string"), 2, "0"), F.lit("-"), F.weekday(day) + 1)
     text = (
-        F.when(_id(6) == 0, clock(us, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
-        .when(_id(6) == 1, F.concat(clock(us - 6 * I.HOUR, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("000-0600")))
-        .when(_id(6) == 2, F.concat(clock(us + 5 * I.HOUR, "yyyyMMdd'T'HHmmss.SSS"), F.lit("+05")))
-        .when(_id(6) == 3, clock(us, "yyyy-MM-dd'T'HH:mm:ss"))
-        .when(_id(6) == 4, clock(us, "yyyyMMdd"))
+        F.when(_id(8) == 0, clock(us, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+        .when(_id(8) == 1, F.concat(clock(us - 6 * I.HOUR, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("000-0600")))
+        .when(_id(8) == 2, F.concat(clock(us + 5 * I.HOUR, "yyyyMMdd'T'HHmmss.SSS"), F.lit("+05")))
+        .when(_id(8) == 3, clock(us, "yyyy-MM-dd'T'HH:mm:ss"))
+        .when(_id(8) == 4, clock(us, "yyyyMMdd"))
+        .when(_id(8) == 6, week)
+        .when(_id(8) == 7, clock(us, "yyyy-DDD'T'HH:mm:ss'Z'"))
         .otherwise(F.concat(F.lit("at "), clock(us, "yyyy-MM-dd HH:mm:ss")))
     )
     return events(spark, sf_dir).select("event_id", X.iso_of(text).alias("parsed"))
@@ -441,15 +447,17 @@ def records_as_lines(spark, sf_dir):
 
 
 @query("json_array_per_file", """
-SELECT event_id // 100 AS file, '[' || string_agg('{"id":' || event_id || '}', ',' ORDER BY event_id) || ']' AS content
-FROM events GROUP BY event_id // 100""")
+SELECT event_id // 100 AS file, row_number() OVER w - 1 AS place,
+  CASE WHEN row_number() OVER w = 1 THEN '[' ELSE '' END || '{"id":' || event_id || '}'
+  || CASE WHEN lead(event_id) OVER w IS NULL THEN ']' ELSE ',' END AS line
+FROM events WINDOW w AS (PARTITION BY event_id // 100 ORDER BY event_id)""")
 def json_arrays(spark, sf_dir):
-    """Batch JSON: one array per file (here: a hundred events)."""
+    """Batch JSON: the lines of one array per file (here: a hundred events)."""
     rows = events(spark, sf_dir).select(
         F.floor(F.col("event_id") / 100).alias("file"), "event_id",
         F.to_json(F.struct(F.col("event_id").alias("id"))).alias("r"),
     )
-    return json_array_per_file(rows, "file", "event_id", "r")
+    return json_array_lines(rows, "file", "event_id", "r")
 
 
 @query("output_paths", r"""

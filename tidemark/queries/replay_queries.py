@@ -382,7 +382,7 @@ h AS (SELECT i::INT AS bucket,
 
 @query("histogram", _histogram_sql(24) + "SELECT * FROM h")
 def histogram(spark, sf_dir):
-    return stats.histogram(events(spark, sf_dir), [F.col("us")], 24)
+    return stats.histogram(events(spark, sf_dir), [F.col("us")], 24, bounds(spark, sf_dir))
 
 
 @query("histogram_bars", _histogram_sql(10) + """
