@@ -152,6 +152,16 @@ def test_sink_appends(spark, tmp_path, compression, suffix):
     assert back.count() == 20 and {r.sourcetype for r in back.select("sourcetype").collect()} == {"a-b-0", "a-b-1"}
 
 
+def test_sink_keeps_literal_text(spark, tmp_path):
+    rows = spark.range(10).withColumn("st", F.concat(F.lit("a:"), F.pmod("id", F.lit(2))))
+    for _ in range(2):
+        write_lines(rows, F.col("id").cast("string"), str(tmp_path), "logs/app-{sourcetype}/e-{year}.jsonl", RUN,
+                    F.lit("x"), F.col("st"), "gzip", files_per_path=1)
+    names = {str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file() and not p.name.startswith(".")}
+    assert names == {f"logs/app-a-{i}/e-2025{n}.jsonl.gz" for i in (0, 1) for n in ("", "-00001")}
+    assert spark.read.option("recursiveFileLookup", True).text(str(tmp_path)).count() == 20
+
+
 def test_paths(spark):
     def path(template, st, compression=None):
         out = output_path(template, F.lit("/d/f.log.gz"), F.lit(st).cast("string"), RUN, compression)

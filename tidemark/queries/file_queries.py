@@ -262,6 +262,21 @@ def write_by_template(spark, sf_dir):
     )
 
 
+@query("write_by_literal_template", """
+SELECT event_id, 'logs/app-web-' || event_type || '/events-2025-06.jsonl' AS path FROM events""")
+def write_by_literal_template(spark, sf_dir):
+    """Literal text of a template is part of the path; here every path is one file."""
+    folder = scratch(spark)
+    rows = events(spark, sf_dir)
+    write_lines(
+        rows, F.col("event_id").cast("string"), folder, "logs/app-{sourcetype}/events-{year}-{month}.jsonl", RUN_TIME,
+        F.lit("x"), F.concat(F.lit("web:"), "event_type"), files_per_path=1,
+    )
+    back = spark.read.option("recursiveFileLookup", True).text(folder)
+    path = F.regexp_extract(F.col("_metadata.file_path"), r"(logs/.*)$", 1)
+    return back.select(F.col("value").cast("bigint").alias("event_id"), path.alias("path"))
+
+
 def _log_folder(spark, sf_dir):
     """The events as JSON lines, one folder per type."""
     text = F.to_json(F.struct(

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from datetime import datetime
 from typing import TextIO
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.paths import template_columns
+from tidemark.functions.paths import output_path, template_columns, template_parts
 from tidemark.operators.writeback import as_json, as_line
 from tidemark.sources.listing import hadoop_uri
 
@@ -37,12 +39,20 @@ def write_lines(
     mode: str = "append",
     files_per_path: int | None = None,
 ) -> None:
-    """Write lines below ``path``, in one directory level per variable of the template.
+    """Write lines below ``path``, where the template says.
+
+    A template of variables and slashes alone gives one directory level ``name=value`` per variable,
+    which Spark reads back as columns. Any other text in it is kept: then files have the very path of
+    :func:`tidemark.functions.paths.output_path`, a number added where a path has several files.
 
     The clock variables are those of ``run_time`` for the whole run. By default every task writes
     its own rows and nothing is shuffled. ``files_per_path`` bounds the number of files per
     directory; rows are then spread evenly over that many tasks, also when one path holds most.
     """
+    if any(literal.strip("/") for literal, _ in template_parts(template)):
+        place = output_path(template, filename, sourcetype, run_time, compression)
+        _write_exact(df.select(place.alias("_path"), line.alias("value")), path, compression, mode, files_per_path)
+        return
     columns = template_columns(template, filename, sourcetype, run_time)
     out = df.select(*[c.alias(n) for n, c in columns.items()], line.alias("value"))
     if files_per_path:
@@ -54,6 +64,46 @@ def write_lines(
     writer.text(hadoop_uri(path))
 
 
+def _write_exact(
+    lines: DataFrame, path: str, compression: str | None, mode: str, files_per_path: int | None
+) -> None:
+    """Write by tasks into a hidden folder beside the result, then move each file to its name.
+
+    Only the moves are made by the driver, one per file; on an object store a move is a copy.
+    """
+    spark, root = lines.sparkSession, hadoop_uri(path)
+    staging = f"{root}/_staging-{uuid.uuid4().hex}"
+    if files_per_path:
+        lines = lines.repartition("_path", F.pmod(F.xxhash64("value"), F.lit(files_per_path)))
+    lines.write.partitionBy("_path").option("compression", COMPRESSION[compression]).text(staging)
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    system = Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in system.listStatus(Path(staging)):
+        name = folder.getPath().getName()
+        if not name.startswith("_path="):
+            continue
+        target = unquote(name.removeprefix("_path="))
+        if mode == "overwrite":
+            system.delete(Path(f"{root}/{target}"), True)
+        parts = [f.getPath() for f in system.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+        for part in sorted(parts, key=str):
+            place, number = Path(f"{root}/{target}"), 0
+            while system.exists(place):
+                number += 1
+                place = Path(f"{root}/{_numbered(target, number)}")
+            system.mkdirs(place.getParent())
+            if not system.rename(part, place):
+                raise OSError(f"could not move {part} to {place}")
+    system.delete(Path(staging), True)
+
+
+def _numbered(target: str, number: int) -> str:
+    """The number goes before the first dot of the file's name."""
+    folder, _, name = target.rpartition("/")
+    stem, dot, rest = name.partition(".")
+    return (folder + "/" if folder else "") + f"{stem}-{number:05d}{dot}{rest}"
+
+
 def print_lines(df: DataFrame, line: Column, limit: int | None = None, out: TextIO | None = None) -> int:
     """Print lines in order, one partition at a time."""
     out = out or sys.stdout
