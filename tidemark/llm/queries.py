@@ -57,14 +57,46 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-@query("op1_super_kmer_dedup")
+@query(
+    "op1_super_kmer_dedup",
+    r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w),
+    later AS (SELECT doc_id, i FROM (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS content FROM starts)
+              QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id, i) > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+    words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+    removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(removed.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
+    """,
+)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Substring dedup of all documents, windows of 20 words."""
     kept = substrings.remove_repeats(table(spark, sf_dir, "documents"), 20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op9_size_aware_jaccard")
+@query(
+    "op9_size_aware_jaccard",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+        FROM documents
+    ), places AS (
+        SELECT doc_id, ws, unnest(CASE WHEN len(ws) > 4 THEN range(1, len(ws) - 3) WHEN len(ws) > 0 THEN [1] ELSE [] END) AS i FROM w
+    ), shingles AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM places),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM shingles a JOIN shingles b USING (g) GROUP BY ALL),
+    links AS (SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * o >= 80 * (a.n + b.n - o)),
+    reached AS (SELECT x AS doc_id, x AS y FROM links UNION SELECT reached.doc_id, links.y FROM reached JOIN links ON links.x = reached.y),
+    least AS (SELECT doc_id, min(y) AS y FROM reached GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(y, doc_id) AS component_id
+    FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+    """,
+)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of all documents that link by the Jaccard similarity of their shingles."""
     return jaccard.near_groups(table(spark, sf_dir, "documents"))
