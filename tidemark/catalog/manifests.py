@@ -54,13 +54,8 @@ def _yaml_converter():
     return convert
 
 
-def read_manifests(
-    spark: SparkSession, paths: str | list[str], pattern: str = "dataset.{yaml,yml,json}"
-) -> DataFrame:
-    """``path, size, manifest`` of every manifest below ``paths``; unreadable ones are dropped.
-
-    JSON manifests are parsed by Spark; others go through the YAML parser, an Arrow batch at a time.
-    """
+def _loaded(spark: SparkSession, paths: str | list[str], pattern: str) -> DataFrame:
+    """``path, size, json, manifest`` of every file; JSON and manifest are NULL where there is none."""
     files = (
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
         .text(paths, wholetext=True)
@@ -78,10 +73,40 @@ def read_manifests(
         converted = native.unionByName(
             other.mapInPandas(_yaml_converter(), "path string, size long, value string, json string")
         )
-    parsed = converted.select("path", "size", F.from_json("json", MANIFEST).alias("manifest"))
+    return converted.select("path", "size", "json", F.from_json("json", MANIFEST).alias("manifest"))
+
+
+def read_manifests(
+    spark: SparkSession, paths: str | list[str], pattern: str = "dataset.{yaml,yml,json}"
+) -> DataFrame:
+    """``path, size, manifest`` of every readable manifest below ``paths``.
+
+    JSON manifests are parsed by Spark; others go through the YAML parser, an Arrow batch at a time.
+    What is left out, and why, is in :func:`manifest_problems`.
+    """
+    parsed = _loaded(spark, paths, pattern).select("path", "size", "manifest")
     return parsed.filter(F.col("manifest.metadata.name").isNotNull())
 
 
+def manifest_problems(
+    spark: SparkSession, paths: str | list[str], pattern: str = "dataset.{yaml,yml,json}"
+) -> DataFrame:
+    """``path, problem`` of every manifest that :func:`read_manifests` leaves out."""
+    sizes = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+        .load(paths).filter(F.col("length") > MAX_MANIFEST_BYTES)
+    )
+    large = sizes.select("path", F.lit(f"larger than {MAX_MANIFEST_BYTES} bytes").alias("problem"))
+    loaded = _loaded(spark, paths, pattern)
+    readable = F.try_parse_json("json").isNotNull()
+    problem = (
+        F.when(~F.coalesce(readable, F.lit(False)), "cannot be parsed")
+        .when(F.col("manifest.metadata.name").isNull(), "has no name")
+    )
+    bad = loaded.select("path", problem.alias("problem")).filter(F.col("problem").isNotNull())
+    return bad.unionByName(large)
+
+
 def _meta(name: str) -> Column:
     return F.col(f"manifest.metadata.{name}").alias(name)
 

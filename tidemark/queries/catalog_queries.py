@@ -8,7 +8,7 @@ from tidemark.catalog import manifests as M
 from tidemark.catalog import search as S
 from tidemark.functions.paths import split_reference, split_repository
 from tidemark.functions.versions import highest_version, satisfies
-from tidemark.queries.registry import events, query, table
+from tidemark.queries.registry import events, query, scratch, table
 from tidemark.sources import listing
 
 _VERSION_SQL = "(p_size % 4) || '.' || (p_partkey % 10) || '.' || (p_partkey % 7)"
@@ -283,26 +283,36 @@ def destination_list(spark, sf_dir):
     return S.list_destinations(destinations, "s3").select("name")
 
 
-@query("catalog_ingest", """
-SELECT 'set-' || event_type AS dataset, count(*) AS event_count, 'st:' || event_type AS sourcetype,
-       'T1' AS technique, 'other' AS dependency, '>=1.0.0' AS version FROM events GROUP BY event_type""")
-def catalog_ingest(spark, sf_dir):
-    """Manifests (one per event type, one unreadable) written as files and read into tables."""
-    from tidemark.queries.registry import scratch
-
+def _manifest_folder(spark, sf_dir):
+    """A manifest per nation, as JSON or YAML by turns; every fifth cannot be used."""
     folder = scratch(spark)
-    counts = events(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    text = F.concat(
-        F.lit('{"metadata":{"name":"set-'), "event_type",
+    key = F.col("n_nationkey")
+    counts = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    rows = table(spark, sf_dir, "nation").join(counts, key == F.col("c_nationkey"))
+    as_json = F.concat(
+        F.lit('{"metadata":{"name":"set-'), key,
         F.lit('","version":"1.0.0","description":"d","mitre_attack":{"techniques":[{"id":"T1","name":"n"}]}},'
-              '"files":{"bundled":[{"path":"a.jsonl","event_count":'), "n",
-        F.lit(',"sourcetype":"st:'), "event_type",
+              '"files":{"bundled":[{"path":"a.jsonl","event_count":'), "n", F.lit(',"sourcetype":"st:'), key,
         F.lit('"}]},"dependencies":[{"dataset":"other","version":">=1.0.0"}]}'),
     )
-    good = counts.select("event_type", text.alias("value"))
-    bad = counts.limit(1).select(F.lit("bad").alias("event_type"), F.lit("{").alias("value"))
-    good.unionByName(bad).repartition("event_type").write.partitionBy("event_type").text(folder)
-    manifests = M.read_manifests(spark, folder, "*.txt")
+    as_yaml = F.concat(
+        F.lit("metadata:\n  name: set-"), key, F.lit("\n  version: 1.0.0\n  description: d\n  mitre_attack:\n"
+        "    techniques:\n      - {id: T1, name: n}\nfiles:\n  bundled:\n    - path: a.jsonl\n      event_count: "), "n",
+        F.lit("\n      sourcetype: 'st:"), key, F.lit("'\ndependencies:\n  - {dataset: other, version: '>=1.0.0'}"),
+    )
+    kind = F.pmod(key, F.lit(10))
+    text = F.when(kind == 4, "{").when(kind == 9, "metadata: {version: 1.0.0}").when(F.pmod(key, F.lit(2)) == 0, as_json).otherwise(as_yaml)
+    rows.select(F.col("n_nationkey").alias("nation"), text.alias("value")).write.partitionBy("nation").text(folder)
+    return folder
+
+
+@query("catalog_ingest", """
+SELECT 'set-' || c_nationkey AS dataset, count(*) AS event_count, 'st:' || c_nationkey AS sourcetype,
+       'T1' AS technique, 'other' AS dependency, '>=1.0.0' AS version
+FROM customer WHERE c_nationkey % 5 <> 4 GROUP BY c_nationkey""")
+def catalog_ingest(spark, sf_dir):
+    """Manifests as JSON and YAML, some unusable, written as files and read into tables."""
+    manifests = M.read_manifests(spark, _manifest_folder(spark, sf_dir), "*.txt")
     as_json = manifests.select("manifest")
     files, techniques, needs = M.files(as_json), M.techniques(as_json), M.dependencies(as_json)
     return (
@@ -310,3 +320,22 @@ def catalog_ingest(spark, sf_dir):
         .join(techniques.select("dataset", "technique"), "dataset")
         .join(needs.select("dataset", "dependency", "version"), "dataset")
     )
+
+
+@query("manifest_problems", """
+SELECT DISTINCT c_nationkey AS nation, CASE WHEN c_nationkey % 10 = 4 THEN 'cannot be parsed' ELSE 'has no name' END AS problem
+FROM customer WHERE c_nationkey % 5 = 4""")
+def manifest_problems(spark, sf_dir):
+    """Unusable manifests are rows with a reason."""
+    found = M.manifest_problems(spark, _manifest_folder(spark, sf_dir), "*.txt")
+    return found.select(F.regexp_extract("path", r"nation=(\d+)", 1).cast("int").alias("nation"), "problem")
+
+
+@query("stored_datasets", """
+SELECT DISTINCT 'set-' || c_nationkey AS name, '1.0.0' AS version, 'd' AS description, c_nationkey AS nation
+FROM customer WHERE c_nationkey % 5 <> 4""")
+def stored_datasets(spark, sf_dir):
+    """The datasets below a folder."""
+    found = M.listing(M.read_manifests(spark, _manifest_folder(spark, sf_dir), "*.txt"))
+    place = F.regexp_extract("path", r"nation=(\d+)", 1).cast("int").alias("nation")
+    return found.select("name", "version", "description", place)

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.timeexpr import time_expression_micros
 from tidemark.operators import shift, stats
-from tidemark.operators.bounds import range_by, range_with_files, span_hours
+from tidemark.operators.bounds import (
+    NoTimestampsError, range_by, range_with_files, require_range, span_hours,
+)
 from tidemark.operators.lookups import effective_settings
 from tidemark.plans.shift_plan import TimeSettings, plan_shift
 from tidemark.queries.registry import (
@@ -123,7 +125,6 @@ SELECT o_orderkey, make_timestamp({TARGET_SQL} + epoch_us(o_orderdate) - lo) AS
 FROM o, b""")
 def shift_several_fields(spark, sf_dir):
     """One range over all timestamp fields of a record, one move for all of them."""
-    from tidemark.operators.bounds import require_range
 
     ships = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship")
@@ -299,6 +300,20 @@ def time_range(spark, sf_dir):
     return range_with_files(table(spark, sf_dir, "events"), [F.col("ts")], F.col("event_type"))
 
 
+@query("no_timestamp_error", """
+SELECT lang, count(*) AS documents, count(*) FILTER (regexp_matches(text, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')) = 0 AS refused
+FROM documents GROUP BY lang""")
+def no_timestamp_error(spark, sf_dir):
+    """A plan is refused for records without a readable instant (here: texts, by language)."""
+    docs = table(spark, sf_dir, "documents").select("lang", F.to_timestamp(F.when(F.col("text").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.col("text"))).alias("ts"))
+    try:
+        require_range(docs, [F.col("ts")])
+        refused = False
+    except NoTimestampsError:
+        refused = True
+    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("documents")).withColumn("refused", F.lit(refused))
+
+
 @query("time_range_several_fields", """
 SELECT o_orderpriority AS priority, count(*) AS events,
        min(least(o_orderdate, coalesce(l_shipdate, o_orderdate))) AS earliest,
