@@ -200,7 +200,14 @@ def exact_groups(docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
-    """``docs`` without copies: one row for each distinct text, with all its columns."""
-    kept = exact_groups(docs, capacity).filter("kept").select(F.col("doc_id").alias("_kept"))
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"])
+    """``docs`` without copies: one row for each distinct text, with all its columns.
+
+    Rows are told apart by ``doc_id``; of rows that repeat an id with the same text one stays.
+    """
+    kept = exact_groups(docs, capacity).filter("kept")
+    kept = kept.groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_rows"))
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")))
+    once = rows.filter("_rows = 1").select(*docs.columns)
+    # only repeated rows are sent once more
+    again = rows.filter("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again)
