@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.lookups import uncovered_references
+
 MAX_MANIFEST_BYTES = 10 * 1024 * 1024
 
 _LOG_SOURCE = (
@@ -163,3 +165,17 @@ def dependencies(manifests: DataFrame) -> DataFrame:
 def listing(manifests: DataFrame) -> DataFrame:
     """Name, version, description and path of every stored dataset."""
     return datasets(manifests).select("name", "version", "description", "path")
+
+
+def replay_files(manifests: DataFrame, root: str) -> DataFrame:
+    """``path, format, schema, sourcetype`` of the files a run reads.
+
+    That is every bundled file, below ``root``, and the references whose sourcetype no bundled file
+    covers.
+    """
+    named = files(manifests)
+    bundled = named.filter(F.col("kind") == "bundled")
+    places = F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace("path", r"^\./", ""))
+    other = uncovered_references(named.filter(F.col("kind") == "references"), bundled)
+    columns = ("path", "format", "schema", "sourcetype")
+    return bundled.withColumn("path", places).select(*columns).unionByName(other.select(*columns))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.catalog import manifests as M
 from tidemark.functions.timeexpr import moment
 from tidemark.plans.pattern_sets import Pattern
 from tidemark.queries.field_queries import json_events
 from tidemark.queries.registry import (
     BOUNDS_SQL, RUN_TIME, TARGET, TARGET_SQL, clock, events, moved_sql, plan, query, scratch, second, table,
 )
-from tidemark.replay import Replay
+from tidemark.replay import Replay, run_profile
 from tidemark.sinks.files import write_lines
 from tidemark.sources import listing, readers
 
@@ -369,6 +370,61 @@ def read_dataset(spark, sf_dir):
     )
 
 
+def _dataset(spark, sf_dir):
+    """A folder of log files, a file per event type, and its manifest; returns the folder and the manifest."""
+    folder = _log_folder(spark, sf_dir)
+    named = listing.list_files(spark, folder, "*.txt").select(
+        F.regexp_extract("path", r"(event_type=[^/]*/[^/]*)$", 1).alias("path"), F.lit("jsonl").alias("format"),
+        F.concat(F.lit("st:"), F.regexp_extract("path", r"event_type=(\w+)", 1)).alias("sourcetype"),
+    )
+    # one entry per file, and a reference that a bundled file covers
+    text = F.to_json(F.struct(
+        F.struct(F.lit("logs").alias("name")).alias("metadata"),
+        F.struct(
+            F.collect_list(F.struct("path", "format", "sourcetype")).alias("bundled"),
+            F.array(F.struct(F.lit("s3://nowhere/x").alias("uri"), F.lit("st:click").alias("sourcetype"))).alias("references"),
+        ).alias("files"),
+    ))
+    place = scratch(spark)
+    named.agg(text.alias("value")).coalesce(1).write.text(place)
+    return folder, M.read_manifests(spark, place, "*.txt")
+
+
+@query("dataset_run", f"""
+WITH {BOUNDS_SQL}
+SELECT event_id, 'st-' || event_type AS sourcetype, make_timestamp({moved_sql('epoch_us(ts)')}) AS new_ts FROM events, b""")
+def dataset_run(spark, sf_dir):
+    """From a manifest to replayed rows: bundled files are read, covered references are not."""
+    folder, manifests = _dataset(spark, sf_dir)
+    out = scratch(spark)
+    Replay(spark, RUN_TIME).input_dataset(manifests, folder).output_destination(
+        out, "jsonl", "{sourcetype}").set_timestamp_options(target_time=TARGET).run()
+    data = F.col("data")
+    return readers.read_json_lines(spark, out).select(
+        F.try_variant_get(data["id"], "$", "bigint").alias("event_id"),
+        F.regexp_extract("file_path", r"sourcetype=([^/]*)", 1).alias("sourcetype"),
+        F.try_variant_get(data["timestamp"], "$", "string").cast("timestamp").alias("new_ts"),
+    )
+
+
+@query("profile_files", """
+SELECT event_type AS dataset, count(*) AS events, count(*) AS events_modified, 2 * count(*) AS written, false AS failed FROM events GROUP BY event_type
+UNION ALL SELECT 'missing', NULL, NULL, 0, true""")
+def profile_files(spark, sf_dir):
+    """A profile over files: two destinations, a plan per dataset, and one dataset that fails."""
+    folder, out = _log_folder(spark, sf_dir), scratch(spark)
+    kinds = [r.event_type for r in table(spark, sf_dir, "events").select("event_type").distinct().collect()]
+    inputs = {k: lambda job, k=k: job.input_source(f"{folder}/event_type={k}", "jsonl") for k in [*kinds, "missing"]}
+    places = [lambda job, n=n: job.output_destination(f"{out}/{n}", "jsonl", "run-{filename}/x.jsonl") for n in ("a", "b")]
+    result = run_profile(spark, inputs, places, {"click": {"delta_factor": 0.5}}, {"target_time": TARGET}, RUN_TIME)
+    written = spark.read.option("recursiveFileLookup", True).text(out).select(F.get_json_object("value", "$.id").cast("bigint").alias("event_id"))
+    counts = written.join(table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("dataset")), "event_id")
+    counts = counts.groupBy("dataset").agg(F.count(F.lit(1)).alias("written"))
+    return result.join(counts, "dataset", "left").select(
+        "dataset", "events", "events_modified", F.coalesce("written", F.lit(0)).cast("long").alias("written"), F.col("error").isNotNull().alias("failed")
+    )
+
+
 @query("no_output_run", f"""
 WITH {BOUNDS_SQL}
 SELECT count(*) AS events, make_timestamp(min({moved_sql('epoch_us(ts)')})) AS new_earliest, true AS nothing_written

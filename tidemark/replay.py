@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.catalog.manifests import replay_files
 from tidemark.functions.paths import template_parts
 from tidemark.functions.timeexpr import micros
 from tidemark.operators import stats
@@ -21,7 +23,7 @@ from tidemark.plans.pattern_sets import SCHEMAS, Pattern, patterns_for
 from tidemark.plans.shift_plan import ShiftPlan, TimeSettings, plan_shift
 from tidemark.session import require_utc
 from tidemark.sinks.files import print_lines, run_dry, serialised, write_lines
-from tidemark.sources.readers import FORMATS, read_records
+from tidemark.sources.readers import FORMATS, read_dataset, read_records
 
 OUTPUT_FORMATS = ("json", "jsonl", "text")
 COMPRESSIONS = ("none", "gzip", "bzip2")
@@ -51,6 +53,7 @@ class Replay:
         self._patterns: tuple[Pattern, ...] = ()
         self._read_options: dict = {}
         self._files: DataFrame | None = None
+        self._by_sourcetype = False
         self._outputs: list[_Output] = []
         self._settings = TimeSettings()
         self._range: tuple[int, int] | None = None
@@ -65,9 +68,19 @@ class Replay:
         self._patterns, self._read_options = tuple(patterns), read_options
         return self
 
+    def input_dataset(self, manifests: DataFrame, root: str, schema: str = "raw") -> "Replay":
+        """The files of a dataset, each read by its format and replayed by its sourcetype.
+
+        ``manifests`` comes from :func:`tidemark.catalog.manifests.read_manifests`; bundled paths are
+        below ``root``.
+        """
+        self._input = read_dataset(self._spark, replay_files(manifests, root))
+        self._schema, self._by_sourcetype = schema, True
+        return self
+
     def sourcetypes(self, files: DataFrame) -> "Replay":
         """``file_name, sourcetype, position``: the sourcetype of each file."""
-        self._files = files
+        self._files, self._by_sourcetype = files, True
         return self
 
     def output_destination(
@@ -129,7 +142,7 @@ class Replay:
 
     def _find(self, rows: DataFrame) -> tuple[DataFrame, list[Found]]:
         read = map_reader(F.col("data"))
-        if self._schema == "raw" and not self._patterns and self._files is not None:
+        if self._schema == "raw" and not self._patterns and self._by_sourcetype:
             return instants_by_sourcetype(rows, read, F.col("sourcetype"))
         return instants(rows, read, patterns_for(self._schema, None, self._patterns))
 
@@ -140,7 +153,7 @@ class Replay:
 
     def _scan(self) -> tuple[int, int]:
         rows = self.records()
-        plain = self._files is None or self._schema != "raw" or self._patterns
+        plain = not self._by_sourcetype or self._schema != "raw" or self._patterns
         if self._format == "jsonl" and "raw" in rows.columns and plain:
             # only the fields that hold instants are parsed
             patterns = patterns_for(self._schema, None, self._patterns)
@@ -197,3 +210,35 @@ class Replay:
                 rows, line, out.path, out.template, self._run_time, F.col("file_name"),
                 F.col("sourcetype"), out.compression, files_per_path=out.files_per_path,
             )
+
+
+PROFILE_RESULT = "dataset string, events long, events_modified long, error string"
+
+
+def run_profile(
+    spark: SparkSession,
+    datasets: Mapping[str, Callable[[Replay], Replay]],
+    destinations: Sequence[Callable[[Replay], Replay]],
+    settings: Mapping[str, dict] | None = None,
+    defaults: dict | None = None,
+    run_time: datetime | None = None,
+) -> DataFrame:
+    """Replay each dataset of a profile to all its destinations; a row per dataset.
+
+    ``datasets`` gives a job its input, ``destinations`` add an output each, ``settings`` are time
+    options by dataset over ``defaults``. A dataset that fails has its error in the result and does not
+    stop the others; all share one run time.
+    """
+    now = run_time or datetime.now(timezone.utc)
+    rows = []
+    for name, give_input in datasets.items():
+        try:
+            job = give_input(Replay(spark, now)).set_timestamp_options(**{**(defaults or {}), **((settings or {}).get(name, {}))})
+            for add in destinations:
+                job = add(job)
+            done = job.run().select("events", "events_modified").first()
+            rows.append((name, done.events, done.events_modified, None))
+        except Exception as failure:
+            first = str(failure).strip().splitlines() or [""]
+            rows.append((name, None, None, f"{type(failure).__name__}: {first[0]}"))
+    return spark.createDataFrame(rows, PROFILE_RESULT)

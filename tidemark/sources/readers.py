@@ -347,28 +347,38 @@ def read_records(
     return _READERS[fmt](spark, paths, **options)
 
 
+def _place(path: Column) -> Column:
+    """A path without its scheme and escapes, the same for a listed and for a read file."""
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(plain, r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
+
+
 def read_dataset(spark: SparkSession, files: DataFrame) -> DataFrame:
     """All files of a dataset: each by its own format, with its sourcetype and schema.
 
     ``files`` (``path, format, schema, sourcetype``) is the file list of a manifest; as with any
-    read, the paths are known to the driver. Files of one kind are read by one scan.
+    read, the paths are known to the driver. Files of one format are read by one scan; schema and
+    sourcetype come by a join on the path.
     """
-    kinds = files.groupBy(
-        F.coalesce("format", F.lit("auto")).alias("format"),
-        F.coalesce("schema", F.lit("raw")).alias("schema"), "sourcetype",
-    ).agg(F.sort_array(F.collect_set("path")).alias("paths"))
-    parts = []
-    for kind in kinds.orderBy("format", "schema", "sourcetype").collect():
-        part = read_records(spark, list(kind.paths), kind.format).select(*RECORD_COLUMNS)
-        parts.append(part.withColumns({
-            "schema": F.lit(kind.schema), "sourcetype": F.lit(kind.sourcetype).cast("string"),
-        }))
-    if not parts:
+    listed = files.select(
+        "path", F.coalesce("format", F.lit("auto")).alias("format"),
+        F.coalesce("schema", F.lit("raw")).alias("schema"), F.col("sourcetype").cast("string").alias("sourcetype"),
+    ).distinct()
+    by_format: dict[str, list[str]] = {}
+    for row in listed.select("format", "path").distinct().toLocalIterator():
+        by_format.setdefault(row.format, []).append(row.path)
+    if not by_format:
         raise ValueError("the dataset has no files")
+    parts = [
+        read_records(spark, sorted(paths), fmt).select(*RECORD_COLUMNS, F.lit(fmt).alias("_declared"))
+        for fmt, paths in sorted(by_format.items())
+    ]
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
-    return union
+    known = listed.select(_place(F.col("path")).alias("_place"), F.col("format").alias("_format"), "schema", "sourcetype")
+    same = (_place(F.col("file_path")) == F.col("_place")) & (F.col("_declared") == F.col("_format"))
+    return union.join(known, same, "left").drop("_place", "_format", "_declared")
 
 
 def preview(
