@@ -27,7 +27,7 @@ SEPARATOR = 0x110000
 ROW = 256
 CHARS_PER_ROUND = 1 << 20
 CACHED_BYTES = 48
-CACHED_PIECES = 250_000
+CACHED_PIECES = 200_000
 HEAP_FROM = 96
 
 # Letters and numbers that younger Unicode tables have and those of the tokenizer library

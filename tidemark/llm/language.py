@@ -24,11 +24,12 @@ UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 LANGUAGES = 1_000
 DOCS_PER_LANGUAGE = 2_000
-WORDS_PER_LANGUAGE = 20_000
-GRAMS_PER_LANGUAGE = 8_000
+WORDS_PER_LANGUAGE = 12_000
+GRAMS_PER_LANGUAGE = 5_000
 LONGEST_GRAM = 5
 PENALTY = 7.0
-CACHED_WORDS = 100_000
+CACHED_WORDS = 80_000
+COUNTED_AT_ONCE = 150_000
 ROWS_AT_ONCE = 256
 
 
@@ -139,7 +140,7 @@ def train(
                     for size in range(1, LONGEST_GRAM + 1):
                         for i in range(len(marked) - size + 1):
                             counts[lang, size, marked[i : i + size]] += n
-            if len(counts) > 400_000:
+            if len(counts) > COUNTED_AT_ONCE:
                 yield packed(counts)
                 counts.clear()
         yield packed(counts)
