@@ -27,9 +27,9 @@ from tidemark.llm.common import partitions, written
 
 WINDOW = 20
 TRIPLE = 3
-BATCH_BYTES = 6 << 20
-BUCKET_BYTES = 12 << 20
-LEVEL = 3
+BATCH_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
+LEVEL = 6
 ROWS_AT_ONCE = 512
 LAST = np.iinfo(np.int64).max
 U = np.uint64
@@ -298,7 +298,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     stored = written(_batches(docs), "substring-batches")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # a word stands in about three super-k-mers
-    buckets = max(4 * partitions(spark), 3 * size // BUCKET_BYTES)
+    buckets = max(3 * partitions(spark), 3 * size // BUCKET_BYTES)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
