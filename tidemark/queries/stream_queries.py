@@ -6,19 +6,23 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.pattern_sets import Pattern
 from tidemark.queries.registry import (
-    BOUNDS_SQL, clock, events, move, moved_sql, query, scratch, second,
+    BOUNDS_SQL, bounds, clock, events, move, moved_sql, query, scratch, second,
 )
 from tidemark.streaming import replay_stream as R
 
 
-def _lines(spark, sf_dir):
-    folder = scratch(spark)
+def _text(rows):
     text = F.to_json(F.struct(
         F.col("event_id").alias("id"), F.col("event_type").alias("type"),
         clock(F.col("us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
         F.concat(clock(second(F.col("us")), "MM/dd/yyyy hh:mm:ss a"), F.lit(" x")).alias("_raw"),
     ))
-    events(spark, sf_dir).repartition(4, "event_id").select(text.alias("value")).write.text(folder)
+    return rows.select("us", text.alias("value"))
+
+
+def _lines(spark, sf_dir):
+    folder = scratch(spark)
+    _text(events(spark, sf_dir).repartition(4, "event_id")).select("value").write.text(folder)
     return R.stream_lines(spark, folder, files_per_batch=2)
 
 
@@ -39,7 +43,11 @@ def _run(spark, stream, mode="append"):
 
 
 def _shifted(spark, sf_dir):
-    moved = R.shift_json_lines(_lines(spark, sf_dir), move(spark, sf_dir), [Pattern("timestamp")])
+    return _moved(_lines(spark, sf_dir), move(spark, sf_dir))
+
+
+def _moved(lines, plan):
+    moved = R.shift_json_lines(lines, plan, [Pattern("timestamp")])
     field = F.col("data")
     return moved.select(
         F.try_variant_get(field["id"], "$", "bigint").alias("event_id"),
@@ -69,9 +77,23 @@ def stream_statistics(spark, sf_dir):
 
 
 @query("stream_event_rate", f"""
-WITH {BOUNDS_SQL}, m AS (SELECT event_type AS type, make_timestamp({moved_sql('epoch_us(ts)')}) AS new_ts FROM events, b)
-SELECT time_bucket(INTERVAL 6 HOUR, new_ts) AS bucket_start, type, count(*) AS events FROM m GROUP BY ALL""")
+WITH {BOUNDS_SQL}, m AS (SELECT event_type AS type, make_timestamp({moved_sql('epoch_us(ts)')}) AS new_ts FROM events, b),
+w AS (SELECT date_trunc('millisecond', max(new_ts)) - INTERVAL 12 HOUR AS late FROM m)
+SELECT time_bucket(INTERVAL 6 HOUR, new_ts) AS bucket_start, type, count(*) AS events FROM m, w
+WHERE time_bucket(INTERVAL 6 HOUR, new_ts) + INTERVAL 6 HOUR <= late GROUP BY ALL""")
 def stream_event_rate(spark, sf_dir):
-    """Events per window of the new time, in complete counts."""
-    stream = R.event_rate(_shifted(spark, sf_dir), "new_ts", "6 hours", "60 days", ["type"])
-    return _run(spark, stream, "complete")
+    """Events per window of the new time, as windows close.
+
+    The stream stops and goes on with rows of the first day once more: they come after the watermark
+    and are left out.
+    """
+    folder, out = scratch(spark), scratch(spark)
+    rows = _text(events(spark, sf_dir))
+    first = bounds(spark, sf_dir)[0] + 86_400_000_000
+    for part in (rows, rows.filter(F.col("us") < first)):
+        part.select("value").write.mode("append").text(folder)
+        moved = _moved(R.stream_lines(spark, folder), move(spark, sf_dir))
+        rate = R.event_rate(moved, "new_ts", "6 hours", "12 hours", ["type"])
+        job = rate.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{out}-state")
+        job.trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(rate.schema).parquet(out)
