@@ -37,12 +37,13 @@ NUMERATOR, DENOMINATOR = 4, 5
 ROUND_BYTES = 2 << 20
 FIRSTS = 4
 HEAVY_USES = 3
-COUNTED_AT_ONCE = 2_000_000
+COUNTED_AT_ONCE = 1_000_000
 HEAVY_TOKENS = 1 << 16
 LIGHT_AT_MOST = 24
 SCAN_WEIGHT = 4
 SKETCH_WORDS = 8
 FILTER_BITS = 1 << 24
+PAIRS_PER_TEXT = 500
 BUCKET_BYTES = 12 << 20
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
@@ -283,30 +284,42 @@ def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs ``a, b`` of documents that link, decided on their words.
 
-    ``sets`` has the size and the wide sketch of every document in ``pairs``.
+    ``sets`` has the size and the wide sketch of every document in ``pairs``. The text of ``b`` comes
+    once for every PAIRS_PER_TEXT of its pairs, which are dealt out over as many tasks: a hub with a
+    third of all documents is neither one task's work nor copied into every pair.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, of_last = None, set()
+        current, held = None, []
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 links = []
-                for a, b, text_a, text_b in zip(*[part.column(n).to_pylist() for n in ("a", "b", "text_a", "text_b")]):
-                    if (b, text_b) != last:
-                        last, of_last = (b, text_b), exact_shingles(shingle_words(text_b))
-                    mine = exact_shingles(shingle_words(text_a))
-                    shared = len(mine & of_last)
-                    if shared and DENOMINATOR * shared >= NUMERATOR * (len(mine) + len(of_last) - shared):
+                for b, salt, a, text in zip(*[part.column(n).to_pylist() for n in ("b", "salt", "a", "text")]):
+                    if (b, salt) != current:
+                        current, held = (b, salt), []
+                    found = exact_shingles(shingle_words(text))
+                    if a is None:
+                        held.append(found)
+                    elif any(_links(found, other) for other in held):
                         links.append((a, b))
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
 
     wanted = written(_plausible(pairs, sets), "jaccard-pairs")
     ids = wanted.select(F.explode(F.array("a", "b")).alias("doc_id"))
     texts = _rows(docs).filter(_in_bitmap(docs, _bitmap(ids.select(_bit_of("doc_id").alias("bit")))))
-    first = wanted.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    met = first.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    slots = wanted.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_TEXT).cast("int").alias("slots"))
+    salted = wanted.join(slots, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("slots")).cast("int").alias("salt"))
+    ones = salted.join(texts.withColumnRenamed("doc_id", "a"), "a").select("b", "salt", "a", "text")
+    hubs = slots.join(texts.withColumnRenamed("doc_id", "b"), "b")
+    hubs = hubs.select("b", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), "text")
+    met = hubs.unionByName(ones).repartition(partitions(docs.sparkSession), "b", "salt")
+    return met.sortWithinPartitions("b", "salt", F.asc_nulls_first("a")).mapInArrow(run, "a long, b long")
+
+
+def _links(one: set[bytes], other: set[bytes]) -> bool:
+    shared = len(one & other)
+    return shared > 0 and DENOMINATOR * shared >= NUMERATOR * (len(one) + len(other) - shared)
 
 
 # --- the second round ---
