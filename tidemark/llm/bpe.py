@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import tidied
+
 LETTER, NUMBER, OTHER, BLANK_INSIDE, SPACE_BEFORE, BLANK_ALONE, SHORT, LONG, END = range(9)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_BLANKS, JOINING, ONE_LEFT, TWO_LEFT = range(8)
 SEPARATOR = 0x110000
 ROW = 256
 CHARS_PER_ROUND = 1 << 20
 CACHED_BYTES = 48
-CACHED_PIECES = 200_000
+CACHED_PIECES = 100_000
 HEAP_FROM = 96
 
 # Letters and numbers that younger Unicode tables have and those of the tokenizer library
@@ -303,7 +305,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                     ["doc_id", "ids", "offsets"],
                 )
 
-    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>, offsets array<int>")
+    return _texts(docs).mapInArrow(tidied(run), "doc_id long, ids array<int>, offsets array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -316,7 +318,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
             data = [codec.decode(np.array(x or [], np.int64)) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "data"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, data binary")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(tidied(run), "doc_id long, data binary")
 
 
 def token_digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
@@ -345,7 +347,7 @@ def token_digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFra
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _texts(docs).mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
+    return _texts(docs).mapInArrow(tidied(run), schema + (", ids array<int>" if with_ids else ""))
 
 
 def _texts(docs: DataFrame) -> DataFrame:

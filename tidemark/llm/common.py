@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +54,26 @@ def most_frequent(counted: DataFrame, at_most: int, uses: str) -> DataFrame:
             break
         lowest = row["level"]
     return counted.filter((F.col(uses) > 0) & (level >= lowest)) if lowest is not None else counted.limit(0)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidied(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run``, with the memory that its task no longer needs given back at the end.
+
+    Workers are kept for later tasks; without this each holds on to the most it ever used.
+    """
+
+    def whole(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # a C library without it
+                pass
+
+    return whole

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, partitions, written
+from tidemark.llm.common import partitions, SPACE, tidied, written
 
 BUCKET_BYTES = 32 << 20
 MAX_DEPTH = 20
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     ["doc_id", "chars", "size", "prefix", "sha"],
                 )
 
-    return _texts(docs).mapInArrow(run, "doc_id long, chars long, size long, prefix long, sha binary")
+    return _texts(docs).mapInArrow(tidied(run), "doc_id long, chars long, size long, prefix long, sha binary")
 
 
 def directory(loads: np.ndarray, capacity: int) -> np.ndarray:
@@ -175,9 +175,9 @@ def build_index(docs: DataFrame, prints: DataFrame, capacity: int = BUCKET_BYTES
         done += [link[1:] for link in chain]
         yield entries()
 
-    sent = _texts(docs).mapInArrow(route, "bucket int, sha binary, plain binary, chars long, doc_id long, copies long")
+    sent = _texts(docs).mapInArrow(tidied(route), "bucket int, sha binary, plain binary, chars long, doc_id long, copies long")
     owned = sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "sha")
-    return written(owned.mapInArrow(own, "sha binary, keep_id long, keep_chars long, group_size long"), "exact-index")
+    return written(owned.mapInArrow(tidied(own), "sha binary, keep_id long, keep_chars long, group_size long"), "exact-index")
 
 
 def exact_groups(docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import most_frequent, partitions, written
+from tidemark.llm.common import most_frequent, partitions, tidied, written
 from tidemark.llm.components import components
 from tidemark.llm.substrings import U, _combined, _mixed, pack, unpack, word_hashes
 
@@ -192,7 +192,7 @@ def _describe(docs: DataFrame) -> DataFrame:
             yield frequent(list(counted.values()))
 
     schema = "is_doc boolean, doc_id long, n long, print binary, wide binary, " + ", ".join(f"{s} long" for s in SKETCH) + ", firsts array<long>"
-    return written(_rows(docs).mapInArrow(run, schema), "jaccard-sets")
+    return written(_rows(docs).mapInArrow(tidied(run), schema), "jaccard-sets")
 
 
 def wide_sketch(found: np.ndarray) -> bytes:
@@ -278,7 +278,7 @@ def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     first = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("wide").alias("wide_a"))
     other = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("wide").alias("wide_b"))
-    return pairs.join(first, "a").join(other, "b").select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(run, "a long, b long")
+    return pairs.join(first, "a").join(other, "b").select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(tidied(run), "a long, b long")
 
 
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -314,7 +314,7 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     hubs = slots.join(texts.withColumnRenamed("doc_id", "b"), "b")
     hubs = hubs.select("b", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), "text")
     met = hubs.unionByName(ones).repartition(partitions(docs.sparkSession), "b", "salt")
-    return met.sortWithinPartitions("b", "salt", F.asc_nulls_first("a")).mapInArrow(run, "a long, b long")
+    return met.sortWithinPartitions("b", "salt", F.asc_nulls_first("a")).mapInArrow(tidied(run), "a long, b long")
 
 
 def _links(one: set[bytes], other: set[bytes]) -> bool:
@@ -422,9 +422,9 @@ def _open_keys(rows: DataFrame, keys, entries: int) -> DataFrame:
                 held.append(payload.as_py())
         yield found()
 
-    sent = rows.mapInArrow(send, "bucket long, payload binary")
+    sent = rows.mapInArrow(tidied(send), "bucket long, payload binary")
     owned = sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
-    return written(owned.mapInArrow(scan, "key long, bit long"), "jaccard-keys")
+    return written(owned.mapInArrow(tidied(scan), "key long, bit long"), "jaccard-keys")
 
 
 def _key_bits(listed: np.ndarray) -> np.ndarray:
@@ -446,7 +446,7 @@ def _members(rows: DataFrame, keys, bits: np.ndarray) -> DataFrame:
                 [pa.array(listed[kept].astype(np.int64)), pa.array(ids), pa.array(groups)], ["key", "doc_id", "component"]
             )
 
-    return rows.mapInArrow(run, "key long, doc_id long, component long")
+    return rows.mapInArrow(tidied(run), "key long, doc_id long, component long")
 
 
 # --- the join ---

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import partitions
+from tidemark.llm.common import partitions, tidied
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -157,7 +157,7 @@ def train(
             ["lang", "size", "unit", "n"],
         )
 
-    counted = sample.mapInArrow(count, "lang string, size int, unit string, n long").groupBy("lang", "size", "unit").agg(F.sum("n").alias("n")).cache()
+    counted = sample.mapInArrow(tidied(count), "lang string, size int, unit string, n long").groupBy("lang", "size", "unit").agg(F.sum("n").alias("n")).cache()
     totals = {(lang, size): n for lang, size, n in counted.groupBy("lang", "size").agg(F.sum("n")).collect()}
     languages = sorted({lang for lang, _ in totals})
     words = _top(counted.filter((F.col("size") == 0) & (F.col("n") > 1)), words_per_language)
@@ -192,7 +192,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidied(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.3) -> DataFrame:
@@ -207,4 +207,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.
         for part, labels, scores in _slices(batches, shared.value):
             yield part.filter(pa.array([label != UNKNOWN and score >= min_score for label, score in zip(labels, scores)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

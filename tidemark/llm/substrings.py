@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import partitions, written
+from tidemark.llm.common import partitions, tidied, written
 
 WINDOW = 20
 TRIPLE = 3
@@ -222,7 +222,7 @@ def _batches(docs: DataFrame) -> DataFrame:
             yield packed()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "batch long, payload binary")
+    return rows.mapInArrow(tidied(run), "batch long, payload binary")
 
 
 def _verdict(rows: list[tuple[int, bytes]], window: int) -> Iterator[tuple[int, bytes]]:
@@ -319,12 +319,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             gone = batch.removed([payload for _, payload in rows[1:]])
             yield from _results(batch, gone)
 
-    sent = stored.mapInArrow(send, "bucket long, batch long, payload binary")
+    sent = stored.mapInArrow(tidied(send), "bucket long, batch long, payload binary")
     owned = sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
-    verdicts = owned.mapInArrow(judge, "batch long, payload binary")
+    verdicts = owned.mapInArrow(tidied(judge), "batch long, payload binary")
     both = stored.select("batch", F.lit(0).alias("kind"), "payload").unionByName(verdicts.select("batch", F.lit(1).alias("kind"), "payload"))
     met = both.repartition(partitions(spark), "batch").sortWithinPartitions("batch", "kind")
-    return met.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept string")
+    return met.mapInArrow(tidied(apply), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def _results(batch: Batch, gone: np.ndarray) -> Iterator[pa.RecordBatch]:
