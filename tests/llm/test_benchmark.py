@@ -76,3 +76,18 @@ def test_odd_rows(spark):
     clash = spark.createDataFrame([(1, text, 5, 6, 7)], DOCS + ", item_id long, window int, place int")
     kept = benchmark.drop_contaminated(clash, spark.createDataFrame([(1, "other words that are not there at all", 1)], ITEMS + ", doc_id int"))
     assert [tuple(r) for r in kept.collect()] == [(1, text, 5, 6, 7)]
+
+
+def test_a_copy_is_found_beside_inconsistent_text(spark):
+    item = "take 1 cup and then add 1 cup to 1 pot while 1 pan and 1 lid heat on 1 stove for 1 hour in 1 room"
+    values = iter(range(100, 200))
+    random_ = " ".join(str(next(values)) if w == "1" else w for w in item.split())
+    longer = item.replace("1", "7").replace("while", "while all the time")  # two alignments
+    docs = [
+        (1, f"{item} {random_}"), (2, f"{random_} {filler(21, 9)} {longer} {filler(22, 30)} {random_}"),
+        (3, f"{random_} {filler(23, 9)} {random_}"), (4, random_), (4, item), (None, random_), (None, item),
+    ]
+    rows = found(spark, docs, [(9, item)])
+    assert set(rows) == {(1, 9), (2, 9), (4, 9), (None, 9)}
+    assert all(rows[d, 9].verbatim and rows[d, 9].consistency == 1.0 for d in (1, 4, None))
+    assert rows[2, 9].consistency == 1.0 and not rows[2, 9].verbatim

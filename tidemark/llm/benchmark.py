@@ -16,6 +16,8 @@ from tidemark.llm.common import written
 WINDOW = 5
 COVERED = 0.8
 CONSISTENT = 0.8
+# alignments that differ by fewer words are one copy with words put in or left out
+NEAR = 8
 LITERAL_WORDS = 2
 # the item side is sent to all tasks up to this many windows (about 40 bytes each)
 BROADCAST_WINDOWS = 250_000
@@ -100,7 +102,9 @@ def contaminated(docs: DataFrame, items: DataFrame, covered: float = COVERED, co
     ``coverage`` is the share of the words of the item's windows that windows of the document cover, by
     template, and at least ``covered``. ``consistency`` is the share of slots whose value is the one most
     often met for that item value in the same alignment, 1 without slots, and at least ``consistent``.
-    ``verbatim`` tells whether all slots agree word for word. Windows with fewer than two words that
+    Both are taken for each alignment of a row alone, for alignments of a row that differ by fewer than
+    NEAR words, and for all alignments of a document; one that passes is enough, and the best is given.
+    ``verbatim`` tells whether all its slots agree word for word. Windows with fewer than two words that
     are no placeholders are not used; an item of fewer than five words has no window and is never
     found. Null texts and null ids of items match nothing; a null ``doc_id`` is kept as null, all such
     rows as one document, as are rows that repeat a ``doc_id``. Other columns are not read; an empty
@@ -126,44 +130,64 @@ def contaminated(docs: DataFrame, items: DataFrame, covered: float = COVERED, co
     found = found.join(whole, "item_id").filter(F.size("words") >= F.lit(covered) * F.col("n_words"))
     pairs = written(found.select("doc_id", "item_id", "n_windows", "n_words"), "benchmark-pairs")
 
-    # the pairs in question again, by the words themselves
+    # the pairs in question again, by the words themselves; rows that repeat a doc_id are told apart
     some = pairs.select(F.col("doc_id").alias("_asked")).distinct()
-    texts = plain.join(some, F.col("doc_id").eqNullSafe(F.col("_asked")), "left_semi")
-    mine = _detailed(_split(texts, "doc_id"), "doc_id")
+    texts = plain.join(some, F.col("doc_id").eqNullSafe(F.col("_asked")), "left_semi").withColumn("row", F.xxhash64("text"))
+    mine = _detailed(_split(texts, "doc_id", "row"), "doc_id", "row")
     its = asked.select(F.col("item_id").alias("_item"), F.col("place").alias("item_place"), F.col("window").alias("_window"), F.col("slots").alias("item_slots"))
     near = pairs.select(F.col("doc_id").alias("_doc"), "item_id", "n_windows", "n_words")
     both = mine.join(near, F.col("doc_id").eqNullSafe(F.col("_doc"))).join(
         its, (F.col("window") == F.col("_window")) & (F.col("item_id") == F.col("_item"))
     )
-    both = written(both.select("doc_id", "item_id", "n_windows", "n_words", F.col("place").alias("doc_place"), F.col("item_place").alias("place"), "slots", "item_slots"), "benchmark-matches")
-    cover = both.groupBy("doc_id", "item_id", "n_windows", "n_words").agg(
-        F.count_distinct("place").alias("n_matched"), F.size(_covered_words()).alias("n_covered")
-    )
-    slots = both.select(
-        "doc_id", "item_id", (F.col("doc_place") - F.col("place")).alias("shift"),
-        F.explode(F.arrays_zip("slots", "item_slots")).alias("slot"),
-    ).select("doc_id", "item_id", "shift", F.col("slot.item_slots").alias("its"), F.col("slot.slots.word").alias("word")).distinct()
-    values = slots.groupBy("doc_id", "item_id", "shift", "its.kind", F.col("its.word").alias("value"), "word").agg(F.count(F.lit(1)).alias("uses"))
-    best = values.groupBy("doc_id", "item_id", "shift", "kind", "value").agg(
+    shift = (F.col("place") - F.col("item_place")).alias("shift")
+    both = written(both.select("doc_id", "item_id", "row", shift, "n_windows", "n_words", F.col("item_place").alias("place"), "slots", "item_slots"), "benchmark-matches")
+    aligned = ["doc_id", "item_id", "row", "shift"]
+    cover = both.groupBy(*aligned, "n_windows", "n_words").agg(F.collect_set("place").alias("places"))
+    slots = both.select(*aligned, F.explode(F.arrays_zip("slots", "item_slots")).alias("slot"))
+    slots = slots.select(*aligned, F.col("slot.item_slots").alias("its"), F.col("slot.slots.word").alias("word")).distinct()
+    values = slots.groupBy(*aligned, "its.kind", F.col("its.word").alias("value"), "word").agg(F.count(F.lit(1)).alias("uses"))
+    best = values.groupBy(*aligned, "kind", "value").agg(
         F.max("uses").alias("most"), F.sum("uses").alias("uses"), F.bool_and(F.col("value") == F.col("word")).alias("same")
     )
-    checked = best.groupBy(F.col("doc_id").alias("_doc"), F.col("item_id").alias("_item")).agg(
-        F.sum("most").alias("most"), F.sum("uses").alias("n_slots"), F.bool_and("same").alias("same")
+    checked = best.groupBy(*[F.col(c).alias(f"_{c}") for c in aligned]).agg(
+        F.sum("most").alias("most"), F.sum("uses").alias("uses"), F.bool_and("same").alias("same")
     )
-    joined = cover.join(checked, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("item_id") == F.col("_item")), "left")
-    return joined.select(
-        "doc_id", "item_id", "n_windows", "n_matched",
-        (F.col("n_covered") / F.col("n_words")).alias("coverage"),
-        F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"),
-        F.coalesce(F.col("most") / F.col("n_slots"), F.lit(1.0)).alias("consistency"),
-        F.coalesce("same", F.lit(True)).alias("verbatim"),
-    ).filter((F.col("coverage") >= covered) & (F.col("consistency") >= consistent))
+    met = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in aligned]
+    joined = cover.join(checked, met[0] & met[1] & met[2] & met[3], "left")
+
+    # an alignment, those near each other, and all of a document stand for the pair each on its own
+    ways = joined.select("*", F.explode(_ways()).alias("way")).groupBy("doc_id", "item_id", "n_windows", "n_words", "way").agg(
+        F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
+        F.coalesce(F.sum("most"), F.lit(0)).alias("most"), F.coalesce(F.sum("uses"), F.lit(0)).alias("n_slots"),
+        F.coalesce(F.bool_and("same"), F.lit(True)).alias("verbatim"),
+    )
+    measured = ways.select(
+        "doc_id", "item_id", "n_windows", F.size("places").cast("long").alias("n_matched"),
+        (F.size(_spread(F.col("places"))) / F.col("n_words")).alias("coverage"), "n_slots",
+        F.when(F.col("n_slots") > 0, F.col("most") / F.col("n_slots")).otherwise(1.0).alias("consistency"), "verbatim",
+    )
+    passed = measured.filter((F.col("coverage") >= covered) & (F.col("consistency") >= consistent))
+    found = passed.groupBy("doc_id", "item_id", "n_windows").agg(F.max(F.struct("verbatim", "coverage", "consistency", "n_matched", "n_slots")).alias("best"))
+    return found.select("doc_id", "item_id", "n_windows", *[f"best.{c}" for c in ("n_matched", "coverage", "n_slots", "consistency", "verbatim")])
+
+
+def _ways() -> Column:
+    """The sets of alignments that one at ``shift`` of ``row`` belongs to; any NEAR neighbouring shifts share a set."""
+    shift, row = F.col("shift").cast("long"), F.col("row")
+    way = lambda kind, row, at: F.struct(F.lit(kind).alias("kind"), row.alias("row"), at.cast("long").alias("at"))
+    return F.array(
+        way("alone", row, shift), way("near", row, F.floor(shift / (2 * NEAR))), way("near, between", row, F.floor((shift + NEAR) / (2 * NEAR))),
+        way("all", F.lit(0).cast("long"), F.lit(0)),
+    )
+
+
+def _spread(places: Column) -> Column:
+    """The places of an item that its windows at ``places`` cover; at most as many as it has words."""
+    return F.array_distinct(F.flatten(F.transform(places, lambda at: F.sequence(at, at + F.lit(WINDOW - 1)))))
 
 
 def _covered_words() -> Column:
-    """The places of an item that its windows at ``place`` cover; at most as many as it has words."""
-    spread = F.transform(F.collect_set("place"), lambda at: F.sequence(at, at + F.lit(WINDOW - 1)))
-    return F.array_distinct(F.flatten(spread))
+    return _spread(F.collect_set("place"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
