@@ -91,3 +91,13 @@ def test_a_copy_is_found_beside_inconsistent_text(spark):
     assert set(rows) == {(1, 9), (2, 9), (4, 9), (None, 9)}
     assert all(rows[d, 9].verbatim and rows[d, 9].consistency == 1.0 for d in (1, 4, None))
     assert rows[2, 9].consistency == 1.0 and not rows[2, 9].verbatim
+
+
+def test_case_and_white_space_do_not_hide_a_copy(spark):
+    names = "In which year did the Treaty of Westphalia between France and Sweden end the Thirty Years War in Europe"
+    forms = [names.lower(), names.upper(), names.replace(" ", "  "), names.replace(" ", "\n"), names.replace(" ", " "), QUESTION.upper(), QUESTION.lower()]
+    forms.append(names.replace("Westphalia", "Utrecht").replace(" ", " \t"))  # other values, other blanks
+    rows = found(spark, [(i, f"{filler(30 + i)}.\n{t} {filler(40 + i)}") for i, t in enumerate(forms)], [(1, names), (2, QUESTION), (3, names.lower())])
+    assert {(0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 2), (6, 2), (7, 1)} <= set(rows)
+    assert {(i, 3) for i in range(5)} <= set(rows)
+    assert all(rows[i, 1].verbatim and rows[i, 1].coverage == 1.0 for i in range(5)) and not rows[7, 1].verbatim

@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame expressions only.
 
 Numbers, units and names become typed placeholders, so a question keeps its template when its parameters
-change. Windows of five template words are hash-joined with those of the benchmark; for the pairs whose
+change. Windows of five template words, and of five words as they are (in lower case), are hash-joined
+with those of the benchmark; for the pairs whose
 windows cover enough of an item, the words behind the placeholders are compared: an item's value must
 stand for one value of the document throughout.
 """
@@ -36,9 +37,9 @@ def marked_words(text: Column) -> Column:
     """The words of a text in lower case, joined by single blanks; a name has a mark before it.
 
     A word is a run of letters and digits; a separator between two digits does not end one. A name is
-    a capitalised word that does not begin a sentence.
+    a capitalised word that does not begin a sentence. White space of any kind and length is one blank.
     """
-    plain = F.coalesce(text, F.lit(""))
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[\s\p{{Z}}{NAME_MARK}&&[^ ]][\s\p{{Z}}{NAME_MARK}]*| [\s\p{{Z}}{NAME_MARK}]+", " ")
     named = F.regexp_replace(plain, r"(?<=[\p{Ll}\p{N},;] )(?=\p{Lu}\p{Ll})", NAME_MARK)
     joined = F.regexp_replace(named, r"(?<=\p{N})[.,:](?=\p{N})", "")
     return F.lower(F.trim(F.regexp_replace(joined, rf"[^\p{{L}}\p{{N}}{NAME_MARK}]+", " ")))
@@ -53,46 +54,67 @@ def template(words: Column) -> Column:
 
 
 def _split(rows: DataFrame, *kept: str) -> DataFrame:
-    """``words`` and ``parts`` (the template) as arrays of one length, beside the columns ``kept``."""
+    """``words`` (without marks) and ``parts`` (the template) as arrays of one length, beside the columns ``kept``."""
     words = rows.select(*kept, marked_words(F.col("text")).alias("marked"))
     both = words.select(*kept, "marked", template(F.col("marked")).alias("plain"))
-    return both.select(*kept, F.split("marked", " ", -1).alias("words"), F.split("plain", " ", -1).alias("parts"))
+    words = F.translate("marked", NAME_MARK, "")
+    return both.select(*kept, F.split(words, " ", -1).alias("words"), F.split("plain", " ", -1).alias("parts"))
 
 
-def _places() -> Column:
-    """The start of every window, from 0; none in a text that is shorter."""
-    last = F.size("parts") - F.lit(WINDOW)
+def _places(size: int, name: str) -> Column:
+    """The start of every window of the array ``name``, from 0; none in a shorter one.
+
+    An array that an expression uses only once would be made anew for each window by the optimizer, so it
+    has to be the one whose windows are cut.
+    """
+    last = F.size(name) - F.lit(size)
     return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
-def _window(name: str, at: Column) -> Column:
-    return F.slice(name, at + 1, WINDOW)
+def _window(name: str, at: Column, size: int) -> Column:
+    return F.slice(name, at + 1, size)
+
+
+def _cut(size: int) -> Column:
+    return F.transform(
+        _places(size, "words"),
+        lambda at: F.struct(at.alias("place"), F.lit(size).alias("size"), _window("words", at, size).alias("words"), _window("parts", at, size).alias("parts")),
+    )
+
+
+def _hashes(name: str, size: int) -> Column:
+    return F.transform(_places(size, name), lambda at: F.xxhash64(_window(name, at, size)))
 
 
 def _placeholder(part: Column) -> Column:
     return part.isin(NUMBER, NAME, UNIT)
 
 
-def _detailed(rows: DataFrame, *kept: str) -> DataFrame:
-    """A row per window with enough literal words: its place, its template and its slots.
+def _detailed(rows: DataFrame, sizes: list[int], *kept: str) -> DataFrame:
+    """A row per window: its place, size, words, template and slots; ``literal`` tells whether the template is used.
 
-    A slot is its place in the window, its type and the word behind it, in one text.
+    A slot is its place in the text, its type and the word behind it.
     """
     # cut before the rows are made: a row has the words of its window, not those of the text
-    cut_out = F.transform(_places(), lambda at: F.struct(at.alias("place"), _window("words", at).alias("words"), _window("parts", at).alias("parts")))
-    cut = rows.select(*kept, F.explode(cut_out).alias("cut")).select(*kept, "cut.*")
-    literal = F.size(F.filter("parts", lambda part: ~_placeholder(part)))
+    cut_out = [_cut(size) for size in sizes]
+    cut = rows.select(*kept, F.size("parts").alias("length"), F.explode(F.concat(*cut_out)).alias("cut")).select(*kept, "length", "cut.*")
+    literal = F.size(F.filter("parts", lambda part: ~_placeholder(part))) >= LITERAL_WORDS
     slots = F.filter(
         F.transform(
             F.arrays_zip("parts", "words"),
             lambda both, at: F.when(
                 _placeholder(both["parts"]),
-                F.struct((F.col("place") + at).alias("at"), both["parts"].alias("kind"), F.replace(both["words"], F.lit(NAME_MARK), F.lit("")).alias("word")),
+                F.struct((F.col("place") + at).alias("at"), both["parts"].alias("kind"), both["words"].alias("word")),
             ),
         ),
         lambda slot: slot.isNotNull(),
     )
-    return cut.filter(literal >= LITERAL_WORDS).select(*kept, "place", F.array_join("parts", " ").alias("window"), slots.alias("slots"))
+    return cut.select(*kept, "length", "place", "size", "words", "parts", literal.alias("literal"), slots.alias("slots"))
+
+
+def _keys() -> Column:
+    """What a window is met by: its template, if enough of it is words, and its words as they are."""
+    return F.when(F.col("literal"), F.array_distinct(F.array("parts", "words"))).otherwise(F.array("words"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, covered: float = COVERED, consistent: float = CONSISTENT) -> DataFrame:
@@ -100,7 +122,7 @@ def contaminated(docs: DataFrame, items: DataFrame, covered: float = COVERED, co
 
     Result: ``doc_id, item_id, n_windows, n_matched, coverage, n_slots, consistency, verbatim``.
     ``coverage`` is the share of the words of the item's windows that windows of the document cover, by
-    template, and at least ``covered``. ``consistency`` is the share of slots whose value is the one most
+    template or by the words themselves without regard to case, and at least ``covered``. ``consistency`` is the share of slots whose value is the one most
     often met for that item value in the same alignment, 1 without slots, and at least ``consistent``.
     Both are taken for each alignment of a row alone, for alignments of a row that differ by fewer than
     NEAR words, and for all alignments of a document; one that passes is enough, and the best is given.
@@ -112,37 +134,43 @@ def contaminated(docs: DataFrame, items: DataFrame, covered: float = COVERED, co
     """
     spark = docs.sparkSession
     named = items.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    asked = written(_detailed(_split(named, "item_id"), "item_id"), "benchmark-windows")
-    whole = asked.groupBy("item_id").agg(
-        F.count(F.lit(1)).alias("n_windows"),
-        F.size(_covered_words()).alias("n_words"),
+    asked = _detailed(_split(named, "item_id"), [WINDOW], "item_id").filter("literal")
+    asked = written(asked.select("*", _keys().alias("keys")), "benchmark-windows")
+    whole = asked.groupBy("item_id", "size").agg(
+        F.count(F.lit(1)).alias("n_windows"), F.size(_covered_words()).alias("n_words"), F.size(_covered_words("literal")).alias("n_literal")
     )
+    sizes = [r["size"] for r in asked.select("size").distinct().collect()] or [WINDOW]
 
-    # all windows of all documents, as hashes, against those of the benchmark
+    # all windows of all documents, as hashes of their template and of their words, against those of the benchmark
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = _split(plain, "doc_id")
-    hashes = F.transform(_places(), lambda at: F.xxhash64(_window("parts", at)))
+    hashes = F.concat(*[F.array_union(_hashes("parts", size), _hashes("words", size)) for size in sizes])
     met = parts.select("doc_id", F.explode(hashes).alias("hash"))
-    keys = asked.select(F.xxhash64(F.split("window", " ", -1)).alias("hash"), "item_id", "place")
+    keys = asked.select(F.explode("keys").alias("key"), "item_id", "place", "size", "literal").withColumn("hash", F.xxhash64("key")).drop("key")
     if keys.count() <= BROADCAST_WINDOWS:
         keys = F.broadcast(keys)
-    found = met.join(keys, "hash").groupBy("doc_id", "item_id").agg(_covered_words().alias("words"))
-    found = found.join(whole, "item_id").filter(F.size("words") >= F.lit(covered) * F.col("n_words"))
-    pairs = written(found.select("doc_id", "item_id", "n_windows", "n_words"), "benchmark-pairs")
+    found = met.join(keys, "hash").groupBy("doc_id", "item_id", "size").agg(_covered_words().alias("words"), _covered_words("literal").alias("literals"))
+    found = found.join(whole, ["item_id", "size"])
+    found = found.filter(_coverage(F.size("words"), F.size("literals")) >= covered)
+    item = ["item_id", "size", "n_windows", "n_words", "n_literal"]
+    pairs = written(found.select("doc_id", *item), "benchmark-pairs")
 
     # the pairs in question again, by the words themselves; rows that repeat a doc_id are told apart
     some = pairs.select(F.col("doc_id").alias("_asked")).distinct()
     texts = plain.join(some, F.col("doc_id").eqNullSafe(F.col("_asked")), "left_semi").withColumn("row", F.xxhash64("text"))
-    mine = _detailed(_split(texts, "doc_id", "row"), "doc_id", "row")
-    its = asked.select(F.col("item_id").alias("_item"), F.col("place").alias("item_place"), F.col("window").alias("_window"), F.col("slots").alias("item_slots"))
-    near = pairs.select(F.col("doc_id").alias("_doc"), "item_id", "n_windows", "n_words")
-    both = mine.join(near, F.col("doc_id").eqNullSafe(F.col("_doc"))).join(
-        its, (F.col("window") == F.col("_window")) & (F.col("item_id") == F.col("_item"))
-    )
+    mine = _detailed(_split(texts, "doc_id", "row"), sizes, "doc_id", "row")
+    mine = mine.select("doc_id", "row", "place", "words", "slots", F.explode(_keys()).alias("key"))
+    its = asked.select(
+        F.col("item_id").alias("_item"), F.explode("keys").alias("_key"), F.col("place").alias("item_place"), "literal", F.col("slots").alias("item_slots")
+    )
+    near = pairs.select(F.col("doc_id").alias("_doc"), *item)
+    both = mine.join(near, F.col("doc_id").eqNullSafe(F.col("_doc"))).join(its, (F.col("key") == F.col("_key")) & (F.col("item_id") == F.col("_item")))
     shift = (F.col("place") - F.col("item_place")).alias("shift")
-    both = written(both.select("doc_id", "item_id", "row", shift, "n_windows", "n_words", F.col("item_place").alias("place"), "slots", "item_slots"), "benchmark-matches")
+    # what agrees by its words has the values of the item
+    slots = F.when(F.col("key") == F.col("words"), F.col("item_slots")).otherwise(F.col("slots")).alias("slots")
+    both = written(both.select("doc_id", *item, "row", shift, F.col("item_place").alias("place"), "literal", slots, "item_slots"), "benchmark-matches")
     aligned = ["doc_id", "item_id", "row", "shift"]
-    cover = both.groupBy(*aligned, "n_windows", "n_words").agg(F.collect_set("place").alias("places"))
+    cover = both.groupBy("doc_id", *item, "row", "shift").agg(F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("literal"), F.col("place"))).alias("literals"))
     slots = both.select(*aligned, F.explode(F.arrays_zip("slots", "item_slots")).alias("slot"))
     slots = slots.select(*aligned, F.col("slot.item_slots").alias("its"), F.col("slot.slots.word").alias("word")).distinct()
     values = slots.groupBy(*aligned, "its.kind", F.col("its.word").alias("value"), "word").agg(F.count(F.lit(1)).alias("uses"))
@@ -156,14 +184,14 @@ def contaminated(docs: DataFrame, items: DataFrame, covered: float = COVERED, co
     joined = cover.join(checked, met[0] & met[1] & met[2] & met[3], "left")
 
     # an alignment, those near each other, and all of a document stand for the pair each on its own
-    ways = joined.select("*", F.explode(_ways()).alias("way")).groupBy("doc_id", "item_id", "n_windows", "n_words", "way").agg(
-        F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
+    ways = joined.select("*", F.explode(_ways()).alias("way")).groupBy("doc_id", *item, "way").agg(
+        F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.array_distinct(F.flatten(F.collect_list("literals"))).alias("literals"),
         F.coalesce(F.sum("most"), F.lit(0)).alias("most"), F.coalesce(F.sum("uses"), F.lit(0)).alias("n_slots"),
         F.coalesce(F.bool_and("same"), F.lit(True)).alias("verbatim"),
     )
     measured = ways.select(
         "doc_id", "item_id", "n_windows", F.size("places").cast("long").alias("n_matched"),
-        (F.size(_spread(F.col("places"))) / F.col("n_words")).alias("coverage"), "n_slots",
+        _coverage(F.size(_spread(F.col("places"))), F.size(_spread(F.col("literals")))).alias("coverage"), "n_slots",
         F.when(F.col("n_slots") > 0, F.col("most") / F.col("n_slots")).otherwise(1.0).alias("consistency"), "verbatim",
     )
     passed = measured.filter((F.col("coverage") >= covered) & (F.col("consistency") >= consistent))
@@ -183,11 +211,16 @@ def _ways() -> Column:
 
 def _spread(places: Column) -> Column:
     """The places of an item that its windows at ``places`` cover; at most as many as it has words."""
-    return F.array_distinct(F.flatten(F.transform(places, lambda at: F.sequence(at, at + F.lit(WINDOW - 1)))))
+    return F.array_distinct(F.flatten(F.transform(places, lambda at: F.sequence(at, at + F.col("size") - 1))))
+
+
+def _covered_words(which: str = "true") -> Column:
+    return _spread(F.collect_set(F.when(F.expr(which), F.col("place"))))
 
 
-def _covered_words() -> Column:
-    return _spread(F.collect_set("place"))
+def _coverage(words: Column, literals: Column) -> Column:
+    """Of all words of an item, or of those in windows that templates can meet, whichever is more."""
+    return F.greatest(words / F.col("n_words"), F.when(F.col("n_literal") > 0, literals / F.col("n_literal")))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
