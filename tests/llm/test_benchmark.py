@@ -101,3 +101,13 @@ def test_case_and_white_space_do_not_hide_a_copy(spark):
     assert {(0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 2), (6, 2), (7, 1)} <= set(rows)
     assert {(i, 3) for i in range(5)} <= set(rows)
     assert all(rows[i, 1].verbatim and rows[i, 1].coverage == 1.0 for i in range(5)) and not rows[7, 1].verbatim
+
+
+def test_short_items_and_items_of_placeholders(spark):
+    items = [(1, "What is 17 + 25?"), (2, "1 2 3 4 5 6 7 8"), (3, "Then Anna, Boris, Clara, David, Emil"), (4, "42"), (5, " ?! "), (6, "")]
+    texts = ["what is 17 25", "he said 1, 2, 3, 4, 5, 6, 7, 8 and", "THEN ANNA BORIS CLARA DAVID EMIL", "it is 42", "8 7 6 5 4 3 2 1", "", "?!", "what was 17"]
+    docs = spark.createDataFrame([(i, f"{filler(50 + i)} {t} {filler(60 + i)}" if len(t) > 2 else t) for i, t in enumerate(texts)], DOCS)
+    asked = spark.createDataFrame(items, ITEMS)
+    got = {(r.doc_id, r.item_id) for r in benchmark.contaminated(docs, asked, short=True).collect()}
+    assert got == {(0, 1), (1, 2), (2, 3), (3, 4)}
+    assert {r.doc_id for r in benchmark.drop_contaminated(docs, asked).collect()} == {4, 5, 6, 7}

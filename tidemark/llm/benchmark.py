@@ -117,7 +117,7 @@ def _keys() -> Column:
     return F.when(F.col("literal"), F.array_distinct(F.array("parts", "words"))).otherwise(F.array("words"))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, covered: float = COVERED, consistent: float = CONSISTENT) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, covered: float = COVERED, consistent: float = CONSISTENT, short: bool = False) -> DataFrame:
     """The pairs of document and benchmark item where the document has the item, perhaps re-parameterised.
 
     Result: ``doc_id, item_id, n_windows, n_matched, coverage, n_slots, consistency, verbatim``.
@@ -127,14 +127,16 @@ def contaminated(docs: DataFrame, items: DataFrame, covered: float = COVERED, co
     Both are taken for each alignment of a row alone, for alignments of a row that differ by fewer than
     NEAR words, and for all alignments of a document; one that passes is enough, and the best is given.
     ``verbatim`` tells whether all its slots agree word for word. Windows with fewer than two words that
-    are no placeholders are not used; an item of fewer than five words has no window and is never
-    found. Null texts and null ids of items match nothing; a null ``doc_id`` is kept as null, all such
-    rows as one document, as are rows that repeat a ``doc_id``. Other columns are not read; an empty
-    table on either side gives no rows.
+    are no placeholders are met by their words alone, and coverage may leave them out if others remain. With
+    ``short`` an item of fewer than five words is one window of its whole length; without it such items are
+    not looked for. Null texts, texts without a word and null ids of items match nothing; a null ``doc_id``
+    is kept as null, all such rows as one document, as are rows that repeat a ``doc_id``. Other columns are
+    not read; an empty table on either side gives no rows.
     """
-    spark = docs.sparkSession
     named = items.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    asked = _detailed(_split(named, "item_id"), [WINDOW], "item_id").filter("literal")
+    asked = _detailed(_split(named, "item_id"), list(range(1, WINDOW + 1)) if short else [WINDOW], "item_id")
+    # an item shorter than a window is a window of its own; a text without a word has one empty word
+    asked = asked.filter((F.col("size") == WINDOW) | (F.col("size") == F.col("length"))).filter(F.array_join("words", "") != "")
     asked = written(asked.select("*", _keys().alias("keys")), "benchmark-windows")
     whole = asked.groupBy("item_id", "size").agg(
         F.count(F.lit(1)).alias("n_windows"), F.size(_covered_words()).alias("n_words"), F.size(_covered_words("literal")).alias("n_literal")
@@ -225,5 +227,5 @@ def _coverage(words: Column, literals: Column) -> Column:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that have an item of the benchmark; all columns stay."""
-    found = contaminated(docs, items).select(F.col("doc_id").alias("_found")).distinct()
+    found = contaminated(docs, items, short=True).select(F.col("doc_id").alias("_found")).distinct()
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_found")), "left_anti")
