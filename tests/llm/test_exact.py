@@ -47,3 +47,13 @@ def test_directory_splits_only_overfull_buckets():
     assert len(exact.directory(loads, 1000)) == 1
     # one slot alone may stay overfull: its key cannot be split
     assert len(set(exact.directory(np.array([100.0, 0, 0, 0]), 10))) == 3
+
+
+def test_null_and_repeated_ids_bring_no_copies_back(spark):
+    rows = [
+        (None, "only here"), (None, "a b"), (1, "a b"), (None, "twice"), (None, "twice"), (2, "c  d"), (2, "c d"), (2, "e"), (3, "e "),
+        (None, None), (4, "über\tall\x0b"), (4, "f"), (4, "f"), (5, "überall"),
+    ]
+    kept = exact.drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = [(None, "only here"), (1, "a b"), (None, "twice"), (2, "c  d"), (3, "e "), (None, None), (4, "über\tall\x0b"), (4, "f")]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, expected))

@@ -189,25 +189,32 @@ def exact_groups(docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
     keep_id, group_size, kept, text_sha256``. Repeated rows are counted in the group and marked alike.
     Other columns are not read. An empty table gives no rows.
     """
+    return _judged(docs, capacity).drop("chars")
+
+
+def _judged(docs: DataFrame, capacity: int) -> DataFrame:
+    """``exact_groups`` and the code points of each row, ``chars``."""
     prints = written(fingerprints(docs), "exact-prints")
     index = build_index(docs, prints, capacity)
     # rows of a large group meet one index entry: the adaptive join splits them
     return prints.join(index, "sha").select(
         "doc_id", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
+        F.lower(F.hex("sha")).alias("text_sha256"), "chars",
     )
 
 
 def drop_exact_copies(docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` without copies: one row for each distinct text, with all its columns.
 
-    Rows are told apart by ``doc_id``; of rows that repeat an id with the same text one stays.
+    Rows are told apart by ``doc_id``, digest and length of the text; of rows that agree in these one stays.
     """
-    kept = exact_groups(docs, capacity).filter("kept")
-    kept = kept.groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_rows"))
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")))
+    kept = _judged(docs, capacity).filter("kept")
+    kept = kept.groupBy(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_sha"), F.col("chars").alias("_chars")).agg(F.count(F.lit(1)).alias("_rows"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    digest = F.sha2(F.translate(text, SPACE, ""), 256)
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (digest == F.col("_sha")) & (F.char_length(text) == F.col("_chars")))
     once = rows.filter("_rows = 1").select(*docs.columns)
     # only repeated rows are sent once more
-    again = rows.filter("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    again = rows.filter("_rows > 1").dropDuplicates(["_sha"]).select(*docs.columns)
     return once.unionByName(again)
