@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import benchmark, bpe, exact, jaccard, language, licenses, pages, pseudo_likelihood, sharding, substrings
+from tidemark.llm import (
+    benchmark, bpe, conversations, exact, jaccard, language, licenses, pages, pseudo_likelihood, sharding, substrings,
+)
 from tidemark.llm.common import table
 from tidemark.llm.registry import query
 
@@ -120,3 +122,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return pages.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op13_suffix_dawg_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of all conversations after damage."""
+    return conversations.repair_conversations(table(spark, sf_dir, "conversations"))
