@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    benchmark, bpe, conversations, exact, jaccard, language, licenses, pages, pseudo_likelihood, sharding, substrings,
+    benchmark, bpe, conversations, exact, jaccard, language, licenses, pages, pseudo_likelihood, sharding,
+    spelling, substrings,
 )
 from tidemark.llm.common import table
 from tidemark.llm.registry import query
@@ -128,3 +129,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cheapest repair of all conversations after damage."""
     return conversations.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_reduced_alphabet_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the frequent words of all documents."""
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
