@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    benchmark, bpe, conversations, exact, jaccard, language, licenses, pages, pseudo_likelihood, sharding,
-    spelling, substrings,
+    benchmark, bpe, conversations, exact, hyperminhash, jaccard, language, licenses, pages, pseudo_likelihood,
+    sharding, spelling, substrings,
 )
 from tidemark.llm.common import table
 from tidemark.llm.registry import query
@@ -135,3 +135,27 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling variants among the frequent words of all documents."""
     return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_hyperminhash_copies",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+        FROM documents
+    ), places AS (
+        SELECT doc_id, ws, unnest(CASE WHEN len(ws) > 1 THEN range(1, len(ws)) WHEN len(ws) > 0 THEN [1] ELSE [] END) AS i FROM w
+    ), shingles AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 1], ' ') AS g FROM places),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM shingles a JOIN shingles b USING (g) GROUP BY ALL),
+    links AS (SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * o >= 80 * (a.n + b.n - o)),
+    reached AS (SELECT x AS doc_id, x AS y FROM links UNION SELECT reached.doc_id, links.y FROM reached JOIN links ON links.x = reached.y),
+    least AS (SELECT doc_id, min(y) AS y FROM reached GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(y, doc_id) AS component_id, coalesce(y, doc_id) = doc_id AS kept
+    FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents, pairs of words."""
+    return hyperminhash.near_copies(table(spark, sf_dir, "documents"))
