@@ -14,7 +14,8 @@ from tidemark.catalog import manifests as M
 from tidemark.functions.paths import output_path
 from tidemark.functions.timeexpr import micros
 from tidemark.operators.bounds import NoTimestampsError
-from tidemark.operators.lookups import dependency_closure, merged_settings
+from tidemark.operators.dependencies import dependency_closure
+from tidemark.operators.lookups import merged_settings
 from tidemark.plans.shift_plan import ShiftPlan
 from tidemark.replay import Replay
 from tidemark.sinks.files import print_lines, write_lines

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.plans.pattern_sets import REGISTRY
 from tidemark.plans.shift_plan import SETTING_FIELDS
 from tidemark.plans.text_families import DEFAULT_FAMILIES, PREFIX_FAMILIES, SOURCETYPE_FAMILIES
-from tidemark.session import cut_lineage
+
 
 def file_sourcetypes(df: DataFrame, files: DataFrame) -> DataFrame:
     """Add the sourcetype of each row's file (NULL when unlisted).
@@ -76,70 +76,6 @@ def uncovered_references(references: DataFrame, bundled: DataFrame) -> DataFrame
     return references.join(covered, "sourcetype", "left_anti")
 
 
-def dependency_closure(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """``root, dataset, depth``: everything a dataset depends on, with its smallest depth.
-
-    ``edges`` has ``dataset`` and ``dependency``. One join per level; a pair that was already seen
-    is not followed again, so a cycle ends. Each level is checkpointed: the plan stays short and a
-    lost executor does not restart the walk.
-    """
-    edges = cut_lineage(edges.select("dataset", "dependency").distinct())
-    start = edges.select("dataset") if roots is None else roots.select("dataset")
-    frontier = start.distinct().select(
-        F.col("dataset").alias("root"), F.col("dataset").alias("dataset")
-    )
-    levels = [cut_lineage(frontier.withColumn("depth", F.lit(0)))]
-    while True:
-        seen = levels[0]
-        for level in levels[1:]:
-            seen = seen.unionByName(level)
-        step = (
-            levels[-1].select("root", "dataset").join(edges, "dataset")
-            .select("root", F.col("dependency").alias("dataset"))
-            .distinct()
-            .join(seen, ["root", "dataset"], "left_anti")
-            .withColumn("depth", F.lit(len(levels)))
-        )
-        step = cut_lineage(step)
-        if step.isEmpty():
-            return seen
-        levels.append(step)
-
-
-def dependency_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """``root, dataset, priority`` for every place in the dependency tree of a root.
-
-    ``edges`` has ``dataset, dependency, position``. ``priority`` orders the places the way defaults
-    are merged: dependencies in order, each after its own dependencies, the root last. A dataset
-    already on the path is not entered again, so a cycle ends.
-    """
-    edges = cut_lineage(edges.select("dataset", "dependency", "position"))
-    level = cut_lineage(
-        roots.select(
-            F.col("dataset").alias("root"), F.col("dataset").alias("dataset"),
-            F.array("dataset").alias("path"), F.array().cast("array<int>").alias("places"),
-        )
-    )
-    levels = [level]
-    while True:
-        step = level.join(edges, "dataset").filter(~F.array_contains("path", F.col("dependency")))
-        level = cut_lineage(
-            step.select(
-                "root", F.col("dependency").alias("dataset"),
-                F.concat("path", F.array("dependency")).alias("path"),
-                F.concat("places", F.array(F.col("position").cast("int"))).alias("places"),
-            )
-        )
-        if level.isEmpty():
-            break
-        levels.append(level)
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    last = F.array(F.lit(2**31 - 1))
-    return every.select("root", "dataset", F.concat("places", last).alias("priority"))
-
-
 def merged_settings(entries: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Deep merge of flattened settings: per path the value of the highest ``priority``.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import dependencies as D
 from tidemark.operators import lookups as L
 from tidemark.queries.registry import events, query, table
 
@@ -92,7 +93,7 @@ c AS (SELECT p_partkey AS root, p_partkey AS dataset, 0 AS depth FROM part
 SELECT root, dataset, min(depth)::INT AS depth FROM c GROUP BY root, dataset""")
 def dependency_closure(spark, sf_dir):
     """All dependencies of all datasets with their depth; the cycle at the bottom ends the walk."""
-    return L.dependency_closure(_edges(spark, sf_dir))
+    return D.dependency_closure(_edges(spark, sf_dir))
 
 
 @query("merged_defaults", """
@@ -114,11 +115,102 @@ def merged_defaults(spark, sf_dir):
     one = parts.filter("p_partkey > 0").select("dataset", third.alias("dependency"), F.lit(0).alias("position"))
     two = parts.filter((F.col("p_partkey") > 0) & (F.pmod("p_partkey", F.lit(2)) == 0) & (third != seventh))
     edges = one.unionByName(two.select("dataset", seventh.alias("dependency"), F.lit(1).alias("position")))
-    places = L.dependency_paths(edges, parts.select("dataset"))
     own = parts.select(
         "dataset", F.concat(F.lit("replay.f"), F.pmod("p_partkey", F.lit(4))).alias("path"), F.col("p_brand").alias("value"),
     )
-    return L.merged_settings(places.join(own, "dataset"), ["root"])
+    return D.merged_defaults(edges, own).withColumnRenamed("dataset", "root")
+
+
+@query("dependency_closure_of_roots", f"""
+WITH RECURSIVE {_EDGES_SQL},
+c AS (SELECT p_partkey AS root, p_partkey AS dataset, 0 AS depth FROM part WHERE p_size > 40
+      UNION ALL SELECT root, dependency, depth + 1 FROM c JOIN e USING (dataset) WHERE depth < 40)
+SELECT root, dataset, min(depth)::INT AS depth FROM c GROUP BY root, dataset""")
+def dependency_closure_of_roots(spark, sf_dir):
+    """Dependencies of some datasets, level by level."""
+    parts = table(spark, sf_dir, "part").filter("p_size > 40")
+    return D.dependency_closure(_edges(spark, sf_dir), parts.select(F.col("p_partkey").alias("dataset")))
+
+
+def _releases(spark, sf_dir):
+    """Up to five releases of every part, and what each of them needs: ranges, a shared dependency, a cycle at 1 and 2."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("dataset"))
+    majors = F.explode(F.sequence(F.lit(1), (1 + F.pmod("dataset", F.lit(5))).cast("int"))).alias("major")
+    every = parts.filter("dataset % 97 <> 13").select("dataset", majors)
+    every = every.select("dataset", "major", F.concat("major", F.lit("."), F.pmod(F.col("dataset") + F.col("major"), F.lit(3)), F.lit(".0")).alias("version"))
+    low = F.when(F.col("dataset") == 1, 2).otherwise(F.floor(F.col("dataset") / 2)).cast("bigint")
+    first = every.filter("dataset > 0").select(
+        "dataset", "version", low.alias("dependency"),
+        F.when(F.pmod("dataset", F.lit(7)) == 0, F.concat(F.lit("<"), F.col("major") + 1, F.lit(".0.0")))
+        .when(F.pmod("dataset", F.lit(3)) == 0, F.concat(F.lit(">="), F.floor((F.col("major") + 1) / 2), F.lit(".0.0")))
+        .otherwise("*").alias("constraint"),
+    )
+    second = every.filter("dataset > 2 AND dataset % 2 = 1").select(
+        "dataset", "version", F.floor(F.col("dataset") / 3).cast("bigint").alias("dependency"),
+        F.when(F.pmod("dataset", F.lit(5)) == 0, F.concat("major", F.lit(".x"))).otherwise(F.lit("<=4.9.0")).alias("constraint"),
+    )
+    return every.select("dataset", "version"), first.unionByName(second), parts.withColumn("constraint", F.lit(None).cast("string"))
+
+
+# the state of a round is the set of constraints met so far; each round adds the needs of the releases chosen by it
+_VERSIONS_SQL = """
+rel AS MATERIALIZED (
+  SELECT dataset, major, (dataset + major) % 3 AS minor FROM (
+    SELECT p_partkey AS dataset, unnest(range(1, (2 + p_partkey % 5)::BIGINT)) AS major FROM part WHERE p_partkey % 97 <> 13)),
+need AS MATERIALIZED (
+  SELECT dataset, major, CASE WHEN dataset = 1 THEN 2 ELSE dataset // 2 END AS dependency,
+         CASE WHEN dataset % 7 = 0 THEN '<' || (major + 1) || '.0.0' WHEN dataset % 3 = 0 THEN '>=' || ((major + 1) // 2) || '.0.0' ELSE '*' END AS con
+  FROM rel WHERE dataset > 0
+  UNION SELECT dataset, major, dataset // 3, CASE WHEN dataset % 5 = 0 THEN major || '.x' ELSE '<=4.9.0' END
+  FROM rel WHERE dataset > 2 AND dataset % 2 = 1),
+cons AS MATERIALIZED (SELECT DISTINCT dependency AS dataset, con FROM need UNION SELECT p_partkey, '*' FROM part),
+allowed AS MATERIALIZED (
+  SELECT dataset, con, major, minor FROM cons JOIN rel USING (dataset)
+  WHERE con = '*' OR (con = '<=4.9.0' AND (major, minor) <= (4, 9)) OR (con LIKE '%.x' AND major = string_split(con, '.')[1]::BIGINT)
+     OR (con LIKE '>=%' AND major >= string_split(con[3:], '.')[1]::BIGINT)
+     OR (con LIKE '<%' AND con NOT LIKE '<=%' AND major < string_split(con[2:], '.')[1]::BIGINT)),
+met AS (
+  SELECT 0 AS level, p_partkey AS root, p_partkey AS dataset, '*' AS con FROM part
+  UNION ALL
+  SELECT DISTINCT level + 1, root, dataset, con FROM (
+    SELECT level, root, dataset, con FROM met
+    UNION ALL
+    SELECT p.level, p.root, n.dependency, n.con FROM (
+      SELECT level, root, dataset, max(major) AS major FROM (
+        SELECT m.level, m.root, m.dataset, a.major, count(*) AS satisfied, any_value(m.total) AS total
+        FROM (SELECT *, count(*) OVER (PARTITION BY root, dataset) AS total FROM met) m
+        JOIN allowed a ON a.dataset = m.dataset AND a.con = m.con GROUP BY m.level, m.root, m.dataset, a.major)
+      WHERE satisfied = total GROUP BY level, root, dataset) p
+    JOIN need n ON n.dataset = p.dataset AND n.major = p.major)
+  WHERE level < 24),
+last AS (SELECT root, dataset, con, count(*) OVER (PARTITION BY root, dataset) AS total FROM met WHERE level = 24),
+fits AS (
+  SELECT root, dataset, major, minor FROM (
+    SELECT l.root, l.dataset, a.major, a.minor, count(*) AS satisfied, any_value(total) AS total
+    FROM last l JOIN allowed a ON a.dataset = l.dataset AND a.con = l.con GROUP BY ALL)
+  WHERE satisfied = total),
+best AS (SELECT root, dataset, max(major) AS major, arg_max(minor, major) AS minor FROM fits GROUP BY root, dataset),
+resolved AS (
+  SELECT l.root, l.dataset, CASE WHEN b.major IS NOT NULL THEN b.major || '.' || b.minor || '.0' END AS version, l.total AS constraints,
+         CASE WHEN l.dataset % 97 = 13 THEN 'missing' WHEN b.major IS NULL THEN 'conflict' END AS problem
+  FROM (SELECT DISTINCT root, dataset, total FROM last) l LEFT JOIN best b USING (root, dataset))
+"""
+
+
+@query("dependency_versions", f"""
+WITH RECURSIVE {_VERSIONS_SQL}
+SELECT root, dataset, version, constraints, problem FROM resolved""")
+def dependency_versions(spark, sf_dir):
+    """The releases below every dataset that satisfy all constraints met on the way."""
+    return D.resolve_versions(*_releases(spark, sf_dir)).datasets
+
+
+@query("dependency_conflicts", f"""
+WITH RECURSIVE {_VERSIONS_SQL}
+SELECT root, dataset, con AS "constraint", problem FROM last JOIN resolved USING (root, dataset) WHERE problem IS NOT NULL""")
+def dependency_conflicts(spark, sf_dir):
+    """Datasets without a fitting release, a row per constraint that was met."""
+    return D.resolve_versions(*_releases(spark, sf_dir)).conflicts()
 
 
 @query("replay_settings", """
