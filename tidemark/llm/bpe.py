@@ -263,18 +263,6 @@ class Codec:
         return np.cumsum(self.lengths[ids]) - self.lengths[ids]
 
 
-_CODECS: dict[str, Codec] = {}
-
-
-def _codec(content: bytes) -> Codec:
-    """The codec of a rank file, built once in a worker."""
-    key = hashlib.sha256(content).hexdigest()
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(read_ranks(content))
-    return _CODECS[key]
-
-
 def read_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in content.splitlines() if line)}
 
@@ -294,7 +282,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     ranks = _shared_ranks(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks.value)
+        codec = Codec(read_ranks(ranks.value))  # the task's own: no worker keeps its cache
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -313,7 +301,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     ranks = _shared_ranks(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks.value)
+        codec = Codec(read_ranks(ranks.value))  # the task's own: no worker keeps its cache
         for batch in batches:
             data = [codec.decode(np.array(x or [], np.int64)) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "data"])
@@ -330,7 +318,7 @@ def token_digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFra
     ranks = _shared_ranks(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks.value)
+        codec = Codec(read_ranks(ranks.value))  # the task's own: no worker keeps its cache
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

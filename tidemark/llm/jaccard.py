@@ -23,7 +23,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +41,7 @@ HEAVY_TOKENS = 1 << 16
 LIGHT_AT_MOST = 24
 SCAN_WEIGHT = 4
 SKETCH_WORDS = 8
-FILTER_BITS = 1 << 24
+FEWEST_FILTER_BITS, MOST_FILTER_BITS = 1 << 20, 1 << 28
 PAIRS_PER_TEXT = 500
 BUCKET_BYTES = 12 << 20
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
@@ -227,35 +226,51 @@ def _may_link(n: Column, m: Column, left: list[Column], right: list[Column]) ->
 # --- bounded filters ---
 
 
-def _bitmap(bits: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits with those in the column ``bit`` set, built in pieces of 4 KB by the executors.
+def _bits_for(count: int) -> int:
+    """Bits of a filter over ``count`` things: about sixteen each, a power of two, bounded."""
+    return min(MOST_FILTER_BITS, max(FEWEST_FILTER_BITS, 1 << (16 * count).bit_length()))
 
-    Its size does not depend on the data; it may have false hits, never misses.
+
+def _bitmap(bits: DataFrame, size: int) -> np.ndarray:
+    """``size`` bits with those in the column ``bit`` set, built in pieces of 4 KB by the executors.
+
+    It may have false hits, never misses.
     """
     pieces = bits.groupBy(F.floor(F.col("bit") / 32768).alias("piece")).agg(F.expr("bitmap_construct_agg(bit % 32768)").alias("bits"))
-    found = np.zeros(FILTER_BITS // 8, np.uint8)
+    found = np.zeros(size // 8, np.uint8)
     for piece, part in pieces.collect():
         found[piece * 4096 : piece * 4096 + len(part)] |= np.frombuffer(bytes(part), np.uint8)
     return found
 
 
-def _bit_of(column: str) -> Column:
-    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_BITS))
-
-
 def _has(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
-def _in_bitmap(docs: DataFrame, bits: np.ndarray) -> Column:
-    """Whether ``doc_id`` is in a bitmap of ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+class _Members:
+    """Ids of documents in a broadcast filter of bounded size, or beyond that size as a table."""
 
-    @F.pandas_udf("boolean")
-    def hit(place: pd.Series) -> pd.Series:
-        return pd.Series(_has(shared.value, place.to_numpy(np.int64)))
+    def __init__(self, ids: DataFrame):
+        self.ids, count = ids, ids.count()
+        size = _bits_for(count)
+        self.bits = None
+        if 8 * count <= size:
+            places = ids.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(size)).alias("bit"))
+            self.bits, self.size = ids.sparkSession.sparkContext.broadcast(_bitmap(places, size)), size
 
-    return hit(_bit_of("doc_id"))
+    def rows(self, docs: DataFrame, inside: bool) -> DataFrame:
+        """``doc_id, text`` of the documents that may be among the ids, or of all others."""
+        if self.bits is None:
+            return _rows(docs).join(self.ids.distinct(), "doc_id", "left_semi" if inside else "left_anti")
+        bits = self.bits
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = _has(bits.value, batch.column("place").to_numpy(zero_copy_only=False))
+                yield batch.select(["doc_id", "text"]).filter(pa.array(hit if inside else ~hit))
+
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(self.size)).alias("place")
+        return _rows(docs).select("doc_id", "text", place).mapInArrow(tidied(run), "doc_id long, text string")
 
 
 # --- verification ---
@@ -306,8 +321,8 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
 
     wanted = written(_plausible(pairs, sets), "jaccard-pairs")
-    ids = wanted.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    texts = _rows(docs).filter(_in_bitmap(docs, _bitmap(ids.select(_bit_of("doc_id").alias("bit")))))
+    ids = wanted.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = written(_Members(ids).rows(docs, True), "jaccard-texts")
     slots = wanted.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_TEXT).cast("int").alias("slots"))
     salted = wanted.join(slots, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("slots")).cast("int").alias("salt"))
     ones = salted.join(texts.withColumnRenamed("doc_id", "a"), "a").select("b", "salt", "a", "text")
@@ -358,17 +373,16 @@ def _with_components(docs: DataFrame, reps: DataFrame, known: DataFrame) -> Data
     """``doc_id, component, text`` of the documents that stand for their set.
 
     A document that is alone in its set and component needs no join; a bounded filter tells which may
-    not be, and only those are shuffled.
+    not be, and only those are shuffled, once.
     """
     grouped = reps.filter("doc_id <> rep").select("doc_id").unionByName(known.select(F.col("node").alias("doc_id")))
-    hit = _in_bitmap(docs, _bitmap(grouped.select(_bit_of("doc_id").alias("bit"))))
-    rows = _rows(docs).withColumn("_hit", hit)
-    alone = rows.filter(~F.col("_hit")).select("doc_id", F.col("doc_id").alias("component"), "text")
+    found = _Members(grouped)
+    alone = found.rows(docs, False).select("doc_id", F.col("doc_id").alias("component"), "text")
     # of the rows in question, those that are the first of their set
     standing = reps.filter("doc_id = rep").join(known, F.col("doc_id") == F.col("node"), "left")
     standing = standing.select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-    rest = rows.filter("_hit").select("doc_id", "text").join(standing, "doc_id").select("doc_id", "component", "text")
-    return alone.unionByName(rest)
+    rest = found.rows(docs, True).join(standing, "doc_id").select("doc_id", "component", "text")
+    return alone.unionByName(written(rest, "jaccard-standing"))
 
 
 def _open_keys(rows: DataFrame, keys, entries: int) -> DataFrame:
@@ -399,7 +413,7 @@ def _open_keys(rows: DataFrame, keys, entries: int) -> DataFrame:
         current, held = None, []
 
         def batch_of(listed: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(listed.astype(np.int64)), pa.array(_key_bits(listed))], ["key", "bit"])
+            return pa.RecordBatch.from_arrays([pa.array(listed.astype(np.int64))], ["key"])
 
         def found() -> pa.RecordBatch:
             parts = [unpack(p, "<u8", "<i8", "<i4") for p in held]
@@ -424,29 +438,32 @@ def _open_keys(rows: DataFrame, keys, entries: int) -> DataFrame:
 
     sent = rows.mapInArrow(tidied(send), "bucket long, payload binary")
     owned = sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
-    return written(owned.mapInArrow(tidied(scan), "key long, bit long"), "jaccard-keys")
+    return written(owned.mapInArrow(tidied(scan), "key long"), "jaccard-keys")
 
 
-def _key_bits(listed: np.ndarray) -> np.ndarray:
-    return (_mixed(listed) % U(FILTER_BITS)).astype(np.int64)
+def _members(rows: DataFrame, keys, open_keys: DataFrame) -> DataFrame:
+    """``key, doc_id, component`` of the entries of open lists.
 
-
-def _members(rows: DataFrame, keys, bits: np.ndarray) -> DataFrame:
-    """``key, doc_id, component`` of the entries of open lists."""
+    A filter of bounded size leaves most other entries where they are; the join decides.
+    """
+    count = open_keys.count()
+    size = _bits_for(count)
+    bits = _bitmap(open_keys.select(F.pmod("key", F.lit(size)).alias("bit")), size) if 2 * count <= size else None
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, sets in _rounds(batches, ("doc_id", "component", "text")):
             lists = [keys.value.of(s) for s in sets]
             listed = np.concatenate(lists)
-            kept = _has(shared.value, _key_bits(listed))
+            kept = np.ones(len(listed), bool) if shared.value is None else _has(shared.value, (listed & U(size - 1)).astype(np.int64))
             owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])[kept]
             ids, groups = (np.array([r[k] for r in held], np.int64)[owner] for k in (0, 1))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(listed[kept].astype(np.int64)), pa.array(ids), pa.array(groups)], ["key", "doc_id", "component"]
             )
 
-    return rows.mapInArrow(tidied(run), "key long, doc_id long, component long")
+    entries = rows.mapInArrow(tidied(run), "key long, doc_id long, component long")
+    return entries.join(open_keys.select("key"), "key", "left_semi") if bits is None else entries
 
 
 # --- the join ---
@@ -491,7 +508,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     entries_now = standing.agg(F.sum(F.floor(F.col("n") / DENOMINATOR) + 1)).first()[0] or 0
     owned = _with_components(docs.filter("doc_id IS NOT NULL"), reps, known)
     open_keys = _open_keys(owned, keys, entries_now)
-    members = _members(owned, keys, _bitmap(open_keys))
+    members = _members(owned, keys, open_keys)
     held = members.join(standing.select("doc_id", "n", *SKETCH), "doc_id")
     held = written(held.select("key", F.struct("doc_id", "component", "n", *SKETCH).alias("doc")), "jaccard-members")
     other = held.select("key", F.col("doc").alias("other"))

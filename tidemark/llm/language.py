@@ -11,7 +11,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,7 @@ GRAMS_PER_LANGUAGE = 5_000
 LONGEST_GRAM = 5
 PENALTY = 7.0
 CACHED_WORDS = 80_000
+CACHED_COSTS = 1 << 21
 COUNTED_AT_ONCE = 150_000
 ROWS_AT_ONCE = 256
 
@@ -74,12 +75,12 @@ class LanguageModel:
         return labels, scores
 
     def _learn(self, words: set[str]) -> None:
-        """Put the costs of ``words`` in the cache, a table of at most CACHED_WORDS rows beside them."""
+        """Put the costs of ``words`` in the cache, a table of at most CACHED_WORDS rows and CACHED_COSTS costs beside them."""
         fresh = words - self.cache.keys()
         if self.costs is None or len(self.cache) + len(fresh) > len(self.costs):
             fresh = words
             self.cache.clear()
-            self.costs = np.empty((max(CACHED_WORDS, len(words)), len(self.languages)))
+            self.costs = np.empty((max(min(CACHED_WORDS, CACHED_COSTS // len(self.languages)), len(words)), len(self.languages)))
         first = len(self.cache)
         if fresh:
             self.costs[first : first + len(fresh)] = [self.cost(word) for word in fresh]
@@ -167,7 +168,8 @@ def train(
 
 
 def _slices(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterator[tuple[pa.RecordBatch, list[str], list[float]]]:
-    """A few rows at a time with their languages and scores."""
+    """A few rows at a time with their languages and scores; the cache of costs is the task's own."""
+    model = replace(model, cache={}, costs=None)
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS_AT_ONCE):
             part = batch.slice(at, ROWS_AT_ONCE)
