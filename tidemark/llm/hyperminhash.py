@@ -9,11 +9,12 @@ out; every other one is decided on the whole sets of words.
 
 Equal sets are merged first. Then no pair within a group of near copies is spelled out:
 
-1. A document is compared with one of the smallest documents of its bands, the first that looks like a copy.
-   If they link it joins that centre, at an exact distance.
-2. In bands that still hold several components, centres are compared. The Jaccard distance is a metric, so
+1. A document is compared with the likeliest of a few that are the smallest in most of its bands. If they
+   link it joins that centre, at an exact distance.
+2. In bands that still hold several groups, centres are compared. The Jaccard distance is a metric, so
    two centres further apart than the threshold and their radii have no links between their members.
-3. Of the other pairs of centres that are still apart, members that lie far enough out are compared.
+3. Of the other pairs of centres that are still apart, members that lie far enough out are compared where the
+   members of the larger one are held.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import partitions, tidied, written
@@ -36,9 +37,13 @@ BUCKETS = BANDS * ROWS
 MANTISSA = 10
 EMPTY = 0xFFFF
 # pairs whose estimate is this many standard deviations below the threshold are left out
-DEVIATIONS = 6.0
+DEVIATIONS = 5.0
 ROUND_BYTES = 2 << 20
 PAIRS_PER_TEXT = 500
+# hubs a document is estimated against to find its centre; whom it misses there it meets among the centres
+HUBS = 6
+MEMBERS_PER_SLOT = 512
+PASSING_PER_SLOT = 4096
 SALTS = 16
 
 
@@ -131,12 +136,17 @@ def chance_of_equal(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def estimates(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated similarity of pairs of sketches (rows), and how far below the truth it may lie."""
+    """Estimated similarity of pairs of sketches (rows), and how far below the threshold that of a link may lie."""
     used = ((a != EMPTY) | (b != EMPTY)).sum(axis=1)
     equal = ((a == b) & (a != EMPTY)).sum(axis=1)
     chance = chance_of_equal(n.astype(np.float64), m.astype(np.float64))
     share = equal / np.maximum(used, 1)
-    return (share - chance) / (1 - chance), DEVIATIONS * 0.5 / np.sqrt(np.maximum(used, 1))
+    # a pair at the threshold: registers are drawn from its united set without putting back
+    limit = NUMERATOR / DENOMINATOR
+    united = np.maximum((n + m) / (1 + limit), 1.0)
+    left = np.clip(1 - used / united, 1 / united, 1.0)
+    deviation = np.sqrt(limit * (1 - limit) * left / np.maximum(used, 1))
+    return (share - chance) / (1 - chance), DEVIATIONS * deviation + 1 / np.maximum(used, 1)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -260,10 +270,104 @@ def _links() -> Column:
     return (F.col("shared") > 0) & (DENOMINATOR * F.col("shared") >= NUMERATOR * F.col("united"))
 
 
+def _likeness() -> Column:
+    """The estimate; well above the threshold all are alike, so the smallest hub is taken and centres are few."""
+    return F.least("estimate", F.lit(NUMERATOR / DENOMINATOR + 0.05)).alias("likeness")
+
+
 def _distance() -> Column:
     return 1 - F.col("shared") / F.col("united")
 
 
+def _between(apart: DataFrame, members: DataFrame) -> DataFrame:
+    """Links ``a, b`` between members of the centres ``a, b`` that are ``distance`` apart.
+
+    ``members`` has ``centre, doc_id, far, text``. The members of the larger centre are dealt into slots of
+    MEMBERS_PER_SLOT, which stay in memory while those of the smaller one pass; only members that together
+    lie as far out as the gap between the centres are looked at, first by their sketches. No pair leaves a
+    task but a link, decided on the words.
+    """
+    limit = 1 - NUMERATOR / DENOMINATOR + 1e-9
+    sizes = members.groupBy("centre").agg(F.count(F.lit(1)).alias("size"), F.max("far").alias("radius"))
+    both = apart.join(sizes.select(F.col("centre").alias("a"), F.col("size").alias("size_a"), F.col("radius").alias("radius_a")), "a")
+    both = both.join(sizes.select(F.col("centre").alias("b"), F.col("size").alias("size_b"), F.col("radius").alias("radius_b")), "b")
+    swap = F.col("size_a") > F.col("size_b")
+    one = lambda small, large: F.when(swap, F.col(large)).otherwise(F.col(small))
+    gaps = both.select(
+        one("a", "b").alias("small"), one("b", "a").alias("large"), one("radius_b", "radius_a").alias("radius"), F.col("distance") - limit,
+        F.ceil(F.greatest("size_a", "size_b") / MEMBERS_PER_SLOT).cast("int").alias("slots"),
+    ).toDF("small", "large", "radius", "gap", "slots")
+    passing = gaps.join(members.withColumnRenamed("centre", "small"), "small").filter(F.col("far") + F.col("radius") >= F.col("gap"))
+    passing = passing.select("large", "slots", "doc_id", F.col("text"), (F.col("gap") - F.col("far")).alias("least"))
+    counted = passing.groupBy("large", "slots").agg(F.ceil(F.count(F.lit(1)) / PASSING_PER_SLOT).cast("int").alias("salts"))
+    passing = passing.join(counted.select("large", "salts"), "large")
+    passing = passing.select(
+        "large", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"),
+        F.lit(True).alias("passes"), "doc_id", F.col("least").alias("far"), "text",
+    )
+    held = counted.join(members.withColumnRenamed("centre", "large"), "large")
+    held = held.select(
+        "large", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("slots")).cast("int").alias("slot"),
+        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("passes"), "doc_id", "far", "text",
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, rows, slot = None, [], None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = []
+                for large, place, salt, passes, doc_id, far, text in zip(*[c.to_pylist() for c in part.columns]):
+                    if (large, place, salt) != current:
+                        current, rows, slot = (large, place, salt), [], None
+                    words = plain_words(text)
+                    if not passes:
+                        rows.append((doc_id, far, words))
+                        continue
+                    if not rows:
+                        continue
+                    slot = slot or _Slot(rows)
+                    out += [(doc_id, other) for other in slot.linked(words, far)]
+                columns = list(zip(*out)) or [[]] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+    met = held.unionByName(passing).repartition(partitions(members.sparkSession), "large", "slot", "salt")
+    met = met.sortWithinPartitions("large", "slot", "salt", "passes")
+    return met.mapInArrow(tidied(run), "a long, b long")
+
+
+class _Slot:
+    """Members of a centre with their sketches and sets."""
+
+    def __init__(self, rows: list[tuple[int, float, bytes]]):
+        self.ids = [r[0] for r in rows]
+        self.far = np.array([r[1] for r in rows])
+        self.words = [r[2] for r in rows]
+        self.sets = hashed_sets(self.words)
+        self.sizes = np.array([len(s) for s in self.sets])
+        self.sketches = np.array([registers(s) for s in self.sets])
+
+    def linked(self, words: bytes, least: float) -> list[int]:
+        """The members at ``least`` or further out that link to a document."""
+        (found,) = hashed_sets([words])
+        limit = NUMERATOR / DENOMINATOR
+        near = np.flatnonzero((self.far >= least) & (np.minimum(self.sizes, len(found)) >= limit * np.maximum(self.sizes, len(found))))
+        if not len(near):
+            return []
+        sketch = np.broadcast_to(registers(found), (len(near), BUCKETS))
+        guess, margin = estimates(self.sketches[near], sketch, self.sizes[near], np.full(len(near), len(found)))
+        linked, pairs = [], None
+        for at in near[guess + margin >= limit].tolist():
+            shared = len(np.intersect1d(found, self.sets[at], assume_unique=True))
+            if DENOMINATOR * shared >= NUMERATOR * (len(found) + len(self.sets[at]) - shared):
+                pairs = pairs or word_pairs(words)
+                other = word_pairs(self.words[at])
+                shared = len(pairs & other)
+                if DENOMINATOR * shared >= NUMERATOR * (len(pairs) + len(other) - shared):
+                    linked.append(self.ids[at])
+        return linked
+
+
 # --- groups ---
 
 
@@ -291,6 +395,14 @@ def _with_component(df: DataFrame, column: str, known: DataFrame) -> DataFrame:
     return df.join(named, column, "left").withColumn("component", F.coalesce("component", column))
 
 
+def _followed(pointers: DataFrame) -> DataFrame:
+    """``node, component`` with the pointers of pointers followed; they lead to ever smaller ids."""
+    for _ in range(2):
+        further = pointers.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        pointers = pointers.join(further, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+    return pointers
+
+
 def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that are not in one component."""
     one = known.select(F.col("node").alias("a"), F.col("component").alias("in_a"))
@@ -308,14 +420,15 @@ def linked_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
     sets = written(sets.join(involved, "doc_id", "left_semi"), "hyperminhash-sets")
     texts = written(_rows(docs).join(involved, "doc_id", "left_semi").distinct(), "hyperminhash-texts")
 
-    # each document with the smallest hub that looks like a copy, so there are few centres, or else the likeliest
-    pairs = met.filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    likely = _plausible(pairs.withColumn("slack", F.lit(0.0)), sets)
-    likeness = F.least("estimate", F.lit(NUMERATOR / DENOMINATOR)).alias("likeness")
-    best = likely.groupBy("a").agg(F.max_by("b", F.struct(likeness, (-F.col("b")).alias("order"))).alias("b"))
-    stars = written(_compared(written(best, "hyperminhash-pairs"), texts).filter(_links()), "hyperminhash-stars")
+    # each document with the likeliest of the hubs of most of its bands
+    pairs = met.filter("doc_id <> hub").repartition(partitions(docs.sparkSession), "doc_id").groupBy("doc_id", "hub").count()
+    order = Window.partitionBy("doc_id").orderBy(F.desc("count"), "hub")
+    pairs = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= HUBS)
+    pairs = _plausible(pairs.select(F.col("doc_id").alias("a"), F.col("hub").alias("b"), F.lit(0.0).alias("slack")), sets)
+    likely = pairs.groupBy("a").agg(F.max_by("b", F.struct(_likeness(), (-F.col("b")).alias("order"))).alias("b"))
+    likely = written(likely, "hyperminhash-pairs")
+    stars = written(_compared(likely, texts).filter(_links()), "hyperminhash-stars")
     edges = stars.select("a", "b")
-    known = written(components(edges), "hyperminhash-components")
 
     # a document belongs to its hub, or is a centre
     centred = stars.groupBy("a").agg(F.min(F.struct(_distance().alias("far"), F.col("b").alias("centre"))).alias("near"))
@@ -323,7 +436,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
     placed = placed.select(
         "key", "doc_id", F.coalesce("near.centre", "doc_id").alias("centre"), F.coalesce("near.far", F.lit(0.0)).alias("far")
     )
-    placed = _with_component(placed, "centre", known)
+    placed = _with_component(placed, "centre", _followed(centred.select(F.col("a").alias("node"), F.col("near.centre").alias("component"))))
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     placed = written(placed.join(split.select("key"), "key"), "hyperminhash-placed")
     radii = placed.groupBy("centre").agg(F.max("far").alias("radius")).join(sets.select(F.col("doc_id").alias("centre"), "n"), "centre")
@@ -337,20 +450,16 @@ def linked_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
     likely = written(_plausible(across, sets).select("a", "b", "slack"), "hyperminhash-pairs")
     compared = written(_compared(likely, texts), "hyperminhash-compared")
     edges = edges.unionByName(compared.filter(_links()).select("a", "b"))
-    known = written(components(edges), "hyperminhash-components")
 
     # members of centres that may still hide a link
     limit = 1 - NUMERATOR / DENOMINATOR + 1e-9
-    apart = compared.select("a", "b", _distance().alias("distance")).join(likely, ["a", "b"])
-    apart = _apart(apart.filter(F.col("distance") <= limit + F.col("slack")).filter("slack > 0"), known)
-    apart = written(apart.select("a", "b", "distance"), "hyperminhash-apart")
-    members = placed.select("key", "doc_id", "centre", "far")
-    left = members.select("key", F.col("doc_id").alias("x"), F.col("centre").alias("a"), F.col("far").alias("far_x")).join(apart, "a")
-    right = members.select("key", F.col("doc_id").alias("y"), F.col("centre").alias("b"), F.col("far").alias("far_y"))
-    outer = left.join(right, ["key", "b"]).filter(F.col("far_x") + F.col("far_y") >= F.col("distance") - limit)
-    outer = outer.filter("x <> a OR y <> b").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    last = written(_plausible(outer.withColumn("slack", F.lit(0.0)), sets).select("a", "b"), "hyperminhash-pairs")
-    return edges.unionByName(_compared(last, texts).filter(_links()).select("a", "b"))
+    apart = compared.filter(~_links()).select("a", "b", _distance().alias("distance")).join(likely, ["a", "b"])
+    apart = written(apart.filter((F.col("distance") <= limit + F.col("slack")) & (F.col("slack") > 0)), "hyperminhash-apart")
+    if apart.isEmpty():
+        return edges
+    apart = written(_apart(apart.select("a", "b", "distance"), components(edges)), "hyperminhash-apart")
+    members = placed.select("centre", "doc_id", "far").distinct().join(texts, "doc_id")
+    return edges.unionByName(_between(apart, written(members, "hyperminhash-members")))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -364,7 +473,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     are one node. Other columns are not read; an empty table gives no rows.
 
     A pair at the threshold shares none of its bands with probability 1e-7, and is left out by its
-    estimate with 1e-9; the more alike, the less.
+    estimate with 3e-7; the more alike, the less.
     """
     described = written(_describe(docs), "hyperminhash-described")
     nodes = described.filter("n > 0 AND doc_id IS NOT NULL")
