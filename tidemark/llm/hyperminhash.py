@@ -279,6 +279,55 @@ def _distance() -> Column:
     return 1 - F.col("shared") / F.col("united")
 
 
+def _near_centres(there: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, slack``: pairs of centres of one band and different components whose members may link.
+
+    ``there`` has ``key, centre, component, radius, n``. The centres of a band are dealt into slots of
+    MEMBERS_PER_SLOT, each of which meets all centres of the band; only likely pairs leave a task.
+    """
+    slots = there.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_SLOT).cast("int").alias("slots"))
+    rows = there.join(slots, "key").join(sets.select(F.col("doc_id").alias("centre"), "sketch"), "centre")
+    columns = ["centre", "component", "radius", "n", "sketch"]
+    own = F.pmod(F.xxhash64("centre"), F.col("slots")).cast("int").alias("slot")
+    held = rows.select("key", own, F.lit(False).alias("passes"), *columns)
+    passing = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(True).alias("passes"), *columns)
+    limit = NUMERATOR / DENOMINATOR
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, rows, table = None, [], None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                found = []
+                for key, slot, passes, *row in zip(*[c.to_pylist() for c in part.columns]):
+                    if (key, slot) != current:
+                        current, rows, table = (key, slot), [], None
+                    if not passes:
+                        rows.append(row)
+                        continue
+                    if not rows:
+                        continue
+                    if table is None:
+                        ids, components_, radii, sizes = (np.array(c) for c in list(zip(*rows))[:4])
+                        table = ids, components_, radii, sizes, np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(-1, BUCKETS)
+                    ids, components_, radii, sizes, sketches = table
+                    centre, component, radius, n, sketch = row
+                    least = limit * (1 - radii) * (1 - radius) * (1 - 1e-9)
+                    near = np.flatnonzero((ids < centre) & (components_ != component) & (n >= sizes * least) & (sizes >= n * least))
+                    if len(near):
+                        slack = radii[near] + radius
+                        mine = np.broadcast_to(np.frombuffer(sketch, np.uint16), (len(near), BUCKETS))
+                        guess, margin = estimates(sketches[near], mine, sizes[near], np.full(len(near), n))
+                        kept = guess + margin >= limit - slack
+                        found += zip([centre] * int(kept.sum()), ids[near][kept].tolist(), slack[kept].tolist())
+                columns = list(zip(*found)) or [[]] * 3
+                arrays = [pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "slack"])
+
+    met = held.unionByName(passing).repartition(partitions(there.sparkSession), "key", "slot").sortWithinPartitions("key", "slot", "passes")
+    return met.mapInArrow(tidied(run), "a long, b long, slack double").groupBy("a", "b").agg(F.max("slack").alias("slack"))
+
+
 def _between(apart: DataFrame, members: DataFrame) -> DataFrame:
     """Links ``a, b`` between members of the centres ``a, b`` that are ``distance`` apart.
 
@@ -442,12 +491,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
     radii = placed.groupBy("centre").agg(F.max("far").alias("radius")).join(sets.select(F.col("doc_id").alias("centre"), "n"), "centre")
     there = placed.select("key", "centre", "component").distinct().join(radii, "centre")
     there = written(there.groupBy("key", "centre", "component").agg(F.max("radius").alias("radius"), F.max("n").alias("n")), "hyperminhash-centres")
-    one, other = (there.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("centre", "component", "radius", "n")]) for s in "ab")
-    slack = F.col("radius_a") + F.col("radius_b")
-    across = one.join(other, "key").filter((F.col("centre_a") > F.col("centre_b")) & (F.col("component_a") != F.col("component_b")))
-    across = across.filter(_sizes_allow(F.col("n_a"), F.col("n_b"), 1 - (1 - F.col("radius_a")) * (1 - F.col("radius_b"))))
-    across = across.groupBy(F.col("centre_a").alias("a"), F.col("centre_b").alias("b")).agg(F.max(slack).alias("slack"))
-    likely = written(_plausible(across, sets).select("a", "b", "slack"), "hyperminhash-pairs")
+    likely = written(_near_centres(there, sets), "hyperminhash-pairs")
     compared = written(_compared(likely, texts), "hyperminhash-compared")
     edges = edges.unionByName(compared.filter(_links()).select("a", "b"))
 
