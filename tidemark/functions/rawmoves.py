@@ -1,242 +1,248 @@
-"""Moving the instants of one line of text: what a worker does with each match of a family."""
+"""What becomes of a match of each family of notations, as SQL expressions over the match.
+
+The expressions are text, so that one of several hundred nodes is parsed at once and not put together node by
+node. A match fixes its layout, so its parts are taken by position. An expression is NULL where the match is
+not a real instant, or where the moved one leaves the calendar.
+"""
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left
-from collections.abc import Callable, Sequence
-from datetime import datetime, timedelta
+from collections.abc import Callable
+from itertools import count
 
-from tidemark.plans.text_families import FAMILY_ANY, FAMILY_MARKERS, FAMILY_REGEX
+from tidemark.functions.affine import _DECIMAL_MAX, _LONG_MAX, _SPAN
+from tidemark.functions.instants import FIRST_MICRO, LAST_MICRO
 
-_EPOCH = datetime(1970, 1, 1)
 _SECOND = 1_000_000
 _DAY = 86_400 * _SECOND
-_FIRST, _LAST = -62_135_596_800 * _SECOND, 253_402_300_800 * _SECOND - 1
-_MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
-_MONTH = {name: i for i, name in enumerate(_MONTHS, 1)}
-_DAYS = "Mon Tue Wed Thu Fri Sat Sun".split()
+_MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+_names = count()
+
 
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-class Unreadable(ValueError):
-    """A match that is not a real instant, or one that leaves the calendar."""
+
+def let(value: str, body: Callable[[str], str]) -> str:
+    """``body`` over a name for ``value``, which is computed once."""
+    name = f"v{next(_names)}"
+    return f"transform(array({value}), {name} -> {body(name)})[0]"
 
 
 class Move:
-    """The affine map of one plan, exact, rounded half to even, held at the ceiling."""
+    """The affine map over a struct with the fields ``base, new_base, factor, ceiling``.
+
+    ``factor`` is a number known when the query is built, or None for the field.
+    """
 
-    def __init__(self, base: int, new_base: int, factor: float, ceiling: int | None):
-        self.new_base, self.ceiling = new_base, ceiling
-        self.base, self.year = base, (_EPOCH + timedelta(microseconds=base)).year
-        self.num, self.den = float(factor).as_integer_ratio()
+    def __init__(self, plan: str, factor: float | None):
+        self.plan, self.factor = plan, factor
+        if factor is not None:
+            self.num, self.den = float(factor).as_integer_ratio()
+            if self.num > _DECIMAL_MAX or self.den > _DECIMAL_MAX:
+                raise ValueError(f"factor out of range: {factor}")
 
-    def __call__(self, us: int) -> int:
-        delta = us - self.base
-        if self.num != 1 or self.den != 1:
-            whole, rest = divmod(delta * self.num, self.den)
-            delta = whole + (2 * rest > self.den or (2 * rest == self.den and whole % 2))
-        new = self.new_base + delta
-        if not _FIRST <= new <= _LAST:
-            raise Unreadable
-        return new if self.ceiling is None or new <= self.ceiling else self.ceiling
+    def _half_even(self, product: str, whole: str) -> str:
+        def rounded(n: str) -> str:
+            return let(f"{n} div {whole}", lambda q: let(f"abs({n} % {whole})", lambda r: (
+                f"{q} + if({r} > {whole} - {r} or ({r} = {whole} - {r} and pmod({q}, 2) = 1), cast(sign({n}) as bigint), 0L)"
+            )))
 
-    def wall(self, year, month, day, hour, minute, second, micros: int = 0) -> datetime:
-        """The moved clock time of a clock time in UTC."""
-        return _moment(self(_micros(datetime(int(year), int(month), int(day), int(hour), int(minute), int(second))) + micros))
+        return let(product, rounded)
 
+    def _scaled(self, delta: str) -> str:
+        if self.factor is None:
+            return f"if({self.plan}.factor = 1.0D, {delta}, {self._scaled_by_row(delta)})"
+        if self.num == self.den == 1:
+            return delta
+        if self.den == 1:
+            return f"try_multiply({delta}, {self.num}L)" if self.num <= _LONG_MAX else "cast(null as bigint)"
+        if self.num * _SPAN <= _LONG_MAX:
+            return self._half_even(f"{delta} * {self.num}L", f"{self.den}L")
+        product = f"cast(cast({delta} as decimal(19,0)) * cast('{self.num}' as decimal(18,0)) as decimal(38,0))"
+        return self._half_even(product, f"cast('{self.den}' as decimal(38,0))")
 
-def _micros(t: datetime) -> int:
-    past = t - _EPOCH
-    return past.days * _DAY + past.seconds * _SECOND + past.microseconds
+    def _scaled_by_row(self, delta: str) -> str:
+        factor = f"{self.plan}.factor"
 
+        def ratio(p: str) -> str:
+            half = f"cast(floor({p} / 2) as int)"
+            top = f"cast(cast({factor} * pow(2.0D, {p}) as bigint) as decimal(19,0))"
+            low, high = (f"cast(cast(pow(2.0D, {x}) as bigint) as decimal({n},0))" for x, n in ((half, 19), (f"{p} - {half}", 18)))
+            product = f"cast(cast({delta} as decimal(19,0)) * {top} as decimal(38,0))"
+            return let(f"cast({low} * {high} as decimal(38,0))", lambda whole: self._half_even(product, whole))
 
-def _moment(us: int) -> datetime:
-    return _EPOCH + timedelta(microseconds=us)
+        # factor = numerator / 2**power with a numerator that fits a bigint
+        return let(f"greatest(0, 53 - cast(floor(log2({factor})) as int))", ratio)
 
+    def __call__(self, us: str) -> str:
+        """The moved instant, held at the ceiling."""
+        new = let(us, lambda t: f"{self.plan}.new_base + {self._scaled(f'({t} - {self.plan}.base)')}")
+        return let(new, lambda m: f"if({m} between {FIRST_MICRO}L and {LAST_MICRO}L, least({m}, {self.plan}.ceiling), null)")
 
-def _month(name: str) -> int:
-    if name not in _MONTH:
-        raise Unreadable
-    return _MONTH[name]
 
+def _wall(text: str) -> str:
+    """Microseconds of ``yyyy-MM-dd HH:mm:ss[.f]`` in UTC."""
+    read = f"unix_micros(try_cast(concat({text}, 'Z') as timestamp))"
+    return let(read, lambda t: f"if({t} between {FIRST_MICRO}L and {LAST_MICRO}L, {t}, null)")
 
-def _fraction(digits: str) -> int:
-    return int(digits[:6].ljust(6, "0")) if digits else 0
 
+def _show(us: str, pattern: str) -> str:
+    return f"date_format(timestamp_micros({us}), {quoted(pattern)})"
 
-def _cut(t: datetime, digits: str) -> str:
-    """``.fff`` with as many digits as before, at most six."""
-    return "." + f"{t.microsecond:06d}"[: len(digits)] if digits else ""
 
+def _month(name: str) -> str:
+    """``Jan`` .. ``Dec`` as two digits; NULL for any other word."""
+    return let(f"instr('{_MONTHS}', {name})", lambda at: f"if({at} > 0 and {at} % 3 = 1, lpad(cast(({at} + 2) div 3 as string), 2, '0'), null)")
 
-def _offset(zone: str) -> int:
-    if zone in ("", "Z"):
-        return 0
-    hours, minutes = int(zone[1:3]), int(zone[-2:])
-    if hours > 23 or minutes > 59:
-        raise Unreadable
-    return (hours * 60 + minutes) * 60 * _SECOND * (-1 if zone[0] == "-" else 1)
 
+def _fraction(us: str, digits: str) -> str:
+    """``.fff`` with as many digits as before, at most six; nothing where there was none."""
+    return f"if({digits} = '', '', concat('.', left({_show(us, 'SSSSSS')}, length({digits}))))"
 
-def _date(t: datetime, mark: str) -> str:
-    return f"{t.year:04d}{mark}{t.month:02d}{mark}{t.day:02d}"
 
+def _offset(zone: str) -> str:
+    """``+HHMM`` or ``+HH:MM`` as microseconds; empty and ``Z`` are UTC; NULL past 23:59."""
+    hours, minutes = f"cast(substring({zone}, 2, 2) as bigint)", f"cast(right({zone}, 2) as bigint)"
+    size = f"({hours} * 60 + {minutes}) * {60 * _SECOND}L * if({zone} like '-%', -1, 1)"
+    return f"case when {zone} in ('', 'Z') then 0L when {hours} <= 23 and {minutes} <= 59 then {size} end"
 
-def _clock(t: datetime) -> str:
-    return f"{t.hour:02d}:{t.minute:02d}:{t.second:02d}"
 
+def _inside(us: str) -> str:
+    return f"if({us} between {FIRST_MICRO}L and {LAST_MICRO}L, {us}, null)"
 
-def _iso8601(hit: str, move: Move) -> str:
-    rest = hit[19:]
-    cut = next((i for i, c in enumerate(rest) if c in "+-Z"), len(rest))
-    digits, zone = rest[1:cut], rest[cut:]
-    offset = _offset(zone)
-    midnight = hit[11:19] == "24:00:00" and not digits.strip("0")
-    wall = datetime(int(hit[:4]), int(hit[5:7]), int(hit[8:10]), 0 if midnight else int(hit[11:13]), int(hit[14:16]), int(hit[17:19]))
-    new = move(_micros(wall) + _fraction(digits) + (_DAY if midnight else 0) - offset) + offset
-    if not _FIRST <= new <= _LAST:
-        raise Unreadable
-    t = _moment(new)
-    shown = "." + f"{t.microsecond:06d}".ljust(len(digits), "0")[: len(digits)] if digits else ""
-    # a zero offset is printed with a plus
-    return _date(t, "-") + "T" + _clock(t) + shown + (zone.replace("-", "+") if not offset else zone)
 
+def _iso8601(x: str, move: Move) -> str:
+    """With an offset that Spark reads the text is cast as it is; only rare ones are taken apart."""
 
-def _fortigate(hit: str, move: Move) -> str:
-    t = move.wall(hit[5:9], hit[10:12], hit[13:15], hit[-8:-6], hit[-5:-3], hit[-2:])
-    return f"date={_date(t, '-')} time={_clock(t)}"
+    def with_parts(zone: str) -> str:
+        digits = f"substring({x}, 21, greatest(length({x}) - 20 - length({zone}), 0))"
+        midnight = f"(substring({x}, 12, 8) = '24:00:00' and not {digits} rlike '[1-9]')"
+        clock = f"concat(left({x}, 10), ' ', if({midnight}, '00:00:00', substring({x}, 12, 8)), '.', rpad(left({digits}, 6), 6, '0'))"
 
+        def moved(offset: str) -> str:
+            taken_apart = f"{_wall(clock)} + if({midnight}, {_DAY}L, 0L) - {offset}"
+            wall = f"coalesce(if({offset} = 0, unix_micros(try_cast(concat(left({x}, length({x}) - length({zone})), 'Z') as timestamp)), null), {taken_apart})"
+            return let(f"{move(wall)} + {offset}", lambda new: let(
+                f"date_format(timestamp_micros({_inside(new)}), {quoted(chr(39).join(['yyyy-MM-dd', 'T', 'HH:mm:ssSSSSSS']))})",
+                # a zero offset is printed with a plus
+                lambda d: (
+                    f"concat(left({d}, 19), if(length({x}) - length({zone}) < 21, '', "
+                    f"concat('.', rpad(substring({d}, 20, length({x}) - 20 - length({zone})), length({x}) - 20 - length({zone}), '0'))), "
+                    f"if({offset} = 0, translate({zone}, '-', '+'), {zone}))"
+                ),
+            ))
 
-def _audit(hit: str, move: Move) -> str:
-    new = move(int(hit[6:16]) * _SECOND + int(hit[17:20]) * 1000)
-    return f"audit({_seconds(new)}.{new % _SECOND // 1000:03d}{hit[20:]}"
+        return let(f"if({zone} = '', 0L, {_offset(zone)})", moved)
 
+    # the zone: what follows the last digit of the fraction
+    bare = f"(length({x}) = 19 or not (right({x}, 1) = 'Z' or instr(translate(right({x}, 6), '-', '+'), '+') > 0))"
+    return let(f"if({bare}, '', regexp_extract(substring({x}, 20), '(Z|[+-][0-9:]+)$', 1))", with_parts)
 
-def _syslog(hit: str, move: Move) -> str:
-    t = move.wall(move.year, _month(hit[:3]), hit[3:-8].strip(), hit[-8:-6], hit[-5:-3], hit[-2:])
-    return f"{_MONTHS[t.month - 1]} {t.day:2d} {_clock(t)}"
 
+def _fortigate(x: str, move: Move) -> str:
+    return let(move(_wall(f"concat(substring({x}, 6, 10), ' ', right({x}, 8))")), lambda u: _show(u, "'date='yyyy-MM-dd' time='HH:mm:ss"))
 
-def _us_date(hit: str, move: Move) -> str:
-    date, time, *half = hit.split()
-    hour, digits = int(time[:2]), time[9:]
-    if half == ["AM"] and hour == 12:
-        hour = 0
-    elif half == ["PM"] and hour < 12:
-        hour += 12
-    t = move.wall(date[6:], date[:2], date[3:5], hour, time[3:5], time[6:8], _fraction(digits))
-    shown = f"{t.month:02d}/{t.day:02d}/{t.year:04d} "
-    if not half:
-        return shown + _clock(t) + _cut(t, digits)
-    clock = f"{(t.hour + 11) % 12 + 1:02d}:{t.minute:02d}:{t.second:02d}"
-    return shown + clock + _cut(t, digits) + (" AM" if t.hour < 12 else " PM")
 
+def _audit(x: str, move: Move) -> str:
+    us = f"(cast(substring({x}, 7, 10) as bigint) * {_SECOND}L + cast(substring({x}, 18, 3) as bigint) * 1000L)"
+    return let(move(us), lambda u: f"concat('audit(', cast({u} div {_SECOND}L as string), '.', {_show(u, 'SSS')}, substring({x}, 21))")
 
-def _clf(hit: str, move: Move) -> str:
-    zone = hit[-6:-1]
-    offset = _offset(zone)
-    wall = datetime(int(hit[8:12]), _month(hit[4:7]), int(hit[1:3]), int(hit[13:15]), int(hit[16:18]), int(hit[19:21]))
-    new = move(_micros(wall) - offset) + offset
-    if not _FIRST <= new <= _LAST:
-        raise Unreadable
-    t = _moment(new)
-    return f"[{t.day:02d}/{_MONTHS[t.month - 1]}/{t.year:04d}:{_clock(t)} {zone}]"
 
+def _syslog(x: str, move: Move) -> str:
+    day = f"lpad(regexp_extract({x}, '([0-9]+).{{9}}$', 1), 2, '0')"
+    clock = f"concat({_show(f'{move.plan}.base', 'yyyy-')}, {_month(f'left({x}, 3)')}, '-', {day}, ' ', right({x}, 8))"
+    return let(move(_wall(clock)), lambda u: f"concat({_show(u, 'MMM ')}, lpad({_show(u, 'd')}, 2, ' '), {_show(u, ' HH:mm:ss')})")
 
-def _apache_error(hit: str, move: Move) -> str:
-    _, month, day, time, year = hit[1:-1].split()
-    digits = time[9:]
-    t = move.wall(year, _month(month), day, time[:2], time[3:5], time[6:8], _fraction(digits))
-    return f"[{_DAYS[t.weekday()]} {_MONTHS[t.month - 1]} {t.day:02d} {_clock(t)}{_cut(t, digits)} {t.year:04d}]"
 
+def _us_date(x: str, move: Move) -> str:
+    def with_parts(p: str) -> str:
+        date, time, half = f"{p}[0]", f"{p}[1]", f"get({p}, 2)"
+        hour = (
+            f"case when {half} = 'AM' and left({time}, 2) = '12' then '00' "
+            f"when {half} = 'PM' and left({time}, 2) < '12' then cast(cast(left({time}, 2) as int) + 12 as string) else left({time}, 2) end"
+        )
+        digits = f"substring({time}, 10)"
+        clock = (
+            f"concat(substring({date}, 7, 4), '-', left({date}, 2), '-', substring({date}, 4, 2), ' ', {hour}, "
+            f"substring({time}, 3, 6), '.', rpad(left({digits}, 6), 6, '0'))"
+        )
+        return let(move(_wall(clock)), lambda u: (
+            f"concat(if({half} is null, {_show(u, 'MM/dd/yyyy HH:mm:ss')}, {_show(u, 'MM/dd/yyyy hh:mm:ss')}), {_fraction(u, digits)}, "
+            f"if({half} is null, '', {_show(u, ' a')}))"
+        ))
 
-def _ctime(hit: str, move: Move) -> str:
-    words = hit.split()
-    zone = " " + words[5] if len(words) > 5 else ""
-    if words[1][0].isdigit():
-        day, month, year, time = words[1:5]
-        t = move.wall(year, _month(month), day, time[:2], time[3:5], time[6:8])
-        comma = ", " if ", " in hit[:5] else " "
-        return f"{_DAYS[t.weekday()]}{comma}{t.day} {_MONTHS[t.month - 1]} {t.year:04d} {_clock(t)}{zone}"
-    month, day, time, year = words[1:5]
-    t = move.wall(year, _month(month), day, time[:2], time[3:5], time[6:8])
-    return f"{_DAYS[t.weekday()]} {_MONTHS[t.month - 1]} {t.day:2d} {_clock(t)} {t.year:04d}{zone}"
+    return let(rf"split({x}, '\\s+')", with_parts)
 
 
-def _dated(mark: str) -> Callable[[str, Move], str]:
-    step = len(mark)
+def _clf(x: str, move: Move) -> str:
+    def with_offset(offset: str) -> str:
+        clock = f"concat(substring({x}, 9, 4), '-', {_month(f'substring({x}, 5, 3)')}, '-', substring({x}, 2, 2), ' ', substring({x}, 14, 8))"
+        new = let(f"{move(f'{_wall(clock)} - {offset}')} + {offset}", _inside)
+        return let(new, lambda u: f"concat({_show(u, chr(39) + '[' + chr(39) + 'dd/MMM/yyyy:HH:mm:ss ')}, right({x}, 6))")
 
-    def put(hit: str, move: Move) -> str:
-        t = move.wall(hit[:4], hit[4 + step : 6 + step], hit[6 + 2 * step : 8 + 2 * step], hit[-8:-6], hit[-5:-3], hit[-2:])
-        return f"{_date(t, mark)} {_clock(t)}"
+    return let(_offset(f"substring({x}, length({x}) - 5, 5)"), with_offset)
 
-    return put
 
+def _apache_error(x: str, move: Move) -> str:
+    def with_parts(p: str) -> str:
+        digits = f"substring({p}[3], 10)"
+        clock = (
+            f"concat(left({p}[4], 4), '-', {_month(f'{p}[1]')}, '-', lpad({p}[2], 2, '0'), ' ', left({p}[3], 8), '.', "
+            f"rpad(left({digits}, 6), 6, '0'))"
+        )
+        return let(move(_wall(clock)), lambda u: f"concat('[', {_show(u, 'EEE MMM dd HH:mm:ss')}, {_fraction(u, digits)}, {_show(u, ' yyyy')}, ']')")
 
-def _epoch_ms(hit: str, move: Move) -> str:
-    return hit[:-13] + str(_millis(move(int(hit[-13:]) * 1000)))
+    return let(rf"split({x}, '\\s+')", with_parts)
 
 
-def _dotnet(hit: str, move: Move) -> str:
-    return f"/Date({_millis(move(int(hit[6:19]) * 1000))})/"
+def _ctime(x: str, move: Move) -> str:
+    def with_parts(p: str) -> str:
+        mail = f"({p}[1] <= '99')"
+        year, month, day, time = (f"if({mail}, {p}[{a}], {p}[{b}])" for a, b in ((3, 4), (2, 1), (1, 2), (4, 3)))
+        clock = f"concat({year}, '-', {_month(month)}, '-', lpad({day}, 2, '0'), ' ', {time})"
+        comma = f"if(instr(left({x}, 5), ', ') > 0, ', ', ' ')"
+        return let(move(_wall(clock)), lambda u: (
+            f"concat(if({mail}, concat({_show(u, 'EEE')}, {comma}, {_show(u, 'd MMM yyyy HH:mm:ss')}), "
+            f"concat({_show(u, 'EEE MMM ')}, lpad({_show(u, 'd')}, 2, ' '), {_show(u, ' HH:mm:ss yyyy')})), "
+            f"coalesce(concat(' ', get({p}, 5)), ''))"
+        ))
 
+    return let(rf"split({x}, '\\s+')", with_parts)
 
-def _epoch(hit: str, move: Move) -> str:
-    return hit[:-10] + str(_seconds(move(int(hit[-10:]) * _SECOND)))
 
+def _dated(date: Callable[[str], str], pattern: str) -> Callable[[str, Move], str]:
+    def put(x: str, move: Move) -> str:
+        return let(move(_wall(f"concat({date(x)}, ' ', right({x}, 8))")), lambda u: _show(u, pattern))
 
-def _seconds(us: int) -> int:
-    """Whole seconds, truncated towards zero."""
-    return us // _SECOND if us >= 0 else -(-us // _SECOND)
+    return put
 
 
-def _millis(us: int) -> int:
+def _millis(us: str) -> str:
     """Whole milliseconds as printed from a double of seconds."""
-    return int(us / 1e6 * 1000.0)
+    return f"cast(cast(cast({us} as double) / 1e6D * 1000.0D as bigint) as string)"
 
 
-_PUT: dict[str, Callable[[str, Move], str]] = {
-    "iso8601": _iso8601, "fortigate": _fortigate, "audit": _audit, "syslog": _syslog, "us_date": _us_date,
-    "clf": _clf, "apache_error": _apache_error, "ctime": _ctime, "panos": _dated("/"), "datetime": _dated("-"),
-    "compact": _dated(""), "epoch_ms": _epoch_ms, "dotnet": _dotnet, "epoch": _epoch,
-}
-# lines end at line feeds alone; digits and blanks are the ASCII ones
-_FIND = {f: re.compile(r.replace("(?md)", "(?m)"), re.ASCII).finditer for f, r in FAMILY_REGEX.items()}
+def _epoch_ms(x: str, move: Move) -> str:
+    return let(move(f"cast(right({x}, 13) as bigint) * 1000L"), lambda u: f"concat(left({x}, length({x}) - 13), {_millis(u)})")
 
 
-def moved_line(text: str, families: Sequence[str], move: Move) -> str:
-    """The text with every instant moved, families by priority.
+def _dotnet(x: str, move: Move) -> str:
+    return let(move(f"cast(substring({x}, 7, 13) as bigint) * 1000L"), lambda u: f"concat('/Date(', {_millis(u)}, ')/')")
 
-    A match that overlaps a claimed one is skipped; one that cannot be read claims nothing.
-    """
-    claimed: list[tuple[int, int, str]] = []
-    for family in families:
-        if not all([marker in text for marker in FAMILY_MARKERS[family]]):
-            continue
-        one_of = FAMILY_ANY.get(family)
-        if one_of and not any([marker in text for marker in one_of]):
-            continue
-        put, mine = _PUT[family], []
-        for m in _FIND[family](text):
-            if claimed and _overlaps(claimed, *m.span()):
-                continue
-            try:
-                mine.append((*m.span(), put(m[0], move)))
-            except (ValueError, OverflowError):
-                continue
-        if mine:
-            claimed = sorted(claimed + mine)
-    if not claimed:
-        return text
-    out, at = [], 0
-    for start, stop, new in claimed:
-        out += (text[at:start], new)
-        at = stop
-    out.append(text[at:])
-    return "".join(out)
-
-
-def _overlaps(claimed: list[tuple[int, int, str]], start: int, stop: int) -> bool:
-    """Whether a span meets one of the claimed spans, which are sorted and apart from each other."""
-    at = bisect_left(claimed, (stop,))
-    return at > 0 and claimed[at - 1][1] > start
+
+def _epoch(x: str, move: Move) -> str:
+    new = move(f"cast(right({x}, 10) as bigint) * {_SECOND}L")
+    return let(new, lambda u: f"concat(left({x}, length({x}) - 10), cast({u} div {_SECOND}L as string))")
+
+
+# family -> the text that a match becomes
+PUT: dict[str, Callable[[str, Move], str]] = {
+    "iso8601": _iso8601, "fortigate": _fortigate, "audit": _audit, "syslog": _syslog, "us_date": _us_date,
+    "clf": _clf, "apache_error": _apache_error, "ctime": _ctime,
+    "panos": _dated(lambda x: f"translate(left({x}, 10), '/', '-')", "yyyy/MM/dd HH:mm:ss"),
+    "datetime": _dated(lambda x: f"left({x}, 10)", "yyyy-MM-dd HH:mm:ss"),
+    "compact": _dated(lambda x: f"concat(left({x}, 4), '-', substring({x}, 5, 2), '-', substring({x}, 7, 2))", "yyyyMMdd HH:mm:ss"),
+    "epoch_ms": _epoch_ms, "dotnet": _dotnet, "epoch": _epoch,
+}
