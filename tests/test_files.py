@@ -2,6 +2,7 @@
 
 import bz2
 import gzip
+import hashlib
 import io
 import json
 import random
@@ -18,8 +19,9 @@ from tidemark.operators.dependencies import dependency_closure
 from tidemark.operators.lookups import merged_settings
 from tidemark.plans.shift_plan import ShiftPlan
 from tidemark.replay import Replay
+from tidemark.sinks import files
 from tidemark.sinks.files import print_lines, write_lines
-from tidemark.sources import listing, readers
+from tidemark.sources import blocks, listing, readers
 from tidemark.streaming.replay_stream import shift_lines, stream_lines
 
 RUN = datetime(2025, 6, 1, 12)
@@ -117,15 +119,28 @@ def test_windows_events_outside_the_layout(spark, tmp_path):
     assert by_mode[0] == by_mode[1] and any("Odd" in d for d in by_mode[0]) and any('"V": "9"' in d for d in by_mode[0])
 
 
-def test_large_files_are_refused_one_by_one(spark, tmp_path):
-    for name, text in (("small", "abc"), ("large", "abcdef"), ("free", "abcdef")):
+def test_large_files_are_hashed_as_streams(spark, tmp_path):
+    for name, text in (("small", "abc"), ("large", "abcdef"), ("wrong", "abcdeg"), ("free", "abcdef"), ("odd", "abcdef")):
         (tmp_path / name).write_text(text)
     files = listing.list_files(spark, str(tmp_path))
-    declared = F.when(F.col("file_name") == "free", None).otherwise(F.concat(F.lit("md5:"), F.md5(F.lit("abc"))))
+    name = F.col("file_name")
+    declared = (
+        F.when(name == "small", F.concat(F.lit("md5:"), F.md5(F.lit("abc")))).when(name == "odd", "crc:1")
+        .when(name != "free", F.concat(F.lit("sha512:"), F.upper(F.sha2(F.lit("abcdef"), 512))))
+    )
     manifest = files.select("path", "file_name", declared.alias("checksum"))
     rows = listing.verify_checksums(spark, manifest, [str(tmp_path)], max_bytes=4).join(manifest.select("path", "file_name"), "path")
     assert {r.file_name: (r.ok, r.error) for r in rows.collect()} == {
-        "small": (True, None), "large": (False, "larger than 4 bytes"), "free": (True, None)}
+        "small": (True, None), "large": (True, None), "wrong": (False, None), "free": (True, None), "odd": (False, None)}
+
+
+def test_a_file_is_digested_in_blocks(tmp_path):
+    data = bytes(range(256)) * 999
+    (tmp_path / "a b.bin").write_bytes(data)
+    for uri in (str(tmp_path / "a b.bin"), f"file:{tmp_path}/a b.bin", f"file://{tmp_path}/a b.bin"):
+        assert blocks.digest_file(uri, "sha256", block=1000) == hashlib.sha256(data).hexdigest()
+    with pytest.raises(ValueError, match="nowhere"):
+        blocks.digest_file("nowhere://x/y", "md5")
 
 
 def test_json_documents(spark, tmp_path):
@@ -163,6 +178,53 @@ def test_sink_keeps_literal_text(spark, tmp_path):
     assert spark.read.option("recursiveFileLookup", True).text(str(tmp_path)).count() == 20
 
 
+def _lines_by_path(spark, tmp_path, mode="append"):
+    rows = spark.range(40).withColumn("st", F.concat(F.lit("a:"), F.pmod("id", F.lit(4))))
+    write_lines(rows, F.col("id").cast("string"), str(tmp_path / "out"), "x+y/app {sourcetype}.jsonl", RUN, F.lit("x"), F.col("st"),
+                mode=mode, files_per_path=1)
+
+
+def _files(tmp_path):
+    return {str(p.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file() and not p.name.startswith(".")}
+
+
+def test_overwritten_paths_make_way(spark, tmp_path):
+    _lines_by_path(spark, tmp_path)
+    _lines_by_path(spark, tmp_path)
+    (tmp_path / "out" / "x+y" / "other.jsonl").write_text("stays")
+    assert len(_files(tmp_path)) == 9
+    _lines_by_path(spark, tmp_path, "overwrite")
+    assert set(_files(tmp_path)) == {f"x+y/app a-{i}.jsonl" for i in range(4)} | {"x+y/other.jsonl"}
+
+
+def test_failed_moves_leave_nothing(spark, tmp_path, monkeypatch):
+    _lines_by_path(spark, tmp_path)
+    before = _files(tmp_path)
+    whole = blocks.move_file
+
+    def breaks(source, target):
+        if "a-2" in target:
+            raise OSError("lost")
+        whole(source, target)
+
+    monkeypatch.setattr(files, "move_file", breaks)
+    with pytest.raises(Exception, match="lost"):
+        _lines_by_path(spark, tmp_path)
+    assert _files(tmp_path) == before and not list((tmp_path / "out").glob("_staging*"))
+    monkeypatch.undo()
+    _lines_by_path(spark, tmp_path)
+    assert len(_files(tmp_path)) == 8
+
+
+def test_a_move_done_again_changes_nothing(tmp_path):
+    (tmp_path / "a").write_text("x")
+    for _ in range(2):
+        blocks.move_file(str(tmp_path / "a"), f"file:{tmp_path}/deep/er/b")
+    assert (tmp_path / "deep/er/b").read_text() == "x" and not (tmp_path / "a").exists()
+    with pytest.raises(OSError):
+        blocks.move_file(str(tmp_path / "none"), str(tmp_path / "c"))
+
+
 def test_paths(spark):
     def path(template, st, compression=None):
         out = output_path(template, F.lit("/d/f.log.gz"), F.lit(st).cast("string"), RUN, compression)

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import sys
 import uuid
+from collections.abc import Callable
 from datetime import datetime
 from typing import TextIO
-from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.paths import output_path, template_columns, template_parts
 from tidemark.operators.writeback import as_json, as_line
+from tidemark.session import cut_lineage
+from tidemark.sources.blocks import drop_file, move_file
 from tidemark.sources.listing import hadoop_uri
 
 COMPRESSION = {"gzip": "gzip", "bzip2": "bzip2", "none": "none", None: "none"}
@@ -67,41 +69,76 @@ def write_lines(
 def _write_exact(
     lines: DataFrame, path: str, compression: str | None, mode: str, files_per_path: int | None
 ) -> None:
-    """Write by tasks into a hidden folder beside the result, then move each file to its name.
+    """Write by tasks into a hidden folder beside the result, then have tasks move each file to its name.
 
-    Only the moves are made by the driver, one per file; on an object store a move is a copy.
+    A table in the hidden folder says which file goes where, so a move that is done again changes nothing. If
+    the moves fail for good, what they put in place is taken away again. The hidden folder goes in any case.
     """
-    spark, root = lines.sparkSession, hadoop_uri(path)
+    spark, root = lines.sparkSession, hadoop_uri(path).rstrip("/")
     staging = f"{root}/_staging-{uuid.uuid4().hex}"
     if files_per_path:
         lines = lines.repartition("_path", F.pmod(F.xxhash64("value"), F.lit(files_per_path)))
-    lines.write.partitionBy("_path").option("compression", COMPRESSION[compression]).text(staging)
     Path = spark._jvm.org.apache.hadoop.fs.Path
     system = Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for folder in system.listStatus(Path(staging)):
-        name = folder.getPath().getName()
-        if not name.startswith("_path="):
-            continue
-        target = unquote(name.removeprefix("_path="))
-        if mode == "overwrite":
-            system.delete(Path(f"{root}/{target}"), True)
-        parts = [f.getPath() for f in system.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
-        for part in sorted(parts, key=str):
-            place, number = Path(f"{root}/{target}"), 0
-            while system.exists(place):
-                number += 1
-                place = Path(f"{root}/{_numbered(target, number)}")
-            system.mkdirs(place.getParent())
-            if not system.rename(part, place):
-                raise OSError(f"could not move {part} to {place}")
-    system.delete(Path(staging), True)
-
-
-def _numbered(target: str, number: int) -> str:
-    """The number goes before the first dot of the file's name."""
-    folder, _, name = target.rpartition("/")
-    stem, dot, rest = name.partition(".")
-    return (folder + "/" if folder else "") + f"{stem}-{number:05d}{dot}{rest}"
+    before = _existing(spark, root) if system.exists(Path(root)) else None
+    try:
+        lines.write.partitionBy("_path").option("compression", COMPRESSION[compression]).text(f"{staging}/files")
+        moves = _planned_moves(spark, root, f"{staging}/files", before, mode)
+        moves.write.parquet(f"{staging}/moves")
+        moves = spark.read.schema(moves.schema).parquet(f"{staging}/moves")
+        try:
+            _each(moves.filter("source IS NULL"), lambda source, target: drop_file(target))
+            _each(moves.filter("source IS NOT NULL"), move_file)
+        except Exception:
+            _each(moves.filter("source IS NOT NULL"), lambda source, target: drop_file(target))
+            raise
+    finally:
+        system.delete(Path(staging), True)
+
+
+def _existing(spark: SparkSession, root: str) -> DataFrame:
+    """``target, number, path`` of the files below ``root``: the path of a template, and the number added to it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    inner = F.substring_index("path", _tail(root) + "/", -1)
+    numbered = r"^((?:.*/)?[^/.]*)-(\d{5})(\.[^/]*)?$"
+    plain = F.when(inner.rlike(numbered), F.regexp_replace(inner, numbered, "$1$3")).otherwise(inner)
+    number = F.when(inner.rlike(numbered), F.regexp_extract(inner, numbered, 2).cast("int")).otherwise(F.lit(0))
+    return cut_lineage(files.select(plain.alias("target"), number.alias("number"), "path"))
+
+
+def _tail(path: str) -> str:
+    return path.rpartition("/")[2]
+
+
+def _planned_moves(spark: SparkSession, root: str, staged: str, before: DataFrame | None, mode: str) -> DataFrame:
+    """``source, target``: where each written file goes; without a source, a file that makes way."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(staged).select("path")
+    target = F.url_decode(F.regexp_replace(F.regexp_extract("path", r"/_path=([^/]*)/[^/]*$", 1), r"\+", "%2B"))
+    files = files.select("path", target.alias("target"))
+    order = Window.partitionBy("target").orderBy("path")
+    files = files.withColumn("number", F.row_number().over(order) - 1)
+    old = spark.createDataFrame([], "target string, number int, path string") if before is None else before
+    if mode == "overwrite":
+        gone = old.join(files.select("target").distinct(), "target", "left_semi").select(F.lit(None).cast("string").alias("source"), F.col("path").alias("target"))
+        taken = None
+    else:
+        gone, taken = None, old.groupBy("target").agg((F.max("number") + 1).alias("first"))
+        files = files.join(taken, "target", "left").withColumn("number", F.col("number") + F.coalesce("first", F.lit(0)))
+    folder, name = F.regexp_extract("target", "^(.*/)?([^/]*)$", 1), F.regexp_extract("target", "^(.*/)?([^/]*)$", 2)
+    stem, rest = F.regexp_extract(name, r"^([^.]*)(.*)$", 1), F.regexp_extract(name, r"^([^.]*)(.*)$", 2)
+    number = F.when(F.col("number") == 0, "").otherwise(F.format_string("-%05d", "number"))
+    placed = files.select(F.col("path").alias("source"), F.concat(F.lit(f"{root}/"), folder, stem, number, rest).alias("target"))
+    return placed if gone is None else placed.unionByName(gone)
+
+
+def _each(moves: DataFrame, act: Callable[[str | None, str], None]) -> None:
+    """Run ``act`` on every ``source, target``, in tasks."""
+
+    def run(rows) -> None:
+        for row in rows:
+            act(row.source, row.target)
+
+    moves.repartition("target").foreachPartition(run)
 
 
 def print_lines(df: DataFrame, line: Column, limit: int | None = None, out: TextIO | None = None) -> int:

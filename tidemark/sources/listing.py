@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.blocks import digest_file
+
 
 # Address scheme -> (kind, scheme of the Hadoop file system).
 OBJECT_STORES = {
@@ -104,32 +107,53 @@ def checksum_matches(content: Column, declared: Column) -> Column:
     )
 
 
+# The algorithms a manifest may declare.
+ALGORITHMS = ("sha256", "sha512", "md5")
 # the largest binary value Spark holds
-MAX_HASHED_BYTES = 2**31 - 64
+MAX_HELD_BYTES = 2**31 - 64
+
+
+def _streamed(declared: DataFrame) -> DataFrame:
+    """``path, checksum, ok, error``: each file read in blocks by the task that has its row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, checksum in zip(batch.column("path").to_pylist(), batch.column("checksum").to_pylist()):
+                algorithm, _, value = checksum.partition(":")
+                ok, error = False, None
+                if algorithm in ALGORITHMS:
+                    try:
+                        ok = digest_file(path, algorithm) == value.lower()
+                    except (OSError, ValueError) as failure:
+                        error = str(failure)
+                rows.append((path, checksum, ok, error))
+            columns = list(zip(*rows)) or [[]] * 4
+            kinds = (pa.string(), pa.string(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "checksum", "ok", "error"])
+
+    return declared.mapInArrow(run, "path string, checksum string, ok boolean, error string")
 
 
 def verify_checksums(
-    spark: SparkSession, manifest: DataFrame, paths: list[str], max_bytes: int = MAX_HASHED_BYTES
+    spark: SparkSession, manifest: DataFrame, paths: list[str], max_bytes: int = MAX_HELD_BYTES
 ) -> DataFrame:
     """``path, checksum, ok, error`` for every manifest row (``path``, ``checksum``) found on disk.
 
-    Each file is hashed by one task. A file too large for one value is not read: it gets ``ok`` false and
-    an error, unless nothing is declared for it.
+    Each file is hashed by one task: up to ``max_bytes`` as one value, above that as a stream of blocks, so
+    a file of any size is compared. Where nothing is declared a file is not read and passes. ``error`` tells
+    why a file could not be read as a stream, such as a scheme that only Spark can open.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
     declared = manifest.select("path", "checksum")
+    none = F.lit(None).cast("string").alias("error")
     small = files.filter(F.col("length") <= max_bytes).join(declared, "path")
-    hashed = small.select(
-        "path", "checksum", checksum_matches(F.col("content"), F.col("checksum")).alias("ok"),
-        F.lit(None).cast("string").alias("error"),
-    )
+    hashed = small.select("path", "checksum", checksum_matches(F.col("content"), F.col("checksum")).alias("ok"), none)
     large = files.filter(F.col("length") > max_bytes).select("path").join(declared, "path")
-    passed = F.col("checksum").isNull()
-    refused = large.select(
-        "path", "checksum", passed.alias("ok"),
-        F.when(~passed, F.lit(f"larger than {max_bytes} bytes")).alias("error"),
-    )
-    return hashed.unionByName(refused)
+    passed = large.filter("checksum IS NULL").select("path", "checksum", F.lit(True).alias("ok"), none)
+    # a row per file: dealt out so that the long reads run side by side
+    stream = _streamed(large.filter("checksum IS NOT NULL").repartition("path"))
+    return hashed.unionByName(passed).unionByName(stream)
 
 
 def missing_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
