@@ -14,6 +14,7 @@ from tidemark.operators.bounds import NoTimestampsError, require_range
 from tidemark.operators.writeback import put_matched, replace_first, shift_records
 from tidemark.plans.pattern_sets import GENERIC, REGISTRY, Pattern, ocsf, patterns_for, registered
 from tidemark.plans.shift_plan import ShiftPlan
+from tidemark.replay import Replay
 from tidemark.sinks.delivery import deliver, wait_seconds
 from datetime import datetime
 
@@ -222,6 +223,91 @@ def test_delivery(spark):
     assert (wait_seconds(3, None), wait_seconds(9, None), wait_seconds(1, 500.0)) == (8.0, 60.0, 120.0)
 
 
+def _collector(folder, fails_at=None):
+    """A collector that keeps each body it accepts as a file, and breaks down once at a body."""
+
+    def transport(url, body, headers):
+        import gzip as gz
+        import os
+        import uuid
+
+        text = gz.decompress(body).decode()
+        broken = os.path.join(folder, "broken")
+        if fails_at is not None and fails_at in text.split("\n") and not os.path.exists(broken):
+            open(broken, "w").close()
+            return 400, None
+        with open(os.path.join(folder, f"{headers.get('X-Request-ID', 'none')}.{uuid.uuid4().hex}"), "w") as out:
+            out.write(text)
+        return 200, None
+
+    return transport
+
+
+def _accepted(folder):
+    return sorted(p.read_text() for p in folder.iterdir() if p.name != "broken")
+
+
+def test_a_broken_delivery_goes_on_where_it_stopped(spark, tmp_path):
+    """A task fails after half its batches; the next call sends each of the others, once."""
+    got = tmp_path / "got"
+    got.mkdir()
+    bodies = spark.createDataFrame([(f"body {i % 18}", 1) for i in range(20)], "body string, events long").coalesce(1)
+    ledger = str(tmp_path / "ledger")
+    with pytest.raises(Exception, match="refused"):
+        deliver(bodies, "http://c", "t", transport=_collector(str(got), "body 9"), ledger=ledger)
+    assert 0 < len(_accepted(got)) < 20
+    before = len(_accepted(got))
+    done = deliver(bodies, "http://c", "t", transport=_collector(str(got)), ledger=ledger, parallelism=3)
+    assert (done.requests_sent, done.bodies_skipped) == (20 - before, before)
+    assert _accepted(got) == sorted(f"body {i % 18}" for i in range(20))
+    again = deliver(bodies, "http://c", "t", transport=_collector(str(got)), ledger=ledger)
+    assert (again.requests_sent, again.bodies_skipped) == (0, 20) and len(_accepted(got)) == 20
+
+
+def test_bodies_of_a_file_keep_their_order(spark, tmp_path):
+    rows = spark.createDataFrame([(f"f{i % 3}", i, f"line {i}") for i in range(300)], "file string, at int, line string").repartition(7)
+    bodies = K.pack_by_file(rows, "line", "file", "at", max_events=10, max_bytes=10_000)
+    packed = sorted((b.file, b.place, b.body) for b in bodies.collect())
+    assert [b for _, _, body in packed for b in body.split("\n")] == [f"line {i}" for f in range(3) for i in range(f, 300, 3)]
+    order = str(tmp_path / "order")
+
+    def transport(url, body, headers):
+        import gzip as gz
+
+        with open(order, "a") as out:
+            out.write(gz.decompress(body).decode() + "\n")
+        return 200, None
+
+    deliver(bodies, "http://c", "t", transport=transport, parallelism=1, ledger=str(tmp_path / "ledger"))
+    lines = [int(x.split()[1]) for x in open(order).read().split("\n") if x]
+    assert sorted(lines) == list(range(300))
+    assert all([x for x in lines if x % 3 == f] == list(range(f, 300, 3)) for f in range(3))
+
+
+def test_collector_as_destination_of_a_replay(spark, tmp_path):
+    got = tmp_path / "got"
+    got.mkdir()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text('{"_time": "2024-01-15T10:00:00Z", "host": "h", "_raw": "2024-01-15 10:00:00 in"}\n{"_time": "2024-01-15T10:05:00Z"}\n')
+
+    def job():
+        replay = Replay(spark, datetime(2025, 6, 1, 12)).input_source(str(tmp_path / "in"), "jsonl")
+        return replay.set_timestamp_options(target_time="2025-01-01T00:00:00Z")
+
+    options = K.EnvelopeOptions(index="i")
+    stats = job().output_collector("http://c", "t", options, transport=_collector(str(got)), ledger=str(tmp_path / "l1")).run().first()
+    assert stats.events == 2
+    events = [json.loads(line) for text in _accepted(got) for line in text.split("\n")]
+    assert sorted(events, key=lambda e: e["time"]) == [
+        {"event": "2025-01-01 00:00:00 in", "time": 1735689600, "host": "h", "index": "i"},
+        {"event": {"_time": "2025-01-01T00:05:00+00:00"}, "time": 1735689900, "index": "i"},
+    ]
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    job().output_collector("http://c", "t", options, raw=True, transport=_collector(str(raw))).run()
+    assert "2025-01-01 00:00:00 in" in "\n".join(_accepted(raw)).split("\n")
+
+
 @pytest.mark.parametrize("status,attempts", [(503, 3), (0, 3), (400, 1)])
 def test_refused(spark, status, attempts):
     tries = spark.sparkContext.accumulator(0)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,6 +129,42 @@ def pack(
     )
 
 
+def pack_by_file(
+    df: DataFrame, line: str, file: str, order: str, max_events: int = MAX_EVENTS, max_bytes: int = MAX_BODY_BYTES
+) -> DataFrame:
+    """Group lines into request bodies of one file each: ``file, place, body, events, bytes``.
+
+    Lines of a file are packed by ``order``, ``place`` counts its bodies. A file is one task's work, as the
+    order of its bodies asks for; memory per task is one body.
+    """
+
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        size, place, current = 0, 0, None
+
+        def body() -> pa.RecordBatch:
+            row = {"file": current, "place": place, "body": "\n".join(held), "events": len(held), "bytes": size}
+            return pa.RecordBatch.from_pylist([row], schema=schema)
+
+        for batch in batches:
+            for name, text in zip(batch.column("file").to_pylist(), batch.column("line").to_pylist()):
+                cost = len(text.encode()) + 1
+                if held and (name != current or len(held) >= max_events or size + cost > max_bytes):
+                    yield body()
+                    held, size, place = [], 0, place + 1
+                if name != current:
+                    current, place = name, 0
+                held.append(text)
+                size += cost
+        if held:
+            yield body()
+
+    schema = pa.schema([("file", pa.string()), ("place", pa.int64()), ("body", pa.string()), ("events", pa.int64()), ("bytes", pa.int64())])
+    rows = df.select(F.col(file).cast("string").alias("file"), F.col(order).alias("order"), F.col(line).alias("line"))
+    rows = rows.filter(F.col("line").isNotNull()).repartition("file").sortWithinPartitions("file", "order")
+    return rows.mapInArrow(greedy, "file string, place long, body string, events long, bytes long")
+
+
 def dry_run(df: DataFrame, envelope_column: str = "envelope", shown: int = 5) -> tuple[DataFrame, DataFrame]:
     """A few envelopes to look at, and the count of all of them."""
     sample = df.select(envelope_column).limit(shown)

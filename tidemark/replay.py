@@ -14,6 +14,9 @@ from tidemark.functions.paths import template_parts
 from tidemark.functions.timeexpr import micros
 from tidemark.operators import stats
 from tidemark.operators.bounds import require_range
+from tidemark.operators.collector import (
+    MAX_BODY_BYTES, MAX_EVENTS, EnvelopeOptions, endpoint, envelopes, pack, parsed_event, raw_line, request_params,
+)
 from tidemark.operators.extract import (
     Found, instants, instants_by_sourcetype, json_fields, map_reader,
 )
@@ -21,7 +24,8 @@ from tidemark.operators.lookups import file_sourcetypes
 from tidemark.operators.writeback import shift_found
 from tidemark.plans.pattern_sets import SCHEMAS, Pattern, patterns_for
 from tidemark.plans.shift_plan import ShiftPlan, TimeSettings, plan_shift
-from tidemark.session import require_utc
+from tidemark.session import cut_lineage, require_utc
+from tidemark.sinks.delivery import deliver
 from tidemark.sinks.files import print_lines, run_dry, serialised, write_lines
 from tidemark.sources.readers import FORMATS, read_dataset, read_records
 
@@ -36,6 +40,16 @@ class _Output:
     template: str = "{filename}"
     compression: str | None = None
     files_per_path: int | None = None
+    collector: "_Collector | None" = None
+
+
+@dataclass(frozen=True)
+class _Collector:
+    url: str
+    token: str
+    options: EnvelopeOptions
+    raw: bool
+    delivery: dict
 
 
 class Replay:
@@ -91,6 +105,19 @@ class Replay:
         self._outputs.append(_Output(path, fmt, template, compression, files_per_path))
         return self
 
+    def output_collector(
+        self, url: str, token: str, options: EnvelopeOptions | None = None, raw: bool = False,
+        max_events: int = MAX_EVENTS, max_bytes: int = MAX_BODY_BYTES, **delivery,
+    ) -> "Replay":
+        """Send the records to an HTTP event collector, as envelopes or as ``raw`` lines.
+
+        ``delivery`` takes the options of :func:`tidemark.sinks.delivery.deliver`, such as ``parallelism``
+        and ``ledger``. In raw mode the fixed fields of ``options`` go along with every request.
+        """
+        delivery |= {"max_events": max_events, "max_bytes": max_bytes}
+        self._outputs.append(_Output(collector=_Collector(url, token, options or EnvelopeOptions(), raw, delivery)))
+        return self
+
     def set_timestamp_options(self, **options) -> "Replay":
         """Options of :class:`TimeSettings`, and ``keep_encoding`` for numeric fields."""
         self._keep_encoding = options.pop("keep_encoding", self._keep_encoding)
@@ -203,6 +230,8 @@ class Replay:
         line = serialised(F.col("data"), out.fmt, raw)
         if dry_run:
             run_dry(rows.select(line.alias("value")))
+        elif out.collector is not None:
+            self._send(rows.select(line.alias("line"), "sourcetype"), out.collector)
         elif out.path is None:
             print_lines(rows, line)
         else:
@@ -212,6 +241,18 @@ class Replay:
             )
 
 
+    def _send(self, lines: DataFrame, to: _Collector) -> None:
+        delivery = dict(to.delivery)
+        limits = {name: delivery.pop(name) for name in ("max_events", "max_bytes")}
+        if to.raw:
+            sent = lines.select(raw_line(F.col("line"), parsed_event(F.col("line")), to.options.raw_field).alias("line"))
+            delivery["params"] = request_params(to.options) | (delivery.get("params") or {})
+        else:
+            sent = envelopes(lines, "line", to.options, "sourcetype").select(F.col("envelope").alias("line"))
+        # written first: sending is no query, so the numbers of the run would not be observed by it
+        deliver(cut_lineage(pack(sent, "line", **limits)), endpoint(to.url, to.raw), to.token, **delivery)
+
+
 PROFILE_RESULT = "dataset string, events long, events_modified long, error string"
 
 

@@ -74,10 +74,6 @@ def drop_file(uri: str) -> None:
         system.delete_file(path)
 
 
-def can_open(uri: str) -> bool:
-    """Whether tasks can open files of this address without Spark."""
-    try:
-        file_system(uri)
-    except ValueError:
-        return False
-    return True
+def make_folder(uri: str) -> None:
+    system, path = file_system(uri)
+    system.create_dir(path, recursive=True)
