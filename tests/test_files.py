@@ -17,11 +17,13 @@ from tidemark.functions.timeexpr import micros
 from tidemark.operators.bounds import NoTimestampsError
 from tidemark.operators.dependencies import dependency_closure
 from tidemark.operators.lookups import merged_settings
+from tidemark.plans.pattern_sets import Pattern
 from tidemark.plans.shift_plan import ShiftPlan
 from tidemark.replay import Replay
 from tidemark.sinks import files
 from tidemark.sinks.files import print_lines, write_lines
 from tidemark.sources import blocks, listing, readers
+from tidemark.streaming import replay_stream
 from tidemark.streaming.replay_stream import shift_lines, stream_lines
 
 RUN = datetime(2025, 6, 1, 12)
@@ -331,3 +333,27 @@ def test_closure_and_merge(spark):
         [("r", "a.b", "1", 1), ("r", "a", "2", 2), ("r", "x", "3", 1), ("r", "x.y", "4", 2), ("r", "x.y", "5", 3), ("r", "k", "6", 0)],
         "root string, path string, value string, priority int")
     assert {(r.path, r.value) for r in merged_settings(entries, ["root"]).collect()} == {("a", "2"), ("x.y", "5"), ("k", "6")}
+
+
+def test_numbers_of_each_batch(spark, tmp_path):
+    """Observed per batch they add up to those of the whole, the instants at the ceiling among them."""
+    (tmp_path / "in").mkdir()
+    for at in range(3):
+        rows = [{"timestamp": f"2024-01-0{at + 1}T0{i}:00:00Z"} for i in range(4)]
+        (tmp_path / "in" / f"{at}.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n")
+    plan = ShiftPlan(micros(datetime(2024, 1, 1)), micros(RUN), 1.0, micros(datetime(2025, 6, 3, 13)))
+    moved = replay_stream.shift_json_lines(stream_lines(spark, str(tmp_path / "in"), files_per_batch=1), plan.affine(), [Pattern("timestamp")])
+    seen = replay_stream.batch_statistics(moved, plan.affine(), micros(datetime(2025, 6, 2, 14)))
+    numbers = replay_stream.BatchNumbers()
+    spark.streams.addListener(numbers)
+    try:
+        job = seen.select("line").writeStream.format("text").option("checkpointLocation", str(tmp_path / "state"))
+        job.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    finally:
+        spark.streams.removeListener(numbers)
+    assert len(numbers.batches) == 3
+    assert sum(b["events"] for b in numbers.batches) == 12
+    assert sum(b["instants_in_future"] for b in numbers.batches) == 1 + 4
+    assert sum(b["instants_at_ceiling"] for b in numbers.batches) == 2
+    assert max(b["new_latest"] for b in numbers.batches) == datetime(2025, 6, 3, 13)

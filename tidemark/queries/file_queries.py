@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.catalog import manifests as M
@@ -440,3 +442,41 @@ def no_output_run(spark, sf_dir):
     path = spark._jvm.org.apache.hadoop.fs.Path(out)
     absent = not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
     return numbers.select("events", "new_earliest", F.lit(absent).alias("nothing_written"))
+
+
+def _mounted(spark, folder: str) -> str:
+    """``folder`` under a mount of Hadoop's view file system: a second scheme, without a server."""
+    name = f"m{uuid.uuid4().hex[:8]}"
+    spark.conf.set(f"fs.viewfs.mounttable.{name}.link./store", folder if ":" in folder else f"file://{folder}")
+    return f"viewfs://{name}/store"
+
+
+@query("mounted_store", """
+SELECT event_type AS part, count(*) AS lines FROM events WHERE event_type <> 'view' GROUP BY event_type""")
+def mounted_store(spark, sf_dir):
+    """Files listed by a pattern on their names and read through another scheme of Hadoop's file systems."""
+    folder = scratch(spark)
+    rows = events(spark, sf_dir)
+    write_lines(
+        rows, F.col("event_id").cast("string"), folder, "in/{sourcetype}/part-{filename}", RUN_TIME,
+        F.concat("event_type", F.lit(".log")), F.col("event_type"), files_per_path=2,
+    )
+    store = _mounted(spark, folder)
+    files = listing.list_files(spark, f"{store}/in", "part-[!v]*")
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "part-[!v]*").text(f"{store}/in")
+    lines = lines.select("value", F.col("_metadata.file_path").alias("path"))
+    found = lines.join(files.select("path"), "path", "left_semi")
+    return found.groupBy(F.regexp_extract("path", r"/in/([^/]*)/", 1).alias("part")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("mounted_write", """
+SELECT event_id, event_type AS sourcetype FROM events""")
+def mounted_write(spark, sf_dir):
+    """Lines written through another scheme, and read back from where it leads."""
+    folder = scratch(spark)
+    write_lines(
+        events(spark, sf_dir), F.col("event_id").cast("string"), f"{_mounted(spark, folder)}/out", "{sourcetype}", RUN_TIME,
+        F.lit("x"), F.col("event_type"), "gzip",
+    )
+    back = spark.read.text(f"{folder}/out")
+    return back.select(F.col("value").cast("bigint").alias("event_id"), "sourcetype")

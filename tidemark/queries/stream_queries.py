@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
+from tidemark.functions.timeexpr import micros
 from tidemark.plans.pattern_sets import Pattern
+from tidemark.plans.shift_plan import ShiftPlan
 from tidemark.queries.registry import (
-    BOUNDS_SQL, bounds, clock, events, move, moved_sql, query, scratch, second,
+    BOUNDS_SQL, RUN_SQL, RUN_US, bounds, clock, events, move, moved_sql, query, scratch, second,
 )
 from tidemark.streaming import replay_stream as R
 
@@ -76,6 +80,25 @@ def stream_statistics(spark, sf_dir):
     return _run(spark, stream, "complete")
 
 
+# a target so late that some instants pass the run time and the ceiling holds others
+_LATE = micros(datetime(2025, 5, 10))
+_LATE_SQL = moved_sql("epoch_us(ts)", "epoch_us(TIMESTAMP '2025-05-10 00:00:00')")
+_CEILING_SQL = "epoch_us(TIMESTAMP '2025-05-30 12:00:00')"
+
+
+@query("stream_statistics_ceiling", f"""
+WITH {BOUNDS_SQL}, m AS (SELECT ts, {_LATE_SQL} AS free, least({_LATE_SQL}, {_CEILING_SQL}) AS us FROM events, b)
+SELECT count(*) AS events, count(*) AS events_modified, min(ts) AS original_earliest, max(ts) AS original_latest,
+  make_timestamp(min(us)) AS new_earliest, make_timestamp(max(us)) AS new_latest,
+  count_if(us > {RUN_SQL} - 259200000000) AS instants_in_future, count_if(free > {_CEILING_SQL}) AS instants_at_ceiling
+FROM m""")
+def stream_statistics_ceiling(spark, sf_dir):
+    """All numbers of a run over a stream, those past a run time and those held at the ceiling among them."""
+    plan = ShiftPlan(bounds(spark, sf_dir)[0], _LATE, 1.0, RUN_US - 2 * 86_400_000_000).affine()
+    stream = _moved(_lines(spark, sf_dir), plan)
+    return _run(spark, R.running_statistics(stream, F.col("ts"), F.col("new_ts"), plan, RUN_US - 3 * 86_400_000_000), "complete")
+
+
 @query("stream_event_rate", f"""
 WITH {BOUNDS_SQL}, m AS (SELECT event_type AS type, make_timestamp({moved_sql('epoch_us(ts)')}) AS new_ts FROM events, b),
 w AS (SELECT date_trunc('millisecond', max(new_ts)) - INTERVAL 12 HOUR AS late FROM m)

@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from tidemark.functions.affine import Affine
 from tidemark.operators.extract import instants, json_object, map_reader
 from tidemark.operators.rawtext import shift_raw
+from tidemark.operators.stats import replayed_statistics
 from tidemark.operators.writeback import shift_found
 from tidemark.plans.pattern_sets import Pattern
 
@@ -39,14 +41,55 @@ def shift_json_lines(
     return moved.withColumn("line", F.to_json("data"))
 
 
-def running_statistics(shifted: DataFrame, old: Column, new: Column) -> DataFrame:
-    """Counts and ranges so far, for a sink in complete or update mode."""
-    return shifted.groupBy().agg(
-        F.count(F.lit(1)).alias("events"),
-        F.count(new).alias("events_modified"),
-        F.min(old).alias("original_earliest"), F.max(old).alias("original_latest"),
-        F.min(new).alias("new_earliest"), F.max(new).alias("new_latest"),
-    )
+def running_statistics(
+    shifted: DataFrame, old: Column, new: Column, plan: Affine | None = None, run_time: int | None = None
+) -> DataFrame:
+    """Counts and ranges so far, for a sink in complete or update mode.
+
+    With a ``plan`` and a ``run_time`` (microseconds) also the instants past the run time and those held
+    at the ceiling, and with them the columns of :func:`tidemark.operators.stats.replayed_statistics`.
+    """
+    counts = {
+        "events": F.count(F.lit(1)),
+        "events_modified": F.count(new),
+        "original_earliest": F.min(old), "original_latest": F.max(old),
+        "new_earliest": F.min(new), "new_latest": F.max(new),
+    }
+    if plan is not None and run_time is not None:
+        ceiling = plan.ceiling if plan.ceiling is not None else F.lit(None).cast("bigint")
+        counts["instants_in_future"] = F.count_if(F.unix_micros(new.cast("timestamp")) > F.lit(run_time))
+        counts["instants_at_ceiling"] = F.count_if(plan.uncapped(F.unix_micros(old.cast("timestamp"))) > ceiling)
+    return shifted.groupBy().agg(*[c.alias(n) for n, c in counts.items()])
+
+
+def batch_statistics(shifted: DataFrame, plan: Affine, run_time: int, name: str = "replay") -> DataFrame:
+    """``shifted`` (``timestamps``, ``new_timestamps``) with the numbers of each batch observed as it passes.
+
+    They arrive at a :class:`BatchNumbers` listener under ``name``; the stream keeps no state for them.
+    """
+    return shifted.observe(name, *[c.alias(n) for n, c in replayed_statistics(plan, run_time).items()])
+
+
+class BatchNumbers(StreamingQueryListener):
+    """Collects the observed numbers of every batch, a small row each, in order."""
+
+    def __init__(self, name: str = "replay"):
+        self.name = name
+        self.batches: list[dict] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        found = event.progress.observedMetrics.get(self.name)
+        if found is not None and event.progress.numInputRows:
+            self.batches.append({"batch": event.progress.batchId, **found.asDict()})
 
 
 def event_rate(
