@@ -195,8 +195,10 @@ def test_overwritten_paths_make_way(spark, tmp_path):
     _lines_by_path(spark, tmp_path)
     (tmp_path / "out" / "x+y" / "other.jsonl").write_text("stays")
     assert len(_files(tmp_path)) == 9
+    (tmp_path / "out" / "x+y" / "out").mkdir()
+    (tmp_path / "out" / "x+y" / "out" / "app a-1.jsonl").write_text("stays too")
     _lines_by_path(spark, tmp_path, "overwrite")
-    assert set(_files(tmp_path)) == {f"x+y/app a-{i}.jsonl" for i in range(4)} | {"x+y/other.jsonl"}
+    assert set(_files(tmp_path)) == {f"x+y/app a-{i}.jsonl" for i in range(4)} | {"x+y/other.jsonl", "x+y/out/app a-1.jsonl"}
 
 
 def test_failed_moves_leave_nothing(spark, tmp_path, monkeypatch):

@@ -75,11 +75,12 @@ def _write_exact(
     the moves fail for good, what they put in place is taken away again. The hidden folder goes in any case.
     """
     spark, root = lines.sparkSession, hadoop_uri(path).rstrip("/")
-    staging = f"{root}/_staging-{uuid.uuid4().hex}"
     if files_per_path:
         lines = lines.repartition("_path", F.pmod(F.xxhash64("value"), F.lit(files_per_path)))
     Path = spark._jvm.org.apache.hadoop.fs.Path
     system = Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    root = system.makeQualified(Path(root)).toString()
+    staging = f"{root}/_staging-{uuid.uuid4().hex}"
     before = _existing(spark, root) if system.exists(Path(root)) else None
     try:
         lines.write.partitionBy("_path").option("compression", COMPRESSION[compression]).text(f"{staging}/files")
@@ -97,19 +98,15 @@ def _write_exact(
 
 
 def _existing(spark: SparkSession, root: str) -> DataFrame:
-    """``target, number, path`` of the files below ``root``: the path of a template, and the number added to it."""
+    """``target, number, path`` of the files below ``root``, a whole address: the path of a template, and the number added to it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    inner = F.substring_index("path", _tail(root) + "/", -1)
+    inner = F.substring("path", len(root) + 2, 1 << 20)
     numbered = r"^((?:.*/)?[^/.]*)-(\d{5})(\.[^/]*)?$"
     plain = F.when(inner.rlike(numbered), F.regexp_replace(inner, numbered, "$1$3")).otherwise(inner)
     number = F.when(inner.rlike(numbered), F.regexp_extract(inner, numbered, 2).cast("int")).otherwise(F.lit(0))
     return cut_lineage(files.select(plain.alias("target"), number.alias("number"), "path"))
 
 
-def _tail(path: str) -> str:
-    return path.rpartition("/")[2]
-
-
 def _planned_moves(spark: SparkSession, root: str, staged: str, before: DataFrame | None, mode: str) -> DataFrame:
     """``source, target``: where each written file goes; without a source, a file that makes way."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(staged).select("path")
