@@ -319,3 +319,26 @@ def test_refused(spark, status, attempts):
     rows = spark.createDataFrame([("a", 1)], "body string, events long").coalesce(1)
     with pytest.raises(Exception):
         deliver(rows, "http://c", "t", max_retries=2, transport=transport, pause=lambda s: None)
+
+
+def test_sourcetype_dispatch_equals_the_pattern_list_of_each_sourcetype(spark):
+    """Every registered sourcetype in two letter cases, and others, against its own ordered list."""
+    fields = sorted({p.field for ps in REGISTRY.values() for p in ps} | {"timestamp", "time", "ts", "_time"})
+    names = [n for s in REGISTRY for n in (s, s.upper())] + ["none such", "", None]
+    rows = []
+    for i, name in enumerate(names):
+        value = {}
+        for k, f in enumerate(fields):
+            text = [f'"2024-01-02T03:04:{k % 60:02d}Z"', str(1704164640 + k), f'"{1704164640000 + k}"', "null"][(i + k) % 4]
+            if f == "line":
+                text = '"x 2024-05-06T07:08:09Z msg=audit(1704164640.250:7)"'
+            value[f.split(".")[0]] = text if "." not in f else "{" + "".join(f'"{s}":{{' for s in f.split(".")[1:-1]) + f'"{f.split(".")[-1]}":{text}' + "}" * (f.count("."))
+        rows.append((name, "{" + ",".join(f'"{t}":{v}' for t, v in value.items()) + "}"))
+    df = spark.createDataFrame(rows, "st string, raw string").withColumn("data", X.json_object(F.col("raw")))
+    got = {r.st: r.timestamps for r in X.extract_by_sourcetype(df, X.map_reader(F.col("data")), F.col("st")).collect()}
+    assert len(got) == len(set(names))
+    for name in ["osquery:results", "AWS:CLOUDTRAIL", "auditd", "circleci", "gws:reports:login", "azure:monitor:aad", "none such", None]:
+        name = next((n for n in names if n and name and n.lower() == name.lower()), name)
+        own = [p._replace(is_base=False) for p in patterns_for("raw", name)]
+        one = df.filter(F.col("st").eqNullSafe(F.lit(name)))
+        assert X.extract(one, X.map_reader(F.col("data")), own).first().timestamps == got[name], name

@@ -136,12 +136,13 @@ def _regex_text(text: Column, regex: str) -> Column:
     return F.when(text.rlike(regex), F.regexp_extract(text, regex, 1))
 
 
-def _candidate(value: Value, p: Pattern, hit: Column | None) -> Column:
-    """What a pattern of some rows sees: its format, and the value in the form it is held."""
+def _candidate(value: Value, p: Pattern, place: int, hit: Column | None) -> Column:
+    """What a pattern sees: the place of its field, its format, and the value in the form it is held."""
     if p.regex is not None:
         value = Value(hit, value.number, value.instant)
     held, none = value.variant, Value()
     return F.struct(
+        F.lit(place).alias("field"),
         F.lit(p.format).alias("format"),
         (F.lit(None).cast("variant") if held is None else held).alias("variant"),
         (value if held is None else none).text.alias("text"),
@@ -150,13 +151,18 @@ def _candidate(value: Value, p: Pattern, hit: Column | None) -> Column:
     )
 
 
+def _is_held(e: Column) -> Column:
+    held = e["variant"].isNotNull() | e["text"].isNotNull() | e["number"].isNotNull() | e["instant"].isNotNull()
+    return F.coalesce(held, F.lit(False))
+
+
 def _read_candidate(formats: Sequence[str]) -> Callable[[Column], Column]:
     def by_format(e: Column, text: Column, number: Column) -> Column:
         value = Value(text, number, e["instant"])
         chosen = F.when(F.lit(False), F.lit(None).cast("bigint"))
         for fmt in formats:
             chosen = chosen.when(e["format"] == fmt, read_instant(value, fmt))
-        return chosen
+        return F.struct(e["field"].alias("field"), chosen.alias("us"))
 
     def read(e: Column) -> Column:
         def of_variant(v: Column) -> Column:
@@ -166,73 +172,60 @@ def _read_candidate(formats: Sequence[str]) -> Callable[[Column], Column]:
                 lambda t: let(F.coalesce(e["number"], inner.number), lambda n: by_format(e, t, n)),
             )
 
-        held = F.coalesce(
-            e["variant"].isNotNull() | e["text"].isNotNull()
-            | e["number"].isNotNull() | e["instant"].isNotNull(),
-            F.lit(False),
-        )
-        return F.when(held, let(e["variant"], of_variant))
+        return let(e["variant"], of_variant)
 
     return read
 
 
 def find_instants(
-    df: DataFrame, read: FieldReader, candidates: Sequence[tuple[Pattern, Column | None]]
+    df: DataFrame, read: FieldReader, patterns: Sequence[Pattern]
 ) -> tuple[DataFrame, list[Found]]:
-    """Try patterns in order, each under its condition; the last success of a field counts.
+    """Try patterns in order; the last success of a field counts.
 
-    The fields that every row may have are looked up once each, and their kind is tested once; each of
-    their patterns is an expression over two plain columns, text and number. Patterns of some rows only
-    go through one parse expression together, so a row pays for those of its own. The readings are held
-    in helper columns of the returned frame (see :func:`drop_helpers`); the fields found refer to them.
+    The fields are looked up once each, and their kind is tested once; each of their patterns is an
+    expression over two plain columns, text and number. The readings are held in helper columns of the
+    returned frame (see :func:`drop_helpers`); the fields found refer to them.
     """
     df = drop_helpers(df)
     original = df.columns
-    values = {p.field: read(p.field) for p, _ in candidates}
-    everywhere = list(dict.fromkeys(p.field for p, condition in candidates if condition is None))
-    held = {f"_held_{i}": values[f].variant for i, f in enumerate(everywhere) if values[f].variant is not None}
+    values = {p.field: read(p.field) for p in patterns}
+    held = {f"_held_{i}": v.variant for i, v in enumerate(values.values()) if v.variant is not None}
     df = df.withColumns(held) if held else df
     parts, plain = {}, {}
-    for i, field in enumerate(everywhere):
-        value = variant_value(F.col(f"_held_{i}")) if f"_held_{i}" in held else values[field]
+    for i, (field, value) in enumerate(values.items()):
+        value = variant_value(F.col(f"_held_{i}")) if f"_held_{i}" in held else value
         parts |= {f"_text_{i}": value.text, f"_number_{i}": value.number, f"_instant_{i}": value.instant}
         plain[field] = Value(*[F.col(f"_{kind}_{i}") for kind in ("text", "number", "instant")])
     df = df.withColumns(parts) if parts else df
 
-    matched, hits, items, readings, found = [], {}, [], [], {}
-    for p, condition in candidates:
-        if p.regex is not None:
-            hit = _regex_text((plain[p.field] if condition is None else values[p.field]).text, p.regex)
-            hits[p, id(condition)] = F.get(F.col(MATCHED), F.lit(len(matched)))
-            matched.append(hit if condition is None else F.when(condition, hit))
-    if matched:
-        df = computed_once(df, {MATCHED: F.array(*matched)})
-    for p, condition in candidates:
-        hit = hits.get((p, id(condition)))
-        if condition is None:
-            value = plain[p.field]
-            # a value that is not text is read as it is
-            value = value if hit is None else Value(hit, value.number, value.instant)
-            place = len(readings)
-            readings.append(read_instant(value, p.format))
-            us = F.get(F.col(INSTANTS), F.lit(place))
-        else:
-            us = F.get(F.col("_some"), F.lit(len(items)))
-            items.append(F.when(condition, _candidate(values[p.field], p, hit)))
-        earlier = found.get(p.field, ((), ()))
-        found[p.field] = ((us, *earlier[0]), earlier[1] if hit is None else (*earlier[1], (hit, p.format)))
-    formats = list(dict.fromkeys(p.format for p, condition in candidates if condition is not None))
+    with_regex = [p for p in patterns if p.regex is not None]
+    if with_regex:
+        df = computed_once(df, {MATCHED: F.array(*[_regex_text(plain[p.field].text, p.regex) for p in with_regex])})
+    hits = {p: F.get(F.col(MATCHED), F.lit(i)) for i, p in enumerate(with_regex)}
+    readings, tries = [], {}
+    for p in patterns:
+        value = plain[p.field]
+        # a value that is not text is read as it is
+        value = Value(hits[p], value.number, value.instant) if p in hits else value
+        tries.setdefault(p.field, []).insert(0, F.get(F.col(INSTANTS), F.lit(len(readings))))
+        readings.append(read_instant(value, p.format))
     df = computed_once(df, {INSTANTS: F.array(*readings).cast("array<bigint>")})
-    if items:
-        df = computed_once(df, {"_some": F.transform(F.array(*items), _read_candidate(formats))})
-    each = [F.coalesce(*tries) for tries, _ in found.values()]
-    df = computed_once(df, {INSTANTS: F.array(*each)})
-    df = df.select(*[f"`{c}`" for c in original], *([MATCHED] if matched else []), INSTANTS)
-    last = {p.field: p.format for p, _ in candidates}
-    return df, [
-        Found(field, F.get(F.col(INSTANTS), F.lit(i)), field_hits, last[field])
-        for i, (field, (_, field_hits)) in enumerate(found.items())
-    ]
+    df = computed_once(df, {INSTANTS: F.array(*[F.coalesce(*t) for t in tries.values()])})
+    df = df.select(*[f"`{c}`" for c in original], *([MATCHED] if hits else []), INSTANTS)
+    places = [F.get(F.col(INSTANTS), F.lit(i)) for i in range(len(tries))]
+    return df, _fields_found(patterns, places, hits)
+
+
+def _fields_found(
+    patterns: Sequence[Pattern], places: Sequence[Column], hits: dict[Pattern, Column]
+) -> list[Found]:
+    """The fields in the order in which patterns name them first, each with its instant."""
+    matched: dict[str, tuple] = {}
+    for p in patterns:
+        if p in hits:
+            matched[p.field] = (*matched.get(p.field, ()), (hits[p], p.format))
+    last = {p.field: p.format for p in patterns}
+    return [Found(field, us, matched.get(field, ()), last[field]) for field, us in zip(last, places)]
 
 
 def drop_helpers(df: DataFrame) -> DataFrame:
@@ -243,7 +236,7 @@ def instants(
     df: DataFrame, read: FieldReader, patterns: Iterable[Pattern]
 ) -> tuple[DataFrame, list[Found]]:
     """Readings by an ordered pattern list."""
-    return find_instants(df, read, [(p, None) for p in patterns])
+    return find_instants(df, read, list(dict.fromkeys(patterns)))
 
 
 def instants_by_sourcetype(
@@ -251,24 +244,56 @@ def instants_by_sourcetype(
 ) -> tuple[DataFrame, list[Found]]:
     """The generic set, preceded on each row by the registered patterns of its sourcetype.
 
-    The whole registry is a constant of the library; a pattern is evaluated only on rows of its
-    sourcetype (any letter case).
+    The whole registry is a constant of the library. A sourcetype (any letter case) is looked up once
+    for its number; the first, second and further pattern of that number fill as many places, so a row
+    holds no more values than its sourcetype has patterns, next to those of the generic set. One
+    expression reads those that are there.
     """
-    name = F.lower(sourcetype)
-    by_pattern: dict[Pattern, list[str]] = {}
-    for registered, patterns in REGISTRY.items():
-        for p in patterns:
-            by_pattern.setdefault(p._replace(is_base=False), []).append(registered.lower())
-    candidates = [(p, name.isin(names)) for p, names in by_pattern.items()]
-    return find_instants(df, read, candidates + [(p, None) for p in GENERIC])
+    df = drop_helpers(df)
+    original = df.columns
+    registry = {name.lower(): [p._replace(is_base=False) for p in patterns] for name, patterns in REGISTRY.items()}
+    generic = [p._replace(is_base=False) for p in GENERIC]
+    patterns = list(dict.fromkeys([p for own in registry.values() for p in own] + generic))
+    values = {p.field: read(p.field) for p in patterns}
+    numbers = F.create_map(*[F.lit(x) for i, name in enumerate(registry) for x in (name, i)])
+    df = computed_once(df, {"_registered": F.try_element_at(numbers, F.lower(sourcetype))})
+
+    def registered(test: Callable[[list[Pattern]], bool]) -> Column:
+        return F.col("_registered").isin([i for i, own in enumerate(registry.values()) if test(own)])
+
+    with_regex = [p for p in patterns if p.regex is not None]
+    matched = [F.when(registered(lambda own: p in own), _regex_text(values[p.field].text, p.regex)) for p in with_regex]
+    df = computed_once(df, {MATCHED: F.array(*matched)})
+    hits = {p: F.get(F.col(MATCHED), F.lit(i)) for i, p in enumerate(with_regex)}
+
+    fields = list(values)
+    slots = []
+    for at in range(max(map(len, registry.values()))):
+        slot = None
+        for p in dict.fromkeys(own[at] for own in registry.values() if len(own) > at):
+            mine = registered(lambda own: own[at : at + 1] == [p])
+            value = _candidate(values[p.field], p, fields.index(p.field), hits.get(p))
+            slot = F.when(mine, value) if slot is None else slot.when(mine, value)
+        slots.append(slot)
+    slots += [_candidate(values[p.field], p, fields.index(p.field), None) for p in generic]
+    # the last pattern first: of several readings of a field it counts
+    held = F.filter(F.array(*reversed(slots)), _is_held)
+    readings = F.filter(F.transform(held, _read_candidate(list(dict.fromkeys(p.format for p in patterns)))), lambda r: r["us"].isNotNull())
+    df = computed_once(df, {"_read": readings})
+    first = F.filter("_read", lambda r, i: F.array_position(F.col("_read.field"), r["field"]) == i + 1)
+    df = computed_once(df, {INSTANTS: F.map_from_entries(F.array_sort(first))})
+    df = df.select(*[f"`{c}`" for c in original], MATCHED, INSTANTS)
+    places = [F.try_element_at(F.col(INSTANTS), F.lit(i)) for i in range(len(fields))]
+    return df, _fields_found(patterns, places, hits)
 
 
 def timestamp_map(found: Sequence[Found]) -> Column:
     """``map<string, timestamp>`` of the fields that were read."""
-    entries = F.array(*[
-        F.struct(F.lit(f.field).alias("key"), F.timestamp_micros(f.us).alias("value")) for f in found
-    ])
-    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    names, us = F.array(*[F.lit(f.field) for f in found]), F.array(*[f.us for f in found])
+    read = F.filter(F.arrays_zip(names.alias("key"), us.alias("value")), lambda e: e["value"].isNotNull())
+    return F.map_from_entries(
+        F.transform(read, lambda e: F.struct(e["key"].alias("key"), F.timestamp_micros(e["value"]).alias("value")))
+    )
 
 
 def extract(df: DataFrame, read: FieldReader, patterns: Iterable[Pattern]) -> DataFrame:
@@ -277,6 +302,17 @@ def extract(df: DataFrame, read: FieldReader, patterns: Iterable[Pattern]) -> Da
     return drop_helpers(staged.withColumn("timestamps", timestamp_map(found)))
 
 
+def extract_by_sourcetype(df: DataFrame, read: FieldReader, sourcetype: Column) -> DataFrame:
+    """Add ``timestamps`` as :func:`extract` does, by the patterns of each row's sourcetype."""
+    staged, found = instants_by_sourcetype(df, read, sourcetype)
+    names = F.array(*[F.lit(f.field) for f in found])
+    entries = F.transform(
+        F.map_entries(INSTANTS),
+        lambda e: F.struct(F.get(names, e["key"]).alias("key"), F.timestamp_micros(e["value"]).alias("value")),
+    )
+    return drop_helpers(staged.withColumn("timestamps", F.map_from_entries(entries)))
+
+
 def base_instant(
     timestamps: Column, patterns: Iterable[Pattern], prefer: str | None = None
 ) -> Column:

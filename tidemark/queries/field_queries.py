@@ -275,9 +275,9 @@ def extract_by_sourcetype(spark, sf_dir):
             F.lit("line"), line.cast("variant"),
         ).alias("data"),
     )
-    staged, found = X.instants_by_sourcetype(rows, X.map_reader(F.col("data")), F.col("sourcetype"))
-    entries = F.map_entries("stamps")
-    return staged.withColumn("stamps", X.timestamp_map(found)).select(
+    read = X.extract_by_sourcetype(rows, X.map_reader(F.col("data")), F.col("sourcetype"))
+    entries = F.map_entries("timestamps")
+    return read.select(
         "event_id", F.get(entries, 0)["key"].alias("field"), F.get(entries, 0)["value"].alias("found")
     )
 
