@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from test_exact import brute as exact_brute
 from test_jaccard import brute as near_brute
 
@@ -68,6 +69,18 @@ def test_odd_rows_pass_all_stages(spark):
     assert docs.count() == 0
 
 
+def test_clashing_names_pass_all_stages(spark):
+    schema = table(spark, SF_DIR, "documents").schema
+    rows = [(i, f"the words of text {i % 3} stand here for all to see and to read", "en", "s", 50) for i in range(6)]
+    names = ["_kept", "_SHA", "_chars", "_rows", "_found", "_dropped", "__dropped", "row", "host", "n", "words", "text_sha256", "a.b"]
+    docs = spark.createDataFrame(rows, schema).withColumns({name: F.lit(7) for name in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs.columns, written(stage(spark, docs, SF_DIR), "test-clash")
+        assert docs.columns == before
+    found = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR)
+    assert sorted(r.doc_id for r in found.collect()) == [0, 1, 2]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 100), (7, 7), (300, 100)] + [(500, 500 + i) for i in range(1, 200)]
     found = components.components(spark.createDataFrame(chain, "a long, b long")).collect()

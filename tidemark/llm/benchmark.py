@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import unused, written
 
 WINDOW = 5
 COVERED = 0.8
@@ -226,6 +226,10 @@ def _coverage(words: Column, literals: Column) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that have an item of the benchmark; all columns stay."""
-    found = contaminated(docs, items, short=True).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_found")), "left_anti")
+    """``docs`` without the documents that have an item of the benchmark; all columns stay.
+
+    Rows of one ``doc_id`` go together, null ids too; null and empty texts have no item and stay.
+    """
+    name = unused(docs, "_found")
+    found = contaminated(docs, items, short=True).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import partitions, SPACE, tidied, written
+from tidemark.llm.common import partitions, SPACE, tidied, unused, written
 
 BUCKET_BYTES = 32 << 20
 MAX_DEPTH = 20
@@ -208,13 +208,17 @@ def drop_exact_copies(docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFram
     """``docs`` without copies: one row for each distinct text, with all its columns.
 
     Rows are told apart by ``doc_id``, digest and length of the text; of rows that agree in these one stays.
+    A null text counts as empty, a null ``doc_id`` as a value; columns may have any names; an empty table
+    gives no rows.
     """
+    id_, sha, chars, count = (unused(docs, n) for n in ("_kept", "_sha", "_chars", "_rows"))
     kept = _judged(docs, capacity).filter("kept")
-    kept = kept.groupBy(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_sha"), F.col("chars").alias("_chars")).agg(F.count(F.lit(1)).alias("_rows"))
+    kept = kept.groupBy(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha), F.col("chars").alias(chars)).agg(F.count(F.lit(1)).alias(count))
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = F.sha2(F.translate(text, SPACE, ""), 256)
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (digest == F.col("_sha")) & (F.char_length(text) == F.col("_chars")))
-    once = rows.filter("_rows = 1").select(*docs.columns)
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(id_)) & (digest == F.col(sha)) & (F.char_length(text) == F.col(chars)))
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    once = rows.filter(F.col(count) == 1).select(*columns)
     # only repeated rows are sent once more
-    again = rows.filter("_rows > 1").dropDuplicates(["_sha"]).select(*docs.columns)
+    again = rows.filter(F.col(count) > 1).dropDuplicates([sha]).select(*columns)
     return once.unionByName(again)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import most_frequent, partitions, tidied, written
+from tidemark.llm.common import most_frequent, partitions, tidied, unused, written
 from tidemark.llm.components import components
 from tidemark.llm.substrings import U, _combined, _mixed, pack, unpack, word_hashes
 
@@ -531,7 +531,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the smallest ``doc_id``.
 
-    All columns stay; documents without words and rows with a null ``doc_id`` stay too.
+    All columns stay; documents without words and rows with a null ``doc_id`` stay too. Rows that repeat
+    a ``doc_id`` stay or go together; an empty table gives no rows.
     """
-    dropped = near_groups(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    name = unused(docs, "_dropped")
+    dropped = near_groups(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias(name))
+    return docs.join(dropped, F.col("doc_id") == F.col(name), "left_anti")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import partitions, tidied
+from tidemark.llm.common import partitions, tidied, unused
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -201,7 +201,8 @@ def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.
     """The rows of ``docs`` that have a language: not ``und``, and a score of ``min_score`` or more.
 
     All columns stay and no row is sent to another task. With four languages a score of 0.25 means that
-    none fits better than another.
+    none fits better than another. A null text has no language; each row is judged by its own text, so
+    repeated rows fare alike; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -209,4 +210,6 @@ def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.
         for part, labels, scores in _slices(batches, shared.value):
             yield part.filter(pa.array([label != UNKNOWN and score >= min_score for label, score in zip(labels, scores)], pa.bool_()))
 
-    return docs.mapInArrow(tidied(run), docs.schema)
+    # mapInArrow asks for columns by name and takes a dot for a field
+    plain = docs.toDF(*[unused(docs, f"_{i}") if "." in c or "`" in c else c for i, c in enumerate(docs.columns)])
+    return plain.mapInArrow(tidied(run), plain.schema).toDF(*docs.columns)
