@@ -322,7 +322,7 @@ def test_refused(spark, status, attempts):
 
 
 def test_sourcetype_dispatch_equals_the_pattern_list_of_each_sourcetype(spark):
-    """Every registered sourcetype in two letter cases, and others, against its own ordered list."""
+    """Rows of all sourcetypes read at once; eight of them (any letter case) against their own ordered lists."""
     fields = sorted({p.field for ps in REGISTRY.values() for p in ps} | {"timestamp", "time", "ts", "_time"})
     names = [n for s in REGISTRY for n in (s, s.upper())] + ["none such", "", None]
     rows = []
