@@ -115,6 +115,17 @@ def test_odd_rows(spark):
     assert result(df) == brute(rows)
 
 
+def test_damage_is_judged_on_the_text_as_it_is(spark):
+    """A run that damage makes of another one counts as it is, even where the text has it as a run to be damaged."""
+    cascades = [(1, "leiikfkh", "leikfkh", "leikkh"), (2, "ajiljhab", "ajljhab", "aljhab")]
+    for doc_id, run, once, twice in cascades:
+        text = f"{run} {once} " * 6
+        assert spelling.damaged_words(doc_id, text) == {once: 6, twice: 6}
+        assert spelling.damaged_words(doc_id, f"{once} {run} " * 6) == {once: 6, twice: 6}
+    rows = [(doc_id, f"{run} {once} " * 6) for doc_id, run, once, _ in cascades]
+    assert result(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+
+
 def test_empty_table_and_clashing_columns(spark):
     assert spelling.group_variants(spark.createDataFrame([], SCHEMA)).collect() == []
     rows = [(1, "letters " * 30, "w", 1), (2, "lettres letter " * 5, "w", 2)]

@@ -49,9 +49,10 @@ def damaged_words(doc_id: int | None, text: str) -> Counter:
     """Uses of the words of a text, letters taken out where the hash of id and word says so."""
     runs = Counter(run.translate(LOWER) for run in RUN.findall(text))
     start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-    for run in [r for r in runs if zlib.crc32(r.encode(), start) % DAMAGED == 0]:
+    # all are taken out before any comes back: what damage makes of a run is not damaged again
+    hit = {r: runs.pop(r) for r in list(runs) if zlib.crc32(r.encode(), start) % DAMAGED == 0}
+    for run, uses in hit.items():
         at = zlib.crc32(run.encode(), start) % len(run)
-        uses = runs.pop(run)
         runs[run[:at] + run[at + 1 :]] += uses
     return runs
 
