@@ -80,6 +80,32 @@ def test_cycles_end(spark):
     assert rows == {("a", "a"): ("1.0.0", None), ("a", "b"): ("2.0.0", None), ("a", "c"): ("2.0.0", None)} and not conflicts
 
 
+def test_random_graphs_like_a_plain_resolution_by_rounds(spark):
+    """Many roots that meet the same sets of constraints, sets that grow late, cycles; numbers beside a text order."""
+    rng = random.Random(5)
+    names = [f"d{i:02d}" for i in range(25)]
+    texts = {n: rng.sample(["1.0.0", "1.9.0", "1.10.0", "2.0.0", "2.1.0", "10.0.0"], rng.randrange(4)) for n in names}
+    fits = {"*": lambda v: True, ">=1.9.0": lambda v: v >= (1, 9, 0), "<10.0.0": lambda v: v < (10, 0, 0), "<=2.0.0": lambda v: v <= (2, 0, 0)}
+    needs = [(n, v, rng.choice(names), rng.choice([*fits])) for n in names for v in texts[n] for _ in range(rng.randrange(4))]
+    want, conflicts = {}, set()
+    for root in names:
+        met, new = set(), {(root, "*")}
+        while new:
+            met |= new
+            chosen = {}
+            for name in {d for d, _ in met}:
+                allowed = [v for v in texts[name] if all(fits[c](tuple(map(int, v.split(".")))) for d, c in met if d == name)]
+                chosen[name] = max(allowed, key=lambda v: tuple(map(int, v.split("."))), default=None)
+            touched = {d for d, _ in new}
+            new = {(d, c) for n, v, d, c in needs if n in touched and chosen[n] == v} - met
+        for name, version in chosen.items():
+            problem = None if version else "conflict" if texts[name] else "missing"
+            want[root, name] = (version, problem)
+            conflicts |= {(root, d, c, problem) for d, c in met if d == name and problem}
+    assert resolve(spark, [(n, v) for n in names for v in texts[n]], needs, [(n, None) for n in names]) == (want, conflicts)
+    assert {p for _, p in want.values()} == {None, "conflict", "missing"}
+
+
 def test_nothing_to_resolve(spark):
     assert resolve(spark, [], [], []) == ({}, set())
     assert resolve(spark, [], [], [("a", "*"), (None, "*")]) == ({("a", "a"): (None, "missing")}, {("a", "a", "*", "missing")})

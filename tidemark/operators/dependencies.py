@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,40 +103,67 @@ def resolve_versions(releases: DataFrame, dependencies: DataFrame, roots: DataFr
     ``problem`` is null, ``missing`` (a dataset without releases) or ``conflict`` (none satisfies all
     constraints, or one cannot be read); then ``version`` is null. Rows of ``constraints`` tell when each was met.
 
-    Whether a release satisfies a constraint is decided once per dataset, not per root. In each round
-    only datasets with new constraints are looked at again; new rows are appended to one table.
+    Whether a release satisfies a constraint is decided once per dataset, and the release and the needs that
+    follow from a set of constraints once per set, however many roots meet it. A round groups what it newly
+    asks with what was asked of the same datasets before, and appends a row per dataset with new constraints;
+    rows of other datasets are not looked at again.
     """
     spark = releases.sparkSession
     star = F.coalesce("constraint", F.lit("*")).alias("constraint")
-    releases = cut_lineage(releases.select("dataset", "version").filter("dataset IS NOT NULL AND version IS NOT NULL").distinct())
+    releases = releases.select("dataset", "version").filter("dataset IS NOT NULL AND version IS NOT NULL").distinct()
+    order = F.struct(semver(F.col("version")).alias("number"), F.col("version").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("dataset").orderBy(order)).alias("rank")
+    releases = cut_lineage(releases.select("dataset", "version", rank))
     needs = dependencies.filter("dataset IS NOT NULL AND version IS NOT NULL AND dependency IS NOT NULL")
     needs = cut_lineage(needs.select("dataset", "version", "dependency", star).distinct())
     start = roots.filter("dataset IS NOT NULL").select(F.col("dataset").alias("root"), "dataset", star).distinct()
     asked = needs.select(F.col("dependency").alias("dataset"), "constraint").unionByName(start.select("dataset", "constraint")).distinct()
-    order = F.struct(semver(F.col("version")).alias("number"), F.col("version").alias("text"))
+    asked = cut_lineage(asked.select("dataset", "constraint", F.monotonically_increasing_id().alias("ask")))
     allowed = asked.join(releases, "dataset").filter(satisfies(F.col("version"), F.col("constraint")))
-    allowed = cut_lineage(allowed.select("dataset", "constraint", "version", order.alias("order")))
-
-    def chosen(mine: DataFrame) -> DataFrame:
-        total = mine.groupBy("root", "dataset").agg(F.count(F.lit(1)).alias("constraints"))
-        kept = mine.join(allowed, ["dataset", "constraint"]).groupBy("root", "dataset", "version", "order")
-        kept = kept.agg(F.count(F.lit(1)).alias("satisfied")).join(total, ["root", "dataset"]).filter("satisfied = constraints")
-        best = kept.groupBy("root", "dataset").agg(F.max_by("version", "order").alias("version"))
-        return total.join(best, ["root", "dataset"], "left")
-
-    met = _Levels(spark, "tidemark-constraints", _schema(start, "root", "dataset", "constraint"))
-    new = met.append(start)
+    allowed = cut_lineage(allowed.select("ask", "rank"))
+    needs = needs.join(releases, ["dataset", "version"])
+    needs = needs.join(asked.withColumnRenamed("dataset", "dependency"), ["dependency", "constraint"])
+    needs = cut_lineage(needs.select("dataset", "rank", "dependency", "ask"))
+
+    def picked(level: DataFrame) -> DataFrame:
+        """``dataset, asks, rank``: the highest release that a set of constraints leaves; none, no row."""
+        each = F.split("asks", ",")
+        kinds = level.select("dataset", "asks").distinct().select("dataset", "asks", F.explode(each.cast("array<long>")).alias("ask"))
+        left = kinds.join(allowed, "ask").groupBy("dataset", "asks", "rank").agg(F.count(F.lit(1)).alias("satisfied"))
+        return left.filter(F.col("satisfied") == F.size(each)).groupBy("dataset", "asks").agg(F.max("rank").alias("rank"))
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        """``root, dataset, asks, fresh`` of datasets with new constraints: all of them as text, and the new ones."""
+        sets = rows.groupBy("root", "dataset").agg(
+            F.collect_set("ask").alias("every"), F.collect_set(F.when(F.col("before"), F.col("ask"))).alias("old")
+        )
+        asks = F.array_join(F.sort_array("every").cast("array<string>"), ",").alias("asks")
+        return sets.filter(F.size("every") > F.size("old")).select("root", "dataset", asks, F.array_except("every", "old").alias("fresh"))
+
+    first = start.join(asked, ["dataset", "constraint"]).select("root", "dataset", "ask", F.lit(False).alias("before"))
+    met = _Levels(spark, "tidemark-constraints", grouped(first).schema)
+    new = met.append(grouped(first))
     while not new.isEmpty():
-        touched = new.select("root", "dataset").distinct()
-        picked = chosen(met.whole().join(touched, ["root", "dataset"], "left_semi")).filter("version IS NOT NULL")
-        step = picked.join(needs, ["dataset", "version"]).select("root", F.col("dependency").alias("dataset"), "constraint").distinct()
-        new = met.append(step.join(met.whole(), ["root", "dataset", "constraint"], "left_anti"))
+        adds = picked(new).join(needs, ["dataset", "rank"]).select("dataset", "asks", "dependency", "ask")
+        step = new.select("root", "dataset", "asks").join(adds, ["dataset", "asks"])
+        step = cut_lineage(step.select("root", F.col("dependency").alias("dataset"), "ask").distinct())
+        # what was asked before of the datasets that are asked now
+        prior = met.whole().select("root", "dataset", "fresh").join(step.select("root", "dataset").distinct(), ["root", "dataset"], "left_semi")
+        prior = prior.select("root", "dataset", F.explode("fresh").alias("ask"), F.lit(True).alias("before"))
+        new = met.append(grouped(prior.unionByName(step.withColumn("before", F.lit(False)))))
     every = met.whole()
+    last = every.groupBy("root", "dataset").agg(F.max(F.struct("level", "asks")).alias("last")).select("root", "dataset", "last.asks")
+    last = cut_lineage(last)
     known = releases.select("dataset", F.lit(True).alias("known")).distinct()
-    result = chosen(every).join(known, "dataset", "left")
+    found = picked(last).join(releases, ["dataset", "rank"]).select("dataset", "asks", "version")
+    kinds = last.select("dataset", "asks").distinct().join(found, ["dataset", "asks"], "left").join(known, "dataset", "left")
     problem = F.when(F.col("known").isNull(), "missing").when(F.col("version").isNull(), "conflict")
-    result = cut_lineage(result.select("root", "dataset", "version", "constraints", problem.alias("problem")))
-    return Resolution(result, every)
+    count = F.size(F.split("asks", ",")).cast("long").alias("constraints")
+    kinds = kinds.select("dataset", "asks", "version", count, problem.alias("problem"))
+    result = cut_lineage(last.join(kinds, ["dataset", "asks"]).select("root", "dataset", "version", "constraints", "problem"))
+    texts = asked.select("ask", "constraint")
+    every = every.select("root", "dataset", F.explode("fresh").alias("ask"), "level").join(texts, "ask")
+    return Resolution(result, every.select("root", "dataset", "constraint", "level"))
 
 
 # --- defaults ---
