@@ -46,6 +46,25 @@ def test_context_stays_inside_a_text():
     assert pl._examples(["a b c", None, "", "d"], 1, 16) == [pl.OUTSIDE, "a", "b", "c", pl.OUTSIDE, pl.OUTSIDE, pl.OUTSIDE, "d", pl.OUTSIDE, pl.OUTSIDE]
 
 
+def test_the_rounds_train_on_every_position():
+    counts = np.array([0, 1, 2, 17, 0, 50, 3])
+    met = [pl._places_of(counts, turn * pl.STRIDE // pl.ROUNDS, pl.STRIDE) for turn in range(pl.ROUNDS)]
+    assert set(np.concatenate(met).tolist()) == set(range(counts.sum()))
+
+
+def test_windows_equal_those_cut_from_the_words():
+    rng = random.Random(4)
+    texts = [None, "", "a", *(" ".join(rng.choice("bcdefg") for _ in range(rng.randrange(1, 30))) for _ in range(20))]
+    split = [pl.words_of(t) for t in texts]
+    counts = np.array([len(f) for f in split])
+    symbols = np.array([ord(w) for f in split for w in f])
+    for offset, stride in ((0, 1), (0, 2), (1, 2), (8, 16)):
+        place = pl._places_of(counts, offset, stride)
+        plain = np.array([pl.PAD if w == pl.OUTSIDE else ord(w) for w in pl._examples(texts, offset, stride)]).reshape(-1, 2 * pl.SIDE + 1)
+        assert symbols[place].tolist() == plain[:, pl.SIDE].tolist()
+        assert pl._contexts(symbols, counts, place).tolist() == np.delete(plain, pl.SIDE, axis=1).tolist()
+
+
 def test_training_helps_on_documents_it_has_not_seen(spark):
     rng = random.Random(2)
     pairs = [(f"l{i}", f"m{i}", f"r{i}") for i in range(20)]

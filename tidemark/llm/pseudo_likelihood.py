@@ -31,8 +31,9 @@ INPUTS, OWN_INPUTS = 1024, 768
 CLASSES, OWN_CLASSES = 96, 48
 HIDDEN = 24
 ROUNDS = 2
-# one position in STRIDE of every document is a training example of a round; all are context
-STRIDE = 16
+# one position in STRIDE of every document is a training example of a round; all are context.
+# the rounds start at different positions: as many rounds as the stride train on every position once
+STRIDE = ROUNDS
 LEARNING_RATE = 0.3
 EXAMPLES = 2048
 BLOCK = 4096
@@ -183,19 +184,24 @@ class Network:
         hidden_bias -= scale * back.sum(axis=0)
         for k in range(2 * SIDE):
             # a vector moves by the mean over its own examples, damped where it has few
-            order = np.argsort(context[:, k], kind="stable")
-            symbols, first, uses = np.unique(context[order, k], return_index=True, return_counts=True)
+            mine = context[:, k].astype(np.int16)  # sorted in linear time
+            order = np.argsort(mine, kind="stable")
+            mine = mine[order]
+            first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+            symbols, uses = mine[first], np.diff(np.r_[first, len(mine)])
             sums = np.add.reduceat(back[order], first, axis=0)
             inputs[k][symbols] -= rate * sums / (uses + 8.0).astype(np.float32)[:, None]
 
 
-def _contexts(symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The symbols around every word, PAD beyond the ends of its text."""
-    total = len(symbols)
-    place = np.arange(total)
+def _contexts(symbols: np.ndarray, counts: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+    """The symbols around every word, or those at ``place``; PAD beyond the ends of its text."""
     stops = np.repeat(np.cumsum(counts), counts)
     starts = stops - np.repeat(counts, counts)
-    out = np.full((total, 2 * SIDE), PAD, np.int32)
+    if place is None:
+        place = np.arange(len(symbols))
+    else:
+        starts, stops = starts[place], stops[place]
+    out = np.full((len(place), 2 * SIDE), PAD, np.int32)
     for k, shift in enumerate((*range(-SIDE, 0), *range(1, SIDE + 1))):
         there = place + shift
         inside = (there >= starts) & (there < stops)
@@ -203,8 +209,17 @@ def _contexts(symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _places_of(counts: np.ndarray, offset: int, stride: int) -> np.ndarray:
+    """One position in ``stride`` of every text, from ``offset``, where the texts follow each other."""
+    first = np.minimum(offset, counts - 1)
+    # a text shorter than the offset gives its last word
+    found = np.where(counts > 0, -(-(counts - first) // stride), 0)
+    nth = np.arange(found.sum()) - np.repeat(np.cumsum(found) - found, found)
+    return np.repeat(np.cumsum(counts) - counts + first, found) + stride * nth
+
+
 def _examples(texts: list[str | None], offset: int, stride: int) -> list[str]:
-    """Windows around one position in ``stride`` of every text, from ``offset``; one after the other."""
+    """Windows around one position in ``stride`` of every text, from ``offset``, as words: what ``train`` takes, plainly."""
     edge = [OUTSIDE] * SIDE
     out: list[str] = []
     for text in texts:
@@ -282,11 +297,13 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride:
                 seen += len(target)
 
             for part in _parts(batches):
-                found = _examples(part.column("text").to_pylist(), turn * stride // rounds, stride)
-                if not found:
+                split = [words_of(t) for t in part.column("text").to_pylist()]
+                counts = np.array([len(f) for f in split], np.int64)
+                chosen = _places_of(counts, turn * stride // rounds, stride)
+                if not len(chosen):
                     continue
-                places = words.places(found).reshape(-1, 2 * SIDE + 1)
-                waiting.append((np.delete(words.inputs[places], SIDE, axis=1), words.classes[places[:, SIDE]]))
+                places = words.places(list(chain.from_iterable(split)))
+                waiting.append((_contexts(words.inputs[places], counts, chosen), words.classes[places[chosen]]))
                 if sum(len(t) for _, t in waiting) >= examples:
                     context, target = (np.concatenate(x) for x in zip(*waiting))
                     # neighbouring examples are alike; mix them
