@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import manifests as M
 from tidemark.functions.paths import output_path
 from tidemark.functions.timeexpr import micros
+from tidemark.functions.xmltext import _SYSTEM_ATTRIBUTES, windows_event
 from tidemark.operators.bounds import NoTimestampsError
 from tidemark.operators.dependencies import dependency_closure
 from tidemark.operators.lookups import merged_settings
@@ -108,6 +109,20 @@ def test_csv_by_the_header_of_each_file(spark, tmp_path):
         readers.read_csv(spark, str(tmp_path), one_header=True).collect()
 
 
+def test_attributes_of_a_windows_event_are_printed_once(spark):
+    """They were printed again for each element that they were compared with."""
+    assert str(windows_event(F.col("line"))).count("to_json") == len(_SYSTEM_ATTRIBUTES) + 1
+
+
+def test_repeated_data_of_a_windows_event(spark):
+    line = (
+        '<Event><System><EventID>7</EventID><Computer>c</Computer></System><EventData><Data Name="a">1</Data><Data Name="Computer">no</Data>'
+        '<Data Name="b">2</Data><Data Name="a">3</Data><Data>unnamed</Data></EventData></Event>'
+    )
+    row = spark.createDataFrame([(line,)], "line string").select(F.to_json(windows_event(F.col("line"))).alias("j")).first()
+    assert json.loads(row.j) == {"EventID": "7", "Computer": "c", "a": "1", "b": "2"}
+
+
 def test_windows_events_outside_the_layout(spark, tmp_path):
     event = "<Event><System><EventID>1</EventID>{system}</System><EventData><Data Name='a'>x</Data></EventData>{more}</Event>"
     lines = [event.format(system="", more=""), event.format(system="<Odd>7</Odd>", more=""),

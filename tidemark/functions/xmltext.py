@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.bind import let
+from tidemark.functions.bind import let_any
 
 # The System section of a Windows event.
 _NAMED = "struct<Name:string,Guid:string,EventSourceName:string>"
@@ -65,7 +65,8 @@ def windows_event(line: Column) -> Column:
         pairs.append(("timestamp", system["TimeCreated"]["SystemTime"]))
         entries = [F.struct(F.lit(n).alias("key"), v.cast("variant").alias("value")) for n, v in pairs]
         for name in (*_SYSTEM_ATTRIBUTES, "TimeCreated"):
-            value = F.when(F.to_json(system[name]) != "{}", F.try_parse_json(F.to_json(system[name])))
+            # an element without any of its attributes is left out
+            value = F.try_parse_json(F.nullif(F.to_json(system[name]), F.lit("{}")))
             entries.append(F.struct(F.lit(name).alias("key"), value.alias("value")))
         named = F.transform(
             F.filter(
@@ -76,16 +77,19 @@ def windows_event(line: Column) -> Column:
                 F.trim(F.coalesce(d["_text"], F.lit(""))).cast("variant").alias("value"),
             ),
         )
-        system_entries = F.filter(F.array(*entries), lambda p: p["value"].isNotNull())
-        known = F.transform(system_entries, lambda p: p["key"])
-        extra = F.filter(named, lambda d: ~F.array_contains(known, d["key"]))
-        first = F.filter(
-            extra,
-            lambda d, i: ~F.exists(F.slice(extra, F.lit(1), i), lambda x: x["key"] == d["key"]),
-        )
-        return F.map_from_entries(F.concat(system_entries, first))
+        # each of these is used for every element of the next one, so it is bound before
+        return let_any(F.filter(F.array(*entries), lambda p: p["value"].isNotNull()), lambda system_entries: let_any(
+            F.transform(system_entries, lambda p: p["key"]), lambda known: let_any(
+                F.filter(named, lambda d: ~F.array_contains(known, d["key"])), lambda extra: F.map_from_entries(F.concat(
+                    system_entries,
+                    let_any(F.transform(extra, lambda d: d["key"]), lambda keys: F.filter(
+                        extra, lambda d, i: F.array_position(keys, d["key"]) == i + 1
+                    )),
+                )),
+            ),
+        ))
 
-    return let(event, lambda e: F.when(e["System"].isNotNull(), flatten(e)))
+    return let_any(event, lambda e: F.when(e["System"].isNotNull(), flatten(e)))
 
 
 def xml_line_json(line: Column) -> Column:
