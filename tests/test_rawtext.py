@@ -229,3 +229,16 @@ def test_families_by_row(spark):
     slow = OnePerRow(PLAN)
     for (line, name), row in zip(lines, out):
         assert row.line == slow.text(line, families_for(name)), (name, line)
+
+
+def test_text_and_sourcetype_are_looked_at_once(spark):
+    """What a lambda refers to is computed at each use: the lookup among all sourcetypes was made for each family."""
+    built = str(shift_text(F.col("the_text"), PLAN.affine(), sourcetype=F.col("the_kind")))
+    assert built.count("the_kind") == 1
+    assert built.count("the_text") == 2
+
+
+def test_private_mark_in_text_stays(spark):
+    texts = ["a \ue000 2016-08-10T00:00:05Z b\ue000", "\ue000", "2016-08-10T00:00:05Z"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(shift_text(F.col("t"), PLAN.affine()).alias("t"))
+    assert [r.t for r in rows.collect()] == [t.replace("2016", "2026") for t in texts]

@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and use it several times in ``body``."""
+    """Evaluate ``value`` once per row and use it several times in ``body``; the result must have an order.
+
+    The one element is taken as the greatest: an element by its place asks the whole expression below for its
+    type in every row, which costs more than most bodies do.
+    """
+    return F.array_max(F.transform(F.array(value), body))
+
+
+def let_any(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The same for results without an order, such as maps and variants."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 

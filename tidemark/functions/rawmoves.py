@@ -25,9 +25,9 @@ def quoted(text: str) -> str:
 
 
 def let(value: str, body: Callable[[str], str]) -> str:
-    """``body`` over a name for ``value``, which is computed once."""
+    """``body`` over a name for ``value``, which is computed once; see :func:`tidemark.functions.bind.let`."""
     name = f"v{next(_names)}"
-    return f"transform(array({value}), {name} -> {body(name)})[0]"
+    return f"array_max(transform(array({value}), {name} -> {body(name)}))"
 
 
 class Move:

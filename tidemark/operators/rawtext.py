@@ -21,7 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.affine import Affine
-from tidemark.functions.rawmoves import PUT, Move, let, quoted
+from tidemark.functions.bind import let
+from tidemark.functions.rawmoves import PUT, Move, quoted
+from tidemark.functions.rawmoves import let as let_sql
 from tidemark.plans.text_families import (
     ALL_FAMILIES,
     DEFAULT_FAMILIES,
@@ -33,12 +35,12 @@ from tidemark.plans.text_families import (
 )
 
 _HIT = "struct<start:int,stop:int,new:string>"
+_MARK = quoted("\ue000")
 
 
 def _matches(text: Column, family: str, wanted: Column | None) -> Column:
     """The matches of a family in a text, NULL where its sourcetype or a missing marker rules them out.
 
-    This part is compiled; a marker that several families need is looked for once.
     """
     tests = [] if wanted is None else [F.array_contains(wanted, family)]
     tests += [text.contains(marker) for marker in FAMILY_MARKERS[family]]
@@ -50,9 +52,11 @@ def _matches(text: Column, family: str, wanted: Column | None) -> Column:
 def _cut(family: str, row: str, move: Move) -> str:
     """The cut text of a family with matches: matches, new texts (NULL if unreadable), gaps; NULL without any."""
     hits = f"{row}.{family}"
+    regex = quoted(FAMILY_REGEX[family])
+    # split compiles its expression for every text, regexp_replace once a task; a text with the mark in it is rare
+    gaps = f"if(instr({row}.text, {_MARK}) > 0, split({row}.text, {regex}, -1), split(regexp_replace({row}.text, {regex}, {_MARK}), {_MARK}, -1))"
     cut = (
-        f"struct({quoted(family)} as family, {hits} as hits, transform({hits}, h -> {PUT[family]('h', move)}) as news, "
-        f"split({row}.text, {quoted(FAMILY_REGEX[family])}, -1) as gaps)"
+        f"struct({quoted(family)} as family, {hits} as hits, transform({hits}, h -> {PUT[family]('h', move)}) as news, {gaps} as gaps)"
     )
     return f"if(size({hits}) > 0, {cut}, null)"
 
@@ -65,18 +69,18 @@ def _claimed(cuts: str, row: str) -> str:
     places = (
         "aggregate(sequence(0, size(p.hits) - 1), "
         f"named_struct('at', 1, 'hits', cast(array() as array<{_HIT}>)), "
-        "(acc, i) -> transform(array(acc.at + length(p.gaps[i])), start -> named_struct("
+        "(acc, i) -> array_max(transform(array(acc.at + length(p.gaps[i])), start -> named_struct("
         "'at', start + length(p.hits[i]), 'hits', concat(acc.hits, array(named_struct("
-        "'start', start, 'stop', start + length(p.hits[i]), 'new', p.news[i])))))[0], acc -> acc.hits)"
+        "'start', start, 'stop', start + length(p.hits[i]), 'new', p.news[i])))))), acc -> acc.hits)"
     )
     readable = f"filter(flatten(transform({cuts}, p -> {places})), h -> h.new is not null)"
     taken = (
         f"array_sort(aggregate({readable}, cast(array() as array<{_HIT}>), (acc, h) -> "
         "if(exists(acc, t -> h.start < t.stop and h.stop > t.start), acc, concat(acc, array(h)))))"
     )
-    return let(taken, lambda c: (
-        f"if(size({c}) = 0, {row}.text, concat(array_join(transform({c}, (h, i) -> transform(array(if(i = 0, 1, {c}[greatest(i - 1, 0)].stop)), "
-        f"before -> concat(substring({row}.text, before, h.start - before), h.new))[0]), ''), substring({row}.text, {c}[size({c}) - 1].stop)))"
+    return let_sql(taken, lambda c: (
+        f"if(size({c}) = 0, {row}.text, concat(array_join(transform({c}, (h, i) -> array_max(transform(array(if(i = 0, 1, {c}[greatest(i - 1, 0)].stop)), "
+        f"before -> concat(substring({row}.text, before, h.start - before), h.new)))), ''), substring({row}.text, {c}[size({c}) - 1].stop)))"
     ))
 
 
@@ -96,7 +100,17 @@ def shift_text(
     by_row = sourcetype is not None
     tried = [f for f in ALL_FAMILIES if any(f in own for own in (DEFAULT_FAMILIES, *SOURCETYPE_FAMILIES.values()))] if by_row else list(families)
     fixed = not isinstance(plan.factor, Column)
-    wanted = families_by_sourcetype(sourcetype) if by_row else None
+    # the text and the families of the row are used many times, and what is used in a lambda is computed at each use
+    held = [text.alias("text")]
+    if by_row:
+        held.append(F.when(text.isNotNull(), families_by_sourcetype(sourcetype)).alias("families"))
+    return let(F.struct(*held), lambda t: _moved(t, plan, tried, by_row, fixed))
+
+
+def _moved(held: Column, plan: Affine, tried: Sequence[str], by_row: bool, fixed: bool) -> Column:
+    """The moved text of ``held``, a struct of the ``text`` and, if they differ by row, its ``families``."""
+    text = held["text"]
+    wanted = held["families"] if by_row else None
     fields = [
         text.alias("text"), plan.base.alias("base"), plan.new_base.alias("new_base"),
         (F.lit(None).cast("double") if fixed else plan.factor.cast("double")).alias("factor"),
@@ -111,10 +125,10 @@ def shift_text(
         fields.append(wanted.alias("families"))
         order = "cast(array_position(r.families, x.family) - array_position(r.families, y.family) as int)"
         ordered = f"array_sort(c, (x, y) -> {order})"
-    together = let("c[0]", lambda p: _TOGETHER.format(p=p))
+    together = let_sql("c[0]", lambda p: _TOGETHER.format(p=p))
     body = f"c -> case size(c) when 0 then r.text when 1 then {together} else {_claimed(ordered, 'r')} end"
-    whole = F.expr(f"r -> if(r.text is null or r.base is null, r.text, transform(array({cuts}), {body})[0])")
-    return F.get(F.call_function("transform", F.array(F.struct(*fields)), whole), F.lit(0))
+    whole = F.expr(f"r -> if(r.text is null or r.base is null, r.text, array_max(transform(array({cuts}), {body})))")
+    return F.array_max(F.call_function("transform", F.array(F.struct(*fields)), whole))
 
 
 def families_by_sourcetype(sourcetype: Column) -> Column:
@@ -129,7 +143,7 @@ def families_by_sourcetype(sourcetype: Column) -> Column:
     exact = ", ".join(f"{quoted(name)}, {names(families)}" for name, families in SOURCETYPE_FAMILIES.items())
     prefixed = " ".join(f"when startswith(s, {quoted(prefix)}) then {names(families)}" for prefix, families in PREFIX_FAMILIES.items())
     chosen = F.expr(f"s -> coalesce(try_element_at(map({exact}), s), case {prefixed} end, {names(DEFAULT_FAMILIES)})")
-    return F.get(F.call_function("transform", F.array(sourcetype), chosen), F.lit(0))
+    return F.array_max(F.call_function("transform", F.array(sourcetype), chosen))
 
 
 def shift_raw(

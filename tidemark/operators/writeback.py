@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import instants as I
 from tidemark.functions.affine import Affine
-from tidemark.functions.bind import computed_once, let, whole_div
+from tidemark.functions.bind import computed_once, let, let_any, whole_div
 from tidemark.operators.extract import INSTANTS, MATCHED, FieldReader, Found, instants
 from tidemark.operators.rawtext import shift_text
 from tidemark.plans.pattern_sets import Pattern
@@ -151,7 +151,7 @@ def put_instants(
         def with_key(m: Column, name: str, child) -> Column:
             flag = any_moved(child) if isinstance(child, dict) else child.us.isNotNull()
             added = F.create_map(F.lit(name), nothing)
-            return let(m, lambda x: F.when(
+            return let_any(m, lambda x: F.when(
                 flag & ~F.map_contains_key(x, F.lit(name)), F.map_concat(x, added)
             ).otherwise(x))
 
@@ -196,11 +196,11 @@ def shift_found(
     names = F.array(*[F.lit(f.field) for f in found])
 
     def as_map(us: str) -> Column:
-        entries = F.transform(
-            F.arrays_zip(names.alias("key"), F.col(us).alias("us")),
-            lambda e: F.struct(e["key"].alias("key"), F.timestamp_micros(e["us"]).alias("value")),
-        )
-        return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+        # most records have one or two of the fields
+        read = F.filter(F.arrays_zip(names.alias("key"), F.col(us).alias("us")), lambda e: e["us"].isNotNull())
+        return F.map_from_entries(F.transform(
+            read, lambda e: F.struct(e["key"].alias("key"), F.timestamp_micros(e["us"]).alias("value"))
+        ))
 
     def special(f: Found) -> bool:
         numeric = f.format in I.EPOCH_SECONDS or f.format in I.EPOCH_MILLIS
@@ -221,8 +221,7 @@ def shift_found(
         (F.size("new_timestamps") > 0) & (F.schema_of_variant(raw_value) == "STRING"),
         F.try_variant_get(raw_value, "$", "string"),
     )
-    moved = shift_text(raw, plan, DEFAULT_FAMILIES, kind)
-    staged = computed_once(staged.withColumn("_raw_new", moved), {"_raw_new": F.col("_raw_new")})
+    staged = computed_once(staged, {"_raw_new": shift_text(raw, plan, DEFAULT_FAMILIES, kind)})
     with_raw = F.transform_values(
         "_put", lambda k, v: F.when(k == raw_field, F.col("_raw_new").cast("variant")).otherwise(v)
     )
