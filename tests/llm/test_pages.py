@@ -187,6 +187,58 @@ def test_prose_beside_an_article(spark):
     assert all(NOTICE not in t and f"body {i}" in t for (i, _), t in found.items())
 
 
+@pytest.mark.parametrize("count, gone", [(9, False), (10, True), (300, True)])
+def test_what_a_host_puts_into_nearly_every_article_goes(spark, count, gone):
+    few = "this paragraph stands in half of the articles of the host and is a part of them"
+    def article(i):
+        return [f"title u{i}"] + [f"u{i}a u{i}b u{i}c u{i}d u{i}e u{i}f u{i}g u{i}h u{i}i u{i}j u{i}k u{i}l u{i}m u{i}n"] * 2 + ["See also"] + [few] * (i % 2)
+
+    rows = []
+    for i in range(count):
+        paragraphs = "".join(f"<p>{p}</p>" for p in article(i))
+        notice = f"<p>{NOTICE} u{i}</p>" if i % 10 != 7 else ""
+        rows.append((i, f"http://i.example/{i}", f"<nav>Home</nav><article>{paragraphs}{notice}</article>"))
+    found = texts(spark, rows)
+    for i, url, _ in rows:
+        left = "" if gone or i % 10 == 7 else f" {NOTICE} u{i}"
+        assert found[i, url] == " ".join(article(i)) + left
+
+
+def test_near_copies_of_an_article_stay_whole(spark):
+    same = "one article that stands on many pages of the host nearly word for word and must stay"
+    rows = [(i, f"http://k.example/{i}", f"<article><p>{same}</p><p>copy {i}</p></article>") for i in range(40)]
+    found = texts(spark, rows)
+    assert all(found[i, url] == f"{same} copy {i}" for i, url, _ in rows)
+
+
+def test_windows_of_articles_are_found_in_whatever_batches_they_come(spark):
+    import random
+
+    draw = random.Random(3)
+    common = [" ".join(draw.choice("abcdefgh") + str(k) for _ in range(draw.choice([5, 6, 9]))) for k in range(6)]
+    shares = [0.3, 0.6, 0.75, 0.85, 0.95, 1.0]
+    rows = []
+    for i in range(240):
+        own = " ".join(f"w{i}x{k}" for k in range(60))
+        parts = [c for c, share in zip(common, shares) if draw.random() < share]
+        host = draw.choice("xxxxyz")
+        rows.append((i, f"http://{host}.example/{i}", "<article>" + "".join(f"<p>{p}</p>" for p in [own, *parts]) + "</article>"))
+    rows += [(1000 + i, "http://x.example/copy", rows[0][2].replace(common[5], "")) for i in range(4)]
+    hosts = [pages.host_of(url) for _, url, _ in rows]
+    expected = []
+    for host, (_, _, page) in zip(hosts, rows):
+        mine = [p for h, (_, _, p) in zip(hosts, rows) if h == host]
+        kept = []
+        for b in markup.blocks(page):
+            holding = [p for p in mine if f"<p>{b.text}</p>" in p]
+            if len(holding) < 0.8 * len(mine) or len(set(holding)) < 0.8 * len(set(mine)):
+                kept.append(b.text)
+        expected.append(" ".join(kept))
+    for parts in (1, 7, 60):
+        df = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+        assert {r.page_id: r.text for r in pages.extract_text(df).collect()} == dict(zip([r[0] for r in rows], expected))
+
+
 def test_given_pages(spark):
     df = table(spark, "/root/testdata/sf0.001", "pages")
     source = {r.page_id: r.html for r in df.collect()}
