@@ -242,3 +242,30 @@ def test_private_mark_in_text_stays(spark):
     texts = ["a \ue000 2016-08-10T00:00:05Z b\ue000", "\ue000", "2016-08-10T00:00:05Z"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(shift_text(F.col("t"), PLAN.affine()).alias("t"))
     assert [r.t for r in rows.collect()] == [t.replace("2016", "2026") for t in texts]
+
+
+def test_a_match_that_stands_twice_is_taken_where_it_matches(spark):
+    plan = ShiftPlan(0, 86_400_000_000, 1.0, None).affine()
+    lines = ["T2024-01-01 00:00:00 2024-01-01 00:00:00", "2024-01-01 00:00:00", "é 2024-01-01 00:00:00 é", "12024-01-01 00:00:00, 2024-01-01 00:00:00"]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string")
+    found = [r[0] for r in rows.select(shift_text(F.col("line"), plan, ALL_FAMILIES)).collect()]
+    assert found == ["T2024-01-01 00:00:00 2024-01-02 00:00:00", "2024-01-02 00:00:00", "é 2024-01-02 00:00:00 é", "12024-01-01 00:00:00, 2024-01-02 00:00:00"]
+
+
+def test_what_is_no_day_is_told_before_the_cast(spark):
+    from tidemark.functions.rawmoves import _NOWHEN
+
+    clocks = [(f"{y}-{m:02}-{d:02}", "10:00:00") for y in (2023, 2024) for m in range(14) for d in range(34)]
+    clocks += [("2024-01-01", f"{h:02}:{m:02}:{s:02}") for h in (0, 9, 19, 20, 23, 24, 25, 30) for m in (0, 59, 60, 99) for s in (0, 59, 60, 61)]
+    rows = spark.createDataFrame([(f"{d}{t}{c}",) for d, c in clocks for t in " T"], "x string")
+    rows = rows.select("x", F.col("x").rlike(_NOWHEN).alias("none"), F.concat("x", F.lit("Z")).try_cast("timestamp").isNull().alias("unread"))
+    # left to the cast is only the 29th of February
+    assert {r.x[:10] for r in rows.filter("none <> unread").collect()} == {"2023-02-29"}
+
+
+def test_rows_of_one_row_group_are_dealt_over_the_cores(spark):
+    from tidemark.queries import load
+
+    moved = load()[0]["raw_text_overlap"](spark, "/root/testdata/sf0.01")
+    sizes = [r[1] for r in moved.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < sum(sizes) / 4

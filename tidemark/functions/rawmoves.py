@@ -82,9 +82,25 @@ class Move:
         return let(new, lambda m: f"if({m} between {FIRST_MICRO}L and {LAST_MICRO}L, least({m}, {self.plan}.ceiling), null)")
 
 
+# days and times that do not exist, but for the 29th of February
+_NOWHEN = (
+    r"(?s)^[0-9]{4}-(?=[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2})"
+    r"(?:00|1[3-9]|[2-9]|..-(?:00|3[2-9]|[4-9])|02-3|(?:0[469]|11)-31|.{6}(?:2[4-9]|[3-9])|.{9}[6-9]|.{12}[6-9]).*"
+)
+
+
+def _utc(text: str) -> str:
+    """Microseconds of an instant in UTC without its zone; NULL if it is none.
+
+    What cannot be a day or a time is not given to the cast: that raises an error inside, which costs more than
+    all the rest of a match.
+    """
+    return f"unix_micros(try_cast(regexp_replace(concat({text}, 'Z'), {quoted(_NOWHEN)}, '') as timestamp))"
+
+
 def _wall(text: str) -> str:
     """Microseconds of ``yyyy-MM-dd HH:mm:ss[.f]`` in UTC."""
-    read = f"unix_micros(try_cast(concat({text}, 'Z') as timestamp))"
+    read = _utc(text)
     return let(read, lambda t: f"if({t} between {FIRST_MICRO}L and {LAST_MICRO}L, {t}, null)")
 
 
@@ -123,7 +139,7 @@ def _iso8601(x: str, move: Move) -> str:
 
         def moved(offset: str) -> str:
             taken_apart = f"{_wall(clock)} + if({midnight}, {_DAY}L, 0L) - {offset}"
-            wall = f"coalesce(if({offset} = 0, unix_micros(try_cast(concat(left({x}, length({x}) - length({zone})), 'Z') as timestamp)), null), {taken_apart})"
+            wall = f"coalesce(if({offset} = 0, {_utc(f'left({x}, length({x}) - length({zone}))')}, null), {taken_apart})"
             return let(f"{move(wall)} + {offset}", lambda new: let(
                 f"date_format(timestamp_micros({_inside(new)}), {quoted(chr(39).join(['yyyy-MM-dd', 'T', 'HH:mm:ssSSSSSS']))})",
                 # a zero offset is printed with a plus

@@ -53,8 +53,12 @@ def _cut(family: str, row: str, move: Move) -> str:
     """The cut text of a family with matches: matches, new texts (NULL if unreadable), gaps; NULL without any."""
     hits = f"{row}.{family}"
     regex = quoted(FAMILY_REGEX[family])
+    # a lone match that stands once in the text is cut out by its place; looking for it again as a pattern is far dearer
+    around = f"array(substring_index({row}.text, {hits}[0], 1), substring_index({row}.text, {hits}[0], -1))"
+    once = let_sql(around, lambda g: f"if(octet_length({g}[0]) + octet_length({hits}[0]) + octet_length({g}[1]) = octet_length({row}.text), {g}, null)")
     # split compiles its expression for every text, regexp_replace once a task; a text with the mark in it is rare
     gaps = f"if(instr({row}.text, {_MARK}) > 0, split({row}.text, {regex}, -1), split(regexp_replace({row}.text, {regex}, {_MARK}), {_MARK}, -1))"
+    gaps = f"coalesce(if(size({hits}) = 1, {once}, null), {gaps})"
     cut = (
         f"struct({quoted(family)} as family, {hits} as hits, transform({hits}, h -> {PUT[family]('h', move)}) as news, {gaps} as gaps)"
     )

@@ -13,7 +13,7 @@ from tidemark.functions import instants as I
 from tidemark.operators.rawtext import shift_raw, shift_text
 from tidemark.plans.text_families import ALL_FAMILIES
 from tidemark.queries.registry import (
-    BOUNDS_SQL, MILLI_SQL, SECOND_SQL, clock, events, milli, move, moved_sql, query, second, table,
+    BOUNDS_SQL, MILLI_SQL, SECOND_SQL, clock, events, milli, move, moved_sql, query, second, spread, table,
 )
 
 
@@ -125,7 +125,7 @@ FROM events, b"""
             _line(family), F.lit(" user "), F.col("user_id"), F.lit(' {"k": 1472056400} '),
             F.lit("end") if family == "syslog" else _line(family),
         )
-        rows = events(spark, sf_dir).select("event_id", line.alias("line"))
+        rows = spread(events(spark, sf_dir).select("event_id", "user_id", "us")).select("event_id", line.alias("line"))
         moved = shift_text(F.col("line"), move(spark, sf_dir), ALL_FAMILIES)
         return rows.select("event_id", moved.alias("line"))
 
@@ -163,7 +163,7 @@ def _mixed_sql() -> str:
 def raw_text_by_sourcetype(spark, sf_dir):
     """Only the notations a sourcetype can contain are moved."""
     names = F.array(*[F.lit(n) for n in _MOVED_BY])
-    rows = events(spark, sf_dir).select(
+    rows = spread(events(spark, sf_dir).select("event_id", "us")).select(
         "event_id",
         F.get(names, F.pmod("event_id", F.lit(len(_MOVED_BY))).cast("int")).alias("sourcetype"),
         F.concat_ws(" | ", *[_line(f) for f in _MIXED]).alias("line"),
@@ -182,7 +182,7 @@ def raw_text_overlap(spark, sf_dir):
         F.lit(" d 2024-02-30T10:00:00Z e 99/99/2024 10:00:00 f "), _line("datetime"),
         F.lit(" g "), _seconds(second(F.col("us"))),
     )
-    rows = events(spark, sf_dir).select("event_id", line.alias("line"))
+    rows = spread(events(spark, sf_dir).select("event_id", "us")).select("event_id", line.alias("line"))
     moved = shift_text(F.col("line"), move(spark, sf_dir), ALL_FAMILIES)
     return rows.select("event_id", moved.alias("line"))
 

@@ -68,6 +68,16 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("us", F.unix_micros("ts"))
 
 
+def spread(rows: DataFrame, key: str = "event_id") -> DataFrame:
+    """Rows dealt evenly over the cores, for expressions that cost far more a row than an exchange of it.
+
+    A scan has no more tasks than row groups, and a row group holds a million events.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, key)
+
+
 def bounds(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     return require_range(table(spark, sf_dir, "events"), [F.col("ts")])
 
