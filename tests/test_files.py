@@ -374,3 +374,15 @@ def test_numbers_of_each_batch(spark, tmp_path):
     assert sum(b["instants_in_future"] for b in numbers.batches) == 1 + 4
     assert sum(b["instants_at_ceiling"] for b in numbers.batches) == 2
     assert max(b["new_latest"] for b in numbers.batches) == datetime(2025, 6, 3, 13)
+
+
+@pytest.mark.parametrize("name", ["scan_json_documents", "scan_xml"])
+def test_documents_lie_side_by_side(spark, monkeypatch, tmp_path, name):
+    from tidemark.queries import file_queries, load
+
+    monkeypatch.setattr(file_queries, "scratch", lambda spark: f"file:{tmp_path}/documents")
+    found = load()[0][name](spark, "/root/testdata/sf0.001")
+    events = found.count()
+    inside = [p for p in (tmp_path / "documents").iterdir() if p.name.startswith("part-")]
+    # a file per hundred events, and no folder that has to be made, moved and listed
+    assert events == 1000 and len(inside) == 10 and all(p.is_file() for p in inside)

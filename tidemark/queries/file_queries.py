@@ -72,6 +72,11 @@ def scan_padded_lines(spark, sf_dir):
     return read.select(*[F.try_variant_get(F.col("data")[c], "$", "bigint").alias(c) for c in ("event_id", "user_id")])
 
 
+def _write_documents(documents, folder):
+    """A file per row. They lie side by side: a folder for each would have to be made, moved and listed as well."""
+    documents.write.option("maxRecordsPerFile", 1).text(folder)
+
+
 @query("scan_json_documents", "SELECT event_id, user_id FROM events")
 def scan_json_documents(spark, sf_dir):
     """Whole-file JSON: arrays (with items that are not objects) and single objects."""
@@ -82,7 +87,7 @@ def scan_json_documents(spark, sf_dir):
     several = F.concat(F.lit("[7,"), F.array_join("items", ",\n"), F.lit("]"))
     text = F.when(F.size("items") == 1, F.get("items", 0)).otherwise(several)
     folder = scratch(spark)
-    grouped.select("document", text.alias("value")).write.partitionBy("document").text(folder)
+    _write_documents(grouped.select(text.alias("value")), folder)
     read = readers.read_json_documents(spark, folder)
     return read.select(*[F.try_variant_get(F.col("data")[c], "$", "bigint").alias(c) for c in ("event_id", "user_id")])
 
@@ -133,7 +138,7 @@ def scan_xml(spark, sf_dir):
     grouped = events(spark, sf_dir).groupBy(document).agg(F.collect_list(element).alias("e"))
     text = F.concat(F.lit("<log>\n"), F.array_join("e", "\n"), F.lit("</log>"))
     folder = scratch(spark)
-    grouped.select("document", text.alias("value")).write.partitionBy("document").text(folder)
+    _write_documents(grouped.select(text.alias("value")), folder)
     read = readers.read_xml(spark, folder, schema="id string, kind string, tag array<string>")
     return read.select(
         *[F.try_variant_get(F.col("data")[c], "$", "string").alias(c) for c in ("id", "kind")],
