@@ -386,3 +386,19 @@ def test_documents_lie_side_by_side(spark, monkeypatch, tmp_path, name):
     inside = [p for p in (tmp_path / "documents").iterdir() if p.name.startswith("part-")]
     # a file per hundred events, and no folder that has to be made, moved and listed
     assert events == 1000 and len(inside) == 10 and all(p.is_file() for p in inside)
+
+
+def test_instants_without_records_equal_those_of_the_shift(spark):
+    plan = ShiftPlan(0, 86_400_000_000, 2.0, None).affine()
+    lines = ['{"timestamp":"2024-01-01T00:00:00Z","_raw":"2024-01-01 00:00:00","type":"a"}', '{"type":"b"}', '{"timestamp":"no"}', "broken", "", '{"timestamp":1704067200}']
+    rows = spark.createDataFrame([(x,) for x in lines], "line string")
+    light = replay_stream.json_line_instants(rows, plan, [Pattern("timestamp")])
+    whole = replay_stream.shift_json_lines(rows, plan, [Pattern("timestamp")])
+
+    def found(df):
+        return sorted((str(r.timestamps), str(r.new_timestamps)) for r in df.select("timestamps", "new_timestamps").collect())
+
+    assert found(light) == found(whole) and len(found(light)) == 4
+    # the record is left as it was read
+    kept = light.select(F.try_variant_get(F.col("data")["_raw"], "$", "string")).collect()
+    assert "2024-01-01 00:00:00" in {r[0] for r in kept}

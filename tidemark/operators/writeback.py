@@ -184,15 +184,13 @@ def shift_records(
     return shift_found(staged, found, plan, data, raw_field, sourcetype, keep_encoding)
 
 
-def shift_found(
-    df: DataFrame,
-    found: Sequence[Found],
-    plan: Affine,
-    data: str = "data",
-    raw_field: str = "_raw",
-    sourcetype: str | None = None,
-    keep_encoding: bool = False,
-) -> DataFrame:
+def moved_instants(df: DataFrame, found: Sequence[Found], plan: Affine) -> DataFrame:
+    """Add ``timestamps`` and ``new_timestamps``, the old and new instants by field; records are left as they are."""
+    staged = _moved_once(df, found, plan)
+    return staged.drop("_old", "_new", INSTANTS, MATCHED)
+
+
+def _moved_once(df: DataFrame, found: Sequence[Found], plan: Affine) -> DataFrame:
     names = F.array(*[F.lit(f.field) for f in found])
 
     def as_map(us: str) -> Column:
@@ -202,14 +200,28 @@ def shift_found(
             read, lambda e: F.struct(e["key"].alias("key"), F.timestamp_micros(e["us"]).alias("value"))
         ))
 
+    # the readings and the moved instants are computed once each
+    staged = computed_once(df, {"_old": F.array(*[f.us for f in found])})
+    staged = computed_once(staged, {"_new": F.transform("_old", plan)})
+    staged = computed_once(staged, {"timestamps": as_map("_old"), "new_timestamps": as_map("_new")})
+    return staged
+
+
+def shift_found(
+    df: DataFrame,
+    found: Sequence[Found],
+    plan: Affine,
+    data: str = "data",
+    raw_field: str = "_raw",
+    sourcetype: str | None = None,
+    keep_encoding: bool = False,
+) -> DataFrame:
     def special(f: Found) -> bool:
         numeric = f.format in I.EPOCH_SECONDS or f.format in I.EPOCH_MILLIS
         return "." in f.field or bool(f.hits) or (keep_encoding and numeric)
 
-    # the readings, the moved instants and the text are computed once each
-    staged = computed_once(df, {"_old": F.array(*[f.us for f in found])})
-    staged = computed_once(staged, {"_new": F.transform("_old", plan)})
-    staged = computed_once(staged, {"timestamps": as_map("_old"), "new_timestamps": as_map("_new")})
+    # so are the moved record and its text
+    staged = _moved_once(df, found, plan)
     apart = [
         replace(f, us=F.get(F.col("_new"), F.lit(i))) for i, f in enumerate(found) if special(f)
     ]

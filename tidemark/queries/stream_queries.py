@@ -10,7 +10,7 @@ from tidemark.functions.timeexpr import micros
 from tidemark.plans.pattern_sets import Pattern
 from tidemark.plans.shift_plan import ShiftPlan
 from tidemark.queries.registry import (
-    BOUNDS_SQL, RUN_SQL, RUN_US, bounds, clock, events, move, moved_sql, query, scratch, second,
+    BOUNDS_SQL, RUN_SQL, RUN_US, bounds, clock, events, move, moved_sql, query, scratch, second, spread,
 )
 from tidemark.streaming import replay_stream as R
 
@@ -111,11 +111,15 @@ def stream_event_rate(spark, sf_dir):
     and are left out.
     """
     folder, out = scratch(spark), scratch(spark)
-    rows = _text(events(spark, sf_dir))
+    rows = _text(spread(events(spark, sf_dir).select("event_id", "event_type", "us")))
     first = bounds(spark, sf_dir)[0] + 86_400_000_000
     for part in (rows, rows.filter(F.col("us") < first)):
         part.select("value").write.mode("append").text(folder)
-        moved = _moved(R.stream_lines(spark, folder), move(spark, sf_dir))
+        # a rate needs the new instants, not the rewritten records
+        moved = R.json_line_instants(R.stream_lines(spark, folder), move(spark, sf_dir), [Pattern("timestamp")])
+        moved = moved.select(
+            F.try_variant_get(F.col("data")["type"], "$", "string").alias("type"), F.col("new_timestamps")["timestamp"].alias("new_ts"),
+        )
         rate = R.event_rate(moved, "new_ts", "6 hours", "12 hours", ["type"])
         job = rate.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{out}-state")
         job.trigger(availableNow=True).start(out).awaitTermination()

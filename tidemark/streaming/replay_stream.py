@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from tidemark.functions.affine import Affine
-from tidemark.operators.extract import instants, json_object, map_reader
+from tidemark.operators.extract import Found, instants, json_object, map_reader
 from tidemark.operators.rawtext import shift_raw
 from tidemark.operators.stats import replayed_statistics
-from tidemark.operators.writeback import shift_found
+from tidemark.operators.writeback import moved_instants, shift_found
 from tidemark.plans.pattern_sets import Pattern
 
 
@@ -35,12 +35,21 @@ def shift_json_lines(
     lines: DataFrame, plan: Affine, patterns: Sequence[Pattern], sourcetype: str | None = None
 ) -> DataFrame:
     """Replay JSON lines: ``data``, ``timestamps``, ``new_timestamps`` and the new ``line``."""
-    parsed = lines.withColumn("data", F.explode(F.array_compact(F.array(json_object(F.col("line"))))))
-    staged, found = instants(parsed, map_reader(F.col("data")), patterns)
+    staged, found = _instants(lines, patterns)
     moved = shift_found(staged, found, plan, sourcetype=sourcetype)
     return moved.withColumn("line", F.to_json("data"))
 
 
+def json_line_instants(lines: DataFrame, plan: Affine, patterns: Sequence[Pattern]) -> DataFrame:
+    """The same instants without the rewritten records, for numbers about them: ``data`` as read, ``timestamps``, ``new_timestamps``."""
+    return moved_instants(*_instants(lines, patterns), plan)
+
+
+def _instants(lines: DataFrame, patterns: Sequence[Pattern]) -> tuple[DataFrame, list[Found]]:
+    parsed = lines.withColumn("data", F.explode(F.array_compact(F.array(json_object(F.col("line"))))))
+    return instants(parsed, map_reader(F.col("data")), patterns)
+
+
 def running_statistics(
     shifted: DataFrame, old: Column, new: Column, plan: Affine | None = None, run_time: int | None = None
 ) -> DataFrame:
