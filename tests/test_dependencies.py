@@ -178,3 +178,21 @@ def test_defaults_around_a_cycle(spark):
     assert rows["c"] == {("a", "a"), ("c", "c"), ("who", "c")}
     none = spark.createDataFrame([], PLACED)
     assert len(D.merged_defaults(none, spark.createDataFrame(entries, ENTRIES)).collect()) == 8
+
+
+def test_tables_of_datasets_are_not_sent_through_the_driver(spark, monkeypatch):
+    plans, written = [], D.cut_lineage
+    appended = D._Levels.append
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(D, "cut_lineage", lambda df: written(seen(df)))
+    monkeypatch.setattr(D._Levels, "append", lambda self, df: appended(self, seen(df)))
+    monkeypatch.setattr(D, "merged_settings", lambda entries, keys: entries.select(*keys, "path", "value"))
+    edges = spark.createDataFrame([(i, i // 3, 0) for i in range(1, 40)], "dataset long, dependency long, position int")
+    own = spark.createDataFrame([(i, "a", str(i)) for i in range(40)], "dataset long, path string, value string")
+    assert D.merged_defaults(edges, own).count() > 0
+    joins = [p for p in plans if "Join" in p]
+    assert joins and not [p for p in joins if "BroadcastHashJoin" in p]

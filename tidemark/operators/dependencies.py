@@ -169,6 +169,14 @@ def resolve_versions(releases: DataFrame, dependencies: DataFrame, roots: DataFr
 # --- defaults ---
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is shuffled: a table that grows with the datasets is not sent through the driver.
+
+    Each would be small enough for a broadcast for a while, but there are several in every level.
+    """
+    return df.hint("merge")
+
+
 def merge_heights(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``dataset, height`` of datasets with dependencies, and the ``edges`` that count.
 
@@ -182,17 +190,17 @@ def merge_heights(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     left, heights = edges, _Levels(edges.sparkSession, "tidemark-heights", _schema(edges, "dataset"))
     while not left.isEmpty():
         above = left.select(F.col("dataset").alias("dependency")).distinct()
-        waiting = left.join(above, "dependency", "left_semi").select("dataset").distinct()
-        ready = left.select("dataset").distinct().join(waiting, "dataset", "left_anti")
+        waiting = left.join(_dealt(above), "dependency", "left_semi").select("dataset").distinct()
+        ready = left.select("dataset").distinct().join(_dealt(waiting), "dataset", "left_anti")
         ready = cut_lineage(ready)
         if not ready.isEmpty():
             heights.append(ready)
-            left = cut_lineage(left.join(ready, "dataset", "left_anti"))
+            left = cut_lineage(left.join(_dealt(ready), "dataset", "left_anti"))
             continue
         back = dependency_closure(left).filter("depth > 0").select(F.col("root").alias("dependency"), "dataset")
-        closing = left.join(back, ["dataset", "dependency"], "left_semi").filter("dependency >= dataset").select("dataset", "dependency").distinct()
-        left = cut_lineage(left.join(closing, ["dataset", "dependency"], "left_anti"))
-        edges = cut_lineage(edges.join(closing, ["dataset", "dependency"], "left_anti"))
+        closing = left.join(_dealt(back), ["dataset", "dependency"], "left_semi").filter("dependency >= dataset").select("dataset", "dependency").distinct()
+        left = cut_lineage(left.join(_dealt(closing), ["dataset", "dependency"], "left_anti"))
+        edges = cut_lineage(edges.join(_dealt(closing), ["dataset", "dependency"], "left_anti"))
     if not heights.count:
         heights.append(edges.select("dataset").limit(0))
     return heights.whole().select("dataset", (F.col("level") + 1).alias("height")), edges
@@ -212,14 +220,14 @@ def merged_defaults(edges: DataFrame, entries: DataFrame) -> DataFrame:
     heights = cut_lineage(heights)
     own = cut_lineage(entries.select("dataset", "path", "value", F.lit(LAST).alias("priority")))
     merged = _Levels(entries.sparkSession, "tidemark-defaults", _schema(own, "dataset", "path", "value"))
-    lowest = own.join(heights.select("dataset"), "dataset", "left_anti")
+    lowest = own.join(_dealt(heights.select("dataset")), "dataset", "left_anti")
     merged.append(merged_settings(lowest, ["dataset"]))
     top = heights.agg(F.max("height")).first()[0] or 0
-    placed = edges.join(heights, "dataset")
+    placed = edges.join(_dealt(heights), "dataset")
     for height in range(1, top + 1):
         here = placed.filter(F.col("height") == height).select("dataset", "dependency", F.col("position").cast("int").alias("priority"))
         below = merged.whole().select(F.col("dataset").alias("dependency"), "path", "value")
-        inherited = here.join(below, "dependency").select("dataset", "path", "value", "priority")
-        mine = own.join(heights.filter(F.col("height") == height), "dataset", "left_semi")
+        inherited = here.join(_dealt(below), "dependency").select("dataset", "path", "value", "priority")
+        mine = own.join(_dealt(heights.filter(F.col("height") == height)), "dataset", "left_semi")
         merged.append(merged_settings(inherited.unionByName(mine), ["dataset"]))
     return merged.whole().select("dataset", "path", "value")
