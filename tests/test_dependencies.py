@@ -1,8 +1,15 @@
 """Closures, versions and merged defaults against plain Python on small graphs."""
 
+import itertools
 import random
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from tidemark.functions import versions as V
+from tidemark.functions.bind import computed_once
 from tidemark.operators import dependencies as D
+from tidemark.operators import rounds as R
 
 EDGES = "dataset string, dependency string"
 PLACED = "dataset string, dependency string, position int"
@@ -111,6 +118,121 @@ def test_nothing_to_resolve(spark):
     assert resolve(spark, [], [], [("a", "*"), (None, "*")]) == ({("a", "a"): (None, "missing")}, {("a", "a", "*", "missing")})
 
 
+FITS = {"*": lambda v: True, ">=1.9.0": lambda v: v >= (1, 9, 0), "<10.0.0": lambda v: v < (10, 0, 0), "<=2.0.0": lambda v: v <= (2, 0, 0)}
+
+
+def by_number(text):
+    return tuple(map(int, text.split(".")))
+
+
+def random_catalog(seed, n=25):
+    rng = random.Random(seed)
+    names = [f"d{i:02d}" for i in range(n)]
+    texts = {d: sorted(rng.sample(["1.0.0", "1.9.0", "1.10.0", "2.0.0", "2.1.0", "10.0.0"], rng.randrange(4)), key=by_number) for d in names}
+    needs = [(d, v, rng.choice(names), rng.choice([*FITS])) for d in names for v in texts[d] for _ in range(rng.randrange(4))]
+    return texts, needs
+
+
+def plain_rounds(texts, needs, root, start=("*",)):
+    """Constraints with the round that met them, and the release of each dataset."""
+    met, new, level = {}, {(root, c) for c in start}, 0
+    while new:
+        met |= dict.fromkeys(new, level)
+        chosen = {}
+        for name in {d for d, _ in met}:
+            allowed = [v for v in texts.get(name, ()) if all(FITS[c](by_number(v)) for d, c in met if d == name)]
+            chosen[name] = max(allowed, key=by_number, default=None)
+        new, level = {(d, c) for n, v, d, c in needs if chosen.get(n) == v} - set(met), level + 1
+    return met, chosen
+
+
+def test_small_blocks_settle_like_plain_rounds(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK", 3)
+    texts, needs = random_catalog(11)
+    roots = [*texts, *texts, "alone"]
+    starts = {root: ["<10.0.0", ">=1.9.0"] if i % 4 == 0 else ["*"] for i, root in enumerate(texts)} | {"alone": ["*"]}
+    resolution = D.resolve_versions(
+        spark.createDataFrame([(d, v) for d in texts for v in texts[d]] * 2, "dataset string, version string"),
+        spark.createDataFrame(needs * 2, "dataset string, version string, dependency string, constraint string"),
+        spark.createDataFrame([(r, c) for r in roots for c in starts[r]], "dataset string, constraint string"),
+    )
+    assert resolution.blocks.select("block").distinct().count() >= 9
+    datasets, constraints, conflicts = [], [], []
+    for root in starts:
+        met, chosen = plain_rounds(texts, needs, root, starts[root])
+        constraints += [(root, d, c, level) for (d, c), level in met.items()]
+        for d, version in chosen.items():
+            problem = None if version else "conflict" if texts.get(d) else "missing"
+            datasets.append((root, d, version, sum(d == e for e, _ in met), problem))
+            conflicts += [(root, d, c, problem) for e, c in met if d == e and problem]
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    assert order(resolution.datasets.collect()) == order(datasets)
+    assert order(resolution.constraints.collect()) == order(constraints)
+    assert order(resolution.conflicts().collect()) == order(conflicts)
+
+
+def test_rounds_are_no_jobs(spark, monkeypatch):
+    """A chain of 40 takes 40 rounds; what a block can meet is brought together without following them."""
+    written, appended, levels = D.cut_lineage, D._Levels.append, []
+    monkeypatch.setattr(D, "cut_lineage", lambda df: (levels.append(1), written(df))[1])
+    monkeypatch.setattr(D._Levels, "append", lambda self, df: (levels.append(1), appended(self, df))[1])
+    releases = [(f"c{i:02d}", "1.0.0") for i in range(41)]
+    needs = [(f"c{i:02d}", "1.0.0", f"c{i + 1:02d}", "*") for i in range(40)]
+    rows, _ = resolve(spark, releases, needs, [(d, "*") for d, _ in releases])
+    assert len(rows) == 41 * 42 // 2 and {*rows.values()} == {("1.0.0", None)}
+    assert len(levels) < 20
+
+
+def test_roots_that_meet_too_much_are_taken_in_parts(monkeypatch):
+    texts, needs = random_catalog(3)
+    asked = {(d, c) for *_, d, c in needs} | {(d, "*") for d in texts}
+
+    def ranks(d, c):
+        fit = [i + 1 for i, v in enumerate(texts[d]) if FITS[c](by_number(v))]
+        return {"constraint": c, "low": min(fit, default=1), "high": max(fit, default=0)}
+
+    rows = [
+        {"dataset": d, "versions": texts[d], "asked": ["*"], "asks": [ranks(d, c) for e, c in sorted(asked) if d == e],
+         "needs": [{"rank": texts[d].index(v) + 1, "dependency": e, "constraint": c} for n, v, e, c in needs if n == d] or None}
+        for d in texts
+    ]
+    need = pa.struct([("rank", pa.int32()), ("dependency", pa.string()), ("constraint", pa.string())])
+    ask = pa.struct([("constraint", pa.string()), ("low", pa.int32()), ("high", pa.int32())])
+    lists = {"versions": pa.string(), "needs": need, "asks": ask, "asked": pa.string()}
+    schema = pa.schema([("dataset", pa.string()), *((n, pa.list_(t)) for n, t in lists.items())])
+    batch = pa.RecordBatch.from_pylist(rows, schema)
+    parts = {}
+    for held in (1000, 1):
+        monkeypatch.setattr(R, "HELD", held)
+        block = R.Block(iter([batch.slice(0, 9), batch.slice(9)]))
+        found = [*block.settled(0, len(block.roots))]
+        parts[held] = [sorted((row for s in found for row in zip(*(c.to_pylist() for c in getattr(s, part)()))), key=str) for part in ("datasets", "constraints", "conflicts")]
+        assert len(found) == (1 if held > 1 else len(texts))
+    assert parts[1] == parts[1000]
+    assert {(r, d, v) for r, d, v, *_ in parts[1][0]} == {(r, d, v) for r in texts for d, v in plain_rounds(texts, needs, r)[1].items()}
+
+
+def test_numbers_read_once_satisfy_the_same_side_by_side(spark):
+    big = "99999999999999999999"
+    texts = ["1.0.0", "v1.2.3", "vv1.2.3", "V1.2.3", "1.2", "1.2.3-rc1", "1.2.3-", "1.2.3-x", "1.2.3\n", f"{big}.0.0", f"1.{big}.0", "", "x", " 1.2.3",
+             "01.02.03", "1.x", "1.X", "1.2.x", f"{big}.x", "1.x.x", "1.10.0", "1.9.0", "2.0.0", "*", "about 1"]
+    operators = ["", "^", "~", ">=", "<=", ">", "<", "=", "==", "=>", "v", " >"]
+    pairs = [(v, o + c) for v, o, c in itertools.product(texts, operators, texts)] + [(None, "*"), ("1.0.0", None)]
+    df = spark.createDataFrame(pairs, "version string, constraint string")
+    df = computed_once(df, {"v": V.number_text(F.col("version")), "c": V.bound_text(F.col("constraint"))})
+    df = D.cut_lineage(df.select("version", "constraint", V.numbers(F.col("v")).alias("v"), V.numbers(F.col("c")).alias("c")))
+    assert df.filter(~F.col("v").eqNullSafe(V.semver(F.col("version")))).isEmpty()
+    fits = V.meets(F.col("v"), F.col("constraint"), F.col("c"))
+    rows = D.cut_lineage(df.withColumn("fits", fits))
+    assert rows.filter(~F.col("fits").eqNullSafe(V.satisfies(F.col("version"), F.col("constraint")))).isEmpty()
+    place = {r.version: i for i, r in enumerate(rows.select("v", "version").distinct().filter("version IS NOT NULL").orderBy("v", "version").collect())}
+    allowed = {}
+    for row in rows.filter("fits").collect():
+        if row.version is not None:
+            allowed.setdefault(row.constraint, set()).add(place[row.version])
+    assert len(allowed) > 50 and all(max(found) - min(found) + 1 == len(found) for found in allowed.values())
+
+
 def deep(base, override):
     out = dict(base)
     for key, value in override.items():

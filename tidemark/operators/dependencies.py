@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.versions import satisfies, semver
+from tidemark.functions.bind import computed_once
+from tidemark.functions.versions import bound_text, meets, number_text, numbers
 from tidemark.operators.lookups import merged_settings
+from tidemark.operators.rounds import rows_of
 from tidemark.session import cut_lineage, shared_path
 
 LAST = 2**31 - 1
+# roots that are resolved together: at most, and at least if there are as many
+BLOCK, LEAST = 8192, 256
 
 
 class _Levels:
@@ -52,7 +54,7 @@ def dependency_closure(edges: DataFrame, roots: DataFrame | None = None) -> Data
     edges = edges.select("dataset", "dependency").filter("dataset IS NOT NULL AND dependency IS NOT NULL")
     edges = cut_lineage(edges.filter("dataset <> dependency").distinct())
     if roots is not None:
-        return _walk(edges, roots)
+        return _walk(edges, roots.select(F.col("dataset").alias("root"), "dataset").filter("dataset IS NOT NULL").distinct())
     start = edges.select(F.col("dataset").alias("root"), "dataset", F.lit(0).alias("depth")).distinct()
     first = edges.select(F.col("dataset").alias("root"), F.col("dependency").alias("dataset"), F.lit(1).alias("depth"))
     known, reach = cut_lineage(start.unionByName(first)), 1
@@ -66,8 +68,7 @@ def dependency_closure(edges: DataFrame, roots: DataFrame | None = None) -> Data
             return known
 
 
-def _walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    start = roots.select(F.col("dataset").alias("root"), "dataset").filter("dataset IS NOT NULL").distinct()
+def _walk(edges: DataFrame, start: DataFrame) -> DataFrame:
     met = _Levels(edges.sparkSession, "tidemark-closure", _schema(start, "root", "dataset"))
     level = met.append(start)
     while not level.isEmpty():
@@ -79,16 +80,54 @@ def _walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
 # --- versions ---
 
 
-class Resolution(NamedTuple):
-    """``datasets``: ``root, dataset, version, constraints, problem``; ``constraints``: ``root, dataset, constraint, level``."""
+class Resolution:
+    """What a resolution settles on; each part is worked out when it is asked for."""
+
+    def __init__(self, blocks: DataFrame):
+        self.blocks = blocks
+
+    @property
+    def datasets(self) -> DataFrame:
+        """``root, dataset, version, constraints, problem``"""
+        return self._part("datasets", "version string, constraints long, problem string")
 
-    datasets: DataFrame
-    constraints: DataFrame
+    @property
+    def constraints(self) -> DataFrame:
+        """``root, dataset, constraint, level``: a row per constraint that was met, and the round that met it."""
+        return self._part("constraints", "constraint string, level int")
 
     def conflicts(self) -> DataFrame:
         """``root, dataset, constraint, problem``: a row per constraint of a dataset that has no fitting release."""
-        bad = self.datasets.filter("problem IS NOT NULL").select("root", "dataset", "problem")
-        return self.constraints.drop("level").join(bad, ["root", "dataset"])
+        return self._part("conflicts", "constraint string, problem string")
+
+    def _part(self, part: str, columns: str) -> DataFrame:
+        key = self.blocks.schema["dataset"].dataType
+        schema = T.StructType([T.StructField("root", key), T.StructField("dataset", key), *T._parse_datatype_string(columns).fields])
+        return self.blocks.groupBy("block").applyInArrow(rows_of(part, schema.fieldNames()), schema)
+
+
+def _block_size(spark: SparkSession, roots: int) -> int:
+    """Roots of a block: few enough that every core has some blocks, if they are not too small then."""
+    return min(BLOCK, max(LEAST, -(-roots // (4 * spark.sparkContext.defaultParallelism))))
+
+
+def _blocks(edges: DataFrame, roots: DataFrame, size: int) -> DataFrame:
+    """``block, dataset``: the ``roots`` in blocks of up to ``size`` that have much of their dependencies in common.
+
+    Each dataset points to the dependency that has the fewest dependents; roots are sorted by where 16, 8,
+    4, 2 and 1 of these steps lead, and cut into blocks. It is the work that depends on the order, not the result.
+    """
+    uses = edges.groupBy("dependency").agg(F.count(F.lit(1)).alias("uses"))
+    rarest = F.min(F.struct("uses", "dependency"))["dependency"].alias("up1")
+    ways, steps = cut_lineage(edges.join(uses, "dependency").groupBy("dataset").agg(rarest)), 1
+    while steps < 16:
+        last, further = f"up{steps}", f"up{2 * steps}"
+        onward = ways.select(F.col("dataset").alias(last), F.col(last).alias("onward"))
+        ways = ways.join(onward, last, "left").withColumn(further, F.coalesce("onward", last)).drop("onward")
+        ways, steps = cut_lineage(ways), 2 * steps
+    placed = roots.join(ways, "dataset", "left").orderBy("up16", "up8", "up4", "up2", "up1", "dataset")
+    # numbers of a partition begin at a multiple of 2 ** 33, far from those of the one before
+    return placed.select(F.monotonically_increasing_id().alias("number"), "dataset").select(F.expr(f"number div {size}").alias("block"), "dataset")
 
 
 def resolve_versions(releases: DataFrame, dependencies: DataFrame, roots: DataFrame) -> Resolution:
@@ -103,67 +142,46 @@ def resolve_versions(releases: DataFrame, dependencies: DataFrame, roots: DataFr
     ``problem`` is null, ``missing`` (a dataset without releases) or ``conflict`` (none satisfies all
     constraints, or one cannot be read); then ``version`` is null. Rows of ``constraints`` tell when each was met.
 
-    Whether a release satisfies a constraint is decided once per dataset, and the release and the needs that
-    follow from a set of constraints once per set, however many roots meet it. A round groups what it newly
-    asks with what was asked of the same datasets before, and appends a row per dataset with new constraints;
-    rows of other datasets are not looked at again.
+    Whether a release satisfies a constraint is decided once per dataset: as constraints compare numbers, each
+    allows the releases from one rank to another. Roots are put into blocks, everything that a block can meet is
+    brought together once (over all releases of its datasets), and a task takes its roots through all rounds.
     """
     spark = releases.sparkSession
     star = F.coalesce("constraint", F.lit("*")).alias("constraint")
-    releases = releases.select("dataset", "version").filter("dataset IS NOT NULL AND version IS NOT NULL").distinct()
-    order = F.struct(semver(F.col("version")).alias("number"), F.col("version").alias("text"))
-    rank = F.row_number().over(Window.partitionBy("dataset").orderBy(order)).alias("rank")
-    releases = cut_lineage(releases.select("dataset", "version", rank))
+    releases = releases.select("dataset", "version").filter("dataset IS NOT NULL AND version IS NOT NULL").repartition("dataset").distinct()
+    rank = F.row_number().over(Window.partitionBy("dataset").orderBy("number", "version")).alias("rank")
+    releases = computed_once(releases, {"number": number_text(F.col("version"))}).withColumn("number", numbers(F.col("number")))
+    releases = cut_lineage(releases.select("dataset", "version", "number", rank))
     needs = dependencies.filter("dataset IS NOT NULL AND version IS NOT NULL AND dependency IS NOT NULL")
-    needs = cut_lineage(needs.select("dataset", "version", "dependency", star).distinct())
-    start = roots.filter("dataset IS NOT NULL").select(F.col("dataset").alias("root"), "dataset", star).distinct()
-    asked = needs.select(F.col("dependency").alias("dataset"), "constraint").unionByName(start.select("dataset", "constraint")).distinct()
-    asked = cut_lineage(asked.select("dataset", "constraint", F.monotonically_increasing_id().alias("ask")))
-    allowed = asked.join(releases, "dataset").filter(satisfies(F.col("version"), F.col("constraint")))
-    allowed = cut_lineage(allowed.select("ask", "rank"))
+    needs = cut_lineage(needs.select("dataset", "version", "dependency", star))
+    start = cut_lineage(roots.filter("dataset IS NOT NULL").select("dataset", star).groupBy("dataset").agg(F.collect_set("constraint").alias("asked")))
+
+    asks = needs.select(F.col("dependency").alias("dataset"), "constraint").unionByName(start.select("dataset", F.explode("asked").alias("constraint")))
+    asks = computed_once(asks.repartition("dataset").distinct(), {"bound": bound_text(F.col("constraint"))}).withColumn("bound", numbers(F.col("bound")))
+    asks = asks.join(releases.drop("version"), "dataset", "left")
+    asks = asks.select("dataset", "constraint", F.when(meets(F.col("number"), F.col("constraint"), F.col("bound")), F.col("rank")).alias("allowed"))
+    asks = asks.groupBy("dataset", "constraint").agg(F.min("allowed").alias("low"), F.max("allowed").alias("high"), F.count("allowed").alias("n"))
+    whole = F.assert_true((F.col("n") == 0) | (F.col("high") - F.col("low") + 1 == F.col("n")), "releases between two that satisfy a constraint do not")
+    asks = asks.filter(whole.isNull())
+    ask = F.struct("constraint", F.coalesce("low", F.lit(1)).alias("low"), F.coalesce("high", F.lit(0)).alias("high"))
+    asks = asks.groupBy("dataset").agg(F.collect_list(ask).alias("asks"))
+    versions = releases.groupBy("dataset").agg(F.sort_array(F.collect_list(F.struct("rank", "version")))["version"].alias("versions"))
     needs = needs.join(releases, ["dataset", "version"])
-    needs = needs.join(asked.withColumnRenamed("dataset", "dependency"), ["dependency", "constraint"])
-    needs = cut_lineage(needs.select("dataset", "rank", "dependency", "ask"))
-
-    def picked(level: DataFrame) -> DataFrame:
-        """``dataset, asks, rank``: the highest release that a set of constraints leaves; none, no row."""
-        each = F.split("asks", ",")
-        kinds = level.select("dataset", "asks").distinct().select("dataset", "asks", F.explode(each.cast("array<long>")).alias("ask"))
-        left = kinds.join(allowed, "ask").groupBy("dataset", "asks", "rank").agg(F.count(F.lit(1)).alias("satisfied"))
-        return left.filter(F.col("satisfied") == F.size(each)).groupBy("dataset", "asks").agg(F.max("rank").alias("rank"))
-
-    def grouped(rows: DataFrame) -> DataFrame:
-        """``root, dataset, asks, fresh`` of datasets with new constraints: all of them as text, and the new ones."""
-        sets = rows.groupBy("root", "dataset").agg(
-            F.collect_set("ask").alias("every"), F.collect_set(F.when(F.col("before"), F.col("ask"))).alias("old")
-        )
-        asks = F.array_join(F.sort_array("every").cast("array<string>"), ",").alias("asks")
-        return sets.filter(F.size("every") > F.size("old")).select("root", "dataset", asks, F.array_except("every", "old").alias("fresh"))
-
-    first = start.join(asked, ["dataset", "constraint"]).select("root", "dataset", "ask", F.lit(False).alias("before"))
-    met = _Levels(spark, "tidemark-constraints", grouped(first).schema)
-    new = met.append(grouped(first))
-    while not new.isEmpty():
-        adds = picked(new).join(needs, ["dataset", "rank"]).select("dataset", "asks", "dependency", "ask")
-        step = new.select("root", "dataset", "asks").join(adds, ["dataset", "asks"])
-        step = cut_lineage(step.select("root", F.col("dependency").alias("dataset"), "ask").distinct())
-        # what was asked before of the datasets that are asked now
-        prior = met.whole().select("root", "dataset", "fresh").join(step.select("root", "dataset").distinct(), ["root", "dataset"], "left_semi")
-        prior = prior.select("root", "dataset", F.explode("fresh").alias("ask"), F.lit(True).alias("before"))
-        new = met.append(grouped(prior.unionByName(step.withColumn("before", F.lit(False)))))
-    every = met.whole()
-    last = every.groupBy("root", "dataset").agg(F.max(F.struct("level", "asks")).alias("last")).select("root", "dataset", "last.asks")
-    last = cut_lineage(last)
-    known = releases.select("dataset", F.lit(True).alias("known")).distinct()
-    found = picked(last).join(releases, ["dataset", "rank"]).select("dataset", "asks", "version")
-    kinds = last.select("dataset", "asks").distinct().join(found, ["dataset", "asks"], "left").join(known, "dataset", "left")
-    problem = F.when(F.col("known").isNull(), "missing").when(F.col("version").isNull(), "conflict")
-    count = F.size(F.split("asks", ",")).cast("long").alias("constraints")
-    kinds = kinds.select("dataset", "asks", "version", count, problem.alias("problem"))
-    result = cut_lineage(last.join(kinds, ["dataset", "asks"]).select("root", "dataset", "version", "constraints", "problem"))
-    texts = asked.select("ask", "constraint")
-    every = every.select("root", "dataset", F.explode("fresh").alias("ask"), "level").join(texts, "ask")
-    return Resolution(result, every.select("root", "dataset", "constraint", "level"))
+    needs = needs.groupBy("dataset").agg(F.collect_set(F.struct("rank", "dependency", "constraint")).alias("needs"))
+    cards = cut_lineage(asks.join(versions, "dataset", "left").join(needs, "dataset", "left"))
+
+    edges = cards.select("dataset", F.explode(F.array_distinct("needs.dependency")).alias("dependency"))
+    edges = cut_lineage(edges.filter("dataset <> dependency"))
+    many = start.count()
+    size = _block_size(spark, many)
+    placed = _blocks(edges, start.select("dataset"), size) if many > size else start.select(F.lit(0).cast("long").alias("block"), "dataset")
+    placed = cut_lineage(placed)
+    met = _walk(edges, placed.withColumnRenamed("block", "root")).select(F.col("root").alias("block"), "dataset")
+    home = start.join(placed.withColumnRenamed("block", "home"), "dataset")
+    cards = met.join(cards.join(home, "dataset", "left"), "dataset")
+    asked = F.when(F.col("block") == F.col("home"), F.col("asked")).alias("asked")
+    cards = cards.select("block", "dataset", "versions", "needs", "asks", asked)
+    return Resolution(cards.repartition(max(1, -(-many // size)), "block"))
 
 
 # --- defaults ---
